@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, quality, simhash, tokens
+from . import language, quality, simhash, tokens, toxicity
 from .common import table
 
 
@@ -22,12 +22,16 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.round_trip(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_language, op4_simhash, op7_quality, op10_token_blocks)}
+    return {f.__name__: f for f in (op3_language, op4_simhash, op7_quality, op8_toxicity, op10_token_blocks)}
 
 
 def oracle_sql() -> dict[str, str]:
