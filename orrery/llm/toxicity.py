@@ -84,19 +84,24 @@ def _sampled(rows: DataFrame) -> list[tuple[int, np.ndarray, np.ndarray]]:
     return sorted(((r.label, np.frombuffer(r.stems, np.uint64), np.frombuffer(r.patterns)) for r in rows.mapInArrow(run, "label int, stems binary, patterns binary").collect()), key=lambda r: (r[0], r[1].tobytes(), r[2].tobytes()))
 
 
-def lexicons(rows: list, most: int = 4000, support: int = 4) -> tuple[np.ndarray, np.ndarray]:
-    """(entries, voter of each): stems that toxic texts of the sample hold far more often, in BANDS for each kind of stem by strength."""
+def lexicons(rows: list, odds: float, most: int = 4000) -> tuple[np.ndarray, np.ndarray]:
+    """(entries, band of each): stems that toxic texts of the sample hold far more often than chance, in BANDS by how often.
+
+    Chance allows for the number of stems: their likelihood ratio against the
+    sample's share of toxic texts has to exceed the logarithm of that number by 5.
+    odds: other labelled rows for each of the sample, over toxic ones for each.
+    """
     y = np.array([r[0] for r in rows])
     every, inverse = np.unique(np.concatenate([r[1] for r in rows] or [np.zeros(0, np.uint64)]), return_inverse=True)
     owner = np.repeat(y, [len(r[1]) for r in rows])
     hit, miss = np.bincount(inverse[owner == 1], minlength=len(every)), np.bincount(inverse[owner == 0], minlength=len(every))
-    lift = np.log((hit + 0.5) / (max(y.sum(), 1) + 1)) - np.log((miss + 0.5) / (max((1 - y).sum(), 1) + 1))
-    good = np.flatnonzero((every != 0) & (hit >= support) & (lift > np.log(8)) & (hit > 2 * miss))
-    good = good[np.lexsort((every[good], -lift[good] * np.sqrt(hit[good])))][:most]
-    strength = np.empty(len(good), np.int64)
-    strength[np.argsort(-lift[good], kind="stable")] = np.arange(len(good)) * BANDS // max(len(good), 1)
+    n, share = hit + miss, y.mean()
+    ratio = hit * np.log(np.maximum(hit, 1) / (n * share)) + miss * np.log(np.maximum(miss, 1) / (n * (1 - share)))
+    good = np.flatnonzero((every != 0) & (hit > 8 * odds * miss) & (ratio > np.log(len(every) + 1) + 5))
+    good = good[np.lexsort((every[good], -ratio[good]))][:most]
+    band = np.arange(len(good)) * BANDS // max(len(good), 1)
     order = np.argsort(every[good])
-    return every[good][order], strength[order]
+    return every[good][order], band[order]
 
 
 def hits(data: np.ndarray, offsets: np.ndarray, entries: np.ndarray, band: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -118,41 +123,42 @@ def hits(data: np.ndarray, offsets: np.ndarray, entries: np.ndarray, band: np.nd
 
 
 def votes(hit: np.ndarray, words: np.ndarray, pattern: np.ndarray, cuts: np.ndarray) -> np.ndarray:
-    """+1 (toxic), -1 or 0 (silent) by each voter: a lexicon says -1 to a text of 20 words or more without an entry of its kind; a pattern speaks above its cut."""
-    kind = hit.reshape(len(hit), len(PREFIXES), BANDS).sum(2)
-    none = np.repeat((kind == 0) & (words >= 20)[:, None], BANDS, 1)
-    return np.hstack([np.where(hit > 0, 1, np.where(none, -1, 0)), np.where(pattern > cuts, 1, 0)])
+    """+1 (toxic), -1 or 0 (silent) by each voter: a lexicon speaks where it has an entry, a pattern above its cut, and the last voter, -1, where 20 words or more are in no lexicon."""
+    none = (hit.sum(1) == 0) & (words >= 20)
+    return np.hstack([np.where(hit > 0, 1, 0), np.where(pattern > cuts, 1, 0), np.where(none, -1, 0)[:, None]])
 
 
 def label_model(v: np.ndarray, start: float, rounds: int = 30) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(posterior of each row, P(vote | class) of each voter, correlation of the voters given the class).
 
     Voters that agree beyond what the class explains count for less: a voter's
-    weight is one over the sum of its correlations.
+    weight is one over the sum of its correlations. A silent voter tells nothing.
     """
     cast = np.stack([v == k for k in (-1, 0, 1)], 2).astype(float)
-    lexical = v[:, : len(PREFIXES) * BANDS]
-    p = np.where((lexical > 0).any(1), 0.9, np.where((lexical < 0).any(1), start / 4, start))  # to begin with
-    share, weight = start, np.full(v.shape[1], 1 / max(v.shape[1], 1))
+    told = cast * np.array([1, 0, 1])
+    p = np.where((v[:, : len(PREFIXES) * BANDS] > 0).any(1), 0.9, np.where(v[:, -1] < 0, start / 4, start))  # to begin with
     table, corr = np.full((2, v.shape[1], 3), 1 / 3), np.eye(v.shape[1])
-    for _ in range(rounds):
+    for k in range(rounds):
         for c, own in enumerate((1 - p, p)):
             table[c] = (np.einsum("i,ijk->jk", own, cast) + 0.5) / (own.sum() + 1.5)
-        mean = [table[c, :, 2] - table[c, :, 0] for c in (0, 1)]
-        rest = v - ((1 - p)[:, None] * mean[0] + p[:, None] * mean[1])
-        spread = np.sqrt((rest**2).mean(0)) + 1e-9
-        corr = np.clip((rest.T @ rest) / len(v) / np.outer(spread, spread), -1, 1)
-        weight = 1 / np.maximum(np.where(corr > 0.1, corr, 0).sum(1), 1)
-        lift = np.einsum("ijk,jk->i", cast * weight[None, :, None], np.log(table[1]) - np.log(table[0]))
-        p = 1 / (1 + np.exp(-np.clip(lift + np.log(share / (1 - share)), -30, 30)))
-        share = float(np.clip(p.mean(), 0.01, 0.99))
+        if k < 2:  # later rounds would explain away what the classes share
+            mean = [table[c, :, 2] - table[c, :, 0] for c in (0, 1)]
+            rest = v - ((1 - p)[:, None] * mean[0] + p[:, None] * mean[1])
+            spread = np.sqrt((rest**2).mean(0)) + 1e-9
+            corr = np.clip((rest.T @ rest) / len(v) / np.outer(spread, spread), -1, 1)
+            weight = 1 / np.maximum(np.where(corr > 0.1, corr, 0)[:, :-1].sum(1), 1)
+            weight[-1] = 1  # the one voter that speaks where the others are silent
+        ratio = np.log(table[1]) - np.log(table[0])
+        ratio[:, 2], ratio[:, 0] = np.maximum(ratio[:, 2], 0), np.minimum(ratio[:, 0], 0)  # no voter is worse than chance
+        lift = np.einsum("ijk,jk->i", told * weight[None, :, None], ratio)
+        p = 1 / (1 + np.exp(-np.clip(lift + np.log(start / (1 - start)), -30, 30)))
     return p, table, corr
 
 
 def inputs(hit: np.ndarray, words: np.ndarray, pattern: np.ndarray) -> np.ndarray:
-    """What the classifier sees: hits of each lexicon on a log scale, hits of each kind among the words, and patterns."""
-    kind = hit.reshape(len(hit), len(PREFIXES), BANDS).sum(2)
-    return np.hstack([np.log1p(hit), kind > 0, 10 * np.minimum(kind / np.maximum(words, 1)[:, None], 0.1), pattern])
+    """What the classifier sees: whether each lexicon has an entry, whether they have two or five together, and patterns."""
+    every = hit.sum(1)[:, None]
+    return np.hstack([hit > 0, every > 1, every > 4, (words < 20)[:, None], pattern])
 
 
 def fit(docs: DataFrame, labels: DataFrame, toxic: int = 2500, other: int = 5000) -> Model | None:
@@ -171,7 +177,8 @@ def fit(docs: DataFrame, labels: DataFrame, toxic: int = 2500, other: int = 5000
     sampled = _sampled(rows)
     if len({r[0] for r in sampled}) < 2:
         return None
-    entries, band = lexicons(sampled)
+    had = np.bincount([r[0] for r in sampled], minlength=2)
+    entries, band = lexicons(sampled, (total[0] / had[0]) / (total[1] / had[1]))
     del sampled
     y, hit, words, pattern = _counted(rows, entries, band)
     cuts = np.quantile(pattern, 0.95, axis=0)
