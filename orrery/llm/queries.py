@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, quality, simhash, substring, tokens, toxicity
+from . import language, mixing, quality, simhash, substring, tokens, toxicity
 from .common import table
 
 
@@ -22,6 +22,10 @@ def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.removed(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256", "spans")
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).drop("text")
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -35,8 +39,8 @@ def op10_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_language, op4_simhash, op5_substring, op7_quality, op8_toxicity, op10_token_blocks)}
+    return {f.__name__: f for f in (op3_language, op4_simhash, op5_substring, op6_mixing, op7_quality, op8_toxicity, op10_token_blocks)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_mixing": mixing.sql()}

@@ -22,6 +22,7 @@ Spark can write holds them.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -38,7 +39,9 @@ from .common import cut, prepare
 BLOCK = 128
 SEGMENT = "shard long, segment long, shard_start long, n_docs long, n_tokens long, data binary"
 _HEAD = struct.Struct("<4sIQI")
-_known: dict[str, dict[str, bytes]] = {}
+#: Letters whose case and composition are beyond doubt, then marks that aren't letters or digits.
+PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
+_known: dict[str, tuple[dict[str, bytes], dict[str, bytes]]] = {}
 
 
 def pack(values: np.ndarray, share: float = 0.9) -> tuple[np.ndarray, np.ndarray]:
@@ -126,25 +129,55 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def encoder(path: str, most: int = 300_000):
+def encoder(path: str, most: int = 500_000):
     """A function from texts to the ids of each as little-endian 32-bit bytes.
 
     This kind of tokenizer never joins what a space or line break parts, so it
-    is asked once for each distinct piece; `most` bounds the pieces remembered.
+    is asked once for each distinct piece; nor does it join letters and marks,
+    and it ignores case, so pieces of plain letters and closing marks share
+    their letters' ids. Distinct runs of letters are encoded many at a time and
+    told apart by the tokens that end words. `most` bounds the pieces remembered.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    model, known = Tokenizer.from_file(path), _known.setdefault(path, {})
+    model = Tokenizer.from_file(path)
+    known, letters = _known.setdefault(path, ({}, {}))
+    ends = np.zeros(model.get_vocab_size(), bool)
+    ends[[i for t, i in model.get_vocab().items() if t.endswith("</w>")]] = True
+
+    def alone(parts: list[str], into: dict[str, bytes]) -> None:
+        for p, e in zip(parts, model.encode_batch(parts, add_special_tokens=False)):
+            into[p] = np.array(e.ids, "<u4").tobytes()
+
+    def together(words: list[str]) -> None:
+        for k in range(0, len(words), 2000):
+            part = words[k : k + 2000]
+            ids = np.array(model.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            to = (np.flatnonzero(ends[ids]) + 1) * 4
+            if len(to) != len(part) or to[-1] != 4 * len(ids):
+                alone(part, letters)
+                continue
+            data, at = ids.tobytes(), to.tolist()
+            letters.update(zip(part, map(data.__getitem__, map(slice, [0, *at[:-1]], at))))
+
+    def trim(cache: dict[str, bytes]) -> None:
+        if len(cache) > most:  # long pieces are the rare ones
+            short = {k: v for k, v in cache.items() if len(k) <= 7}
+            cache.clear()
+            cache.update(short if len(short) < most // 2 else {})
 
     def encode(texts: list[str]) -> list[bytes]:
         parts = [x.replace("\n", " ").split(" ") for x in texts]
-        if len(known) > most:
-            known.clear()
-        new = list({p for x in parts for p in x if p not in known})
-        for k in range(0, len(new), 10_000):
-            for p, e in zip(new[k : k + 10_000], model.encode_batch(new[k : k + 10_000], add_special_tokens=False)):
-                known[p] = np.array(e.ids, "<u4").tobytes()
+        trim(known)
+        trim(letters)
+        new = set().union(*parts).difference(known)
+        plain = {p: (m[1].lower(), m[2]) for p in new if (m := PLAIN.fullmatch(p))}
+        together(list({w for w, _ in plain.values()}.difference(letters)))
+        rest = new.difference(plain)
+        alone(list(rest.union(t for _, t in plain.values()).difference(known)), known)
+        for p, (w, t) in plain.items():
+            known[p] = letters[w] + known[t]
         return [b"".join(map(known.__getitem__, x)) for x in parts]
 
     return encode
