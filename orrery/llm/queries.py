@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, mixing, quality, simhash, substring, tokens, toxicity
+from . import decontaminate, language, mixing, quality, simhash, substring, tokens, toxicity
 from .common import table
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
@@ -39,7 +43,7 @@ def op10_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_language, op4_simhash, op5_substring, op6_mixing, op7_quality, op8_toxicity, op10_token_blocks)}
+    return {f.__name__: f for f in (op1_decontamination, op3_language, op4_simhash, op5_substring, op6_mixing, op7_quality, op8_toxicity, op10_token_blocks)}
 
 
 def oracle_sql() -> dict[str, str]:
