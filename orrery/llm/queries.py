@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language, mixing, quality, simhash, substring, tokens, toxicity
+from . import decontaminate, language, mixing, quality, simhash, substring, tokens, toxicity, warc
 from .common import table
 
 
@@ -38,12 +38,16 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derivatives(warc.responses(table(spark, sf_dir, "pages"))).drop("record")
+
+
 def op10_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.round_trip(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op3_language, op4_simhash, op5_substring, op6_mixing, op7_quality, op8_toxicity, op10_token_blocks)}
+    return {f.__name__: f for f in (op1_decontamination, op3_language, op4_simhash, op5_substring, op6_mixing, op7_quality, op8_toxicity, op9_warc, op10_token_blocks)}
 
 
 def oracle_sql() -> dict[str, str]:
