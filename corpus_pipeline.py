@@ -1,3 +1,61 @@
-STAGES = []
+"""The corpus pipeline: five stages from raw documents to token blocks.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
+as Parquet and read again as the next stage's docs. All but the last return the
+columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from orrery.llm import decontaminate, mixing, quality, simhash, tokens
+from orrery.llm.common import shared_path, table
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose perplexity lies within their language's bounds; rows of a doc_id stay or go together by each row's own text."""
+    judged = quality.classify(docs, table(spark, sf_dir, "labels"), carry=docs.columns)
+    return judged.filter("keep").select(*docs.columns)
+
+
+def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest doc_id, of each group of near-duplicates."""
+    return simhash.keep_first(docs)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that share no passage with the benchmark."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as their source's rate draws them, in a global random order."""
+    return mixing.mix(docs).select(*docs.columns)
+
+
+def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32) of the token file, read back from its blocks."""
+    return tokens.round_trip(docs)
+
+
+STAGES = [
+    ("quality", quality_stage),
+    ("near-duplicates", dedup_stage),
+    ("decontamination", decontamination_stage),
+    ("mixing", mixing_stage),
+    ("token blocks", token_stage),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in a row, each written to the shared folder and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES:
+        stage(spark, docs, sf_dir).write.parquet(path := shared_path(spark))
+        docs = spark.read.parquet(path)
+    return docs
+
+
+#: A SimHash component, an n-gram model and a tokenizer are beyond SQL: tests hold the stages against brute force.
 ORACLE_SQL = None
-run = None

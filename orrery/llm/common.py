@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,11 +26,22 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, written to the shared folder of spark.checkpoint.dir and read from there; a local folder only where none is set."""
-    sc = df.sparkSession.sparkContext
+def shared(spark: SparkSession) -> str:
+    """The checkpoint folder that the cluster names; a local one only where none is set, as in tests."""
+    sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="orrery-"))
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="orrery-"))
+    return sc.getCheckpointDir()
+
+
+def shared_path(spark: SparkSession) -> str:
+    """A new folder beside the checkpoints, which every executor can reach."""
+    return f"{shared(spark)}/orrery-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df, written to the shared folder and read from there."""
+    shared(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

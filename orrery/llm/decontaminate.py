@@ -177,5 +177,5 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = 12, same: float
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """Rows of docs without an overlap with the benchmark; see overlaps()."""
-    found = overlaps(docs.select("doc_id", "text"), benchmark, **options).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["_id"]), "left_anti")
+    found = overlaps(docs.select("doc_id", "text"), benchmark, **options).select(F.col("doc_id").alias("__found_id")).distinct()
+    return docs.join(found, docs["doc_id"].eqNullSafe(found["__found_id"]), "left_anti")

@@ -50,16 +50,17 @@ def distributions(rate: DataFrame) -> DataFrame:
 def mix(docs: DataFrame, weights: DataFrame | None = None, seed: int = 11, **options) -> DataFrame:
     """docs (doc_id, text, source and any others) with each row as often as drawn, in an order of no meaning.
 
-    Added columns: copy (1, 2, ...) and shuffle_key, by which rows are dealt to
-    partitions and sorted in them. Null and empty texts take part like others,
+    Added columns, in place of any of that name: copy (1, 2, ...) and shuffle_key,
+    by which rows are dealt to partitions and sorted in them. Null and empty texts take part like others,
     with the rate of their source. Rows with equal doc_ids draw the same number; a
     null doc_id draws as the text `null`. An empty table gives an empty result.
     """
-    known = distributions(rates(docs.select("source", "text"), weights, **options)).withColumnRenamed("source", "_s")
+    known = distributions(rates(docs.select("source", "text"), weights, **options)).select(F.col("source").alias("__mix_source"), F.col("upto").alias("__mix_upto"))
+    doc_id = F.coalesce(docs["doc_id"].cast("string"), F.lit("null"))
+    drawn = docs.join(known, docs["source"].eqNullSafe(known["__mix_source"]), "left")
+    n = F.size(F.filter("__mix_upto", lambda p: p <= uniform(F.lit(str(seed)), doc_id))).cast("long")
+    copies = drawn.withColumn("copy", F.explode(F.when(n > 0, F.sequence(F.lit(1).cast("long"), n)))).drop("__mix_source", "__mix_upto")
     doc_id = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    drawn = docs.join(known, docs["source"].eqNullSafe(known["_s"]), "left")
-    n = F.size(F.filter("upto", lambda p: p <= uniform(F.lit(str(seed)), doc_id))).cast("long")
-    copies = drawn.withColumn("copy", F.explode(F.when(n > 0, F.sequence(F.lit(1).cast("long"), n)))).drop("_s", "upto")
     key = F.md5(F.concat_ws(":", F.lit(f"{seed}-order"), doc_id, "copy"))
     return copies.withColumn("shuffle_key", key).repartitionByRange("shuffle_key").sortWithinPartitions("shuffle_key")
 

@@ -155,5 +155,5 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 2) -> DataFra
 
 def keep_first(docs: DataFrame, words: int = 4, radius: int = 2) -> DataFrame:
     """Rows of docs whose doc_id is the smallest of its component; of rows that share that id, all stay, and rows with a null id stay."""
-    kept = near_duplicates(docs.select("doc_id", "text"), words, radius).filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"] == kept["_kept"], "left").filter("_kept IS NOT NULL OR doc_id IS NULL").drop("_kept")
+    kept = near_duplicates(docs.select("doc_id", "text"), words, radius).filter("doc_id = component_id").select(F.col("doc_id").alias("__kept_id")).distinct()
+    return docs.join(kept, docs["doc_id"] == kept["__kept_id"], "left").filter("__kept_id IS NOT NULL OR doc_id IS NULL").drop("__kept_id")

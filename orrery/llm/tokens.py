@@ -24,17 +24,17 @@ from __future__ import annotations
 import os
 import re
 import struct
-import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, prepare
+from .common import prepare, shared_path
 
 BLOCK = 128
 SEGMENT = "shard long, segment long, shard_start long, n_docs long, n_tokens long, data binary"
@@ -95,10 +95,10 @@ def unpack(data: np.ndarray, start: np.ndarray) -> np.ndarray:
     return (out + least).ravel()
 
 
-def segment(ids: list[int | None], counts: list[int], values: np.ndarray, share: float = 0.9) -> bytes:
+def segment(ids: list[int | None], counts: np.ndarray, values: np.ndarray, share: float = 0.9) -> bytes:
     blocks, start = pack(values, share)
     null = np.array([x is None for x in ids], np.uint8)
-    return b"".join([_HEAD.pack(b"PFR1", len(ids), len(values), len(start)), np.array([x or 0 for x in ids], "<i8").tobytes(), null.tobytes(), np.array(counts, "<u4").tobytes(), start.astype("<u8").tobytes(), blocks.tobytes()])
+    return b"".join([_HEAD.pack(b"PFR1", len(ids), len(values), len(start)), np.array([x or 0 for x in ids], "<i8").tobytes(), null.tobytes(), np.asarray(counts, "<u4").tobytes(), start.astype("<u8").tobytes(), blocks.tobytes()])
 
 
 class Segment:
@@ -130,7 +130,7 @@ def default_tokenizer() -> str:
 
 
 def encoder(path: str, most: int = 500_000):
-    """A function from texts to the ids of each as little-endian 32-bit bytes.
+    """A function from texts to all their ids and how many each text has.
 
     This kind of tokenizer never joins what a space or line break parts, so it
     is asked once for each distinct piece; nor does it join letters and marks,
@@ -167,52 +167,61 @@ def encoder(path: str, most: int = 500_000):
             cache.clear()
             cache.update(short if len(short) < most // 2 else {})
 
-    def encode(texts: list[str]) -> list[bytes]:
-        parts = [x.replace("\n", " ").split(" ") for x in texts]
+    def encode(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        parts = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        coded = parts.flatten().dictionary_encode()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         trim(known)
         trim(letters)
-        new = set().union(*parts).difference(known)
+        new = [p for p in words if p not in known]
         plain = {p: (m[1].lower(), m[2]) for p in new if (m := PLAIN.fullmatch(p))}
         together(list({w for w, _ in plain.values()}.difference(letters)))
-        rest = new.difference(plain)
-        alone(list(rest.union(t for _, t in plain.values()).difference(known)), known)
+        alone(list({p for p in new if p not in plain}.union(t for _, t in plain.values()).difference(known)), known)
         for p, (w, t) in plain.items():
             known[p] = letters[w] + known[t]
-        return [b"".join(map(known.__getitem__, x)) for x in parts]
+        found = list(map(known.__getitem__, words))
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        pool, begin = np.frombuffer(b"".join(found), "<u4"), np.cumsum(size) - size
+        which = coded.indices.to_numpy()
+        n = size[which]
+        to = np.concatenate([[0], np.cumsum(n)])
+        ids = pool[np.repeat(begin[which] - to[:-1], n) + np.arange(to[-1])]
+        return ids, np.diff(to[parts.offsets.to_numpy() - parts.offsets[0].as_py()])
 
     return encode
 
 
+def gathered(batches: Iterator[pa.RecordBatch], most: int = 12 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches of about that many bytes, as distinct pieces are fewer in more text."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= most:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def segments(docs: DataFrame, tokenizer: str | None = None, end: int = 1, share: float = 0.9, most: int = 1 << 19) -> DataFrame:
     """Segments (SEGMENT) of docs (doc_id, text) in ascending order of doc_id, of about `most` ids or one longer document."""
     prepare(docs.sparkSession)
-    path, last = tokenizer or default_tokenizer(), np.array([end], "<u4").tobytes()
+    path = tokenizer or default_tokenizer()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, shard, k, before = encoder(path), TaskContext.get().partitionId(), 0, 0
-        ids: list = []
-        held: list[bytes] = []
-
-        def out() -> pa.RecordBatch:
-            nonlocal k, before
-            counts = [len(x) // 4 for x in held]
-            values = np.frombuffer(b"".join(held), "<u4")
-            row = [shard, k, before, len(ids), len(values), segment(ids, counts, values, share)]
-            k, before = k + 1, before + len(values)
-            ids.clear(), held.clear()
-            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, [pa.int64()] * 5 + [pa.binary()])], ["shard", "segment", "shard_start", "n_docs", "n_tokens", "data"])
-
-        size = 0
-        for batch in batches:
-            for doc_id, found in zip(batch.column(0).to_pylist(), encode([x or "" for x in batch.column(1).to_pylist()])):
-                ids.append(doc_id)
-                held.append(found + last)
-                size += len(held[-1]) // 4
-                if size >= most:
-                    yield out()
-                    size = 0
-        if ids:
-            yield out()
+        for group in gathered(batches):
+            doc_ids = group.column(0).to_pylist()
+            ids, counts = encode(group.column(1).fill_null(""))
+            ids, counts = np.insert(ids, np.cumsum(counts), end), counts + 1
+            to = np.concatenate([[0], np.cumsum(counts)])
+            a = 0
+            while a < len(counts):
+                b = min(len(counts), max(a + 1, int(np.searchsorted(to, to[a] + most, "right")) - 1))
+                row = [shard, k, before, b - a, int(to[b] - to[a]), segment(doc_ids[a:b], counts[a:b], ids[to[a] : to[b]], share)]
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, [pa.int64()] * 5 + [pa.binary()])], ["shard", "segment", "shard_start", "n_docs", "n_tokens", "data"])
+                a, k, before = b, k + 1, before + row[4]
 
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange("doc_id")
     return dealt.sortWithinPartitions("doc_id", F.xxhash64("text")).mapInArrow(run, SEGMENT)
@@ -253,14 +262,6 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return rows.join(F.broadcast(starts(written)), "shard").select("doc_id", (F.col("start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def shared_path(spark: SparkSession) -> str:
-    """A new folder beside the checkpoints, which every executor can reach."""
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        cut(spark.range(0))
-    return f"{sc.getCheckpointDir()}/orrery-{uuid.uuid4().hex}"
-
-
 def round_trip(docs: DataFrame, **options) -> DataFrame:
     """Write docs into the shared folder and read them back; see write() and read()."""
     spark = prepare(docs.sparkSession)
