@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language, mixing, quality, simhash, substring, tokens, toxicity, warc
+from . import decontaminate, language, media, mixing, quality, simhash, substring, tokens, toxicity, warc
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.images(table(spark, sf_dir, "documents"))
+
+
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
@@ -47,7 +51,7 @@ def op10_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op3_language, op4_simhash, op5_substring, op6_mixing, op7_quality, op8_toxicity, op9_warc, op10_token_blocks)}
+    return {f.__name__: f for f in (op1_decontamination, op2_media, op3_language, op4_simhash, op5_substring, op6_mixing, op7_quality, op8_toxicity, op9_warc, op10_token_blocks)}
 
 
 def oracle_sql() -> dict[str, str]:
