@@ -22,7 +22,6 @@ Spark can write holds them.
 from __future__ import annotations
 
 import os
-import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -40,7 +39,7 @@ BLOCK = 128
 SEGMENT = "shard long, segment long, shard_start long, n_docs long, n_tokens long, data binary"
 _HEAD = struct.Struct("<4sIQI")
 #: Letters whose case and composition are beyond doubt, then marks that aren't letters or digits.
-PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
+PLAIN = r"^(?P<a>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<b>[!-/:-@\[-`{-~]*)$"
 _known: dict[str, tuple[dict[str, bytes], dict[str, bytes]]] = {}
 
 
@@ -150,16 +149,16 @@ def encoder(path: str, most: int = 500_000):
         for p, e in zip(parts, model.encode_batch(parts, add_special_tokens=False)):
             into[p] = np.array(e.ids, "<u4").tobytes()
 
-    def together(words: list[str]) -> None:
+    def together(words: list[str], into: dict[str, bytes]) -> None:
         for k in range(0, len(words), 2000):
             part = words[k : k + 2000]
             ids = np.array(model.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
             to = (np.flatnonzero(ends[ids]) + 1) * 4
             if len(to) != len(part) or to[-1] != 4 * len(ids):
-                alone(part, letters)
+                alone(part, into)
                 continue
             data, at = ids.tobytes(), to.tolist()
-            letters.update(zip(part, map(data.__getitem__, map(slice, [0, *at[:-1]], at))))
+            into.update(zip(part, map(data.__getitem__, map(slice, [0, *at[:-1]], at))))
 
     def trim(cache: dict[str, bytes]) -> None:
         if len(cache) > most:  # long pieces are the rare ones
@@ -167,25 +166,37 @@ def encoder(path: str, most: int = 500_000):
             cache.clear()
             cache.update(short if len(short) < most // 2 else {})
 
+    def ids_of(words: pa.Array, cache: dict[str, bytes], ask) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, their numbers)."""
+        listed = words.to_numpy(zero_copy_only=False).tolist()
+        trim(cache)
+        ask([w for w in listed if w not in cache], cache)
+        found = list(map(cache.__getitem__, listed))
+        return np.frombuffer(b"".join(found), "<u4"), np.fromiter(map(len, found), np.int64, len(found)) // 4
+
+    def laid(pool: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the words that `which` names, one after the other, and where each starts, with the end)."""
+        n = sizes[which]
+        to = np.concatenate([[0], np.cumsum(n)])
+        return pool[np.repeat((np.cumsum(sizes) - sizes)[which] - to[:-1], n) + np.arange(to[-1])], to
+
     def encode(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         parts = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
         coded = parts.flatten().dictionary_encode()
-        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        trim(known)
-        trim(letters)
-        new = [p for p in words if p not in known]
-        plain = {p: (m[1].lower(), m[2]) for p in new if (m := PLAIN.fullmatch(p))}
-        together(list({w for w, _ in plain.values()}.difference(letters)))
-        alone(list({p for p in new if p not in plain}.union(t for _, t in plain.values()).difference(known)), known)
-        for p, (w, t) in plain.items():
-            known[p] = letters[w] + known[t]
-        found = list(map(known.__getitem__, words))
-        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        pool, begin = np.frombuffer(b"".join(found), "<u4"), np.cumsum(size) - size
-        which = coded.indices.to_numpy()
-        n = size[which]
-        to = np.concatenate([[0], np.cumsum(n)])
-        ids = pool[np.repeat(begin[which] - to[:-1], n) + np.arange(to[-1])]
+        words = coded.dictionary
+        match = pc.extract_regex(words, PLAIN)
+        plain = match.is_valid()
+        shape = match.filter(plain)
+        letter, mark = (x.dictionary_encode() for x in (pc.utf8_lower(shape.field("a")), shape.field("b")))
+        told = [ids_of(letter.dictionary, letters, together), ids_of(mark.dictionary, known, alone), ids_of(words.filter(pc.invert(plain)), known, alone)]
+        pool, sizes = np.concatenate([x for x, _ in told]), np.concatenate([n for _, n in told])
+        first, second = len(letter.dictionary), len(letter.dictionary) + len(mark.dictionary)
+        two = np.full((len(words), 2), len(sizes))  # each word's letters and marks, or itself and nothing
+        at = plain.to_numpy(zero_copy_only=False)
+        two[at, 0], two[at, 1] = letter.indices.to_numpy(), first + mark.indices.to_numpy()
+        two[~at, 0] = second + np.arange(len(words) - int(at.sum()))
+        pool, to = laid(pool, np.append(sizes, 0), two.ravel())
+        ids, to = laid(pool, np.diff(to[::2]), coded.indices.to_numpy())
         return ids, np.diff(to[parts.offsets.to_numpy() - parts.offsets[0].as_py()])
 
     return encode

@@ -132,21 +132,23 @@ def label_model(v: np.ndarray, start: float, rounds: int = 30) -> tuple[np.ndarr
     """(posterior of each row, P(vote | class) of each voter, correlation of the voters given the class).
 
     Voters that agree beyond what the class explains count for less: a voter's
-    weight is one over the sum of its correlations. A silent voter tells nothing.
+    weight is one over the root of the sum of its correlations. A silent voter tells nothing.
     """
     cast = np.stack([v == k for k in (-1, 0, 1)], 2).astype(float)
     told = cast * np.array([1, 0, 1])
-    p = np.where((v[:, : len(PREFIXES) * BANDS] > 0).any(1), 0.9, np.where(v[:, -1] < 0, start / 4, start))  # to begin with
-    table, corr = np.full((2, v.shape[1], 3), 1 / 3), np.eye(v.shape[1])
+    table, corr, weight = np.full((2, v.shape[1], 3), 1 / 3), np.eye(v.shape[1]), np.full(v.shape[1], 0.5)
+    spoke = (v[:, : len(PREFIXES) * BANDS] > 0).sum(1)
+    p = np.where(spoke > 0, 1 - 0.4**spoke, np.where(v[:, -1] < 0, start / 10, start))  # to begin with
+    weight[-1] = 1
     for k in range(rounds):
         for c, own in enumerate((1 - p, p)):
             table[c] = (np.einsum("i,ijk->jk", own, cast) + 0.5) / (own.sum() + 1.5)
-        if k < 2:  # later rounds would explain away what the classes share
+        if k == 3:  # later rounds would explain away what the classes share
             mean = [table[c, :, 2] - table[c, :, 0] for c in (0, 1)]
             rest = v - ((1 - p)[:, None] * mean[0] + p[:, None] * mean[1])
             spread = np.sqrt((rest**2).mean(0)) + 1e-9
             corr = np.clip((rest.T @ rest) / len(v) / np.outer(spread, spread), -1, 1)
-            weight = 1 / np.maximum(np.where(corr > 0.1, corr, 0)[:, :-1].sum(1), 1)
+            weight = 1 / np.sqrt(np.maximum(np.where(corr > 0.1, corr, 0)[:, :-1].sum(1), 1))
             weight[-1] = 1  # the one voter that speaks where the others are silent
         ratio = np.log(table[1]) - np.log(table[0])
         ratio[:, 2], ratio[:, 0] = np.maximum(ratio[:, 2], 0), np.minimum(ratio[:, 0], 0)  # no voter is worse than chance

@@ -96,16 +96,22 @@ def http(block: bytes) -> tuple[str, dict[str, str], bytes]:
     return status, {k.strip(): v.strip() for k, _, v in (r.partition(":") for r in rows)}, payload
 
 
+def opened(page: str) -> str:
+    """The page without comments and what scripts and the like hold; their opening tags stay."""
+    return HIDDEN.sub(lambda m: m[0][: m[0].find(">") + 1] if m[1] else " ", page)
+
+
 def plain(page: str) -> str:
-    """The text of an HTML page, a line for each block of it."""
-    page = HEAD.sub(" ", HIDDEN.sub(" ", page))
-    page = html.unescape(TAG.sub("", BREAK.sub("\n", BLANK.sub(" ", page.replace("\n", " ")))))
+    """The text of an opened() HTML page, a line for each block of it."""
+    page = HEAD.sub(" ", page)
+    page = html.unescape(TAG.sub("", BREAK.sub("\n", page.replace("\n", " "))))
     return LINES.sub("\n", BLANK.sub(" ", page)).strip()
 
 
 def links(page: str, base: str) -> list[dict[str, str]]:
+    """Tag, attribute and absolute target of each link of an opened() page."""
     found = []
-    for tag, attributes in LINK.findall(HIDDEN.sub(lambda m: m[0][: m[0].find(">") + 1] if m[1] else " ", page)):
+    for tag, attributes in LINK.findall(page):
         for attribute, a, b, c in TARGET.findall(attributes):
             url = html.unescape(a or b or c).strip()
             try:
@@ -119,16 +125,17 @@ def links(page: str, base: str) -> list[dict[str, str]]:
 def derive(headers: dict[str, str], block: bytes) -> Iterator[bytes]:
     """The metadata and conversion records of a response record."""
     status, told, payload = http(block)
-    page = payload.decode("utf-8", "replace")
+    own = digest(payload)
+    page = opened(payload.decode("utf-8", "replace"))
     source, uri = headers.get("WARC-Record-ID", ""), headers.get("WARC-Target-URI", "")
-    title = TITLE.search(HIDDEN.sub(" ", page))
+    title = TITLE.search(page)
     envelope = {
         "WARC-Header": headers,
         "HTTP-Response": {"Status": status, "Headers": told},
-        "Payload-Digest": digest(payload),
+        "Payload-Digest": own,
         "HTML": {"Title": line(html.unescape(TAG.sub("", title[1]))) if title else None, "Links": links(page, uri)},
     }
-    common = {"WARC-Refers-To": source, "WARC-Target-URI": uri, "WARC-Date": headers.get("WARC-Date", EPOCH), "WARC-Payload-Digest": headers.get("WARC-Payload-Digest", digest(payload))}
+    common = {"WARC-Refers-To": source, "WARC-Target-URI": uri, "WARC-Date": headers.get("WARC-Date", EPOCH), "WARC-Payload-Digest": headers.get("WARC-Payload-Digest", own)}
     yield record("metadata", {"WARC-Record-ID": name("metadata", source)} | common | {"Content-Type": "application/json"}, json.dumps(envelope, ensure_ascii=False, sort_keys=True).encode())
     yield record("conversion", {"WARC-Record-ID": name("conversion", source)} | common | {"Content-Type": "text/plain; charset=utf-8"}, plain(page).encode())
 
@@ -182,12 +189,13 @@ def derivatives(records: DataFrame, compress: bool = False) -> DataFrame:
                 for headers, block in parse(data or b""):
                     if headers.get("WARC-Type") != "response":
                         continue
+                    stated = json.dumps(headers, ensure_ascii=False, sort_keys=True)
                     ok = headers.get("WARC-Block-Digest", digest(block)) == digest(block) and headers.get("WARC-Payload-Digest") in (None, digest(http(block)[2]))
                     for made in derive(headers, block):
                         [(told, text)] = parse(made)
                         meta = json.loads(text)["HTML"] if told["WARC-Type"] == "metadata" else {}
                         row = {k: told.get(v) for k, v in FIELDS.items()}
-                        row |= {"page_id": page_id, "content_length": len(text), "source_headers": json.dumps(headers, ensure_ascii=False, sort_keys=True), "title": meta.get("Title"), "links": [x["url"] for x in meta.get("Links", [])], "text": None if meta else text.decode(), "digest_ok": ok}
+                        row |= {"page_id": page_id, "content_length": len(text), "source_headers": stated, "title": meta.get("Title"), "links": [x["url"] for x in meta.get("Links", [])], "text": None if meta else text.decode(), "digest_ok": ok}
                         out.append(row | {"record": gzip.compress(made, 6, mtime=0) if compress else made})
             yield pa.RecordBatch.from_pylist(out, SCHEMA)
 
