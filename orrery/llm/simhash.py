@@ -25,7 +25,7 @@ from .common import cut, prepare
 from .components import components
 
 #: Fingerprints that share a prefix, above which it is lengthened.
-CROWD = 4000
+CROWD = 1500
 
 
 def fingerprint(text: bytes, words: int = 4) -> int:
@@ -83,13 +83,15 @@ def links(fps: np.ndarray, cell: int, bits: int, radius: int) -> tuple[np.ndarra
         own = np.flatnonzero(spent == k)
         if len(own):
             m = masks(low, radius - k)
-            rows.append(np.repeat(own, len(m)))
+            rows.append(np.repeat(own.astype(np.int32), len(m)))
             values.append(((fps[own] & np.uint64((1 << low) - 1))[:, None] ^ m).ravel())
     rows, values = np.concatenate(rows), np.concatenate(values)
     order = np.argsort(values)
-    rows, values = rows[order], values[order]
-    met = values[1:] == values[:-1]
-    pairs = np.unique(np.minimum(rows[1:], rows[:-1])[met] * len(fps) + np.maximum(rows[1:], rows[:-1])[met])
+    values = values[order]
+    met = np.flatnonzero(values[1:] == values[:-1])
+    one, two = rows[order[met]].astype(np.int64), rows[order[met + 1]].astype(np.int64)
+    del rows, values, order, met
+    pairs = np.unique(np.minimum(one, two) * len(fps) + np.maximum(one, two))
     a, b = pairs // len(fps), pairs % len(fps)
     close = np.bitwise_count(fps[a] ^ fps[b]) <= 2 * radius  # verified
     a, b, root = a[close], b[close], np.arange(len(fps))
@@ -109,9 +111,9 @@ def links(fps: np.ndarray, cell: int, bits: int, radius: int) -> tuple[np.ndarra
 def linked(fps: DataFrame, radius: int = 2) -> DataFrame:
     """(a, b) of fingerprints; its connected components are those of all pairs within 2 * radius bits. fps: distinct (fp)."""
     n = fps.count()
-    bits = max(6, int(np.ceil(np.log2(max(n, 1) / 1000))))
+    bits = max(6, int(np.ceil(np.log2(max(n, 1) / 600))))
     own = F.shiftrightunsigned("fp", 64 - bits).alias("cell")
-    # at most 2 ** bits / (CROWD / 1000) rows, under a thousandth of the fingerprints
+    # under a thousandth as many rows as there are fingerprints
     crowded = np.array([r[0] for r in fps.groupBy(own).count().filter(F.col("count") > CROWD).select("cell").collect()], np.uint64)
     more = min(64 - bits, 12)
 

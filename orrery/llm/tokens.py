@@ -25,6 +25,7 @@ import os
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -128,7 +129,7 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def encoder(path: str, most: int = 500_000):
+def encoder(path: str, most: int = 300_000):
     """A function from texts to all their ids and how many each text has.
 
     This kind of tokenizer never joins what a space or line break parts, so it
@@ -161,10 +162,10 @@ def encoder(path: str, most: int = 500_000):
             into.update(zip(part, map(data.__getitem__, map(slice, [0, *at[:-1]], at))))
 
     def trim(cache: dict[str, bytes]) -> None:
-        if len(cache) > most:  # long pieces are the rare ones
-            short = {k: v for k, v in cache.items() if len(k) <= 7}
+        if len(cache) > most:  # frequent pieces are met early, and of the others the long ones are the rarest
+            kept = sorted(islice(cache.items(), most * 3 // 4), key=lambda x: len(x[0]))[: most // 2]
             cache.clear()
-            cache.update(short if len(short) < most // 2 else {})
+            cache.update(kept)
 
     def ids_of(words: pa.Array, cache: dict[str, bytes], ask) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words, their numbers)."""
@@ -202,7 +203,7 @@ def encoder(path: str, most: int = 500_000):
     return encode
 
 
-def gathered(batches: Iterator[pa.RecordBatch], most: int = 12 << 20) -> Iterator[pa.RecordBatch]:
+def gathered(batches: Iterator[pa.RecordBatch], most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Batches of about that many bytes, as distinct pieces are fewer in more text."""
     held, size = [], 0
     for batch in batches:
@@ -211,6 +212,7 @@ def gathered(batches: Iterator[pa.RecordBatch], most: int = 12 << 20) -> Iterato
         if size >= most:
             yield pa.concat_batches(held)
             held, size = [], 0
+            pa.default_memory_pool().release_unused()
     if held:
         yield pa.concat_batches(held)
 
