@@ -28,8 +28,7 @@ from .common import prepare
 
 EPOCH = "1970-01-01T00:00:00Z"
 HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b.*?(?:</\1\s*>|\Z)", re.S | re.I)
-TITLE = re.compile(r"<title\b[^>]*>(.*?)(?:</title\s*>|\Z)", re.S | re.I)
-HEAD = re.compile(r"<title\b.*?(?:</title\s*>|\Z)", re.S | re.I)
+TITLE = re.compile(r"<title\b[^>]*>(.*?)(?:</title\s*>|(?=<body\b|</head\b)|\Z)", re.S | re.I)
 BREAK = re.compile(r"</?(?:p|div|br|li|ul|ol|tr|table|h[1-6]|article|section|nav|footer|header|main|aside|blockquote|pre|hr|dd|dt|dl|form|title|body)\b[^>]*>", re.I)
 TAG = re.compile(r"<[a-zA-Z/!?][^>]*>")
 LINK = re.compile(r"<(a|area|link|img|script|iframe|source)\b([^>]*)>", re.I)
@@ -97,13 +96,15 @@ def http(block: bytes) -> tuple[str, dict[str, str], bytes]:
 
 
 def opened(page: str) -> str:
-    """The page without comments and what scripts and the like hold; their opening tags stay."""
-    return HIDDEN.sub(lambda m: m[0][: m[0].find(">") + 1] if m[1] else " ", page)
+    """The page without comments and what scripts and the like hold; their opening tags stay. A < that no > follows is text."""
+    page = HIDDEN.sub(lambda m: m[0][: m[0].find(">") + 1] if m[1] else " ", page)
+    last = page.rfind(">") + 1
+    return page[:last] + page[last:].replace("<", "&lt;")
 
 
 def plain(page: str) -> str:
-    """The text of an opened() HTML page, a line for each block of it."""
-    page = HEAD.sub(" ", page)
+    """The text of an opened() HTML page but its titles, a line for each block of it. A title that isn't closed ends with the head."""
+    page = TITLE.sub(" ", page)
     page = html.unescape(TAG.sub("", BREAK.sub("\n", page.replace("\n", " "))))
     return LINES.sub("\n", BLANK.sub(" ", page)).strip()
 
