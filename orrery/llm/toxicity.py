@@ -20,7 +20,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, held_out, prepare
@@ -163,6 +163,12 @@ def inputs(hit: np.ndarray, words: np.ndarray, pattern: np.ndarray) -> np.ndarra
     return np.hstack([hit > 0, every > 1, every > 4, (words < 20)[:, None], pattern])
 
 
+def _least(known: DataFrame, n: int, of: int) -> DataFrame:
+    """The n rows of the least hash of doc_id, of the `of` rows of known. Some 3 n of the least hashes are sorted, however many rows there are."""
+    key = F.xxhash64("doc_id")
+    return known.filter(key <= min(2**63 - 1, 3 * n * 2**64 // max(of, 1) - 2**63)).orderBy(key, "doc_id").limit(n)
+
+
 def fit(docs: DataFrame, labels: DataFrame, toxic: int = 2500, other: int = 5000) -> Model | None:
     """A model from rows of docs (doc_id, text) with a label in labels (doc_id, toxic) and crc32(doc_id) mod 4 other than 2.
 
@@ -170,10 +176,9 @@ def fit(docs: DataFrame, labels: DataFrame, toxic: int = 2500, other: int = 5000
     hash of doc_id. None if there are none of either.
     """
     prepare(docs.sparkSession)
-    order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
     known = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").filter(~held_out()).groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
     total = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    ids = known.withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= F.when(F.col("toxic") == 1, toxic).otherwise(other))
+    ids = _least(known.filter("toxic = 1"), toxic, total.get(1, 0)).union(_least(known.filter("toxic = 0"), other, total.get(0, 0)))
     ids = F.broadcast(ids.select(F.col("doc_id").alias("_id"), F.col("toxic").alias("label")))  # at most toxic + other rows
     rows = cut(docs.join(ids, F.col("doc_id") == F.col("_id")).select("label", F.col("text").cast("string").alias("text")))
     sampled = _sampled(rows)
