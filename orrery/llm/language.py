@@ -97,8 +97,13 @@ def features(rows: DataFrame) -> DataFrame:
 
 def sample(docs: DataFrame, per_lang: int, most: int) -> DataFrame:
     """At most per_lang rows of each language and `most` in all: those of the least hash of doc_id. Texts are read for these alone."""
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = docs.filter("lang IS NOT NULL").filter(~held_out()).select("doc_id", "lang").withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= per_lang).orderBy("_k", "lang").limit(most).select(F.col("doc_id").alias("_id")).distinct()
+    known = docs.filter("lang IS NOT NULL").filter(~held_out()).select("doc_id", "lang")
+    key = F.xxhash64("doc_id")
+    size = known.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("_n"))
+    # some 3 * per_lang ids of a language are ranked, however many rows it has
+    near = known.join(size, "lang").filter(key / 2.0**64 + 0.5 <= 3 * per_lang / F.col("_n")).select("doc_id", "lang").distinct()
+    order = Window.partitionBy("lang").orderBy(key, "doc_id")
+    ids = near.withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= per_lang).orderBy("_k", "lang").limit(most).select(F.col("doc_id").alias("_id")).distinct()
     # at most `most` ids
     return docs.filter("lang IS NOT NULL").join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).select(F.col("lang").alias("label"), "text")
 
