@@ -95,11 +95,11 @@ def features(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "label string, buckets binary, counts binary")
 
 
-def sample(docs: DataFrame, per_lang: int, most: int) -> DataFrame:
-    """At most per_lang rows of each language and `most` in all: those of the least hash of doc_id. Texts are read for these alone."""
+def sample(docs: DataFrame, per_lang: int, most: int, langs: int = 1000) -> DataFrame:
+    """At most per_lang rows of each of the `langs` largest languages and `most` in all: those of the least hash of doc_id. Texts are read for these alone."""
     known = docs.filter("lang IS NOT NULL").filter(~held_out()).select("doc_id", "lang")
     key = F.xxhash64("doc_id")
-    size = known.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("_n"))
+    size = F.broadcast(known.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("_n")).orderBy(F.col("_n").desc(), "lang").limit(langs))
     # some 3 * per_lang ids of a language are ranked, however many rows it has
     near = known.join(size, "lang").filter(key / 2.0**64 + 0.5 <= 3 * per_lang / F.col("_n")).select("doc_id", "lang").distinct()
     order = Window.partitionBy("lang").orderBy(key, "doc_id")
