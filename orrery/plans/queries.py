@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import relational
+from . import relational, views
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(relational.QUERIES)
+    return relational.QUERIES | views.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(relational.ORACLES)
+    return relational.ORACLES | views.ORACLES
