@@ -92,6 +92,11 @@ def display_name(name: Column, model: Column, short: Column, base: Column) -> Co
 
 
 def signed_decibel(c: Column) -> Column:
-    """A standing in [-1, 1] on a log scale of -30 to 30, linear near zero, to one decimal."""
-    size = F.abs(c) * 1000
-    return F.bround(clamp(F.signum(c) * F.when(size >= 1, 10 * F.log10(F.greatest(size, F.lit(1.0)))).otherwise(F.lit(0.0)), -30, 30), 1)
+    """A standing in [-1, 1] on a log scale of -30 to 30, linear up to 0.0032, to one decimal."""
+    size = F.abs(c)
+    return F.bround(clamp(F.when(size <= 0.0032, c / 0.00064).otherwise(F.signum(c) * 10 * F.log10(size * 1000)), -30, 30), 1)
+
+
+def standing_band(c: Column) -> Column:
+    out = F.when(c <= -0.999, "War").when(c <= -0.32, "Hostile").when(c <= -0.01, "Enemy")
+    return out.when(c < 0.01, "Neutral").when(c < 0.1, "Friendly").when(c < 0.5, "Friend").when(c >= 0.5, "Ally")

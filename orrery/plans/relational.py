@@ -415,7 +415,7 @@ def fn_explode(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.explode(F.split("p_name", " ")).alias("word"))
 
 
-@query("SELECT c_custkey, ROUND(CASE WHEN abs(c_acctbal / 10000) * 1000 >= 1 THEN least(30, greatest(-30, sign(c_acctbal) * 10 * log10(abs(c_acctbal / 10000) * 1000))) ELSE 0 END, 1) AS db, trunc((epoch_us(TIMESTAMP '2024-01-01') / 1e6 - c_acctbal * 100 - 1704067200) / 3600)::BIGINT AS bin_cut, floor((epoch_us(TIMESTAMP '2024-01-01') / 1e6 - c_acctbal * 100 - 1704067200) / 3600)::BIGINT AS bin_floor FROM customer")
+@query("SELECT c_custkey, round_even(least(30, greatest(-30, CASE WHEN abs(c_acctbal / 10000) <= 0.0032 THEN c_acctbal / 10000 / 0.00064 ELSE sign(c_acctbal) * 10 * log10(abs(c_acctbal / 10000) * 1000) END)), 1) AS db, trunc((epoch_us(TIMESTAMP '2024-01-01') / 1e6 - c_acctbal * 100 - 1704067200) / 3600)::BIGINT AS bin_cut, floor((epoch_us(TIMESTAMP '2024-01-01') / 1e6 - c_acctbal * 100 - 1704067200) / 3600)::BIGINT AS bin_floor FROM customer")
 def fn_math(spark, sf_dir):
     t, anchor = F.lit(1704067200.0) - F.col("c_acctbal") * 100, F.lit(1704067200.0)
     return table(spark, sf_dir, "customer").select("c_custkey", C.signed_decibel(F.col("c_acctbal") / 10000).alias("db"), C.hour_bin(t, anchor).alias("bin_cut"), C.hour_bin(t, anchor, True).alias("bin_floor"))
