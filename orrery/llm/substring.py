@@ -119,28 +119,44 @@ def least_of(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return keys[at], np.minimum.reduceat(values, at), np.maximum.reduceat(values, at)
 
 
-def _split(pack: int, parts: int, keys: np.ndarray, values: np.ndarray) -> Iterator[dict]:
+#: Types of keys and values as sent. Of an anchor the low half goes: with the part, which the high half names, a
+#: part of ASKED anchors confuses one in a thousand with another, and windows decide.
+Kinds = tuple[type, type]
+ANCHORS, WINDOWS = (np.uint32, np.int8), (np.uint64, np.int64)
+
+
+def _part(keys: np.ndarray, parts: int) -> np.ndarray:
+    return (keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
+
+
+def _short(keys: np.ndarray, part: np.ndarray | int) -> np.ndarray:
+    """What is left of anchors that were sent as ANCHORS."""
+    return keys.astype(np.uint32).astype(np.uint64) | (np.asarray(part, np.uint64) << np.uint64(32))
+
+
+def _split(pack: int, parts: int, keys: np.ndarray, values: np.ndarray, kinds: Kinds) -> Iterator[dict]:
     """A row for each part of the hash range that keys (in order) fall in."""
-    part = (keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
+    part = _part(keys, parts)
+    keys, values = keys.astype(kinds[0]), values.astype(kinds[1])
     to = np.searchsorted(part, np.arange(parts + 1).astype(np.uint64))
     for p in np.flatnonzero(np.diff(to)):
         yield {"part": int(p), "pack": pack, "keys": keys[to[p] : to[p + 1]].tobytes(), "vals": values[to[p] : to[p + 1]].tobytes()}
 
 
-def _gathered(group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    keys = [np.frombuffer(x, np.uint64) for x in group["keys"]]
-    return np.concatenate(keys), np.concatenate([np.frombuffer(x, np.int64) for x in group.vals]), np.repeat(np.arange(len(keys)), [len(x) for x in keys])
+def _gathered(group: pd.DataFrame, kinds: Kinds) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    keys = [np.frombuffer(x, kinds[0]) for x in group["keys"]]
+    return np.concatenate(keys), np.concatenate([np.frombuffer(x, kinds[1]) for x in group.vals]), np.repeat(np.arange(len(keys)), [len(x) for x in keys])
 
 
 ASK = "part int, pack long, keys binary, vals binary"
-ANSWER = "pack long, keys binary, vals binary"
+ANSWER = "part int, pack long, keys binary, vals binary"
 
 
-def _answered(questions: DataFrame) -> DataFrame:
+def _answered(questions: DataFrame, kinds: Kinds) -> DataFrame:
     """For each pack, of its keys those that other packs have or that several of its own documents have, with the least value of all packs."""
 
     def meet(group: pd.DataFrame) -> pd.DataFrame:
-        keys, values, pack = _gathered(group)
+        keys, values, pack = _gathered(group, kinds)
         order = np.argsort(keys, kind="stable")
         keys, values, pack = keys[order], values[order], pack[order]
         new = np.concatenate([[True], keys[1:] != keys[:-1]])
@@ -155,17 +171,18 @@ def _answered(questions: DataFrame) -> DataFrame:
         which = (np.cumsum(new) - 1)[own]
         to = np.searchsorted(pack[own], np.arange(len(group) + 1))
         ids = group["pack"].to_numpy()
-        return pd.DataFrame([{"pack": ids[i], "keys": keys[own[to[i] : to[i + 1]]].tobytes(), "vals": least[which[to[i] : to[i + 1]]].tobytes()} for i in np.flatnonzero(np.diff(to))], columns=["pack", "keys", "vals"])
+        return pd.DataFrame([{"part": group["part"].iloc[0], "pack": ids[i], "keys": keys[own[to[i] : to[i + 1]]].tobytes(), "vals": least[which[to[i] : to[i + 1]]].tobytes()} for i in np.flatnonzero(np.diff(to))], columns=["part", "pack", "keys", "vals"])
 
     answers = questions.groupBy("part").applyInPandas(meet, ANSWER)
-    return answers.groupBy("pack").agg(F.collect_list(F.struct("keys", "vals")).alias("told"))  # at most as many as there are parts
+    return answers.groupBy("pack").agg(F.collect_list(F.struct("part", "keys", "vals")).alias("told"))  # at most as many as there are parts
 
 
-def _told(told) -> tuple[np.ndarray, np.ndarray]:
+def _told(told, kinds: Kinds) -> tuple[np.ndarray, np.ndarray]:
     """All keys that a pack was answered about, in order, and their values."""
     told = told if told is not None else []
-    keys = np.concatenate([np.frombuffer(x["keys"], np.uint64) for x in told] or [np.zeros(0, np.uint64)])
-    values = np.concatenate([np.frombuffer(x["vals"], np.int64) for x in told] or [np.zeros(0, np.int64)])
+    keys = [(np.frombuffer(x["keys"], kinds[0]), x["part"]) for x in told]
+    keys = np.concatenate([k if kinds == WINDOWS else _short(k, part) for k, part in keys] or [np.zeros(0, np.uint64)])
+    values = np.concatenate([np.frombuffer(x["vals"], kinds[1]) for x in told] or [np.zeros(0, np.int64)])
     order = np.argsort(keys)
     return keys[order], values[order]
 
@@ -202,16 +219,16 @@ def removed(docs: DataFrame, window: int = 13) -> DataFrame:
                 p = Pack(data, window)
                 anchor, at = p.anchors()
                 keys, low, high = least_of(anchor, p.order()[p.doc[at]])
-                yield pd.DataFrame(list(_split(key, parts, keys, np.where(low != high, -1, 0))), columns=["part", "pack", "keys", "vals"])
+                yield pd.DataFrame(list(_split(key, parts, keys, np.where(low != high, -1, 0), ANCHORS)), columns=["part", "pack", "keys", "vals"])
 
     def ask_windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for key, data, told in zip(batch["pack"], batch["data"], batch["told"]):
                 p = Pack(data, window)
                 anchor, at = p.anchors()
-                at = at[_has(_told(told)[0], anchor)[0]]
+                at = at[_has(_told(told, ANCHORS)[0], _short(anchor, _part(anchor, parts)))[0]]
                 keys, low, _ = least_of(p.windows()[at], p.order()[p.doc[at]])
-                yield pd.DataFrame(list(_split(key, parts, keys, low)), columns=["part", "pack", "keys", "vals"])
+                yield pd.DataFrame(list(_split(key, parts, keys, low, WINDOWS)), columns=["part", "pack", "keys", "vals"])
 
     def remove(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -220,7 +237,7 @@ def removed(docs: DataFrame, window: int = 13) -> DataFrame:
                 _, at = p.anchors()
                 own, ids = p.windows()[at], p.order()
                 keys, low, _ = least_of(own, ids[p.doc[at]])
-                known, least = _told(told)
+                known, least = _told(told, WINDOWS)
                 found, place = _has(known, keys)
                 low = np.where(found, np.minimum(low, least[place]) if len(least) else low, low)
                 at = at[low[np.searchsorted(keys, own)] < ids[p.doc[at]]]
@@ -230,8 +247,8 @@ def removed(docs: DataFrame, window: int = 13) -> DataFrame:
                 gone = np.cumsum(cover)[:-1] > 0
                 yield _rows(p, gone)
 
-    anchors = _answered(held.mapInPandas(ask_anchors, ASK))
-    windows = _answered(held.join(anchors, "pack", "left").select("pack", "data", "told").mapInPandas(ask_windows, ASK))
+    anchors = _answered(held.mapInPandas(ask_anchors, ASK), ANCHORS)
+    windows = _answered(held.join(anchors, "pack", "left").select("pack", "data", "told").mapInPandas(ask_windows, ASK), WINDOWS)
     return held.join(windows, "pack", "left").select("data", "told").mapInPandas(remove, "doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<struct<first:long,words:long>>, kept_text string")
 
 
