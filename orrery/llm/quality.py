@@ -1,14 +1,24 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney model of trusted text.
 
-Texts are read as symbols of a folded alphabet of 32: letters without their
-accents (a capital is one symbol for all), digits, spaces and classes of marks.
-The model is of ORDER symbols. Counts of trusted text are summed by shards of
-their contexts and joined with the contexts' own totals, order by order; as the
-alphabet is closed, the joined model has at most 32 ** ORDER entries whatever it
-is trained on (a million, 4 MB), and that table is what documents are scored
-with. A document goes if its perplexity lies outside its language's quantiles
-of trusted documents: above the upper one (noise) or below the lower one
-(endless repeats).
+The model is of words, three in a row, over an open vocabulary: every word that
+trusted text holds is in it. A word is a run of letters and digits (A-Z as a-z);
+a mark, and a code point of a script that doesn't part words (from U+2000 on),
+is a word by itself. Counts are sharded Spark tables that grow with the trusted
+text. A word that they don't hold is spelled by a second, small model of bytes
+(folded to 32 symbols, four in a row) and the choice of each byte in its symbol.
+
+The logarithm of an interpolated model is a sum over grams: a gram adds what it
+gains over its shorter one, and as a context what it leaves to shorter ones. So
+each gram has one value, and a document's bits are the values of its grams.
+Grams that a bitmap of fixed size rules out and the most frequent ones (HEAD)
+are settled where the document is read; all others are summed for each document
+and joined with the sharded values.
+
+A text is judged by the trusted texts of the other half (by a hash of the text),
+so trusted documents, which set the bounds, don't know themselves. A document
+goes if its bits per byte, by either model, lie outside its language's quantiles
+of trusted documents: above the upper one (noise) or below the lower one (endless
+repeats; the words' lower bound is weak where trusted text holds near copies).
 """
 
 from __future__ import annotations
@@ -17,18 +27,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import cut, prepare
-from .text import joined, slices
+from .decontaminate import SLOTS, _in, bitmap
+from .text import hashed, joined, mix, slices
 
 SYMBOLS, ORDER = 32, 4
 #: Trusted ids up to this number are broadcast (16 MB); more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 SPACE, CAPITAL, DIGIT, HIGH, STOP, MARK = 0, 27, 28, 29, 30, 31
 
+#: Grams whose values are broadcast (16 bytes each), those counted most often.
+HEAD = 1 << 20
+
 
 def _fold() -> np.ndarray:
     out = np.full(256, MARK, np.uint8)
@@ -40,6 +55,13 @@ def _fold() -> np.ndarray:
 
 
 FOLD = _fold()
+#: Bits that name a byte among those of its symbol.
+WITHIN = np.log2(np.bincount(FOLD, minlength=SYMBOLS))[FOLD].astype(np.float32)
+LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
+#: 0: parts words, 1: of a word, 2: the first byte of a word by itself, 3: a further byte of a code point.
+KIND = np.array([(0 if b <= 32 or b == 127 else 1 if chr(b).isalnum() else 2) if b < 128 else 3 if b < 0xC0 else 1 if 0xC3 <= b <= 0xE1 else 2 for b in range(256)], np.uint8)
+_SALT = np.array([0x5851F42D4C957F2D, 0x14057B7EF767814F], np.uint64)
+_BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def keys(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -130,6 +152,172 @@ def bits(docs: DataFrame, table: np.ndarray) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
+def words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of each word. The last byte has to be a line break."""
+    kind = KIND[data]
+    further = kind == 3
+    kind = kind[np.maximum.accumulate(np.where(further, 0, np.arange(len(data))))]
+    start = ~further & ((kind == 2) | ((kind == 1) & (np.concatenate([[0], kind[:-1]]) != 1)))
+    bound = np.flatnonzero(start | (kind == 0))
+    own = start[bound]
+    return bound[own], bound[np.flatnonzero(own) + 1]
+
+
+def sequence(data: np.ndarray, offsets: np.ndarray, other: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(words' hashes, text of each, whether it is to be predicted, start and end of each predicted one in data).
+
+    Two openings precede each text's words and an end follows, whose place is
+    empty. The last bit of a hash names the half whose model it belongs to: the
+    text's own, or the other one.
+    """
+    n = len(offsets) - 1
+    start, end = words(data)
+    to = np.searchsorted(start, offsets)
+    size = np.diff(to)
+    half = (hashed(data, offsets[:-1], offsets[1:] - 1) >> np.uint64(7) & np.uint64(1)).astype(np.int64) ^ int(other)
+    doc = np.repeat(np.arange(n), size + 3)
+    first = to[:-1] + 3 * np.arange(n)
+    last = first + size + 2
+    place = np.arange(len(start)) + np.repeat(3 * np.arange(n) + 2, size)
+    s = np.zeros(len(doc), np.uint64)
+    s[place], s[last] = hashed(LOWER[data], start, end), 1
+    s = mix(s ^ _SALT[half[doc]]) & ~np.uint64(1) | half[doc].astype(np.uint64)
+    told = np.ones(len(s), bool)
+    told[first] = told[first + 1] = False
+    a = np.zeros(len(s), np.int64)
+    b = a.copy()
+    a[place], b[place] = start, end
+    return s, doc, told, a[told], b[told]
+
+
+def two(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return mix(x * _BASE + y + np.uint64(2))
+
+
+def three(x: np.ndarray, y: np.ndarray, z: np.ndarray) -> np.ndarray:
+    return mix((x * _BASE + y) * _BASE + z + np.uint64(3))
+
+
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(key, context, lower, b, c, n): each three words of docs (text) with the hashes of their first two, last two and last ones."""
+    prepare(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for *_, data, offsets in _texts(batch, 0):
+                s, _, told, *_ = sequence(data, offsets, False)
+                at = np.flatnonzero(told)
+                key, one, n = np.unique(three(s[at - 2], s[at - 1], s[at]), return_index=True, return_counts=True)
+                at = at[one]
+                found = (key, two(s[at - 2], s[at - 1]), two(s[at - 1], s[at]), s[at - 1], s[at])
+                yield pa.RecordBatch.from_arrays([*(pa.array(x.view(np.int64)) for x in found), pa.array(n)], ["key", "context", "lower", "b", "c", "n"])
+
+    some = docs.filter("text IS NOT NULL AND text <> ''").select("text").mapInArrow(run, "key long, context long, lower long, b long, c long, n long")
+    return some.groupBy("key").agg(*(F.first(c).alias(c) for c in ("context", "lower", "b", "c")), F.sum("n").alias("n"))
+
+
+def discounted(grams: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """grams (key, context, n, ...) with share and rest, as in seen(), and (context, rest, total) of each context."""
+    few = {r["n"]: r["m"] for r in grams.filter("n <= 4").groupBy("n").agg(F.count("*").alias("m")).collect()}
+    n1, n2, n3, n4 = (float(few.get(k, 0)) for k in range(1, 5))
+    y = n1 / (n1 + 2 * n2) if n1 + n2 else 0.5
+    d = [min(max(k - (k + 1) * y * b / a if a else k * 0.5, 0.05), k - 0.05) for k, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
+    off = grams.withColumn("d", F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2]))
+    context = off.groupBy("context").agg(F.sum("n").alias("total"), (F.sum("d") / F.sum("n")).alias("rest"))
+    return off.join(context, "context").withColumn("share", (F.col("n") - F.col("d")) / F.col("total")).drop("d", "total"), context
+
+
+def word_model(trusted: DataFrame) -> tuple[DataFrame, np.ndarray]:
+    """(hash, bits, n) of every gram of trusted (text), n: how often it is met, and the bits that a word outside each half's vocabulary costs besides its spelling."""
+    third = cut(word_counts(trusted))
+    second = cut(third.groupBy(F.col("lower").alias("key")).agg(F.first("b").alias("context"), F.first("c").alias("c"), F.count("*").alias("n")))
+    first = second.groupBy(F.col("c").alias("key")).agg(F.count("*").alias("n")).withColumn("context", F.col("key").bitwiseAND(1))
+    one, ends = discounted(first)
+    bi, after_one = discounted(second)
+    tri, after_two = discounted(third)
+    p1 = one.select(F.col("key").alias("c"), F.col("share").alias("p1"), "n")
+    p2 = cut(bi.join(p1.drop("n"), "c").select("key", "rest", "p1", (F.col("share") + F.col("rest") * F.col("p1")).alias("p2"), "n"))
+    p3 = tri.join(p2.select(F.col("key").alias("lower"), "p2"), "lower").withColumn("p3", F.col("share") + F.col("rest") * F.col("p2"))
+    log = lambda x: -F.log2(x)
+    parts = p3.select("key", log(F.col("p3") / F.col("rest") / F.col("p2")).alias("bits"), "n")
+    parts = parts.union(p2.select("key", log(F.col("p2") / F.col("rest") / F.col("p1")), "n")).union(p1.select("c", log(F.col("p1")), "n"))
+    for left in (after_two, after_one):
+        parts = parts.union(left.select("context", log(F.col("rest")), "total"))
+    out = np.zeros(2)
+    for r in ends.collect():  # two rows
+        out[r["context"]] = -np.log2(r["rest"])
+    return cut(parts.groupBy(F.col("key").alias("hash")).agg(F.sum("bits").alias("bits"), F.max("n").alias("n"))), out
+
+
+def frequent(values: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, in order, and bits of the grams met most often, at most HEAD of them."""
+    steps = values.groupBy(F.floor(F.log2("n") * 8).alias("step")).agg(F.count("*").alias("m")).orderBy(F.desc("step")).collect()
+    upto = np.cumsum([r["m"] for r in steps])
+    some = [r["step"] for r, m in zip(steps, upto) if m <= HEAD]
+    if not some:
+        return np.zeros(0, np.uint64), np.zeros(0)
+    top = values.filter(F.floor(F.log2("n") * 8) >= min(some)).select("hash", "bits").toPandas()
+    key, bits = top["hash"].to_numpy(np.int64).view(np.uint64), top["bits"].to_numpy(float)
+    order = np.argsort(key)
+    return key[order], bits[order]
+
+
+def word_bits(docs: DataFrame, spelling: np.ndarray, values: DataFrame, unknown: np.ndarray, carry: list[str]) -> DataFrame:
+    """carry of docs with __n (bytes of the text), __bits and __spelled (the means per byte, of the words and as in bits(); null without any)."""
+    spark = prepare(docs.sparkSession)
+    sent = spark.sparkContext.broadcast((spelling, bitmap(values.select("hash")), *frequent(values)))
+    place = docs.columns.index("text")
+    gram = pa.struct([("hash", pa.int64()), ("n", pa.int32()), ("alt", pa.float64())])
+    inner = T.StructType([T.StructField("hash", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("alt", T.DoubleType())])
+    schema = T.StructType([*docs.select(*carry).schema.fields, T.StructField("__n", T.LongType()), T.StructField("__sum", T.DoubleType()), T.StructField("__spelled", T.DoubleType()), T.StructField("__row", T.LongType()), T.StructField("__open", T.ArrayType(inner))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, known, head, cost = sent.value
+        row = TaskContext.get().partitionId() << 36
+        for batch in batches:
+            total, spelled, size = np.zeros(batch.num_rows), np.zeros(batch.num_rows), np.zeros(batch.num_rows, np.int64)
+            left: list[tuple] = []
+            for a, b, data, offsets in _texts(batch, place):
+                key, size[a:b] = keys(data, offsets)
+                spelled[a:b] = np.bincount(np.repeat(np.arange(b - a), size[a:b]), table[key], b - a) / np.maximum(size[a:b], 1)
+                inside = np.ones(len(data), bool)
+                inside[offsets[1:] - 1] = False
+                spell = np.zeros(len(data) + 1)
+                spell[1:][inside] = table[key] + WITHIN[data[inside]]
+                np.cumsum(spell, out=spell)
+                s, doc, told, start, end = sequence(data, offsets, True)
+                at, first = np.flatnonzero(told), np.flatnonzero(np.diff(doc, prepend=-1))
+                alt = spell[end] - spell[start] + unknown[(s[at] & np.uint64(1)).astype(np.int64)]
+                h = np.concatenate([s[at], two(s[at - 1], s[at]), three(s[at - 2], s[at - 1], s[at]), two(s[first], s[first]), s[first]])
+                d = np.concatenate([doc[at]] * 3 + [doc[first]] * 2)
+                alt = np.concatenate([alt, np.zeros(len(h) - len(at))])
+                maybe = np.flatnonzero(_in(known, h & np.uint64(SLOTS - 1)))
+                maybe = maybe[_in(known, h[maybe] >> np.uint64(32) & np.uint64(SLOTS - 1))]
+                if len(head):
+                    to = np.minimum(np.searchsorted(head, h[maybe]), len(head) - 1)
+                    hit = head[to] == h[maybe]
+                    alt[maybe[hit]] = cost[to[hit]]
+                    maybe = maybe[~hit]
+                total[a:b] += np.bincount(d, alt, b - a)
+                order = maybe[np.lexsort((h[maybe], d[maybe]))]
+                if len(order):
+                    new = np.flatnonzero(np.concatenate([[True], (np.diff(d[order]) != 0) | (h[order][1:] != h[order][:-1])]))
+                    left.append((d[order[new]] + a, h[order[new]], np.diff([*new, len(order)]), np.add.reduceat(alt[order], new)))
+            d, h, n, alt = (np.concatenate(x) for x in zip(*left)) if left else (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0))
+            open_ = pa.StructArray.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int32)), pa.array(alt)], fields=list(gram))
+            lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(d, np.arange(batch.num_rows + 1)).astype(np.int32)), open_)
+            ids = row + np.arange(batch.num_rows)
+            row += batch.num_rows
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.names.index(c)) for c in carry), pa.array(size), pa.array(total), pa.array(spelled, mask=size == 0), pa.array(ids), lists], [*carry, "__n", "__sum", "__spelled", "__row", "__open"])
+
+    read = cut(docs.mapInArrow(run, schema))  # so that a row keeps its number
+    grams = read.select("__row", F.explode("__open").alias("g")).select("__row", "g.hash", F.col("g.n").alias("m"), "g.alt")
+    more = grams.join(values.select("hash", "bits"), "hash").groupBy(F.col("__row").alias("__of")).agg(F.sum(F.col("m") * F.col("bits") - F.col("alt")).alias("__more"))
+    out = read.drop("__open").join(more, F.col("__row") == F.col("__of"), "left")
+    mean = F.when(F.col("__n") > 0, (F.col("__sum") + F.coalesce("__more", F.lit(0.0))) / F.col("__n"))
+    return out.select(*carry, "__n", mean.alias("__bits"), "__spelled")
+
+
 def quantiles(scored: DataFrame, low: float, high: float, least: int) -> DataFrame:
     """(lang, lo, hi, n) of scored (lang, bits): the values, to a thousandth, at these quantiles, from a histogram.
 
@@ -147,11 +335,11 @@ def quantiles(scored: DataFrame, low: float, high: float, least: int) -> DataFra
     return ends.filter((F.col("n") >= least) | F.col("lang").isNull()).select("lang", (F.col("lo") / 1000).alias("lo"), (F.col("hi") / 1000).alias("hi"), "n")
 
 
-def trusted_of(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows of docs that labels (doc_id, quality) call good."""
+def trusted_of(docs: DataFrame, labels: DataFrame, how: str = "left_semi") -> DataFrame:
+    """Rows of docs that labels (doc_id, quality) call good; with how="left" all rows, and the good ones' _id."""
     good = labels.filter("quality = 1").select(F.col("doc_id").alias("_id")).distinct()
     small = good.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(good) if small else good, F.col("doc_id") == F.col("_id"), "left_semi")
+    return docs.join(F.broadcast(good) if small else good, F.col("doc_id") == F.col("_id"), how)
 
 
 def classify(docs: DataFrame, labels: DataFrame, low: float = 0.001, high: float = 0.995, slack: float = 0.02, least: int = 200, carry: list[str] | None = None) -> DataFrame:
@@ -159,8 +347,8 @@ def classify(docs: DataFrame, labels: DataFrame, low: float = 0.001, high: float
 
     carry: columns of docs to return in place of the first two. Other columns
     don't matter. Trusted text is that of all documents with quality 1 in labels.
-    keep: the mean bits per symbol lie between the quantiles `low` and `high` of
-    trusted documents of the language, give or take `slack` bits; a language with
+    keep: the mean bits per symbol, of the words (perplexity, lo, hi) and as spelled, lie between the quantiles `low` and `high` of
+    trusted documents of the language, give or take `slack` bits; a symbol is a byte, and perplexity is two to the mean's power; a language with
     fewer than `least` of them, and a null one, has the bounds of all languages. A
     text that is null or empty has no perplexity and isn't kept. If there is no
     trusted text at all, everything with text is kept. Equal rows are returned as
@@ -168,15 +356,18 @@ def classify(docs: DataFrame, labels: DataFrame, low: float = 0.001, high: float
     """
     carry = carry or ["doc_id", "lang"]
     docs = docs.select(*dict.fromkeys([*carry, "doc_id", "lang", "text"])).withColumns({"lang": F.col("lang").cast("string"), "text": F.col("text").cast("string")})
-    good = trusted_of(docs, labels)
-    table = model(good.select("text"))
-    ends = cut(quantiles(bits(good.select("lang", "text"), table).select("lang", F.col("__bits").alias("bits")), low, high, least))
-    every = ends.filter("lang IS NULL").select(F.col("lo").alias("__all_lo"), F.col("hi").alias("__all_hi"))
-    bounds = ends.filter("lang IS NOT NULL").select(F.col("lang").alias("__lang"), F.col("lo").alias("__lo"), F.col("hi").alias("__hi"))
-    out = bits(docs, table)
-    out = out.join(F.broadcast(bounds), out["lang"] == bounds["__lang"], "left")  # a row for each language of at least `least` documents
-    out = out.join(F.broadcast(every), F.lit(True), "left")  # one row
-    lo, hi = F.coalesce("__lo", "__all_lo", F.lit(float("-inf"))) - slack, F.coalesce("__hi", "__all_hi", F.lit(float("inf"))) + slack
-    two = F.lit(2.0)
-    keep = F.coalesce(F.col("__bits").between(lo, hi), F.lit(False))
-    return out.select(*(out[c] for c in carry), F.col("__n").alias("n_symbols"), F.pow(two, "__bits").alias("perplexity"), F.pow(two, lo).alias("lo"), F.pow(two, hi).alias("hi"), keep.alias("keep"))
+    good = trusted_of(docs, labels).select("text")
+    values, unknown = word_model(good)
+    marked = trusted_of(docs, labels, "left").withColumn("__good", F.col("_id").isNotNull()).drop("_id")
+    out = cut(word_bits(marked, model(good), values, unknown, [*dict.fromkeys([*carry, "lang"]), "__good"]))
+    bounds = {}
+    for of in ("__bits", "__spelled"):
+        ends = cut(quantiles(out.filter("__good").select("lang", F.col(of).alias("bits")), low, high, least))
+        every = ends.filter("lang IS NULL").select(F.col("lo").alias(f"{of}_all_lo"), F.col("hi").alias(f"{of}_all_hi"))
+        own = ends.filter("lang IS NOT NULL").select(F.col("lang").alias(f"{of}_lang"), F.col("lo").alias(f"{of}_lo"), F.col("hi").alias(f"{of}_hi"))
+        out = out.join(F.broadcast(own), F.col("lang") == F.col(f"{of}_lang"), "left")  # a row for each language of at least `least` documents
+        out = out.join(F.broadcast(every), F.lit(True), "left")  # one row
+        bounds[of] = F.coalesce(f"{of}_lo", f"{of}_all_lo", F.lit(float("-inf"))) - slack, F.coalesce(f"{of}_hi", f"{of}_all_hi", F.lit(float("inf"))) + slack
+    base, (lo, hi) = F.lit(2.0), bounds["__bits"]
+    keep = F.coalesce(F.col("__bits").between(lo, hi) & F.col("__spelled").between(*bounds["__spelled"]), F.lit(False))
+    return out.select(*(out[c] for c in carry), F.col("__n").alias("n_symbols"), F.pow(base, "__bits").alias("perplexity"), F.pow(base, lo).alias("lo"), F.pow(base, hi).alias("hi"), keep.alias("keep"))

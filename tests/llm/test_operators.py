@@ -364,3 +364,75 @@ def test_empty_tables(spark, odd, labels, benchmark, data):
     none = odd.limit(0)
     for df in (simhash.near_duplicates(none), simhash.keep_first(none), substring.removed(none), tokens.round_trip(none), media.images(none), language.identify(none), quality.classify(none, labels), toxicity.classify(none, labels), decontaminate.clean(none, benchmark), mixing.mix(none), warc.derivatives(warc.responses(spark.read.parquet(f"{data}/pages.parquet").limit(0)))):
         assert df.count() == 0
+
+
+def test_quality_knows_words_of_every_script(spark):
+    """Prose of Cyrillic and Chinese stays; the same letters as noise, which folded bytes can't tell apart, go. The vocabulary grows with trusted text."""
+    rng = np.random.default_rng(12)
+    for letters in ("абвгдежзийклмнопрст", "的一是在不了有和人这中大为上个国我以要他"):
+        vocabulary = ["".join(rng.choice(list(letters), 6)) for _ in range(60)]
+        after = {w: rng.choice(vocabulary, 3).tolist() for w in vocabulary}
+
+        def prose():
+            out = [vocabulary[rng.integers(60)]]
+            while len(out) < 60:
+                out.append(after[out[-1]][rng.integers(3)])
+            return " ".join(out)
+
+        noise = [" ".join("".join(rng.choice(list(letters), 6)) for _ in range(60)) for _ in range(10)]
+        salad = [" ".join(rng.choice(vocabulary, 60)) for _ in range(10)]
+        texts = [prose() for _ in range(260)]
+        df = spark.createDataFrame([(k, t, "xx") for k, t in enumerate(texts + noise + salad)], "doc_id long, text string, lang string")
+        labels = spark.createDataFrame([(k, 1) for k in range(240)], "doc_id long, quality int")
+        got = {r.doc_id: r.keep for r in quality.classify(df, labels).collect()}
+        assert np.mean([got[k] for k in range(260)]) > 0.95 and not any(got[k] for k in range(260, 280))
+    few, more = (quality.word_model(df.limit(k).select("text"))[0].count() for k in (5, 200))
+    assert 0 < few < more
+
+
+def test_quality_joins_give_the_models_bits(spark, monkeypatch):
+    """Sums of joined values are those of the interpolated formula, word by word, with and without a head."""
+    rng = np.random.default_rng(13)
+    texts = [" ".join(rng.choice(list("abcdefgh"), 30)) for _ in range(40)] + ["a b zzz, c"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    values, unknown = quality.word_model(df.select("text"))
+    count, spelling = {}, np.full(quality.SYMBOLS**quality.ORDER, 5, np.float32)
+    for t in texts:
+        data = np.frombuffer(t.encode() + b"\n", np.uint8)
+        s = quality.sequence(data, np.array([0, len(data)]), False)[0].tolist()
+        for k in range(2, len(s)):
+            count[tuple(s[k - 2 : k + 1])] = count.get(tuple(s[k - 2 : k + 1]), 0) + 1
+    tables = [count]
+    for _ in range(2):
+        lower = {}
+        for g in tables[0]:
+            lower[g[1:]] = lower.get(g[1:], 0) + 1
+        tables.insert(0, lower)
+    after = []
+    for t in tables:
+        m = [sum(n == k for n in t.values()) for k in range(1, 5)]
+        y = m[0] / (m[0] + 2 * m[1]) if m[0] + m[1] else 0.5
+        d = [min(max(k - (k + 1) * y * m[k] / m[k - 1] if m[k - 1] else k * 0.5, 0.05), k - 0.05) for k in (1, 2, 3)]
+        found = {}
+        for g, n in t.items():
+            total, left = found.get(g[:-1] or g[-1] & 1, (0, 0))
+            found[g[:-1] or g[-1] & 1] = total + n, left + d[min(n, 3) - 1]
+        after.append((t, d, found))
+
+    def p(g, spelled):
+        t, d, found = after[len(g) - 1]
+        if len(g) == 1:
+            total, left = found[g[0] & 1]
+            return (t[g] - d[min(t[g], 3) - 1]) / total if g in t else left / total * spelled
+        if g[:-1] not in found:
+            return p(g[1:], spelled)
+        total, left = found[g[:-1]]
+        return (t[g] - d[min(t[g], 3) - 1] if g in t else 0) / total + left / total * p(g[1:], spelled)
+
+    for head in (0, 20, quality.HEAD):
+        monkeypatch.setattr(quality, "HEAD", head)
+        for r in quality.word_bits(df, spelling, values, unknown, ["doc_id"]).collect():
+            data = np.frombuffer(texts[r.doc_id].encode() + b"\n", np.uint8)
+            s, _, told, start, end = quality.sequence(data, np.array([0, len(data)]), True)
+            want = -sum(np.log2(p(tuple(s[k - 2 : k + 1].tolist()), 2.0 ** -float((5 + quality.WITHIN[data[a:b]]).sum()))) for k, a, b in zip(np.flatnonzero(told), start, end))
+            assert abs(r["__bits"] * (len(data) - 1) - want) < 1e-6
