@@ -14,6 +14,7 @@ lets more through, and the join decides. Only the tokens near hits are shuffled.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -26,9 +27,10 @@ from pyspark.sql import functions as F
 from .common import cut, prepare
 from .text import hashed, joined, mix, slices, spans
 
-#: Places that count in a run of tokens. Items of fewer tokens than the first four span use the last one alone.
+#: Places that count in a run of tokens. Items of fewer tokens than the first four span use the last three, which
+#: leave out each place once, so that some run meets whichever fifth of a shorter item is substituted.
 MASKS = ("111011001011", "110110110011", "101111010101", "111100101101")
-SHORT = "110111"
+SHORT = ("001111", "110011", "111100")
 #: Bits of the bitmap, and tokens kept on either side of a hit.
 SLOTS, REACH = 1 << 26, 32
 
@@ -44,12 +46,17 @@ def tokens(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]
         yield a, b, hashed(part, start, end), np.searchsorted(start, offsets[a : b + 1] - offsets[a])
 
 
+def masks_of(n: int) -> tuple[str, ...]:
+    """Masks of an item of n tokens; below those of SHORT, all its places."""
+    return MASKS if n >= len(MASKS[0]) else SHORT if n >= len(SHORT[0]) else ("1" * n,) if n else ()
+
+
 def seeds(token: np.ndarray, mask: str) -> np.ndarray:
     """Hash of the places of the mask from each token on, as far as there are enough."""
     m = len(token) - len(mask) + 1
     if m <= 0:
         return np.zeros(0, np.uint64)
-    out = np.full(m, int(mask, 2), np.uint64)
+    out = np.full(m, int("1" + mask, 2), np.uint64)
     for k, c in enumerate(mask):
         if c == "1":
             out *= np.uint64(0x9E3779B97F4A7C15)
@@ -67,10 +74,9 @@ def items(benchmark: DataFrame) -> DataFrame:
             for a, b, token, to in tokens(batch.column(1)):
                 for i, j in zip(to[:-1], to[1:]):
                     own = token[i:j]
-                    masks = MASKS if len(own) >= len(MASKS[0]) else (SHORT,)
                     n.append(len(own))
                     toks.append(own.astype("<u4").tobytes())
-                    found.append([{"hash": int(h), "pos": k} for mask in masks for k, h in enumerate(seeds(own, mask).view(np.int64).tolist())])
+                    found.append([{"hash": int(h), "pos": k} for mask in masks_of(len(own)) for k, h in enumerate(seeds(own, mask).view(np.int64).tolist())])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), pa.array(toks, pa.binary()), pa.array(found, pa.list_(pa.struct([("hash", pa.int64()), ("pos", pa.int32())])))], ["item_id", "n", "toks", "seeds"])
 
     return benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "item_id long, n int, toks binary, seeds array<struct<hash:long,pos:int>>")
@@ -128,17 +134,21 @@ def hit_segments(docs: DataFrame, bits: np.ndarray, masks: tuple[str, ...]) -> D
 SEGMENT = pa.schema([("seg", pa.int64()), ("doc_id", pa.int64()), ("first", pa.int64()), ("toks", pa.binary()), ("hits", pa.list_(pa.struct([("hash", pa.int64()), ("pos", pa.int32())])))])
 
 
-def overlap(a: np.ndarray, b: np.ndarray, shift: int) -> tuple[int, int, int]:
-    """(first place in b, places, equal places) of the best stretch with a[k + shift] against b[k]: equal places count 1, others -3."""
+def overlap(a: np.ndarray, b: np.ndarray, shift: int, least: int, same: float) -> tuple[int, int, int]:
+    """(first place in b, places, equal places) of the longest stretch with a[k + shift] against b[k] whose equal share is `same` or more, of those that with most equal places; zeros if it has under `least` places."""
     lo, hi = max(0, -shift), min(len(b), len(a) - shift)
-    if hi <= lo:
+    if hi - lo < max(least, 1):
         return 0, 0, 0
-    same = a[lo + shift : hi + shift] == b[lo:hi]
-    total = np.concatenate([[0], np.cumsum(np.where(same, 1, -3))])
-    least = np.minimum.accumulate(total)
-    end = int(np.argmax(total - least))
-    start = int(np.flatnonzero(total[: end + 1] == least[end])[-1])
-    return lo + start, end - start, int(same[start:end].sum())
+    equal = np.concatenate([[0], np.cumsum(a[lo + shift : hi + shift] == b[lo:hi])])
+    share = Fraction(same).limit_denominator(10**6)
+    total = share.denominator * equal - share.numerator * np.arange(len(equal))  # a stretch meets the share if it doesn't fall
+    most = np.maximum.accumulate(total[::-1])[::-1]
+    end = np.searchsorted(-most, -total, "right") - 1  # the last place that isn't lower
+    size = end - np.arange(len(end))
+    found = np.flatnonzero(size == size.max())
+    start = int(found[np.argmax(equal[end[found]] - equal[found])])
+    n = int(size[start])
+    return (lo + start, n, int(equal[start + n] - equal[start])) if n >= max(least, 1) else (0, 0, 0)
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = 12, same: float = 0.8) -> DataFrame:
@@ -148,13 +158,14 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = 12, same: float
     matter. An overlap has at least `least` tokens in a row of either (or all
     tokens of a shorter item), of which a share `same` or more are equal in
     place. Tokens are lower-cased runs of letters and digits. Items of fewer than
-    six tokens, null and empty texts have no overlaps. Null ids are ids like
+    six tokens have to be there unchanged. Null and empty texts have no overlaps. Null ids are ids like
     others. Rows that share a doc_id (or item_id) are reported once, by their
     longest overlap. Empty tables give an empty result.
     """
     held = cut(items(benchmark))
     known = held.select("item_id", F.explode("seeds").alias("s")).select("item_id", "s.hash", F.col("s.pos").alias("item_pos"))
-    masks = MASKS + ((SHORT,) if held.filter(f"n < {len(MASKS[0])}").limit(1).count() else ())
+    short = [r["n"] for r in held.filter(f"n < {len(MASKS[0])}").select("n").distinct().collect()]
+    masks = MASKS + tuple(sorted({mask for n in short for mask in masks_of(n)}))
     segs = cut(hit_segments(docs, bitmap(known), masks))
     hits = segs.select("seg", F.explode("hits").alias("h")).select("seg", "h.hash", "h.pos")
     pairs = hits.join(known, "hash").select("seg", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift")).distinct()
@@ -165,8 +176,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = 12, same: float
             out = []
             for doc, item, shift, first, a, b in zip(batch.doc_id, batch.item_id, batch["shift"], batch["first"], batch.toks, batch.item_toks):
                 b = np.frombuffer(b, "<u4")
-                start, n, equal = overlap(np.frombuffer(a, "<u4"), b, shift)
-                if n >= min(least, len(b)) and n and equal >= same * n:
+                start, n, equal = overlap(np.frombuffer(a, "<u4"), b, shift, min(least, len(b)), same if len(b) >= len(SHORT[0]) else 1)
+                if n:
                     out.append((doc, item, first + start + shift, start, n, equal))
             yield pd.DataFrame(out, columns=["doc_id", "item_id", "doc_first", "item_first", "n_tokens", "n_same"]).astype({"doc_id": "Int64", "item_id": "Int64"})
 

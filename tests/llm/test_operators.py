@@ -436,3 +436,22 @@ def test_quality_joins_give_the_models_bits(spark, monkeypatch):
             s, _, told, start, end = quality.sequence(data, np.array([0, len(data)]), True)
             want = -sum(np.log2(p(tuple(s[k - 2 : k + 1].tolist()), 2.0 ** -float((5 + quality.WITHIN[data[a:b]]).sum()))) for k, a, b in zip(np.flatnonzero(told), start, end))
             assert abs(r["__bits"] * (len(data) - 1) - want) < 1e-6
+
+
+def test_decontamination_verifies_the_longest_stretch(spark):
+    """Whole items with scattered substitutions, an exact run before a worse one, and items too short for the long masks."""
+    item = {k: [f"i{k}w{j}" for j in range(n)] for k, n in enumerate((15, 12, 112, *range(1, 12)))}
+    benchmark = spark.createDataFrame([(k, " ".join(w)) for k, w in item.items()], "item_id long, text string")
+
+    def copy(k, places):
+        return (len(cases), k, " ".join(["x"] * 40 + [f"s{j}" if j in places else w for j, w in enumerate(item[k])] + ["y"] * 40))
+
+    cases = []
+    for k, places in [(0, (4, 5, 7)), (1, (5, 10)), (2, tuple(range(15, 112, 4)))] + [(k, ()) for k in item] + [(k, (p,)) for k in item if 6 <= len(item[k]) < 12 for p in range(len(item[k]))]:
+        cases.append(copy(k, places))
+    wrong = [copy(k, (0,)) for k in item if len(item[k]) < 6]
+    df = spark.createDataFrame([(i, t) for i, _, t in cases] + [(1000 + k, t) for _, k, t in wrong], "doc_id long, text string")
+    found = {(r.doc_id, r.item_id): r for r in decontaminate.overlaps(df, benchmark).collect()}
+    assert set(found) == {(i, k) for i, k, _ in cases}
+    assert all(r.n_same >= 0.8 * r.n_tokens and r.n_tokens >= min(12, len(item[k])) for (_, k), r in found.items())
+    assert (found[0, 0].n_tokens, found[0, 0].n_same) == (15, 12) and (found[1, 1].n_tokens, found[1, 1].n_same) == (12, 10)
