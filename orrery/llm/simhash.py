@@ -7,12 +7,14 @@ verified. A variant's first bits name the task it is shuffled to; a row of the
 shuffle is a fingerprint and such a prefix, and stands for all its variants that
 begin with the prefix, which the task expands. That moves a few dozen rows for
 each fingerprint in place of 2,081. Prefixes grow with the number of
-fingerprints, and once more where one is crowded, so a task's work is bounded.
+fingerprints. Where one is crowded they are lengthened and counted again, up to
+the whole variant if need be, so a group's work is bounded.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import cut, prepare
 from .components import components
 
-#: Fingerprints that share a prefix, above which it is lengthened.
+#: A prefix is lengthened while more variants begin with it than so many fingerprints have.
 CROWD = 1500
 
 
@@ -108,33 +110,64 @@ def links(fps: np.ndarray, cell: int, bits: int, radius: int) -> tuple[np.ndarra
     return fps[tied], fps[root[tied]]
 
 
-def linked(fps: DataFrame, radius: int = 2) -> DataFrame:
-    """(a, b) of fingerprints; its connected components are those of all pairs within 2 * radius bits. fps: distinct (fp)."""
+def cells(fps: DataFrame, radius: int = 2) -> DataFrame:
+    """(bits, cell, fp) of fps: distinct (fp). Each variant of a fingerprint begins with just one of its cells, and those of one cell are CROWD balls of variants at most, or, where all 64 bits are the cell, the fingerprints around one value."""
     n = fps.count()
     bits = max(6, int(np.ceil(np.log2(max(n, 1) / 600))))
-    own = F.shiftrightunsigned("fp", 64 - bits).alias("cell")
-    # under a thousandth as many rows as there are fingerprints
-    crowded = np.array([r[0] for r in fps.groupBy(own).count().filter(F.col("count") > CROWD).select("cell").collect()], np.uint64)
-    more = min(64 - bits, 12)
-
-    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            fps = batch.fp.to_numpy(np.int64).view(np.uint64)
-            row, cell = reached(fps, 0, bits, radius)
-            full = np.isin(cell, crowded)
-            yield pd.DataFrame({"bits": bits, "cell": cell[~full].view(np.int64), "fp": fps[row[~full]].view(np.int64)})
-            if full.any():
-                row, cell = row[full], cell[full]
-                left = radius - np.bitwise_count((fps[row] >> np.uint64(64 - bits)) ^ cell).astype(np.int64)
+    most = CROWD * len(masks(64, radius))
+
+    def first(bits: int):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                fps = batch.fp.to_numpy(np.int64).view(np.uint64)
+                row, cell = reached(fps, 0, bits, radius)
+                yield pd.DataFrame({"cell": cell.view(np.int64), "fp": fps[row].view(np.int64)})
+
+        return run
+
+    def light(crowded: np.ndarray):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                yield batch[~np.isin(batch.cell.to_numpy(np.int64), crowded)]
+
+        return run
+
+    def longer(crowded: np.ndarray, bits: int, more: int):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                batch = batch[np.isin(batch.cell.to_numpy(np.int64), crowded)]
+                fps, cell = (batch[c].to_numpy(np.int64).view(np.uint64) for c in ("fp", "cell"))
+                left = radius - np.bitwise_count((fps >> np.uint64(64 - bits)) ^ cell).astype(np.int64)
                 for k in np.unique(left):
-                    at, second = reached(fps[row[left == k]], bits, more, int(k))
-                    yield pd.DataFrame({"bits": bits + more, "cell": ((cell[left == k][at] << np.uint64(more)) | second).view(np.int64), "fp": fps[row[left == k]][at].view(np.int64)})
+                    at, second = reached(fps[left == k], bits, more, int(k))
+                    yield pd.DataFrame({"cell": ((cell[left == k][at] << np.uint64(more)) | second).view(np.int64), "fp": fps[left == k][at].view(np.int64)})
+
+        return run
+
+    rows, out = fps.mapInPandas(first(bits), "cell long, fp long"), []
+    while True:
+        variants = F.array(*(F.lit(len(masks(64 - bits, k))) for k in range(radius, -1, -1)))  # by the bits that the cell has spent
+        spent = F.bit_count(F.shiftrightunsigned("fp", 64 - bits).bitwiseXOR(F.col("cell")))
+        # at most one cell for each CROWD fingerprints
+        crowded = [] if bits == 64 else [r[0] for r in rows.groupBy("cell").agg(F.sum(F.element_at(variants, spent + 1)).alias("n")).filter(F.col("n") > most).select("cell").collect()]
+        some = np.array(sorted(crowded), np.int64)
+        out.append((rows.mapInPandas(light(some), "cell long, fp long") if crowded else rows).select(F.lit(bits).alias("bits"), "cell", "fp"))
+        if not crowded:
+            break
+        more = min(64 - bits, 12)
+        rows = cut(rows.mapInPandas(longer(some, bits, more), "cell long, fp long"))
+        bits += more
+    return reduce(DataFrame.union, out)
+
+
+def linked(fps: DataFrame, radius: int = 2) -> DataFrame:
+    """(a, b) of fingerprints; its connected components are those of all pairs within 2 * radius bits. fps: distinct (fp)."""
 
     def meet(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        a, b = links(group.fp.to_numpy(np.int64).view(np.uint64), int(key[1]), int(key[0]), radius)
+        a, b = links(group.fp.to_numpy(np.int64).view(np.uint64), int(key[1]) & (1 << 64) - 1, int(key[0]), radius)
         return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    return fps.mapInPandas(spread, "bits int, cell long, fp long").groupBy("bits", "cell").applyInPandas(meet, "a long, b long")
+    return cells(fps, radius).groupBy("bits", "cell").applyInPandas(meet, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 2) -> DataFrame:

@@ -455,3 +455,17 @@ def test_decontamination_verifies_the_longest_stretch(spark):
     assert set(found) == {(i, k) for i, k, _ in cases}
     assert all(r.n_same >= 0.8 * r.n_tokens and r.n_tokens >= min(12, len(item[k])) for (_, k), r in found.items())
     assert (found[0, 0].n_tokens, found[0, 0].n_same) == (15, 12) and (found[1, 1].n_tokens, found[1, 1].n_same) == (12, 10)
+
+
+def test_no_group_of_variants_outgrows_the_crowd(spark, monkeypatch):
+    """A family under one long prefix is dealt out until each group is bounded, and no variant gets lost."""
+    monkeypatch.setattr(simhash, "CROWD", 20)
+    base, rng = 0xF123456789ABCDEF, np.random.default_rng(14)
+    fps = sorted({base ^ sum(1 << int(b) for b in rng.choice(24, 2, False)) for _ in range(250)})
+    got = simhash.cells(spark.createDataFrame([(f - (1 << 64),) for f in fps], "fp long"), 2).toPandas()
+    size = {}
+    for bits, cell, fp in zip(got.bits.tolist(), got.cell.tolist(), got.fp.tolist()):
+        spent = ((fp % (1 << 64)) >> 64 - bits ^ cell % (1 << 64)).bit_count()
+        size[bits, cell] = size.get((bits, cell), 0) + len(simhash.masks(64 - bits, 2 - spent))
+    assert sum(size.values()) == len(fps) * 2081
+    assert max(size.values()) <= 20 * 2081 and max(bits for bits, _ in size) > 18
