@@ -15,8 +15,7 @@ from orrery.llm.common import shared_path, table
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose perplexity lies within their language's bounds; rows of a doc_id stay or go together by each row's own text."""
-    judged = quality.classify(docs, table(spark, sf_dir, "labels"), carry=docs.columns)
-    return judged.filter("keep").select(*docs.columns)
+    return quality.kept(docs, table(spark, sf_dir, "labels"))
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

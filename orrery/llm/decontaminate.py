@@ -85,9 +85,9 @@ def items(benchmark: DataFrame) -> DataFrame:
 def bitmap(hashes: DataFrame) -> np.ndarray:
     """SLOTS bits, two set for each hash; gathered as at most SLOTS / 64 words."""
     slot = F.explode(F.array(F.col("hash").bitwiseAND(SLOTS - 1), F.shiftrightunsigned("hash", 32).bitwiseAND(SLOTS - 1))).alias("slot")
-    words = hashes.select(slot).groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(slot & 63 AS INT))")).alias("bits")).toPandas()
+    words = hashes.select(slot).groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(slot & 63 AS INT))")).alias("bits")).toArrow()
     out = np.zeros(SLOTS // 64, np.int64)
-    out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+    out[words["word"].to_numpy()] = words["bits"].to_numpy()
     return out.view(np.uint64)
 
 

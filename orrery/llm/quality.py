@@ -1,321 +1,280 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney model of trusted text.
 
-The model is of words, three in a row, over an open vocabulary: every word that
-trusted text holds is in it. A word is a run of letters and digits (A-Z as a-z);
-a mark, and a code point of a script that doesn't part words (from U+2000 on),
-is a word by itself. Counts are sharded Spark tables that grow with the trusted
-text. A word that they don't hold is spelled by a second, small model of bytes
-(folded to 32 symbols, four in a row) and the choice of each byte in its symbol.
+The model is of code points, ORDER in a row, over an open vocabulary: every code
+point can come, in any script. Counts are sharded Spark tables of grams (as
+strings, so that equal means equal) and grow with the trusted text.
 
 The logarithm of an interpolated model is a sum over grams: a gram adds what it
-gains over its shorter one, and as a context what it leaves to shorter ones. So
-each gram has one value, and a document's bits are the values of its grams.
-Grams that a bitmap of fixed size rules out and the most frequent ones (HEAD)
-are settled where the document is read; all others are summed for each document
+gains over its shorter one (`v`), and as a context what it leaves to shorter
+ones. So each gram has one value, and a text's bits are the values of its grams
+of all orders. All orders' values of one longest gram are a sum as well (`w`).
+Grams of all orders met most often (HEAD at most, whatever the model's size) are
+broadcast, and settle most places where the text is read; grams that a bitmap of
+fixed size rules out aren't in the model; all others are counted for each text
 and joined with the sharded values.
 
 A text is judged by the trusted texts of the other half (by a hash of the text),
 so trusted documents, which set the bounds, don't know themselves. A document
-goes if its bits per byte, by either model, lie outside its language's quantiles
-of trusted documents: above the upper one (noise) or below the lower one (endless
-repeats; the words' lower bound is weak where trusted text holds near copies).
+goes if its bits per code point lie outside its language's quantiles of trusted
+documents: above the upper one (noise) or below the lower one (endless repeats).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, prepare
+from .common import cut, prepare, stored
 from .decontaminate import SLOTS, _in, bitmap
 from .text import hashed, joined, mix, slices
 
-SYMBOLS, ORDER = 32, 4
+ORDER = 5
 #: Trusted ids up to this number are broadcast (16 MB); more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
-SPACE, CAPITAL, DIGIT, HIGH, STOP, MARK = 0, 27, 28, 29, 30, 31
+#: Grams whose values are broadcast, in a table of 12 bytes for each of 4 * HEAD places.
+HEAD = 1 << 19
+#: Code points there are, and those (no characters) that stand before a text and after it.
+POINTS, START, END = 0x110000, 0xFDD0, 0xFDD1
+_BASE = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k in range(ORDER)], np.uint64)
+_SALT = mix(np.arange(2 * (ORDER + 1), dtype=np.uint64).reshape(2, ORDER + 1) + np.uint64(77))  # by half and length
+KEY = ["half", "gram"]
 
-#: Grams whose values are broadcast (16 bytes each), those counted most often.
-HEAD = 1 << 20
 
+def _texts(batch: pa.RecordBatch, column: int, most: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    data, offsets = joined(batch.column(column))
+    for a, b in slices(offsets, most):
+        yield a, b, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
 
-def _fold() -> np.ndarray:
-    out = np.full(256, MARK, np.uint8)
-    for b in range(128):
-        c = chr(b)
-        out[b] = SPACE if c.isspace() or b < 32 else 1 + ord(c) - 97 if "a" <= c <= "z" else CAPITAL if c.isalpha() else DIGIT if c.isdigit() else STOP if c in ".,;:?'\"-()" else MARK
-    out[128:] = HIGH
-    return out
 
+def halves(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """0 or 1 for each text, by its bytes."""
+    return (hashed(data, offsets[:-1], offsets[1:] - 1) >> np.uint64(7) & np.uint64(1)).astype(np.int64)
 
-FOLD = _fold()
-#: Bits that name a byte among those of its symbol.
-WITHIN = np.log2(np.bincount(FOLD, minlength=SYMBOLS))[FOLD].astype(np.float32)
-LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
-#: 0: parts words, 1: of a word, 2: the first byte of a word by itself, 3: a further byte of a code point.
-KIND = np.array([(0 if b <= 32 or b == 127 else 1 if chr(b).isalnum() else 2) if b < 128 else 3 if b < 0xC0 else 1 if 0xC3 <= b <= 0xE1 else 2 for b in range(256)], np.uint8)
-_SALT = np.array([0x5851F42D4C957F2D, 0x14057B7EF767814F], np.uint64)
-_BASE = np.uint64(0x9E3779B97F4A7C15)
 
+def sequence(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(code points of all texts, where those to be predicted are, the text of each of these): ORDER - 1 times START precedes each text and END, to be predicted too, follows."""
+    lead = (data & 0xC0) != 0x80
+    to = np.concatenate([[0], np.cumsum(lead)])[offsets]
+    points = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32).copy()
+    points[(points == 0) | (points == START) | (points == END)] = 0xFFFD
+    points[to[1:] - 1] = END  # in place of the line break
+    doc = np.repeat(np.arange(len(to) - 1), np.diff(to))
+    at = np.arange(len(points)) + (ORDER - 1) * (doc + 1)
+    s = np.full(len(points) + (ORDER - 1) * (len(to) - 1), START, np.uint32)
+    s[at] = points
+    return s, at, doc
 
-def keys(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(ORDER-gram key that ends at each symbol, symbols of each text). A text is preceded by spaces; its closing line break isn't a symbol."""
-    n = np.diff(offsets) - 1
-    s = np.zeros(offsets[-1] + (ORDER - 2) * len(n) + ORDER, np.uint32)
-    inside = np.ones(len(data), bool)
-    inside[offsets[1:] - 1] = False
-    to = np.arange(len(data)) + np.repeat((ORDER - 2) * np.arange(len(n)), np.diff(offsets)) + ORDER - 1
-    s[to[inside]] = FOLD[data[inside]]
-    key = np.zeros(len(s) - ORDER + 1, np.uint32)
-    for k in range(ORDER):
-        key = (key << np.uint32(5)) | s[k : k + len(key)]
-    return key[(to[inside] - ORDER + 1)], n
 
+def keys(s: np.ndarray, at: np.ndarray, half: np.ndarray, size: int) -> np.ndarray:
+    """Hash of the `size` code points that end at each place."""
+    if 2 * len(at) > len(s):
+        every = s * _BASE[0]
+        for k in range(1, size):
+            every[k:] += s[:-k] * _BASE[k]
+        out = every[at]
+    else:
+        out = np.zeros(len(at), np.uint64)
+        for k in range(size):
+            out += s[at - k] * _BASE[k]
+    return mix(out ^ np.where(half, *_SALT[::-1, size]))
 
-def _texts(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    data, offsets = joined(batch.column(column))
-    for a, b in slices(offsets):
-        yield a, b, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+
+def strings(s: np.ndarray, at: np.ndarray, size: int) -> pa.Array:
+    """The `size` code points that end at each place."""
+    return pa.array(np.ascontiguousarray(s[at[:, None] + np.arange(1 - size, 1)]).view(f"<U{size}").ravel().astype(object), pa.string())
 
 
 def counts(docs: DataFrame) -> DataFrame:
-    """(key, n): how often each ORDER-gram comes in all texts of docs (text), summed in each task before the shuffle."""
+    """(half, gram, n): how often each ORDER code points in a row come in all texts of docs (text), summed for each few MB before the shuffle."""
     prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SYMBOLS**ORDER, np.int64)
         for batch in batches:
-            for *_, data, offsets in _texts(batch, 0):
-                total += np.bincount(keys(data, offsets)[0], minlength=len(total))
-        some = np.flatnonzero(total)
-        for part in np.array_split(some, len(some) // 100_000 + 1):
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part])], ["key", "n"])
-
-    return docs.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+            for *_, data, offsets in _texts(batch, 0, 4 << 20):
+                s, at, doc = sequence(data, offsets)
+                half = halves(data, offsets)[doc]
+                _, one, n = np.unique(keys(s, at, half, ORDER), return_index=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(half[one].astype(np.int32)), strings(s, at[one], ORDER), pa.array(n)], ["half", "gram", "n"])
+
+    some = docs.filter("text IS NOT NULL AND text <> ''").select("text").mapInArrow(run, "half int, gram string, n long")
+    return some.groupBy(*KEY).agg(F.sum("n").alias("n"))
+
+
+def few_of(grams: list[DataFrame]) -> list[dict]:
+    """{(half, n): grams of that count} for n from 1 to 4, of the tables (half, gram, n) of each order."""
+    rows = reduce(DataFrame.union, [g.filter("n <= 4").groupBy("half", "n").agg(F.count("*").alias("m")).select(F.lit(k).alias("k"), "half", "n", "m") for k, g in enumerate(grams)]).collect()  # eight of each order
+    return [{(r["half"], r["n"]): r["m"] for r in rows if r["k"] == k} for k in range(len(grams))]
+
+
+def discounts(few: dict) -> Column:
+    """What each gram of one order (half, gram, n) gives up, by few_of() that order."""
+    out = F.lit(0.0)
+    for half in (0, 1):
+        n1, n2, n3, n4 = (float(few.get((half, k), 0)) for k in range(1, 5))
+        y = n1 / (n1 + 2 * n2) if n1 + n2 else 0.5
+        d = [min(max(k - (k + 1) * y * b / a if a else k * 0.5, 0.05), k - 0.05) for k, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
+        out = F.when(F.col("half") == half, F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])).otherwise(out)
+    return out
 
 
-def seen(grams: DataFrame) -> DataFrame:
-    """(key, share, rest) of grams (key, n) of one order: the discounted share of the context and what the context leaves to the lower order.
+def model(trusted: DataFrame) -> tuple[list[DataFrame], np.ndarray, np.ndarray]:
+    """(tables, opening, base) of trusted (text).
 
-    The modified discounts come from the numbers of grams counted once to four times.
+    tables: (half, gram, p, v, w, n) for each order from 1 on; p is the
+    probability of a gram's last code point after the ones before it. opening:
+    the bits that each half's texts begin with. base: those of a code point
+    outside each half's vocabulary.
     """
-    few = {r["n"]: r["m"] for r in grams.filter("n <= 4").groupBy("n").agg(F.count("*").alias("m")).collect()}
-    n1, n2, n3, n4 = (float(few.get(k, 0)) for k in range(1, 5))
-    y = n1 / (n1 + 2 * n2) if n1 + n2 else 0.5
-    d = [min(max(k - (k + 1) * y * b / a if a else k * 0.5, 0.05), k) for k, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
-    cutoff = F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
-    off = grams.withColumns({"context": F.shiftright("key", 5), "d": cutoff})
-    context = off.groupBy("context").agg(F.sum("n").alias("total"), F.sum("d").alias("left"))
-    return off.join(context, "context").select("key", ((F.col("n") - F.col("d")) / F.col("total")).alias("share"), (F.col("left") / F.col("total")).alias("rest"))
-
-
-def model(trusted: DataFrame) -> np.ndarray:
-    """Minus the base-2 logarithm of P(last symbol | ORDER - 1 symbols before), by key: 32 ** ORDER floats."""
-    grams = cut(counts(trusted))
-    tables = []
-    for order in range(ORDER, 0, -1):
-        tables.append(seen(grams).toPandas())  # at most 32 ** order rows
-        grams = grams.groupBy((F.col("key") % SYMBOLS ** (order - 1)).alias("key")).agg(F.count("*").alias("n"))  # distinct left neighbours
-    p = np.full(1, 1 / SYMBOLS)
-    for order, t in enumerate(reversed(tables), 1):
-        size = SYMBOLS**order
-        share, rest = np.zeros(size), np.ones(size // SYMBOLS)
-        share[t.key], rest[t.key // SYMBOLS] = t.share, t.rest
-        p = share + np.repeat(rest, SYMBOLS) * (np.tile(p, SYMBOLS) if order > 1 else np.full(SYMBOLS, p[0]))
-    return -np.log2(p).astype(np.float32)
-
-
-def bits(docs: DataFrame, table: np.ndarray) -> DataFrame:
-    """docs with two more columns, __n (symbols of the text) and __bits (the mean per symbol; null without symbols)."""
-    sent = prepare(docs.sparkSession).sparkContext.broadcast(table)
-    place = docs.columns.index("text")
-    schema = T.StructType([*docs.schema.fields, T.StructField("__n", T.LongType()), T.StructField("__bits", T.DoubleType())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            mean, size = np.zeros(batch.num_rows), np.zeros(batch.num_rows, np.int64)
-            for a, b, data, offsets in _texts(batch, place):
-                key, n = keys(data, offsets)
-                to = np.concatenate([[0], np.cumsum(n)])
-                some = np.flatnonzero(n)
-                if len(some):
-                    mean[a:b][some] = np.add.reduceat(sent.value[key], to[some], dtype=np.float64) / n[some]
-                size[a:b] = n
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(size), pa.array(mean, mask=size == 0)], [*batch.schema.names, "__n", "__bits"])
-
-    return docs.mapInArrow(run, schema)
-
-
-def words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start and end of each word. The last byte has to be a line break."""
-    kind = KIND[data]
-    further = kind == 3
-    kind = kind[np.maximum.accumulate(np.where(further, 0, np.arange(len(data))))]
-    start = ~further & ((kind == 2) | ((kind == 1) & (np.concatenate([[0], kind[:-1]]) != 1)))
-    bound = np.flatnonzero(start | (kind == 0))
-    own = start[bound]
-    return bound[own], bound[np.flatnonzero(own) + 1]
-
-
-def sequence(data: np.ndarray, offsets: np.ndarray, other: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(words' hashes, text of each, whether it is to be predicted, start and end of each predicted one in data).
-
-    Two openings precede each text's words and an end follows, whose place is
-    empty. The last bit of a hash names the half whose model it belongs to: the
-    text's own, or the other one.
-    """
-    n = len(offsets) - 1
-    start, end = words(data)
-    to = np.searchsorted(start, offsets)
-    size = np.diff(to)
-    half = (hashed(data, offsets[:-1], offsets[1:] - 1) >> np.uint64(7) & np.uint64(1)).astype(np.int64) ^ int(other)
-    doc = np.repeat(np.arange(n), size + 3)
-    first = to[:-1] + 3 * np.arange(n)
-    last = first + size + 2
-    place = np.arange(len(start)) + np.repeat(3 * np.arange(n) + 2, size)
-    s = np.zeros(len(doc), np.uint64)
-    s[place], s[last] = hashed(LOWER[data], start, end), 1
-    s = mix(s ^ _SALT[half[doc]]) & ~np.uint64(1) | half[doc].astype(np.uint64)
-    told = np.ones(len(s), bool)
-    told[first] = told[first + 1] = False
-    a = np.zeros(len(s), np.int64)
-    b = a.copy()
-    a[place], b[place] = start, end
-    return s, doc, told, a[told], b[told]
-
-
-def two(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    return mix(x * _BASE + y + np.uint64(2))
-
-
-def three(x: np.ndarray, y: np.ndarray, z: np.ndarray) -> np.ndarray:
-    return mix((x * _BASE + y) * _BASE + z + np.uint64(3))
-
-
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(key, context, lower, b, c, n): each three words of docs (text) with the hashes of their first two, last two and last ones."""
-    prepare(docs.sparkSession)
+    grams = [stored(counts(trusted))]
+    for size in range(ORDER - 1, 0, -1):  # a shorter gram counts the code points that are met before it
+        grams.insert(0, stored(grams[0].groupBy("half", F.substring("gram", 2, size).alias("gram")).agg(F.count("*").alias("n"))))
+    off = [g.withColumns({"d": discounts(few), "context": F.substring("gram", 1, k)}) for k, (g, few) in enumerate(zip(grams, few_of(grams)))]
+    contexts = [g.groupBy("half", "context").agg(F.sum("n").alias("total"), (F.sum("d") / F.sum("n")).alias("rest")) for g in off]
+    log = lambda x: -F.log2(x)
+    opening, base = np.zeros(2), np.full(2, np.log2(POINTS))
+    for r in reduce(DataFrame.union, [c.filter(F.col("context") == chr(START) * k) for k, c in enumerate(contexts)]).collect():  # two rows of each order
+        (opening if r["context"] else base)[r["half"]] -= np.log2(r["rest"])
+    tables: list[DataFrame] = []
+    for k, g in enumerate(off):
+        g = g.join(contexts[k], ["half", "context"]).withColumn("share", (F.col("n") - F.col("d")) / F.col("total"))
+        if k:
+            shorter = tables[-1].select("half", F.col("gram").alias("lower"), F.col("p").alias("p_"), F.col("w").alias("w_"))
+            g = g.withColumn("lower", F.substring("gram", 2, k)).join(shorter, ["half", "lower"])
+        else:
+            g = g.withColumns({"p_": F.lit(1 / POINTS), "w_": F.lit(0.0)})
+        g = g.withColumn("p", F.col("share") + F.col("rest") * F.col("p_")).select(*KEY, "n", "p", "w_", log(F.col("p") / F.col("rest") / F.col("p_")).alias("gain"))
+        if k + 1 < ORDER:
+            left = contexts[k + 1].select("half", F.col("context").alias("gram"), log("rest").alias("left"))
+            g = g.join(left, KEY, "left")
+        else:
+            g = g.withColumn("left", F.lit(0.0))
+        g = g.withColumn("v", F.col("gain") + F.coalesce("left", F.lit(0.0)))
+        tables.append(stored(g.select(*KEY, "p", "v", (F.col("v") + F.col("w_")).alias("w"), "n")))
+    return tables, opening, base
+
+
+def values_of(tables: list[DataFrame]) -> DataFrame:
+    """(half, gram, hash, v, sent, n) of all grams; sent: of the longest grams w, of others v."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for *_, data, offsets in _texts(batch, 0):
-                s, _, told, *_ = sequence(data, offsets, False)
-                at = np.flatnonzero(told)
-                key, one, n = np.unique(three(s[at - 2], s[at - 1], s[at]), return_index=True, return_counts=True)
-                at = at[one]
-                found = (key, two(s[at - 2], s[at - 1]), two(s[at - 1], s[at]), s[at - 1], s[at])
-                yield pa.RecordBatch.from_arrays([*(pa.array(x.view(np.int64)) for x in found), pa.array(n)], ["key", "context", "lower", "b", "c", "n"])
-
-    some = docs.filter("text IS NOT NULL AND text <> ''").select("text").mapInArrow(run, "key long, context long, lower long, b long, c long, n long")
-    return some.groupBy("key").agg(*(F.first(c).alias(c) for c in ("context", "lower", "b", "c")), F.sum("n").alias("n"))
-
-
-def discounted(grams: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """grams (key, context, n, ...) with share and rest, as in seen(), and (context, rest, total) of each context."""
-    few = {r["n"]: r["m"] for r in grams.filter("n <= 4").groupBy("n").agg(F.count("*").alias("m")).collect()}
-    n1, n2, n3, n4 = (float(few.get(k, 0)) for k in range(1, 5))
-    y = n1 / (n1 + 2 * n2) if n1 + n2 else 0.5
-    d = [min(max(k - (k + 1) * y * b / a if a else k * 0.5, 0.05), k - 0.05) for k, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
-    off = grams.withColumn("d", F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2]))
-    context = off.groupBy("context").agg(F.sum("n").alias("total"), (F.sum("d") / F.sum("n")).alias("rest"))
-    return off.join(context, "context").withColumn("share", (F.col("n") - F.col("d")) / F.col("total")).drop("d", "total"), context
-
-
-def word_model(trusted: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """(hash, bits, n) of every gram of trusted (text), n: how often it is met, and the bits that a word outside each half's vocabulary costs besides its spelling."""
-    third = cut(word_counts(trusted))
-    second = cut(third.groupBy(F.col("lower").alias("key")).agg(F.first("b").alias("context"), F.first("c").alias("c"), F.count("*").alias("n")))
-    first = second.groupBy(F.col("c").alias("key")).agg(F.count("*").alias("n")).withColumn("context", F.col("key").bitwiseAND(1))
-    one, ends = discounted(first)
-    bi, after_one = discounted(second)
-    tri, after_two = discounted(third)
-    p1 = one.select(F.col("key").alias("c"), F.col("share").alias("p1"), "n")
-    p2 = cut(bi.join(p1.drop("n"), "c").select("key", "rest", "p1", (F.col("share") + F.col("rest") * F.col("p1")).alias("p2"), "n"))
-    p3 = tri.join(p2.select(F.col("key").alias("lower"), "p2"), "lower").withColumn("p3", F.col("share") + F.col("rest") * F.col("p2"))
-    log = lambda x: -F.log2(x)
-    parts = p3.select("key", log(F.col("p3") / F.col("rest") / F.col("p2")).alias("bits"), "n")
-    parts = parts.union(p2.select("key", log(F.col("p2") / F.col("rest") / F.col("p1")), "n")).union(p1.select("c", log(F.col("p1")), "n"))
-    for left in (after_two, after_one):
-        parts = parts.union(left.select("context", log(F.col("rest")), "total"))
-    out = np.zeros(2)
-    for r in ends.collect():  # two rows
-        out[r["context"]] = -np.log2(r["rest"])
-    return cut(parts.groupBy(F.col("key").alias("hash")).agg(F.sum("bits").alias("bits"), F.max("n").alias("n"))), out
-
-
-def frequent(values: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes, in order, and bits of the grams met most often, at most HEAD of them."""
-    steps = values.groupBy(F.floor(F.log2("n") * 8).alias("step")).agg(F.count("*").alias("m")).orderBy(F.desc("step")).collect()
+            half = batch.column(0).to_numpy().astype(np.int64)
+            grams = np.array(batch.column(1).to_pylist(), f"<U{ORDER}")
+            points = grams.view(np.uint32).reshape(-1, ORDER)
+            size, h = (points != 0).sum(1), np.zeros(len(half), np.uint64)
+            for k in np.unique(size):
+                own = np.flatnonzero(size == k)
+                h[own] = keys(points[own].ravel(), np.arange(k - 1, len(own) * ORDER, ORDER), half[own], int(k))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(h.view(np.int64))], [*batch.schema.names, "hash"])
+
+    every = reduce(DataFrame.union, [t.select(*KEY, "v", (F.col("w") if k + 1 == ORDER else F.col("v")).alias("sent"), "n") for k, t in enumerate(tables)])
+    return stored(every.mapInArrow(run, "half int, gram string, v double, sent double, n long, hash long"))
+
+
+class Head:
+    """A table of hashes and their values, open to lookups of many at once."""
+
+    def __init__(self, key: np.ndarray, value: np.ndarray):
+        self.bits = max(4, int(np.ceil(np.log2(2 * len(key) + 1))))
+        self.key, self.value = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.float32)
+        slot, left, self.steps = self._slot(key), np.arange(len(key)), 0
+        while len(left):  # those that find their place taken move on by one
+            free = left[self.key[slot[left]] == 0]
+            _, one = np.unique(slot[free], return_index=True)
+            self.key[slot[free[one]]], self.value[slot[free[one]]] = key[free[one]], value[free[one]]
+            left = left[self.key[slot[left]] != key[left]]
+            slot[left] = (slot[left] + 1) & ((1 << self.bits) - 1)
+            self.steps += 1
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return (key >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(value of each, 0 where there is none; whether there is one)."""
+        slot = self._slot(key)
+        had = self.key[slot]
+        found = had == key
+        value = np.where(found, self.value[slot], np.float32(0))
+        left = np.flatnonzero(~found & (had != 0))
+        for _ in range(self.steps):
+            if not len(left):
+                break
+            slot[left] = (slot[left] + 1) & ((1 << self.bits) - 1)
+            had = self.key[slot[left]]
+            hit = had == key[left]
+            value[left[hit]], found[left[hit]] = self.value[slot[left[hit]]], True
+            left = left[~hit & (had != 0)]
+        return value, found
+
+
+def frequent(values: DataFrame) -> Head:
+    """The grams met most often, at most HEAD of them."""
+    steps = values.groupBy(F.floor(F.log2("n") * 8).alias("step")).agg(F.count("*").alias("m")).orderBy(F.desc("step")).collect()  # some 500 rows at most
     upto = np.cumsum([r["m"] for r in steps])
     some = [r["step"] for r, m in zip(steps, upto) if m <= HEAD]
     if not some:
-        return np.zeros(0, np.uint64), np.zeros(0)
-    top = values.filter(F.floor(F.log2("n") * 8) >= min(some)).select("hash", "bits").toPandas()
-    key, bits = top["hash"].to_numpy(np.int64).view(np.uint64), top["bits"].to_numpy(float)
-    order = np.argsort(key)
-    return key[order], bits[order]
+        return Head(np.zeros(0, np.uint64), np.zeros(0))
+    top = values.filter(F.floor(F.log2("n") * 8) >= min(some)).select("hash", "sent").toArrow()
+    return Head(top["hash"].to_numpy().view(np.uint64), top["sent"].to_numpy())
 
 
-def word_bits(docs: DataFrame, spelling: np.ndarray, values: DataFrame, unknown: np.ndarray, carry: list[str]) -> DataFrame:
-    """carry of docs with __n (bytes of the text), __bits and __spelled (the means per byte, of the words and as in bits(); null without any)."""
+def bits(docs: DataFrame, values: DataFrame, opening: np.ndarray, base: np.ndarray, carry: list[str]) -> DataFrame:
+    """carry of docs (text, ...) with __q_n, the code points of the text, and __q_bits, the mean bits of these and its end (null without any)."""
     spark = prepare(docs.sparkSession)
-    sent = spark.sparkContext.broadcast((spelling, bitmap(values.select("hash")), *frequent(values)))
+    sent = spark.sparkContext.broadcast((frequent(values), bitmap(values.select("hash")), opening, base))
     place = docs.columns.index("text")
-    gram = pa.struct([("hash", pa.int64()), ("n", pa.int32()), ("alt", pa.float64())])
-    inner = T.StructType([T.StructField("hash", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("alt", T.DoubleType())])
-    schema = T.StructType([*docs.select(*carry).schema.fields, T.StructField("__n", T.LongType()), T.StructField("__sum", T.DoubleType()), T.StructField("__spelled", T.DoubleType()), T.StructField("__row", T.LongType()), T.StructField("__open", T.ArrayType(inner))])
+    gram = [("gram", pa.string()), ("n", pa.int32())]
+    inner = T.StructType([T.StructField("gram", T.StringType()), T.StructField("n", T.IntegerType())])
+    added = [("__q_n", T.LongType()), ("__q_sum", T.DoubleType()), ("__q_half", T.IntegerType()), ("__q_row", T.LongType()), ("__q_open", T.ArrayType(inner))]
+    schema = T.StructType([*docs.select(*carry).schema.fields, *(T.StructField(*x) for x in added)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, known, head, cost = sent.value
+        head, known, opening, base = sent.value
         row = TaskContext.get().partitionId() << 36
         for batch in batches:
-            total, spelled, size = np.zeros(batch.num_rows), np.zeros(batch.num_rows), np.zeros(batch.num_rows, np.int64)
-            left: list[tuple] = []
-            for a, b, data, offsets in _texts(batch, place):
-                key, size[a:b] = keys(data, offsets)
-                spelled[a:b] = np.bincount(np.repeat(np.arange(b - a), size[a:b]), table[key], b - a) / np.maximum(size[a:b], 1)
-                inside = np.ones(len(data), bool)
-                inside[offsets[1:] - 1] = False
-                spell = np.zeros(len(data) + 1)
-                spell[1:][inside] = table[key] + WITHIN[data[inside]]
-                np.cumsum(spell, out=spell)
-                s, doc, told, start, end = sequence(data, offsets, True)
-                at, first = np.flatnonzero(told), np.flatnonzero(np.diff(doc, prepend=-1))
-                alt = spell[end] - spell[start] + unknown[(s[at] & np.uint64(1)).astype(np.int64)]
-                h = np.concatenate([s[at], two(s[at - 1], s[at]), three(s[at - 2], s[at - 1], s[at]), two(s[first], s[first]), s[first]])
-                d = np.concatenate([doc[at]] * 3 + [doc[first]] * 2)
-                alt = np.concatenate([alt, np.zeros(len(h) - len(at))])
-                maybe = np.flatnonzero(_in(known, h & np.uint64(SLOTS - 1)))
-                maybe = maybe[_in(known, h[maybe] >> np.uint64(32) & np.uint64(SLOTS - 1))]
-                if len(head):
-                    to = np.minimum(np.searchsorted(head, h[maybe]), len(head) - 1)
-                    hit = head[to] == h[maybe]
-                    alt[maybe[hit]] = cost[to[hit]]
-                    maybe = maybe[~hit]
-                total[a:b] += np.bincount(d, alt, b - a)
-                order = maybe[np.lexsort((h[maybe], d[maybe]))]
-                if len(order):
-                    new = np.flatnonzero(np.concatenate([[True], (np.diff(d[order]) != 0) | (h[order][1:] != h[order][:-1])]))
-                    left.append((d[order[new]] + a, h[order[new]], np.diff([*new, len(order)]), np.add.reduceat(alt[order], new)))
-            d, h, n, alt = (np.concatenate(x) for x in zip(*left)) if left else (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0))
-            open_ = pa.StructArray.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int32)), pa.array(alt)], fields=list(gram))
-            lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(d, np.arange(batch.num_rows + 1)).astype(np.int32)), open_)
+            total, size, model_of = np.zeros(batch.num_rows), np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int32)
+            owner, grams, number = [np.zeros(0, np.int64)], [], [np.zeros(0, np.int64)]
+            for a, b, data, offsets in _texts(batch, place, 2 << 20):
+                s, at, doc = sequence(data, offsets)
+                other = 1 - halves(data, offsets)
+                size[a:b], model_of[a:b] = np.bincount(doc, minlength=b - a) - 1, other
+                half = other[doc]
+                cost, found = head.find(keys(s, at, half, ORDER))
+                total[a:b] = opening[other] + base[other] * (size[a:b] + 1) + np.add.reduceat(cost, np.cumsum(size[a:b] + 1) - size[a:b] - 1, dtype=np.float64)
+                at, doc, half = at[~found], doc[~found], half[~found]
+                for k in range(ORDER, 0, -1):
+                    h = keys(s, at, half, k)
+                    cost, found = head.find(h) if k < ORDER else (np.zeros(len(h)), np.zeros(len(h), bool))
+                    total[a:b] += np.bincount(doc, cost, b - a)
+                    maybe = np.flatnonzero(~found & _in(known, h & np.uint64(SLOTS - 1)) & _in(known, h >> np.uint64(32) & np.uint64(SLOTS - 1)))
+                    maybe = maybe[np.lexsort((h[maybe], doc[maybe]))]
+                    if len(maybe):
+                        new = np.flatnonzero(np.concatenate([[True], (np.diff(doc[maybe]) != 0) | (h[maybe][1:] != h[maybe][:-1])]))
+                        owner.append(doc[maybe[new]] + a)
+                        grams.append(strings(s, at[maybe[new]], k))
+                        number.append(np.diff([*new, len(maybe)]))
+            owner = np.concatenate(owner)
+            order = np.argsort(owner, kind="stable")
+            listed = pa.concat_arrays(grams).take(pa.array(order)) if grams else pa.array([], pa.string())
+            open_ = pa.StructArray.from_arrays([listed, pa.array(np.concatenate(number)[order].astype(np.int32))], fields=list(pa.struct(gram)))
+            lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(owner[order], np.arange(batch.num_rows + 1)).astype(np.int32)), open_)
             ids = row + np.arange(batch.num_rows)
             row += batch.num_rows
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.names.index(c)) for c in carry), pa.array(size), pa.array(total), pa.array(spelled, mask=size == 0), pa.array(ids), lists], [*carry, "__n", "__sum", "__spelled", "__row", "__open"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.names.index(c)) for c in carry), pa.array(size), pa.array(total), pa.array(model_of), pa.array(ids), lists], [*carry, *(x[0] for x in added)])
 
     read = cut(docs.mapInArrow(run, schema))  # so that a row keeps its number
-    grams = read.select("__row", F.explode("__open").alias("g")).select("__row", "g.hash", F.col("g.n").alias("m"), "g.alt")
-    more = grams.join(values.select("hash", "bits"), "hash").groupBy(F.col("__row").alias("__of")).agg(F.sum(F.col("m") * F.col("bits") - F.col("alt")).alias("__more"))
-    out = read.drop("__open").join(more, F.col("__row") == F.col("__of"), "left")
-    mean = F.when(F.col("__n") > 0, (F.col("__sum") + F.coalesce("__more", F.lit(0.0))) / F.col("__n"))
-    return out.select(*carry, "__n", mean.alias("__bits"), "__spelled")
+    grams = read.select("__q_row", F.col("__q_half").alias("half"), F.explode("__q_open").alias("g")).select("__q_row", "half", "g.gram", F.col("g.n").alias("m"))
+    more = grams.join(values.select(*KEY, "v"), KEY).groupBy(F.col("__q_row").alias("__q_of")).agg(F.sum(F.col("m") * F.col("v")).alias("__q_more"))
+    out = read.join(more, F.col("__q_row") == F.col("__q_of"), "left")
+    mean = F.when(F.col("__q_n") > 0, (F.col("__q_sum") + F.coalesce("__q_more", F.lit(0.0))) / (F.col("__q_n") + 1))
+    return out.select(*carry, "__q_n", mean.alias("__q_bits"))
 
 
 def quantiles(scored: DataFrame, low: float, high: float, least: int) -> DataFrame:
@@ -336,38 +295,46 @@ def quantiles(scored: DataFrame, low: float, high: float, least: int) -> DataFra
 
 
 def trusted_of(docs: DataFrame, labels: DataFrame, how: str = "left_semi") -> DataFrame:
-    """Rows of docs that labels (doc_id, quality) call good; with how="left" all rows, and the good ones' _id."""
-    good = labels.filter("quality = 1").select(F.col("doc_id").alias("_id")).distinct()
+    """Rows of docs that labels (doc_id, quality) call good; with how="left" all rows, and the good ones' __q_id."""
+    good = labels.filter("quality = 1").select(F.col("doc_id").alias("__q_id")).distinct()
     small = good.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(good) if small else good, F.col("doc_id") == F.col("_id"), how)
-
+    return docs.join(F.broadcast(good) if small else good, F.col("doc_id") == F.col("__q_id"), how)
+
+
+def judged(docs: DataFrame, labels: DataFrame, carry: list[str], low: float = 0.001, high: float = 0.995, slack: float = 0.02, least: int = 200) -> DataFrame:
+    """carry of docs (doc_id, lang, text, ...) with __q_n, __q_bits, __q_lo, __q_hi and __q_keep; see classify()."""
+    some = docs.select(*dict.fromkeys([*carry, "doc_id", "lang", "text"])).withColumns({"__q_lang": F.col("lang").cast("string"), "text": F.col("text").cast("string")})
+    tables, opening, base = model(trusted_of(some, labels).select("text"))
+    marked = trusted_of(some, labels, "left").withColumn("__q_good", F.col("__q_id").isNotNull()).drop("__q_id")
+    out = cut(bits(marked, values_of(tables), opening, base, [*carry, "__q_lang", "__q_good"]))
+    ends = cut(quantiles(out.filter("__q_good").select(F.col("__q_lang").alias("lang"), F.col("__q_bits").alias("bits")), low, high, least))
+    every = ends.filter("lang IS NULL").select(F.col("lo").alias("__q_all_lo"), F.col("hi").alias("__q_all_hi"))
+    own = ends.filter("lang IS NOT NULL").select(F.col("lang").alias("__q_of"), F.col("lo").alias("__q_own_lo"), F.col("hi").alias("__q_own_hi"))
+    out = out.join(F.broadcast(own), F.col("__q_lang") == F.col("__q_of"), "left")  # a row for each language of at least `least` documents
+    out = out.join(F.broadcast(every), F.lit(True), "left")  # one row
+    lo = F.coalesce("__q_own_lo", "__q_all_lo", F.lit(float("-inf"))) - slack
+    hi = F.coalesce("__q_own_hi", "__q_all_hi", F.lit(float("inf"))) + slack
+    return out.select(*(out[c] for c in carry), "__q_n", "__q_bits", lo.alias("__q_lo"), hi.alias("__q_hi"), F.coalesce(F.col("__q_bits").between(lo, hi), F.lit(False)).alias("__q_keep"))
+
+
+def classify(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """(doc_id, lang, n_symbols, perplexity, lo, hi, keep) of every row of docs (doc_id, lang, text; further columns don't matter).
+
+    Trusted text is that of all documents with quality 1 in labels (doc_id,
+    quality). A symbol is a code point; perplexity is two to the power of the mean
+    bits of the text's symbols and its end. keep: the mean lies between the
+    quantiles `low` and `high` of trusted documents of the language, give or take
+    `slack` bits (lo, hi, as perplexities); a language with fewer than `least` of
+    them, and a null one, has the bounds of all languages. A text that is null or
+    empty has no perplexity and isn't kept. If there is no trusted text at all,
+    everything with text is kept. Bounds belong to what is kept, so ties at them
+    stay. Equal rows are returned as often as they come; a null doc_id is never
+    trusted; an empty table gives an empty result.
+    """
+    base = F.lit(2.0)
+    return judged(docs, labels, ["doc_id", "lang"], **options).select("doc_id", "lang", F.col("__q_n").alias("n_symbols"), F.pow(base, "__q_bits").alias("perplexity"), F.pow(base, "__q_lo").alias("lo"), F.pow(base, "__q_hi").alias("hi"), F.col("__q_keep").alias("keep"))
 
-def classify(docs: DataFrame, labels: DataFrame, low: float = 0.001, high: float = 0.995, slack: float = 0.02, least: int = 200, carry: list[str] | None = None) -> DataFrame:
-    """(doc_id, lang, n_symbols, perplexity, lo, hi, keep) of every row of docs (doc_id, lang, text).
 
-    carry: columns of docs to return in place of the first two. Other columns
-    don't matter. Trusted text is that of all documents with quality 1 in labels.
-    keep: the mean bits per symbol, of the words (perplexity, lo, hi) and as spelled, lie between the quantiles `low` and `high` of
-    trusted documents of the language, give or take `slack` bits; a symbol is a byte, and perplexity is two to the mean's power; a language with
-    fewer than `least` of them, and a null one, has the bounds of all languages. A
-    text that is null or empty has no perplexity and isn't kept. If there is no
-    trusted text at all, everything with text is kept. Equal rows are returned as
-    often as they come; an empty table gives an empty result.
-    """
-    carry = carry or ["doc_id", "lang"]
-    docs = docs.select(*dict.fromkeys([*carry, "doc_id", "lang", "text"])).withColumns({"lang": F.col("lang").cast("string"), "text": F.col("text").cast("string")})
-    good = trusted_of(docs, labels).select("text")
-    values, unknown = word_model(good)
-    marked = trusted_of(docs, labels, "left").withColumn("__good", F.col("_id").isNotNull()).drop("_id")
-    out = cut(word_bits(marked, model(good), values, unknown, [*dict.fromkeys([*carry, "lang"]), "__good"]))
-    bounds = {}
-    for of in ("__bits", "__spelled"):
-        ends = cut(quantiles(out.filter("__good").select("lang", F.col(of).alias("bits")), low, high, least))
-        every = ends.filter("lang IS NULL").select(F.col("lo").alias(f"{of}_all_lo"), F.col("hi").alias(f"{of}_all_hi"))
-        own = ends.filter("lang IS NOT NULL").select(F.col("lang").alias(f"{of}_lang"), F.col("lo").alias(f"{of}_lo"), F.col("hi").alias(f"{of}_hi"))
-        out = out.join(F.broadcast(own), F.col("lang") == F.col(f"{of}_lang"), "left")  # a row for each language of at least `least` documents
-        out = out.join(F.broadcast(every), F.lit(True), "left")  # one row
-        bounds[of] = F.coalesce(f"{of}_lo", f"{of}_all_lo", F.lit(float("-inf"))) - slack, F.coalesce(f"{of}_hi", f"{of}_all_hi", F.lit(float("inf"))) + slack
-    base, (lo, hi) = F.lit(2.0), bounds["__bits"]
-    keep = F.coalesce(F.col("__bits").between(lo, hi) & F.col("__spelled").between(*bounds["__spelled"]), F.lit(False))
-    return out.select(*(out[c] for c in carry), F.col("__n").alias("n_symbols"), F.pow(base, "__bits").alias("perplexity"), F.pow(base, lo).alias("lo"), F.pow(base, hi).alias("hi"), keep.alias("keep"))
+def kept(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """Rows of docs that classify() keeps, with all their columns."""
+    return judged(docs, labels, docs.columns, **options).filter("__q_keep").select(*docs.columns)

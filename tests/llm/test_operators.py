@@ -6,10 +6,12 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from orrery.llm import decontaminate, language, media, mixing, quality, simhash, substring, tokens, toxicity, warc, webp
+from orrery.llm.text import joined
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -224,17 +226,60 @@ def test_language_learns_from_no_held_out_row(docs):
     assert "xx" not in language.fit(relabelled).langs
 
 
-def test_quality_model_is_a_distribution(docs, labels, odd):
-    table = quality.model(quality.trusted_of(docs, labels))
-    p = 2.0 ** -table.reshape(-1, quality.SYMBOLS).astype(float)
-    assert np.allclose(p.sum(1), 1, atol=1e-4) and (p > 0).all()
-    for df in (docs, odd):
-        got = quality.bits(df.select("doc_id", "text"), table).collect()
-        for r in got[:20]:
-            s = [0] * (quality.ORDER - 1) + [int(quality.FOLD[b]) for b in (r.text or "").encode()]
-            want = [table[sum(x << 5 * (quality.ORDER - 1 - k) for k, x in enumerate(s[i - quality.ORDER + 1 : i + 1]))] for i in range(quality.ORDER - 1, len(s))][:200_000]
-            assert r["__n"] == len(s) - quality.ORDER + 1
-            assert (r["__bits"] is None) == (not want) and (not want or abs(r["__bits"] - np.mean(want, dtype=float)) < 1e-4 or len(want) == 200_000)
+def kneser_ney(texts):
+    """An interpolated modified Kneser-Ney model by dictionaries: a function from (context, code point) to the probability."""
+    from collections import Counter, defaultdict
+
+    n, start, end = quality.ORDER, chr(quality.START), chr(quality.END)
+    counts = [None] * n + [Counter()]
+    for t in texts:
+        line = start * (n - 1) + t + end
+        counts[n].update(line[i : i + n] for i in range(len(line) - n + 1))
+    for k in range(n - 1, 0, -1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+    levels = []
+    for k in range(1, n + 1):
+        n1, n2, n3, n4 = (sum(c == j for c in counts[k].values()) for j in (1, 2, 3, 4))
+        y = n1 / (n1 + 2 * n2) if n1 + n2 else 0.5
+        d = [min(max(j - (j + 1) * y * b / a if a else j / 2, 0.05), j - 0.05) for j, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
+        of, total, left = {}, defaultdict(int), defaultdict(float)
+        for g, c in counts[k].items():
+            of[g] = d[min(c, 3) - 1]
+            total[g[:-1]] += c
+            left[g[:-1]] += of[g]
+        levels.append((counts[k], of, total, left))
+
+    def p(context, c):
+        out = 1 / quality.POINTS
+        for k, (number, off, total, left) in enumerate(levels):
+            h = context[len(context) - k :]
+            if h in total:
+                out = (number[h + c] - off[h + c] if h + c in number else 0) / total[h] + left[h] / total[h] * out
+        return out
+
+    return p
+
+
+@pytest.mark.parametrize("head", [0, 1 << 19])
+def test_quality_matches_dictionaries(spark, monkeypatch, head):
+    monkeypatch.setattr(quality, "HEAD", head)
+    rng = np.random.default_rng(7)
+    words = ["the", "than", "Ünï", "кот", "котёнок", "мама", "漢字", "字", "a\x00b", "🙂", "xyz"]
+    texts = [" ".join(rng.choice(words[:9], rng.integers(1, 12))) for _ in range(60)]
+    labels = spark.createDataFrame([(i, 1) for i in range(60)], "doc_id long, quality int")
+    texts += [" ".join(rng.choice(words, 8)) for _ in range(20)] + ["кот кот кот", "zzz", "", None, "漢", chr(quality.START)]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    clean = [(t or "").replace("\x00", "\ufffd").replace(chr(quality.START), "\ufffd") for t in texts]
+    data, offsets = joined(pa.array([t or "" for t in texts]))
+    half = quality.halves(data, offsets)
+    models = [kneser_ney([clean[i] for i in range(60) if half[i] == h]) for h in (0, 1)]
+    got = {r.doc_id: r for r in quality.classify(docs, labels).collect()}
+    for i, t in enumerate(clean):
+        line, n = chr(quality.START) * (quality.ORDER - 1) + t + chr(quality.END), quality.ORDER - 1
+        want = -np.mean([np.log2(models[1 - half[i]](line[k - n : k], line[k])) for k in range(n, len(line))])
+        assert got[i].n_symbols == len(t) and (got[i].perplexity is None) == (not t)
+        assert not t or abs(np.log2(got[i].perplexity) - want) < 1e-4
+    assert abs(sum(models[0](chr(quality.START) * 3 + "т", chr(c)) for c in range(0xFFFF)) + (quality.POINTS - 0xFFFF) * models[0](chr(quality.START) * 3 + "т", chr(0x10FFFF)) - 1) < 0.01
 
 
 def test_quality_keeps_trusted_text_and_drops_noise(docs, labels, odd, spark):
