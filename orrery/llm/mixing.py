@@ -47,26 +47,33 @@ def distributions(rate: DataFrame) -> DataFrame:
     return k.groupBy("source").agg(F.array_sort(F.collect_list("upto")).alias("upto"))  # tens of values
 
 
-def mix(docs: DataFrame, weights: DataFrame | None = None, seed: int = 11, **options) -> DataFrame:
+#: Sources whose distributions are broadcast (some 50 numbers each); the rows of more sources are dealt by source.
+BROADCAST_SOURCES = 100_000
+
+
+def mix(docs: DataFrame, weights: DataFrame | None = None, seed: int = 11, names: tuple[str, str] = ("copy", "shuffle_key"), **options) -> DataFrame:
     """docs (doc_id, text, source and any others) with each row as often as drawn, in an order of no meaning.
 
-    Added columns, in place of any of that name: copy (1, 2, ...) and shuffle_key,
-    by which rows are dealt to partitions and sorted in them. Null and empty texts take part like others,
-    with the rate of their source. Rows with equal doc_ids draw the same number; a
-    null doc_id draws as the text `null`. An empty table gives an empty result.
+    Added columns, called by `names` and in place of any of that name: the copy
+    (1, 2, ...) and the key by which rows are dealt to partitions and sorted in
+    them. Null and empty texts take part like others, with the rate of their
+    source. Rows with equal doc_ids draw the same number; a null doc_id draws as
+    the text `null`. An empty table gives an empty result.
     """
     known = distributions(rates(docs.select("source", "text"), weights, **options)).select(F.col("source").alias("__mix_source"), F.col("upto").alias("__mix_upto"))
+    if docs.select("source").distinct().limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
+        known = F.broadcast(known)
     doc_id = F.coalesce(docs["doc_id"].cast("string"), F.lit("null"))
-    drawn = docs.join(known, docs["source"].eqNullSafe(known["__mix_source"]), "left")
-    n = F.size(F.filter("__mix_upto", lambda p: p <= uniform(F.lit(str(seed)), doc_id))).cast("long")
-    copies = drawn.withColumn("copy", F.explode(F.when(n > 0, F.sequence(F.lit(1).cast("long"), n)))).drop("__mix_source", "__mix_upto")
+    drawn = docs.withColumn("__mix_u", uniform(F.lit(str(seed)), doc_id)).join(known, docs["source"].eqNullSafe(known["__mix_source"]), "left")
+    n = F.size(F.filter("__mix_upto", lambda p: p <= F.col("__mix_u"))).cast("long")
+    copies = drawn.withColumn(names[0], F.explode(F.when(n > 0, F.sequence(F.lit(1).cast("long"), n)))).drop("__mix_source", "__mix_upto", "__mix_u")
     doc_id = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    key = F.md5(F.concat_ws(":", F.lit(f"{seed}-order"), doc_id, "copy"))
-    return copies.withColumn("shuffle_key", key).repartitionByRange("shuffle_key").sortWithinPartitions("shuffle_key")
+    key = F.md5(F.concat_ws(":", F.lit(f"{seed}-order"), doc_id, names[0]))
+    return copies.withColumn(names[1], key).repartitionByRange(names[1]).sortWithinPartitions(names[1])
 
 
 def sql(seed: int = 11, power: float = 0.5, growth: float = 1.0) -> str:
-    """DuckDB SQL for mix(documents) without weights: doc_id, source, copy, shuffle_key."""
+    """DuckDB SQL for mix(documents) without weights: doc_id, source, copy, shuffle_key, text_md5."""
     return f"""
 WITH size AS (SELECT source, sum(length(coalesce(text, '')))::DOUBLE AS size FROM documents GROUP BY source),
      w AS (SELECT source, size, pow(size, {power}) AS weight, sum(size) OVER () AS all_size FROM size),
@@ -74,7 +81,7 @@ WITH size AS (SELECT source, sum(length(coalesce(text, '')))::DOUBLE AS size FRO
      k AS (SELECT source, rate, unnest(generate_series(0, ceil(rate + 10 * sqrt(rate) + 20)::BIGINT)) AS k FROM rate),
      p AS (SELECT source, k, CASE WHEN rate = 0 THEN (k = 0)::INT::DOUBLE ELSE exp(k * ln(rate) - rate - sum(CASE WHEN k > 0 THEN ln(k) ELSE 0 END) OVER (PARTITION BY source ORDER BY k)) END AS p FROM k),
      upto AS (SELECT source, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS upto FROM p),
-     u AS (SELECT doc_id, source, ('0x' || substr(md5('{seed}:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT::DOUBLE / {1 << 52} AS u FROM documents),
-     n AS (SELECT doc_id, u.source, (SELECT count(*) FROM upto WHERE upto.source IS NOT DISTINCT FROM u.source AND upto.upto <= u.u) AS n FROM u)
-SELECT doc_id, source, copy, md5('{seed}-order:' || coalesce(doc_id::VARCHAR, 'null') || ':' || copy) AS shuffle_key
-FROM (SELECT doc_id, source, unnest(generate_series(1, n)) AS copy FROM n WHERE n > 0)"""
+     u AS (SELECT doc_id, source, md5(text) AS text_md5, ('0x' || substr(md5('{seed}:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT::DOUBLE / {1 << 52} AS u FROM documents),
+     n AS (SELECT doc_id, u.source, text_md5, (SELECT count(*) FROM upto WHERE upto.source IS NOT DISTINCT FROM u.source AND upto.upto <= u.u) AS n FROM u)
+SELECT doc_id, source, text_md5, copy, md5('{seed}-order:' || coalesce(doc_id::VARCHAR, 'null') || ':' || copy) AS shuffle_key
+FROM (SELECT doc_id, source, text_md5, unnest(generate_series(1, n)) AS copy FROM n WHERE n > 0)"""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import decontaminate, language, media, mixing, quality, simhash, substring, tokens, toxicity, warc
 from .common import table
@@ -31,7 +32,7 @@ def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).drop("text")
+    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).withColumn("text_md5", F.md5("text")).drop("text")
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +44,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.derivatives(warc.responses(table(spark, sf_dir, "pages"))).drop("record")
+    return warc.derivatives(warc.responses(table(spark, sf_dir, "pages"))).withColumn("record_sha256", F.sha2("record", 256)).drop("record")
 
 
 def op10_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:

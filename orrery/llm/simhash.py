@@ -14,7 +14,7 @@ the whole variant if need be, so a group's work is bounded.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
+from functools import cache, reduce
 from itertools import combinations
 
 import numpy as np
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, prepare
+from .common import cut, looked_up, prepare
 from .components import components
 
 #: A prefix is lengthened while more variants begin with it than so many fingerprints have.
@@ -63,6 +63,7 @@ def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
+@cache
 def masks(bits: int, most: int) -> np.ndarray:
     """All values of so many low bits with at most `most` of them set."""
     return np.array([sum(1 << i for i in c) for k in range(most + 1) for c in combinations(range(bits), k)], np.uint64)
@@ -180,12 +181,14 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 2) -> DataFra
     returned as often as they come. An empty table gives an empty result.
     """
     fps = cut(fingerprints(docs, words))
-    groups = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    groups = fps.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
     roots = components(linked(groups.select("fp"), radius))
-    ids = groups.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = ids.groupBy("root").agg(F.min("first").alias("component_id"))
-    known = ids.join(least, "root").select("fp", "component_id")
-    return fps.join(known, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    ids = cut(groups.join(roots.withColumnRenamed("node", "fp"), "fp", "left"))
+    tied = ids.filter("root IS NOT NULL")
+    least = cut(tied.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("m")))
+    alone = ids.filter("root IS NULL").select("fp", F.col("first").alias("component_id"), "n")
+    known = alone.union(looked_up(tied, least, "root", "m").select("fp", "component_id", "n"))
+    return looked_up(fps, cut(known), "fp", "n").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_first(docs: DataFrame, words: int = 4, radius: int = 2) -> DataFrame:

@@ -68,40 +68,43 @@ def _chunks(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, int, np.n
         yield a, b, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], patterns(raw[at[a] : at[b]], at[a : b + 1] - at[a])
 
 
-def _sampled(rows: DataFrame) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """(label, distinct stems, patterns) of the rows (label, text) of a bounded sample."""
+def stem_counts(rows: DataFrame) -> DataFrame:
+    """(stem, hit, miss): how many rows (label, text) of label 1 and 0 hold each stem."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found, shape = [], []
-            for _, _, data, offsets, pattern in _chunks(batch, 1):
+            label = batch.column(0).to_numpy()
+            for a, b, data, offsets, _ in _chunks(batch, 1):
                 start, kinds = stems(data)
                 to = np.searchsorted(start, offsets)
-                found += [np.unique(np.concatenate([k[i:j] for k in kinds])).tobytes() for i, j in zip(to[:-1], to[1:])]
-                shape += [x.tobytes() for x in pattern]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary()), pa.array(shape, pa.binary())], ["label", "stems", "patterns"])
+                found = [np.unique(np.concatenate([k[i:j] for k in kinds])) for i, j in zip(to[:-1], to[1:])]
+                owner, every = np.repeat(label[a:b], [len(x) for x in found]), np.concatenate(found)
+                stem, inverse = np.unique(every, return_inverse=True)
+                hit = np.bincount(inverse[owner == 1], minlength=len(stem))
+                yield pa.RecordBatch.from_arrays([pa.array(stem.view(np.int64)), pa.array(hit), pa.array(np.bincount(inverse, minlength=len(stem)) - hit)], ["stem", "hit", "miss"])
 
-    return sorted(((r.label, np.frombuffer(r.stems, np.uint64), np.frombuffer(r.patterns)) for r in rows.mapInArrow(run, "label int, stems binary, patterns binary").collect()), key=lambda r: (r[0], r[1].tobytes(), r[2].tobytes()))
+    return rows.mapInArrow(run, "stem long, hit long, miss long").groupBy("stem").agg(F.sum("hit").alias("hit"), F.sum("miss").alias("miss"))
 
 
-def lexicons(rows: list, odds: float, most: int = 4000) -> tuple[np.ndarray, np.ndarray]:
-    """(entries, band of each): stems that toxic texts of the sample hold far more often than chance, in BANDS by how often.
+def lexicons(rows: DataFrame, share: float, odds: float, most: int = 4000) -> tuple[np.ndarray, np.ndarray]:
+    """(entries, band of each): stems that toxic rows (label, text) hold far more often than chance, in BANDS by how often.
 
     Chance allows for the number of stems: their likelihood ratio against the
     sample's share of toxic texts has to exceed the logarithm of that number by 5.
     odds: other labelled rows for each of the sample, over toxic ones for each.
+    most: the size of the lexicons at most, those of the greatest ratio. Stems are
+    counted where the texts are; these entries alone come to the driver.
     """
-    y = np.array([r[0] for r in rows])
-    every, inverse = np.unique(np.concatenate([r[1] for r in rows] or [np.zeros(0, np.uint64)]), return_inverse=True)
-    owner = np.repeat(y, [len(r[1]) for r in rows])
-    hit, miss = np.bincount(inverse[owner == 1], minlength=len(every)), np.bincount(inverse[owner == 0], minlength=len(every))
-    n, share = hit + miss, y.mean()
-    ratio = hit * np.log(np.maximum(hit, 1) / (n * share)) + miss * np.log(np.maximum(miss, 1) / (n * (1 - share)))
-    good = np.flatnonzero((every != 0) & (hit > 8 * odds * miss) & (ratio > np.log(len(every) + 1) + 5))
-    good = good[np.lexsort((every[good], -ratio[good]))][:most]
-    band = np.arange(len(good)) * BANDS // max(len(good), 1)
-    order = np.argsort(every[good])
-    return every[good][order], band[order]
+    every = cut(stem_counts(rows))
+    chance = float(np.log(every.count() + 1) + 5)
+    n, hit, miss = F.col("hit") + F.col("miss"), F.col("hit"), F.col("miss")
+    ratio = hit * F.log(F.greatest(hit, F.lit(1)) / (n * share)) + miss * F.log(F.greatest(miss, F.lit(1)) / (n * (1 - share)))
+    good = every.filter((F.col("stem") != 0) & (hit > 8 * odds * miss)).select("stem", ratio.alias("ratio")).filter(F.col("ratio") > chance)
+    found = [r["stem"] for r in good.orderBy(F.desc("ratio"), "stem").limit(most).collect()]
+    entries = np.array(found, np.int64).view(np.uint64)
+    band = np.arange(len(entries)) * BANDS // max(len(entries), 1)
+    order = np.argsort(entries)
+    return entries[order], band[order]
 
 
 def hits(data: np.ndarray, offsets: np.ndarray, entries: np.ndarray, band: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -181,12 +184,10 @@ def fit(docs: DataFrame, labels: DataFrame, toxic: int = 2500, other: int = 5000
     ids = _least(known.filter("toxic = 1"), toxic, total.get(1, 0)).union(_least(known.filter("toxic = 0"), other, total.get(0, 0)))
     ids = F.broadcast(ids.select(F.col("doc_id").alias("_id"), F.col("toxic").alias("label")))  # at most toxic + other rows
     rows = cut(docs.join(ids, F.col("doc_id") == F.col("_id")).select("label", F.col("text").cast("string").alias("text")))
-    sampled = _sampled(rows)
-    if len({r[0] for r in sampled}) < 2:
+    had = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
+    if len(had) < 2:
         return None
-    had = np.bincount([r[0] for r in sampled], minlength=2)
-    entries, band = lexicons(sampled, (total[0] / had[0]) / (total[1] / had[1]))
-    del sampled
+    entries, band = lexicons(rows, had[1] / (had[0] + had[1]), (total[0] / had[0]) / (total[1] / had[1]))
     y, hit, words, pattern = _counted(rows, entries, band)
     cuts = np.quantile(pattern, 0.95, axis=0)
     natural = {0: total[0] / (y == 0).sum(), 1: total[1] / (y == 1).sum()}

@@ -1,8 +1,10 @@
 """Derivative WARC records: metadata and plain-text conversions of response records.
 
 Each response gives two records that refer to it (WARC-Refers-To) and carry its
-target, its date and its payload digest: `metadata`, a JSON document with the
-source's WARC and HTTP headers, title and links, and `conversion`, its text.
+target, its date and its payload's digest (as WARC-Source-Payload-Digest; the
+other digests are of the record's own bytes): `metadata`, a JSON document with
+the source's WARC and HTTP headers in their order, title and links, and
+`conversion`, its text.
 Records are kept as their bytes, so a row's bytes, or those of many rows in a
 row, are a valid WARC file; compressed, each record is one gzip member.
 """
@@ -10,13 +12,14 @@ row, are a valid WARC file; compressed, each record is one gzip member.
 from __future__ import annotations
 
 import base64
+import codecs
 import gzip
 import hashlib
 import html
-import io
 import json
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 from urllib.parse import urljoin
 
@@ -51,33 +54,76 @@ def line(value: str) -> str:
     return " ".join(value.split())
 
 
+Headers = list[tuple[str, str]]
+
+
+def value(headers: Headers, key: str, default: str | None = None) -> str | None:
+    """The first value of a header, whose name counts in any case."""
+    return next((v for k, v in headers if k.lower() == key.lower()), default)
+
+
 def record(kind: str, headers: dict[str, str], block: bytes) -> bytes:
     told = {"WARC-Type": kind} | {k: line(v) for k, v in headers.items() if v} | {"WARC-Block-Digest": digest(block), "Content-Length": str(len(block))}
     return b"WARC/1.0\r\n" + "".join(f"{k}: {v}\r\n" for k, v in told.items()).encode() + b"\r\n" + block + b"\r\n\r\n"
 
 
-def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers, block) of each record of a WARC file's bytes, compressed or not. ValueError if they are cut short or no WARC."""
-    stream = io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(data))) if data[:2] == b"\x1f\x8b" else io.BytesIO(data)
-    while first := stream.readline():
-        if not first.strip():
+def fields(rows: list[bytes], charset: str) -> Headers:
+    """Header lines as names and values, repeated ones in their order; a line that begins with a space goes on with the one before."""
+    out: Headers = []
+    for row in rows:
+        text = row.decode(charset, "replace").rstrip("\r")
+        if text[:1] in (" ", "\t") and out:
+            out[-1] = (out[-1][0], f"{out[-1][1]} {text.strip()}")
+        elif text:
+            key, _, told = text.partition(":")
+            out.append((key.strip(), told.strip()))
+    return out
+
+
+def parse(data: bytes) -> Iterator[tuple[Headers, bytes, str | None]]:
+    """(headers, block, error) of each record of a WARC file's bytes, compressed or not.
+
+    What is no record, has no valid length or is cut short comes with an error,
+    and reading goes on at the next line that begins a record.
+    """
+    if data[:2] == b"\x1f\x8b":
+        whole, rest = [], data
+        try:
+            while rest:
+                member = zlib.decompressobj(31)
+                whole.append(member.decompress(rest) + member.flush())
+                rest = member.unused_data
+                if not member.eof:
+                    break
+        except zlib.error:
+            pass
+        data = b"".join(whole)
+    at = 0
+    while at < len(data):
+        begin = at if data.startswith(b"WARC/", at) else data.find(b"\nWARC/", at) + 1 or len(data)
+        if data[at:begin].strip():
+            yield [], data[at:begin], "not a WARC record"
+        if begin == len(data):
+            return
+        head = re.compile(rb"\r?\n\r?\n").search(data, begin)
+        if not head:
+            yield [], data[begin:], "cut short"
+            return
+        headers, size = fields(data[begin : head.start()].split(b"\n")[1:], "utf-8"), 0
+        stated = value(headers, "Content-Length", "")
+        at = head.end()
+        if not re.fullmatch(r"[0-9]+", stated):
+            yield headers, b"", "no valid length"
+            at = data.find(b"\nWARC/", at) + 1 or len(data)
             continue
-        if not first.startswith(b"WARC/"):
-            raise ValueError("not a WARC record")
-        headers, last = {}, ""
-        while (row := stream.readline().rstrip(b"\r\n")) != b"":
-            text = row.decode("utf-8", "replace")
-            if text[0] in " \t" and last:  # a folded line
-                headers[last] += " " + text.strip()
-                continue
-            last, _, value = text.partition(":")
-            last = last.strip()
-            headers[last] = value.strip()
-        size = int(headers.get("Content-Length", 0))
-        block = stream.read(size)
+        size = int(stated)
+        block = data[at : at + size]
         if len(block) < size:
-            raise ValueError("a record is cut short")
-        yield headers, block
+            yield headers, block, "cut short"
+            return
+        yield headers, block, None
+        at += size
+        at += re.compile(rb"[\r\n]*").match(data, at).end() - at
 
 
 def response(page_id: int | None, url: str | None, body: str | None, date: str = EPOCH) -> bytes:
@@ -88,11 +134,52 @@ def response(page_id: int | None, url: str | None, body: str | None, date: str =
     return record("response", headers, block)
 
 
-def http(block: bytes) -> tuple[str, dict[str, str], bytes]:
-    """(status line, headers, payload) of a response's block."""
-    head, _, payload = block.partition(b"\r\n\r\n")
-    status, *rows = head.decode("latin-1").split("\r\n")
-    return status, {k.strip(): v.strip() for k, _, v in (r.partition(":") for r in rows)}, payload
+def unchunked(body: bytes) -> bytes:
+    out, at = [], 0
+    while (end := body.find(b"\n", at)) >= 0:
+        size = int(body[at:end].split(b";")[0].strip() or b"0", 16)
+        if not size:
+            break
+        out.append(body[end + 1 : end + 1 + size])
+        at = end + 1 + size + (2 if body[end + 1 + size : end + 3 + size] == b"\r\n" else 1)
+    return b"".join(out)
+
+
+def http(block: bytes) -> tuple[str, Headers, bytes, bytes]:
+    """(status line, headers, body as sent, payload) of a response's block; encodings that don't hold are left as they are."""
+    end = re.search(rb"\r?\n\r?\n", block)
+    head, body = (block[: end.start()], block[end.end() :]) if end else (block, b"")
+    status, *rows = head.split(b"\n")
+    headers, payload = fields(rows, "latin-1"), body
+    try:
+        if "chunked" in value(headers, "Transfer-Encoding", "").lower():
+            payload = unchunked(payload)
+        for coding in reversed(value(headers, "Content-Encoding", "").lower().replace(" ", "").split(",")):
+            if coding in ("gzip", "x-gzip"):
+                payload = zlib.decompress(payload, 47)
+            elif coding == "deflate":
+                payload = zlib.decompress(payload) if payload[:1] == b"\x78" else zlib.decompress(payload, -15)
+    except (ValueError, zlib.error):
+        payload = body
+    return status.decode("latin-1").strip(), headers, body, payload
+
+
+def charset(headers: Headers, payload: bytes) -> str:
+    """The encoding that the headers or the page's first 1,024 bytes state, else UTF-8."""
+    stated = re.search(r"charset\s*=\s*[\"']?([\w.:-]+)", value(headers, "Content-Type", ""), re.I) or re.search(r"<meta[^>]*charset\s*=\s*[\"']?([\w.:-]+)", payload[:1024].decode("latin-1"), re.I)
+    try:
+        return codecs.lookup(stated[1]).name if stated else "utf-8"
+    except LookupError:
+        return "utf-8"
+
+
+def digest_holds(stated: str | None, *data: bytes) -> bool:
+    """Whether a stated digest is that of one of the data; none, or one of an unknown algorithm, is taken as it is."""
+    name_, _, told = (stated or "").partition(":")
+    if name_.lower() not in ("sha1", "sha256", "md5"):
+        return True
+    found = [hashlib.new(name_.lower(), x).digest() for x in data]
+    return any(told.lower() == x.hex() or told.upper().rstrip("=") == base64.b32encode(x).decode().rstrip("=") for x in found)
 
 
 def opened(page: str) -> str:
@@ -123,22 +210,24 @@ def links(page: str, base: str) -> list[dict[str, str]]:
     return found
 
 
-def derive(headers: dict[str, str], block: bytes) -> Iterator[bytes]:
+def derive(headers: Headers, block: bytes) -> Iterator[bytes]:
     """The metadata and conversion records of a response record."""
-    status, told, payload = http(block)
-    own = digest(payload)
-    page = opened(payload.decode("utf-8", "replace"))
-    source, uri = headers.get("WARC-Record-ID", ""), headers.get("WARC-Target-URI", "")
+    status, told, body, payload = http(block)
+    try:
+        page = opened(payload.decode(charset(told, payload), "replace"))
+    except (LookupError, ValueError):  # a codec that isn't one of texts
+        page = opened(payload.decode("utf-8", "replace"))
+    source, uri = value(headers, "WARC-Record-ID", ""), value(headers, "WARC-Target-URI", "")
     title = TITLE.search(page)
     envelope = {
         "WARC-Header": headers,
         "HTTP-Response": {"Status": status, "Headers": told},
-        "Payload-Digest": own,
+        "Payload-Digest": digest(payload),
         "HTML": {"Title": line(html.unescape(TAG.sub("", title[1]))) if title else None, "Links": links(page, uri)},
     }
-    common = {"WARC-Refers-To": source, "WARC-Target-URI": uri, "WARC-Date": headers.get("WARC-Date", EPOCH), "WARC-Payload-Digest": headers.get("WARC-Payload-Digest", own)}
-    yield record("metadata", {"WARC-Record-ID": name("metadata", source)} | common | {"Content-Type": "application/json"}, json.dumps(envelope, ensure_ascii=False, sort_keys=True).encode())
-    yield record("conversion", {"WARC-Record-ID": name("conversion", source)} | common | {"Content-Type": "text/plain; charset=utf-8"}, plain(page).encode())
+    common = {"WARC-Refers-To": source, "WARC-Target-URI": uri, "WARC-Date": value(headers, "WARC-Date", EPOCH), "WARC-Source-Payload-Digest": value(headers, "WARC-Payload-Digest", digest(body))}
+    for kind, content, made in (("metadata", "application/json", json.dumps(envelope, ensure_ascii=False, sort_keys=True).encode("utf-8", "replace")), ("conversion", "text/plain; charset=utf-8", plain(page).encode("utf-8", "replace"))):
+        yield record(kind, {"WARC-Record-ID": name(kind, source)} | common | {"WARC-Payload-Digest": digest(made), "Content-Type": content}, made)
 
 
 def responses(pages: DataFrame, date: str = EPOCH) -> DataFrame:
@@ -158,44 +247,49 @@ def responses(pages: DataFrame, date: str = EPOCH) -> DataFrame:
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """(page_id, record) of the records of all WARC files under path; page_id is null. A file is read by one task, record after record."""
-    prepare(spark)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for data in batch.column(0).to_pylist():
-                for headers, block in parse(data):
-                    own = b"WARC/1.0\r\n" + "".join(f"{k}: {v}\r\n" for k, v in headers.items()).encode() + b"\r\n" + block + b"\r\n\r\n"
-                    yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([own], pa.binary())], ["page_id", "record"])
+    """(page_id, record) of the records of all WARC files (.warc or .warc.gz) under path; page_id is null.
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "page_id long, record binary")
+    Files are split at the lines that begin records, so that a large one is read
+    by many tasks (a compressed one by one, as a stream). A payload that holds such
+    a line after an empty one is cut there, and reported by derivatives().
+    """
+    prepare(spark)
+    rows = spark.read.option("lineSep", "\r\n\r\nWARC/1.").text(path).select(F.col("value").cast("binary").alias("value"))
+    begins = F.substring("value", 1, 5) == F.lit(b"WARC/")
+    own = F.concat(F.when(begins, F.lit(b"")).otherwise(F.lit(b"WARC/1.")), "value", F.lit(b"\r\n\r\n"))
+    return rows.filter(F.length("value") > 0).select(F.lit(None).cast("long").alias("page_id"), own.alias("record"))
 
 
-FIELDS = {"record_type": "WARC-Type", "record_id": "WARC-Record-ID", "refers_to": "WARC-Refers-To", "target_uri": "WARC-Target-URI", "warc_date": "WARC-Date", "content_type": "Content-Type", "block_digest": "WARC-Block-Digest", "payload_digest": "WARC-Payload-Digest"}
+FIELDS = {"record_type": "WARC-Type", "record_id": "WARC-Record-ID", "refers_to": "WARC-Refers-To", "target_uri": "WARC-Target-URI", "warc_date": "WARC-Date", "content_type": "Content-Type", "block_digest": "WARC-Block-Digest", "payload_digest": "WARC-Payload-Digest", "source_digest": "WARC-Source-Payload-Digest"}
 
 
 def derivatives(records: DataFrame, compress: bool = False) -> DataFrame:
-    """Two rows for each response among records (page_id, record): the FIELDS of a derivative record, its content_length, source_headers (JSON), title and links of the source, text (of a conversion), digest_ok and record, its bytes.
-
-    Records of other types give nothing. The fields are those read back from the
-    record's bytes. digest_ok: the source's block and payload have the digests
-    that its headers state. An empty payload has an empty conversion. An empty
-    table gives an empty result.
+    """Two rows for each response among records (page_id, record): the FIELDS of a derivative record, its content_length, source_headers (a JSON list of names and values), title and links of the source, text (of a conversion), digest_ok, error and record, its bytes.
+
+    Records of other types give nothing; a null record gives nothing. A malformed
+    record gives one row with its page_id, source_headers and error alone. The
+    fields are those read back from the record's bytes. digest_ok: the source's
+    block and payload (as sent or decoded) have the digests that its headers
+    state. An empty payload has an empty conversion. Pages of any length are
+    converted whole; repeated rows give the same records again. An empty table
+    gives an empty result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[dict] = []
             for page_id, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for headers, block in parse(data or b""):
-                    if headers.get("WARC-Type") != "response":
+                for headers, block, error in parse(data or b""):
+                    stated = json.dumps(headers, ensure_ascii=False)
+                    if error:
+                        out.append({"page_id": page_id, "source_headers": stated, "error": error})
+                    if error or value(headers, "WARC-Type", "").lower() != "response":
                         continue
-                    stated = json.dumps(headers, ensure_ascii=False, sort_keys=True)
-                    ok = headers.get("WARC-Block-Digest", digest(block)) == digest(block) and headers.get("WARC-Payload-Digest") in (None, digest(http(block)[2]))
+                    ok = digest_holds(value(headers, "WARC-Block-Digest"), block) and digest_holds(value(headers, "WARC-Payload-Digest"), *http(block)[2:])
                     for made in derive(headers, block):
-                        [(told, text)] = parse(made)
-                        meta = json.loads(text)["HTML"] if told["WARC-Type"] == "metadata" else {}
-                        row = {k: told.get(v) for k, v in FIELDS.items()}
+                        [(told, text, _)] = parse(made)
+                        meta = json.loads(text)["HTML"] if value(told, "WARC-Type") == "metadata" else {}
+                        row = {k: value(told, v) for k, v in FIELDS.items()}
                         row |= {"page_id": page_id, "content_length": len(text), "source_headers": stated, "title": meta.get("Title"), "links": [x["url"] for x in meta.get("Links", [])], "text": None if meta else text.decode(), "digest_ok": ok}
                         out.append(row | {"record": gzip.compress(made, 6, mtime=0) if compress else made})
             yield pa.RecordBatch.from_pylist(out, SCHEMA)
@@ -204,5 +298,5 @@ def derivatives(records: DataFrame, compress: bool = False) -> DataFrame:
     return records.select("page_id", "record").mapInArrow(run, ", ".join(f"{f.name} {KINDS[f.type]}" for f in SCHEMA))
 
 
-SCHEMA = pa.schema([("page_id", pa.int64()), *((k, pa.string()) for k in FIELDS), ("content_length", pa.int64()), ("source_headers", pa.string()), ("title", pa.string()), ("links", pa.list_(pa.string())), ("text", pa.string()), ("digest_ok", pa.bool_()), ("record", pa.binary())])
+SCHEMA = pa.schema([("page_id", pa.int64()), *((k, pa.string()) for k in FIELDS), ("content_length", pa.int64()), ("source_headers", pa.string()), ("title", pa.string()), ("links", pa.list_(pa.string())), ("text", pa.string()), ("digest_ok", pa.bool_()), ("error", pa.string()), ("record", pa.binary())])
 KINDS = {pa.int64(): "long", pa.string(): "string", pa.list_(pa.string()): "array<string>", pa.bool_(): "boolean", pa.binary(): "binary"}

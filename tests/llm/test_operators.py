@@ -1,6 +1,8 @@
 """Each operator against brute force on small tables, and on odd rows."""
 
+import gzip
 import hashlib
+import json
 import re
 import zlib
 
@@ -260,7 +262,7 @@ def kneser_ney(texts):
     return p
 
 
-@pytest.mark.parametrize("head", [0, 1 << 19])
+@pytest.mark.parametrize("head", [0, 60, 1 << 19])
 def test_quality_matches_dictionaries(spark, monkeypatch, head):
     monkeypatch.setattr(quality, "HEAD", head)
     rng = np.random.default_rng(7)
@@ -390,14 +392,14 @@ def test_warc_records_round_trip(spark, data, tmp_path):
     assert len(out) == 2 * made.count() and all(r.digest_ok for r in out)
     by = {}
     for r in out:
-        [(headers, block)] = warc.parse(r.record)
-        assert headers["WARC-Refers-To"] == r.refers_to and warc.digest(block) == r.block_digest and len(block) == r.content_length
+        [(headers, block, error)] = warc.parse(r.record)
+        assert error is None and dict(headers)["WARC-Refers-To"] == r.refers_to and warc.digest(block) == r.block_digest and len(block) == r.content_length
         by.setdefault(r.refers_to, []).append(r)
-    sources = {h["WARC-Record-ID"]: h for r in made.collect() for h, _ in warc.parse(r.record)}
+    sources = {dict(h)["WARC-Record-ID"]: dict(h) for r in made.collect() for h, *_ in warc.parse(r.record)}
     assert set(by) == set(sources)
     for k, own in by.items():
         assert {r.record_type for r in own} == {"metadata", "conversion"}
-        assert all(r.target_uri == sources[k].get("WARC-Target-URI") and r.payload_digest == sources[k]["WARC-Payload-Digest"] for r in own)
+        assert all(r.target_uri == sources[k].get("WARC-Target-URI") and r.source_digest == sources[k]["WARC-Payload-Digest"] and r.payload_digest == r.block_digest for r in own)
     told = {r.record_type: r for r in out if r.page_id == 2 and r.title}
     text = next(r.text for r in out if r.record_type == "conversion" and r.refers_to == told["metadata"].refers_to)
     assert told["metadata"].title == "T & t" and told["metadata"].links == ["http://a.example/c"] and text == "One\ntwoc"
@@ -405,6 +407,119 @@ def test_warc_records_round_trip(spark, data, tmp_path):
     assert warc.derivatives(warc.read(spark, str(tmp_path))).count() == len(out)
 
 
+def made_by_hand(head, body, kind=b"response"):
+    block = head + b"\r\n\r\n" + body
+    return b"WARC/1.1\r\nwarc-type: " + kind + b"\r\nwarc-record-id: <urn:x:1>\r\nWARC-Target-URI: http://h.example/d/p\r\nWARC-Concurrent-To: <urn:x:2>\r\nWARC-Concurrent-To: <urn:x:3>\r\ncontent-length: " + str(len(block)).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def test_warc_made_by_hand(spark, tmp_path):
+    """Names in any case, repeated and folded headers, charsets, transfer and content encodings, and records that are none."""
+    page = "<title>Caf\u00e9</title><a href='x'>\u00e9t\u00e9</a>"
+    cases = [
+        made_by_hand(b"HTTP/1.1 200 OK\r\nSet-Cookie: a=1\r\nset-cookie: b=2\r\nX-Long: one\r\n  two\r\nContent-Type: text/html; charset=iso-8859-1", page.encode("latin-1")),
+        made_by_hand(b"HTTP/1.1 200 OK\r\ncontent-type: text/html\r\nContent-Encoding: gzip", gzip.compress(page.encode())),
+        made_by_hand(b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked", b"5\r\n<titl\r\n" + hex(len(page.encode()) - 5)[2:].encode() + b";x=y\r\n" + page.encode()[5:] + b"\r\n0\r\n\r\n"),
+        made_by_hand(b"HTTP/1.1 200 OK", b"<meta charset='windows-1252'>" + page.encode("cp1252")),
+        made_by_hand(b"HTTP/1.1 200 OK\r\nContent-Encoding: gzip", page.encode()),
+        made_by_hand(b"GET / HTTP/1.1", b"", b"request"),
+    ]
+    bad = [b"no record at all", cases[0].replace(b"content-length: ", b"content-length: x"), cases[0][:-60], cases[0].replace(b"content-length", b"x-length")]
+    rows = list(enumerate(cases + bad)) + [(100, None), (101, b""), (102, b"junk\n" + cases[0] + cases[3])]
+    out = warc.derivatives(spark.createDataFrame(rows, "page_id long, record binary")).collect()
+    good = [r for r in out if r.error is None]
+    assert sorted(r.page_id for r in good) == sorted([0, 1, 2, 3, 4] * 2 + [102] * 4)
+    assert {r.page_id: r.error for r in out if r.error} == {6: "not a WARC record", 7: "no valid length", 8: "cut short", 9: "no valid length", 102: "not a WARC record"}
+    for r in good:
+        assert r.refers_to == "<urn:x:1>" and r.digest_ok and r.title in (None, "Caf\u00e9") and (r.record_type == "metadata" or r.text.endswith("\u00e9t\u00e9"))
+        assert r.record_type == "conversion" or r.links == ["http://h.example/d/x"]
+    meta = json.loads(next(warc.parse(next(r.record for r in good if r.page_id == 0 and r.record_type == "metadata")))[1])
+    assert meta["HTTP-Response"]["Headers"][:3] == [["Set-Cookie", "a=1"], ["set-cookie", "b=2"], ["X-Long", "one two"]]
+    assert [v for k, v in meta["WARC-Header"] if k == "WARC-Concurrent-To"] == ["<urn:x:2>", "<urn:x:3>"]
+    (tmp_path / "a.warc").write_bytes(b"".join(cases))
+    (tmp_path / "b.warc.gz").write_bytes(b"".join(map(gzip.compress, cases)))
+    read = warc.derivatives(warc.read(spark, str(tmp_path))).collect()
+    assert len(read) == 20 and all(r.error is None for r in read)
+    assert list(warc.parse(b"".join(map(gzip.compress, cases)))) == list(warc.parse(b"".join(cases)))
+
+
+def test_webp_by_hand():
+    """A file written bit by bit from the format's description: predictor, cross-colour, subtract-green, colour cache and a back-reference."""
+
+    class Bits:
+        def __init__(self):
+            self.out = []
+
+        def put(self, value, n):
+            self.out += [(value >> k) & 1 for k in range(n)]
+
+        def code(self, word):  # prefix codes go with their first bit first
+            self.out += [int(c) for c in word]
+
+        def file(self):
+            data = np.packbits(np.array(self.out + [0] * (-len(self.out) % 8), np.uint8), bitorder="little").tobytes()
+            chunk = b"VP8L" + len(data).to_bytes(4, "little") + data + b"\0" * (len(data) % 2)
+            return b"RIFF" + (len(chunk) + 4).to_bytes(4, "little") + b"WEBP" + chunk
+
+    def simple(b, *symbols):  # a simple code of one or two symbols of 8 bits
+        b.put(1, 1)
+        b.put(len(symbols) - 1, 1)
+        b.put(1, 1)
+        for x in symbols:
+            b.put(x, 8)
+
+    def one_each(b, green, red=0, blue=0, alpha=0):  # an image whose pixels are all the same
+        for x in (green, red, blue, alpha):
+            simple(b, x)
+        simple(b, 0)
+
+    b = Bits()
+    b.put(0x2F, 8)
+    b.put(3, 14)  # width 4
+    b.put(0, 14)  # height 1
+    b.put(1, 1)  # alpha is used
+    b.put(0, 3)
+    b.put(1, 1)
+    b.put(2, 2)  # subtract-green
+    b.put(1, 1)
+    b.put(1, 2)  # cross-colour, blocks of 4, an image of one pixel: red to blue 0, green to blue 16, green to red 32
+    b.put(0, 3)
+    b.put(0, 1)
+    one_each(b, 16, 0, 32, 255)
+    b.put(1, 1)
+    b.put(0, 2)  # predictor, blocks of 4, mode 1
+    b.put(0, 3)
+    b.put(0, 1)
+    one_each(b, 1, alpha=255)
+    b.put(0, 1)  # no more transforms
+    b.put(1, 1)
+    b.put(1, 4)  # a colour cache of two
+    b.put(0, 1)  # one group of codes
+    # green's code lengths: 11 (a literal) has 1, 256 (a run of one pixel) and 281 (the cache's second colour) have 2.
+    b.put(0, 1)
+    b.put(1, 4)  # lengths of 17, 18, 0, 1, 2 in the code of lengths: 18 is `0`, 1 is `10`, 2 is `11`
+    for length in (0, 1, 0, 2, 2):
+        b.put(length, 3)
+    b.put(0, 1)  # all 282 follow
+    for word, *zeros in (("10", 11), ("11", 138, 106), ("11", 24)):
+        for n in zeros:
+            b.code("0")
+            b.put(n - 11, 7)
+        b.code(word)
+    for x in (7, 9, 255, 1):  # red, blue, alpha and distance: the last names prefix 1, that is place 2 of the neighbours, the pixel to the left
+        simple(b, x)
+    cached = (0x1E35A7BD * (255 << 24 | 7 << 16 | 11 << 8 | 9) & 0xFFFFFFFF) >> 31
+    for word in ("0", "10", "11" if cached else "0", "0"):
+        b.code(word)
+    # All residuals are alpha 255, red 7, green 11, blue 9. The first is added to opaque black, others to the pixel before.
+    want, pixel = [], [255, 0, 0, 0]
+    for _ in range(4):
+        pixel = [(x + d) & 255 for x, d in zip(pixel, (255, 7, 11, 9))]
+        alpha, red, green, blue = pixel
+        red, blue = red + (32 * green >> 5), blue + (16 * green >> 5)  # cross-colour; green stays below 128
+        want.append(alpha << 24 | (red + green & 255) << 16 | green << 8 | (blue + green & 255))
+    assert webp.decode(b.file()).ravel().tolist() == want
+
+
 def test_empty_tables(spark, odd, labels, benchmark, data):
     none = odd.limit(0)
     for df in (simhash.near_duplicates(none), simhash.keep_first(none), substring.removed(none), tokens.round_trip(none), media.images(none), language.identify(none), quality.classify(none, labels), toxicity.classify(none, labels), decontaminate.clean(none, benchmark), mixing.mix(none), warc.derivatives(warc.responses(spark.read.parquet(f"{data}/pages.parquet").limit(0)))):
@@ -431,58 +546,10 @@ def test_quality_knows_words_of_every_script(spark):
         labels = spark.createDataFrame([(k, 1) for k in range(240)], "doc_id long, quality int")
         got = {r.doc_id: r.keep for r in quality.classify(df, labels).collect()}
         assert np.mean([got[k] for k in range(260)]) > 0.95 and not any(got[k] for k in range(260, 280))
-    few, more = (quality.word_model(df.limit(k).select("text"))[0].count() for k in (5, 200))
+    few, more = (quality.values_of(quality.model(df.filter(f"doc_id < {k}").select("text"))[0]).count() for k in (5, 200))
     assert 0 < few < more
 
 
-def test_quality_joins_give_the_models_bits(spark, monkeypatch):
-    """Sums of joined values are those of the interpolated formula, word by word, with and without a head."""
-    rng = np.random.default_rng(13)
-    texts = [" ".join(rng.choice(list("abcdefgh"), 30)) for _ in range(40)] + ["a b zzz, c"]
-    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
-    values, unknown = quality.word_model(df.select("text"))
-    count, spelling = {}, np.full(quality.SYMBOLS**quality.ORDER, 5, np.float32)
-    for t in texts:
-        data = np.frombuffer(t.encode() + b"\n", np.uint8)
-        s = quality.sequence(data, np.array([0, len(data)]), False)[0].tolist()
-        for k in range(2, len(s)):
-            count[tuple(s[k - 2 : k + 1])] = count.get(tuple(s[k - 2 : k + 1]), 0) + 1
-    tables = [count]
-    for _ in range(2):
-        lower = {}
-        for g in tables[0]:
-            lower[g[1:]] = lower.get(g[1:], 0) + 1
-        tables.insert(0, lower)
-    after = []
-    for t in tables:
-        m = [sum(n == k for n in t.values()) for k in range(1, 5)]
-        y = m[0] / (m[0] + 2 * m[1]) if m[0] + m[1] else 0.5
-        d = [min(max(k - (k + 1) * y * m[k] / m[k - 1] if m[k - 1] else k * 0.5, 0.05), k - 0.05) for k in (1, 2, 3)]
-        found = {}
-        for g, n in t.items():
-            total, left = found.get(g[:-1] or g[-1] & 1, (0, 0))
-            found[g[:-1] or g[-1] & 1] = total + n, left + d[min(n, 3) - 1]
-        after.append((t, d, found))
-
-    def p(g, spelled):
-        t, d, found = after[len(g) - 1]
-        if len(g) == 1:
-            total, left = found[g[0] & 1]
-            return (t[g] - d[min(t[g], 3) - 1]) / total if g in t else left / total * spelled
-        if g[:-1] not in found:
-            return p(g[1:], spelled)
-        total, left = found[g[:-1]]
-        return (t[g] - d[min(t[g], 3) - 1] if g in t else 0) / total + left / total * p(g[1:], spelled)
-
-    for head in (0, 20, quality.HEAD):
-        monkeypatch.setattr(quality, "HEAD", head)
-        for r in quality.word_bits(df, spelling, values, unknown, ["doc_id"]).collect():
-            data = np.frombuffer(texts[r.doc_id].encode() + b"\n", np.uint8)
-            s, _, told, start, end = quality.sequence(data, np.array([0, len(data)]), True)
-            want = -sum(np.log2(p(tuple(s[k - 2 : k + 1].tolist()), 2.0 ** -float((5 + quality.WITHIN[data[a:b]]).sum()))) for k, a, b in zip(np.flatnonzero(told), start, end))
-            assert abs(r["__bits"] * (len(data) - 1) - want) < 1e-6
-
-
 def test_decontamination_verifies_the_longest_stretch(spark):
     """Whole items with scattered substitutions, an exact run before a worse one, and items too short for the long masks."""
     item = {k: [f"i{k}w{j}" for j in range(n)] for k, n in enumerate((15, 12, 112, *range(1, 12)))}
