@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, prepare, stored
+from .common import prepare, stored
 from .decontaminate import SLOTS, _in, bitmap
 from .text import hashed, joined, mix, slices
 
@@ -269,9 +269,9 @@ def bits(docs: DataFrame, values: DataFrame, opening: np.ndarray, base: np.ndarr
             row += batch.num_rows
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.names.index(c)) for c in carry), pa.array(size), pa.array(total), pa.array(model_of), pa.array(ids), lists], [*carry, *(x[0] for x in added)])
 
-    read = cut(docs.mapInArrow(run, schema))  # so that a row keeps its number
+    read = stored(docs.mapInArrow(run, schema))  # so that a row keeps its number
     grams = read.select("__q_row", F.col("__q_half").alias("half"), F.explode("__q_open").alias("g")).select("__q_row", "half", "g.gram", F.col("g.n").alias("m"))
-    more = grams.join(values.select(*KEY, "v"), KEY).groupBy(F.col("__q_row").alias("__q_of")).agg(F.sum(F.col("m") * F.col("v")).alias("__q_more"))
+    more = stored(grams.join(values.select(*KEY, "v"), KEY).groupBy(F.col("__q_row").alias("__q_of")).agg(F.sum(F.col("m") * F.col("v")).alias("__q_more")))
     out = read.join(more, F.col("__q_row") == F.col("__q_of"), "left")
     mean = F.when(F.col("__q_n") > 0, (F.col("__q_sum") + F.coalesce("__q_more", F.lit(0.0))) / (F.col("__q_n") + 1))
     return out.select(*carry, "__q_n", mean.alias("__q_bits"))
@@ -306,8 +306,8 @@ def judged(docs: DataFrame, labels: DataFrame, carry: list[str], low: float = 0.
     some = docs.select(*dict.fromkeys([*carry, "doc_id", "lang", "text"])).withColumns({"__q_lang": F.col("lang").cast("string"), "text": F.col("text").cast("string")})
     tables, opening, base = model(trusted_of(some, labels).select("text"))
     marked = trusted_of(some, labels, "left").withColumn("__q_good", F.col("__q_id").isNotNull()).drop("__q_id")
-    out = cut(bits(marked, values_of(tables), opening, base, [*carry, "__q_lang", "__q_good"]))
-    ends = cut(quantiles(out.filter("__q_good").select(F.col("__q_lang").alias("lang"), F.col("__q_bits").alias("bits")), low, high, least))
+    out = bits(marked, values_of(tables), opening, base, [*carry, "__q_lang", "__q_good"])
+    ends = stored(quantiles(out.filter("__q_good").select(F.col("__q_lang").alias("lang"), F.col("__q_bits").alias("bits")), low, high, least))
     every = ends.filter("lang IS NULL").select(F.col("lo").alias("__q_all_lo"), F.col("hi").alias("__q_all_hi"))
     own = ends.filter("lang IS NOT NULL").select(F.col("lang").alias("__q_of"), F.col("lo").alias("__q_own_lo"), F.col("hi").alias("__q_own_hi"))
     out = out.join(F.broadcast(own), F.col("__q_lang") == F.col("__q_of"), "left")  # a row for each language of at least `least` documents

@@ -505,15 +505,15 @@ def test_webp_by_hand():
             b.code("0")
             b.put(n - 11, 7)
         b.code(word)
-    for x in (7, 9, 255, 1):  # red, blue, alpha and distance: the last names prefix 1, that is place 2 of the neighbours, the pixel to the left
+    for x in (8, 9, 255, 1):  # red, blue, alpha and distance: the last names prefix 1, that is place 2 of the neighbours, the pixel to the left
         simple(b, x)
-    cached = (0x1E35A7BD * (255 << 24 | 7 << 16 | 11 << 8 | 9) & 0xFFFFFFFF) >> 31
-    for word in ("0", "10", "11" if cached else "0", "0"):
+    assert (0x1E35A7BD * (255 << 24 | 8 << 16 | 11 << 8 | 9) & 0xFFFFFFFF) >> 31 == 1  # the pixel's place in the cache
+    for word in ("0", "10", "11", "0"):
         b.code(word)
-    # All residuals are alpha 255, red 7, green 11, blue 9. The first is added to opaque black, others to the pixel before.
+    # All residuals are alpha 255, red 8, green 11, blue 9. The first is added to opaque black, others to the pixel before.
     want, pixel = [], [255, 0, 0, 0]
     for _ in range(4):
-        pixel = [(x + d) & 255 for x, d in zip(pixel, (255, 7, 11, 9))]
+        pixel = [(x + d) & 255 for x, d in zip(pixel, (255, 8, 11, 9))]
         alpha, red, green, blue = pixel
         red, blue = red + (32 * green >> 5), blue + (16 * green >> 5)  # cross-colour; green stays below 128
         want.append(alpha << 24 | (red + green & 255) << 16 | green << 8 | (blue + green & 255))
