@@ -66,6 +66,15 @@ def binned_rms(df: DataFrame, x: str, y: str, low: float, high: float, n: int) -
     return bins.agg(F.sqrt(F.avg(F.col("m") * F.col("m"))).alias("rms"), F.count(F.lit(1)).alias("bins"), F.sum("n").alias("n"))
 
 
+def equal_count_rms(df: DataFrame, x: str, y: str, n: int) -> DataFrame:
+    """Root mean square of the medians of y in n right-closed bins of equal counts of x; bins of equal edges are one."""
+    some = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
+    edges = some.agg(F.array_distinct(F.percentile(x, [k / n for k in range(n + 1)])).alias("_edges"))  # one row
+    bins = some.join(F.broadcast(edges), F.lit(True)).withColumn("bin", F.greatest(F.lit(1), F.size(F.filter("_edges", lambda e: e < F.col(x)))))
+    bins = bins.groupBy("bin").agg(F.median(y).alias("m"), F.count(F.lit(1)).alias("n"))
+    return bins.agg(F.sqrt(F.avg(F.col("m") * F.col("m"))).alias("rms"), F.count(F.lit(1)).alias("bins"), F.sum("n").alias("n"))
+
+
 def earnings(df: DataFrame, keys: Sequence[str], money: str, amount: str, hours: float) -> DataFrame:
     """Totals and ratios of trades, largest first; ratios are rounded half to even."""
     a = df.groupBy(*keys).agg(F.sum(money).alias("total"), F.count(F.lit(1)).alias("trades"), F.sum(amount).alias("units"))

@@ -137,12 +137,14 @@ def routes(stations: DataFrame, gates: DataFrame, sectors: DataFrame, highways:
     return stations.groupBy("station").applyInPandas(run, "source string, target string, plain_km double, highway_km double")
 
 
-def tag_groups(tags: DataFrame, rounds: int = 4) -> DataFrame:
-    """(owner, tag, grp): tags of one owner that share a store, over (owner, store, tag), are one group, named by its least tag."""
+def tag_groups(tags: DataFrame) -> DataFrame:
+    """(owner, tag, grp): tags of one owner that share a store, over (owner, store, tag), are one group, named by its least tag. Goes on until no label changes."""
     label = tags.select("owner", "store", "tag").distinct().withColumn("grp", F.col("tag"))
-    for _ in range(rounds):
+    while True:
         by_store = label.groupBy("owner", "store").agg(F.min("grp").alias("_s"))
-        label = label.join(by_store, ["owner", "store"]).withColumn("grp", F.least("grp", "_s")).drop("_s")
-        by_tag = label.groupBy("owner", "tag").agg(F.min("grp").alias("_t"))
-        label = label.join(by_tag, ["owner", "tag"]).withColumn("grp", F.least("grp", "_t")).drop("_t")
-    return label.select("owner", "tag", "grp").distinct()
+        now = label.join(by_store, ["owner", "store"]).withColumn("_g", F.least("grp", "_s")).drop("_s")
+        by_tag = now.groupBy("owner", "tag").agg(F.min("_g").alias("_t"))
+        now = now.join(by_tag, ["owner", "tag"]).withColumn("_g", F.least("_g", "_t")).drop("_t").checkpoint()
+        label, moved = now.select("owner", "store", "tag", F.col("_g").alias("grp")), now.filter("_g <> grp")
+        if moved.isEmpty():
+            return label.select("owner", "tag", "grp").distinct()

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import relational, views
+from . import idioms, logs, market, relational, views  # noqa: F401 - those that use relational's registry
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

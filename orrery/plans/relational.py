@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -57,10 +58,17 @@ def win01_flow_totals(spark, sf_dir):
 FLEET_SQL = "e AS (SELECT c_custkey // 10 AS leader, c_custkey AS follower FROM customer WHERE c_custkey // 10 > 0 AND c_custkey // 10 <> c_custkey), tree(ship, cmdr, depth) AS (SELECT follower, leader, 1 FROM e UNION ALL SELECT t.ship, e.leader, t.depth + 1 FROM tree t JOIN e ON e.follower = t.cmdr WHERE t.depth < 64)"
 
 
+def checkpoints(spark: SparkSession) -> None:
+    """The checkpoint folder that the cluster names; one of this machine only where none is set, as in tests."""
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="orrery-"))
+
+
 def fleet(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer")
     edges = c.select(F.floor(F.col("c_custkey") / 10).cast("long").alias("leader"), F.col("c_custkey").alias("follower")).filter("leader > 0 AND leader <> follower")
-    return G.descendants(spark, edges).select(F.col("member").alias("ship"), F.col("root").alias("cmdr"), "depth")
+    checkpoints(spark)
+    return G.closure(edges).select(F.col("member").alias("ship"), F.col("root").alias("cmdr"), "depth")
 
 
 @query(f"WITH RECURSIVE {FLEET_SQL} SELECT ship, cmdr, depth FROM tree")
@@ -154,11 +162,11 @@ def agg03_market_stat(spark, sf_dir):
     return A.market(offers(spark, sf_dir), ["place", "ware", "side"], "price", "amount").withColumns({"amount": r("amount", 2), "price_avg": r("price_avg")})
 
 
-@query("""WITH rel AS (SELECT l_suppkey % 20 AS faction, l_partkey % 20 AS other, CASE l_returnflag WHEN 'R' THEN 'booster' WHEN 'A' THEN 'discount' ELSE 'base' END AS kind, (l_discount - 0.05) * 4 AS value FROM lineitem WHERE l_linenumber = 7 AND l_quantity > 45)
+@query("""WITH rel AS (SELECT l_suppkey % 20 AS faction, l_partkey % 20 AS other, CASE l_returnflag WHEN 'R' THEN 'booster' WHEN 'A' THEN 'discount' ELSE 'base' END AS kind, (l_discount - 0.05) * 4 AS value FROM lineitem)
  SELECT faction, other, ROUND(sum(CASE WHEN kind = 'base' THEN value ELSE 0 END), 6) + 0.0 AS base, ROUND(sum(CASE WHEN kind = 'booster' THEN value ELSE 0 END), 6) + 0.0 AS booster,
  ROUND(least(1, greatest(-1, CASE WHEN bool_or(kind = 'booster') THEN sum(CASE WHEN kind = 'booster' THEN value ELSE 0 END) ELSE sum(CASE WHEN kind = 'base' THEN value ELSE 0 END) END)), 6) + 0.0 AS effective FROM rel WHERE kind IN ('base', 'booster') GROUP BY faction, other""")
 def agg04_standing(spark, sf_dir):
-    l = table(spark, sf_dir, "lineitem").filter("l_linenumber = 7 AND l_quantity > 45")
+    l = table(spark, sf_dir, "lineitem")
     kind = F.when(F.col("l_returnflag") == "R", "booster").when(F.col("l_returnflag") == "A", "discount").otherwise("base")
     rel = l.select((F.col("l_suppkey") % 20).alias("faction"), (F.col("l_partkey") % 20).alias("other"), kind.alias("kind"), ((F.col("l_discount") - 0.05) * 4).alias("value"))
     return A.standing(rel, ["faction", "other"], "kind", "value").select("faction", "other", *[(r(c, 6) + 0.0).alias(c) for c in ("base", "booster", "effective")])
@@ -261,8 +269,7 @@ def agg34_rollup_label(spark, sf_dir):
 def join01_keep_first(spark, sf_dir):
     s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("follower"), F.col("s_nationkey").alias("conn"))
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("leader"), F.col("c_nationkey").alias("conn"))
-    least = c.groupBy("conn").agg(F.min("leader").alias("leader"), (F.countDistinct("leader") > 1).alias("conflict"))
-    return s.join(least, "conn").select("follower", "leader", "conflict")
+    return J.first_leader(s, c, "conn", "follower", "leader", ["leader"]).select("follower", "leader", "conflict")
 
 
 @query("""SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN o_custkey % 25 ELSE o_custkey % 7 END AS k, n_name FROM orders LEFT JOIN nation ON n_nationkey = CASE WHEN o_orderstatus = 'F' THEN o_custkey % 25 ELSE o_custkey % 7 END""")
@@ -300,10 +307,11 @@ def join12_semi(spark, sf_dir):
     return c.join(o, c["c_custkey"] == o["o_custkey"], "left_semi").select("c_custkey", "c_name")
 
 
-@query("SELECT c_custkey, c_nationkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey IS NOT DISTINCT FROM c_custkey)")
+@query("WITH c AS (SELECT nullif(c_custkey % 50, 0) AS k, c_custkey FROM customer), o AS (SELECT nullif(o_custkey % 35, 1) AS k FROM orders WHERE o_custkey % 2 = 1) SELECT c_custkey, k FROM c WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.k IS NOT DISTINCT FROM c.k)")
 def join14_anti_nullsafe(spark, sf_dir):
-    c, o = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
-    return c.join(o, c["c_custkey"].eqNullSafe(o["o_custkey"]), "left_anti").select("c_custkey", "c_nationkey")
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.nullif(F.col("c_custkey") % 50, F.lit(0)).alias("k"))
+    o = table(spark, sf_dir, "orders").filter("o_custkey % 2 = 1").select(F.nullif(F.col("o_custkey") % 35, F.lit(1)).alias("k"))
+    return c.join(o, c["k"].eqNullSafe(o["k"]), "left_anti").select("c_custkey", "k")
 
 
 @query("""WITH recipe AS (SELECT p_brand AS ware, p_size % 7 AS method, max(p_retailprice) AS price FROM part GROUP BY ALL), want AS (SELECT p_partkey, p_brand AS ware, p_size % 11 AS method FROM part)
@@ -367,7 +375,7 @@ HOPS_SQL = f"WITH RECURSIVE {GATES_SQL}, walk(source, node, hops) AS (SELECT n_n
 
 
 def hop_table(spark, sf_dir):
-    spark.sparkContext.getCheckpointDir() or spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/orrery-checkpoints")
+    checkpoints(spark)
     return G.hops(lanes(spark, sf_dir), table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("source")), 6)
 
 
@@ -387,9 +395,9 @@ def set01_union(spark, sf_dir):
     return table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k")).union(table(spark, sf_dir, "supplier").select("s_nationkey")).distinct()
 
 
-@query("SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders")
+@query("SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'F'")
 def set05_difference(spark, sf_dir):
-    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")).join(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k")), "k", "left_anti").distinct()
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")).join(table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'").select(F.col("o_custkey").alias("k")), "k", "left_anti").distinct()
 
 
 @query("SELECT coalesce(c_nationkey, s_nationkey) AS k, coalesce(c, 0) AS customers, coalesce(s, 0) AS suppliers FROM (SELECT c_nationkey, count(*) AS c FROM customer GROUP BY 1) FULL JOIN (SELECT s_nationkey, count(*) AS s FROM supplier GROUP BY 1) ON c_nationkey = s_nationkey")
