@@ -62,8 +62,9 @@ def value(headers: Headers, key: str, default: str | None = None) -> str | None:
     return next((v for k, v in headers if k.lower() == key.lower()), default)
 
 
-def record(kind: str, headers: dict[str, str], block: bytes) -> bytes:
-    told = {"WARC-Type": kind} | {k: line(v) for k, v in headers.items() if v} | {"WARC-Block-Digest": digest(block), "Content-Length": str(len(block))}
+def record(kind: str, headers: dict[str, str], block: bytes, own: str | None = None) -> bytes:
+    """A record's bytes; own: the digest of its block, if it is known."""
+    told = {"WARC-Type": kind} | {k: line(v) for k, v in headers.items() if v} | {"WARC-Block-Digest": own or digest(block), "Content-Length": str(len(block))}
     return b"WARC/1.0\r\n" + "".join(f"{k}: {v}\r\n" for k, v in told.items()).encode() + b"\r\n" + block + b"\r\n\r\n"
 
 
@@ -173,10 +174,10 @@ def charset(headers: Headers, payload: bytes) -> str:
         return "utf-8"
 
 
-def digest_holds(stated: str | None, *data: bytes) -> bool:
-    """Whether a stated digest is that of one of the data; none, or one of an unknown algorithm, is taken as it is."""
+def digest_holds(stated: str | None, *data: bytes, known: str | None = None) -> bool:
+    """Whether a stated digest is that of one of the data (known: the first one's digest()); none, or one of an unknown algorithm, is taken as it is."""
     name_, _, told = (stated or "").partition(":")
-    if name_.lower() not in ("sha1", "sha256", "md5"):
+    if name_.lower() not in ("sha1", "sha256", "md5") or stated == known:
         return True
     found = [hashlib.new(name_.lower(), x).digest() for x in data]
     return any(told.lower() == x.hex() or told.upper().rstrip("=") == base64.b32encode(x).decode().rstrip("=") for x in found)
@@ -210,24 +211,25 @@ def links(page: str, base: str) -> list[dict[str, str]]:
     return found
 
 
-def derive(headers: Headers, block: bytes) -> Iterator[bytes]:
-    """The metadata and conversion records of a response record."""
+def derive(headers: Headers, block: bytes) -> tuple[list[bytes], dict, bool]:
+    """(the metadata and conversion records of a response record, title and links, whether the digests that it states hold)."""
     status, told, body, payload = http(block)
     try:
         page = opened(payload.decode(charset(told, payload), "replace"))
     except (LookupError, ValueError):  # a codec that isn't one of texts
         page = opened(payload.decode("utf-8", "replace"))
-    source, uri = value(headers, "WARC-Record-ID", ""), value(headers, "WARC-Target-URI", "")
+    sent = digest(body)
+    source, uri, stated = (value(headers, k, "") for k in ("WARC-Record-ID", "WARC-Target-URI", "WARC-Payload-Digest"))
+    ok = digest_holds(value(headers, "WARC-Block-Digest"), block) and digest_holds(stated, body, payload, known=sent)
     title = TITLE.search(page)
-    envelope = {
-        "WARC-Header": headers,
-        "HTTP-Response": {"Status": status, "Headers": told},
-        "Payload-Digest": digest(payload),
-        "HTML": {"Title": line(html.unescape(TAG.sub("", title[1]))) if title else None, "Links": links(page, uri)},
-    }
-    common = {"WARC-Refers-To": source, "WARC-Target-URI": uri, "WARC-Date": value(headers, "WARC-Date", EPOCH), "WARC-Source-Payload-Digest": value(headers, "WARC-Payload-Digest", digest(body))}
+    found = {"Title": line(html.unescape(TAG.sub("", title[1]))) if title else None, "Links": links(page, uri)}
+    envelope = {"WARC-Header": headers, "HTTP-Response": {"Status": status, "Headers": told}, "Payload-Digest": sent if payload is body else digest(payload), "HTML": found}
+    common = {"WARC-Refers-To": source, "WARC-Target-URI": uri, "WARC-Date": value(headers, "WARC-Date", EPOCH), "WARC-Source-Payload-Digest": stated or sent}
+    out = []
     for kind, content, made in (("metadata", "application/json", json.dumps(envelope, ensure_ascii=False, sort_keys=True).encode("utf-8", "replace")), ("conversion", "text/plain; charset=utf-8", plain(page).encode("utf-8", "replace"))):
-        yield record(kind, {"WARC-Record-ID": name(kind, source)} | common | {"WARC-Payload-Digest": digest(made), "Content-Type": content}, made)
+        own = digest(made)
+        out.append(record(kind, {"WARC-Record-ID": name(kind, source)} | common | {"WARC-Payload-Digest": own, "Content-Type": content}, made, own))
+    return out, found, ok
 
 
 def responses(pages: DataFrame, date: str = EPOCH) -> DataFrame:
@@ -285,11 +287,12 @@ def derivatives(records: DataFrame, compress: bool = False) -> DataFrame:
                         out.append({"page_id": page_id, "source_headers": stated, "error": error})
                     if error or value(headers, "WARC-Type", "").lower() != "response":
                         continue
-                    ok = digest_holds(value(headers, "WARC-Block-Digest"), block) and digest_holds(value(headers, "WARC-Payload-Digest"), *http(block)[2:])
-                    for made in derive(headers, block):
+                    records_, found, ok = derive(headers, block)
+                    for made in records_:
                         [(told, text, _)] = parse(made)
-                        meta = json.loads(text)["HTML"] if value(told, "WARC-Type") == "metadata" else {}
-                        row = {k: value(told, v) for k, v in FIELDS.items()}
+                        told = {k.lower(): v for k, v in reversed(told)}
+                        row = {k: told.get(v.lower()) for k, v in FIELDS.items()}
+                        meta = found if row["record_type"] == "metadata" else {}
                         row |= {"page_id": page_id, "content_length": len(text), "source_headers": stated, "title": meta.get("Title"), "links": [x["url"] for x in meta.get("Links", [])], "text": None if meta else text.decode(), "digest_ok": ok}
                         out.append(row | {"record": gzip.compress(made, 6, mtime=0) if compress else made})
             yield pa.RecordBatch.from_pylist(out, SCHEMA)
