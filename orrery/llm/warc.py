@@ -36,6 +36,8 @@ BREAK = re.compile(r"</?(?:p|div|br|li|ul|ol|tr|table|h[1-6]|article|section|nav
 TAG = re.compile(r"<[a-zA-Z/!?][^>]*>")
 LINK = re.compile(r"<(a|area|link|img|script|iframe|source)\b([^>]*)>", re.I)
 TARGET = re.compile(r"\b(href|src)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
+#: Targets that need no resolving: whole ones, and paths from the root, without dots between slashes.
+PLAIN_URL, PLAIN_PATH = re.compile(r"https?://[\w.-]+(?:/[\w~%-][\w.~%-]*)*/?"), re.compile(r"(?:/[\w~%-][\w.~%-]*)+/?")
 BLANK = re.compile(r"[^\S\n]+")
 LINES = re.compile(r" ?\n[ \n]*")
 
@@ -68,11 +70,10 @@ def record(kind: str, headers: dict[str, str], block: bytes, own: str | None = N
     return b"WARC/1.0\r\n" + "".join(f"{k}: {v}\r\n" for k, v in told.items()).encode() + b"\r\n" + block + b"\r\n\r\n"
 
 
-def fields(rows: list[bytes], charset: str) -> Headers:
-    """Header lines as names and values, repeated ones in their order; a line that begins with a space goes on with the one before."""
+def fields(head: bytes, charset: str) -> Headers:
+    """Header lines but the first as names and values, repeated ones in their order; a line that begins with a space goes on with the one before."""
     out: Headers = []
-    for row in rows:
-        text = row.decode(charset, "replace").rstrip("\r")
+    for text in head.decode(charset, "replace").replace("\r\n", "\n").split("\n")[1:]:
         if text[:1] in (" ", "\t") and out:
             out[-1] = (out[-1][0], f"{out[-1][1]} {text.strip()}")
         elif text:
@@ -110,7 +111,7 @@ def parse(data: bytes) -> Iterator[tuple[Headers, bytes, str | None]]:
         if not head:
             yield [], data[begin:], "cut short"
             return
-        headers, size = fields(data[begin : head.start()].split(b"\n")[1:], "utf-8"), 0
+        headers, size = fields(data[begin : head.start()], "utf-8"), 0
         stated = value(headers, "Content-Length", "")
         at = head.end()
         if not re.fullmatch(r"[0-9]+", stated):
@@ -150,8 +151,7 @@ def http(block: bytes) -> tuple[str, Headers, bytes, bytes]:
     """(status line, headers, body as sent, payload) of a response's block; encodings that don't hold are left as they are."""
     end = re.search(rb"\r?\n\r?\n", block)
     head, body = (block[: end.start()], block[end.end() :]) if end else (block, b"")
-    status, *rows = head.split(b"\n")
-    headers, payload = fields(rows, "latin-1"), body
+    status, headers, payload = head.split(b"\n", 1)[0], fields(head, "latin-1"), body
     try:
         if "chunked" in value(headers, "Transfer-Encoding", "").lower():
             payload = unchunked(payload)
@@ -200,13 +200,17 @@ def plain(page: str) -> str:
 def links(page: str, base: str) -> list[dict[str, str]]:
     """Tag, attribute and absolute target of each link of an opened() page."""
     found = []
+    origin = re.match(r"https?://[^/?#\s\[\]]+", base)
     for tag, attributes in LINK.findall(page):
         for attribute, a, b, c in TARGET.findall(attributes):
             url = html.unescape(a or b or c).strip()
-            try:
-                url = urljoin(base, url)
-            except ValueError:
-                pass
+            if url.startswith("/") and origin and PLAIN_PATH.fullmatch(url):
+                url = origin[0] + url
+            elif not PLAIN_URL.fullmatch(url):
+                try:
+                    url = urljoin(base, url)
+                except ValueError:
+                    pass
             found.append({"path": f"{tag.upper()}@/{attribute.lower()}", "url": url})
     return found
 
@@ -218,13 +222,13 @@ def derive(headers: Headers, block: bytes) -> tuple[list[bytes], dict, bool]:
         page = opened(payload.decode(charset(told, payload), "replace"))
     except (LookupError, ValueError):  # a codec that isn't one of texts
         page = opened(payload.decode("utf-8", "replace"))
-    sent = digest(body)
-    source, uri, stated = (value(headers, k, "") for k in ("WARC-Record-ID", "WARC-Target-URI", "WARC-Payload-Digest"))
-    ok = digest_holds(value(headers, "WARC-Block-Digest"), block) and digest_holds(stated, body, payload, known=sent)
+    sent, first = digest(body), {k.lower(): v for k, v in reversed(headers)}
+    source, uri, stated = (first.get(k, "") for k in ("warc-record-id", "warc-target-uri", "warc-payload-digest"))
+    ok = digest_holds(first.get("warc-block-digest"), block) and digest_holds(stated, body, payload, known=sent)
     title = TITLE.search(page)
     found = {"Title": line(html.unescape(TAG.sub("", title[1]))) if title else None, "Links": links(page, uri)}
     envelope = {"WARC-Header": headers, "HTTP-Response": {"Status": status, "Headers": told}, "Payload-Digest": sent if payload is body else digest(payload), "HTML": found}
-    common = {"WARC-Refers-To": source, "WARC-Target-URI": uri, "WARC-Date": value(headers, "WARC-Date", EPOCH), "WARC-Source-Payload-Digest": stated or sent}
+    common = {"WARC-Refers-To": source, "WARC-Target-URI": uri, "WARC-Date": first.get("warc-date", EPOCH), "WARC-Source-Payload-Digest": stated or sent}
     out = []
     for kind, content, made in (("metadata", "application/json", json.dumps(envelope, ensure_ascii=False, sort_keys=True).encode("utf-8", "replace")), ("conversion", "text/plain; charset=utf-8", plain(page).encode("utf-8", "replace"))):
         own = digest(made)
