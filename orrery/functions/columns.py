@@ -91,12 +91,21 @@ def display_name(name: Column, model: Column, short: Column, base: Column) -> Co
     return F.coalesce(F.nullif(name, F.lit("")), F.nullif(model, F.lit("")), F.concat(short, F.lit(" "), F.coalesce(base, F.lit("Station"))))
 
 
+#: The limits and names of standings.
+LINEAR = 0.0032
+BANDS = {"War": -0.999, "Hostile": -0.32, "Enemy": -0.01, "Neutral": 0.01, "Friendly": 0.1, "Friend": 0.5}
+
+
 def signed_decibel(c: Column) -> Column:
     """A standing in [-1, 1] on a log scale of -30 to 30, linear up to 0.0032, to one decimal."""
     size = F.abs(c)
-    return F.bround(clamp(F.when(size <= 0.0032, c / 0.00064).otherwise(F.signum(c) * 10 * F.log10(size * 1000)), -30, 30), 1)
+    return F.bround(clamp(F.when(size <= LINEAR, c / (LINEAR / 5)).otherwise(F.signum(c) * 10 * F.log10(size * 1000)), -30, 30), 1)
 
 
 def standing_band(c: Column) -> Column:
-    out = F.when(c <= -0.999, "War").when(c <= -0.32, "Hostile").when(c <= -0.01, "Enemy")
-    return out.when(c < 0.01, "Neutral").when(c < 0.1, "Friendly").when(c < 0.5, "Friend").when(c >= 0.5, "Ally")
+    """The band of a standing: those below neutral end at their limit, the others before it."""
+    out = None
+    for name, limit in BANDS.items():
+        inside = c <= limit if limit < 0 else c < limit
+        out = F.when(inside, name) if out is None else out.when(inside, name)
+    return out.when(c.isNotNull(), "Ally")

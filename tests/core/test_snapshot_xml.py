@@ -5,7 +5,7 @@ import pytest
 from orrery.sources import snapshot_xml as X
 
 DOC = """<savegame>
-<info><save date="7"/><game guid="G1" version="900" time="5000.5"/><player name="Kay" money="123"/></info>
+<info><save date="7"/><game guid="G1" version="731" time="86.25"/><player name="Kay" money="123"/></info>
 <universe>
  <factions><faction id="red"><relations><relation faction="blue" relation="0.25"/><booster faction="blue" relation="-0.5" time="9"/></relations></faction></factions>
  <component class="cluster" macro="C1_macro" id="[1]" connection="c"><connections><connection connection="x">
@@ -14,14 +14,15 @@ DOC = """<savegame>
     <component class="station" macro="St_macro" id="[10]" code="ABC-123" owner="red" connection="z" spawntime="3.5"><offset><position x="10" z="-20"/></offset>
      <workforces><workforce race="split" amount="40"/></workforces><trade><offers><production><trade id="[t1]" buyer="[10]" ware="ore" amount="50" price="1234" desired="80" flags="supplies"/></production></offers>
       <settings><setting name="buy" wares="ore ice"/></settings><reservations><reservation id="[p1]" reserver="[20]" buyer="[10]" partner="[30]" ware="ore" amount="5" price="200"/></reservations><active><trade id="[p1]"/></active></trade>
-     <ammunition><available><item macro="Drone_M" amount="3"/></available></ammunition><build method="terran"><ship absolute="1"/></build>
+     <ammunition><available><item macro="Drone_M" amount="3"/></available></ammunition><build method="closedloop"><ship absolute="1"/></build>
      <component class="storage" id="[11]"><cargo><ware ware="ore" amount="7"/><ware ware="ice"/></cargo></component>
      <component class="ship_s" macro="Ship_m" id="[20]" owner="player" connection="d"><connections><connection connection="commander" id="[k]"><connected connection="[sub]"/></connection></connections>
       <people><person role="marine"/><person role="marine"/><person/></people><ammunition><available><item macro="Drone_M" amount="9"/></available></ammunition>
       <orders><order id="1" order="TradePerform" default="1"><trade id="[p1]" buyer="[10]" seller="[30]" ware="ore" amount="5" price="200"/></order></orders></component>
     </component></connection></connections></component>
+   <component class="datavault" id="[40]" macro="Landmarks_Vault_07_macro"><unlock state="unlocked"/></component><component class="object" id="[41]" macro="landmarks_erlking_vault_2_macro"/><component class="object" id="[42]" macro="landmarks_vault_x_macro"/><component class="object" id="[43]" macro="old_datavault"/>
    <component class="ship_l" id="[30]" owner="player" connection="e"><connections><connection connection="subordinates" id="[sub]"/></connections><stats><stat id="kills" value="99"/></stats></component>
-   </connection></connections><resourceareas><area yieldid="sphere_large_ore_high_slow" yield="4"/><area yieldid="sphere_nothing"/></resourceareas></component>
+   </connection></connections><resourceareas><area yieldid="belt_b_ice_thin_quick" yield="4"/><area yieldid="ring_methane_rich" yield="2"/><area yieldid="ring_scrap"/><area yieldid="scrap"/><area yieldid="ring_ore_2"/><area yieldid="belt_of_dust"/></resourceareas></component>
  </connection></connections></component>
 </universe>
 <economylog><entries type="cargo"><log time="1" type="trade" owner="[10]" ware="ore" v="4"/><log time="1" type="produce" owner="[10]" ware="ore" v="5"/></entries>
@@ -49,8 +50,9 @@ def test_records(elems):
     assert one(elems, "trade_setting", "object_id", "setting", "ware") == [("[10]", "buy", "ore"), ("[10]", "buy", "ice")]
     assert one(elems, "cargo", "object_id", "ware", "amount") == [("[10]", "ore", 7.0), ("[10]", "ice", 1.0)]
     assert one(elems, "ammunition", "station_id", "macro", "amount") == [("[10]", "drone_m", 3.0)]
-    assert one(elems, "station_build_method", "object_id", "method") == [("[10]", "terran")] and one(elems, "build_task", "host_id") == []
-    assert one(elems, "resource", "sector_macro", "ware", "level", "speed", "yield") == [("s1_macro", "ore", "high", "slow", 4.0)]
+    assert one(elems, "station_build_method", "object_id", "method") == [("[10]", "closedloop")] and one(elems, "build_task", "host_id") == []
+    assert one(elems, "resource", "sector_macro", "ware", "level", "speed", "yield") == [("s1_macro", "ice", "thin", "quick", 4.0), ("s1_macro", "methane", "rich", None, 2.0), ("s1_macro", "scrap", None, None, 0.0)]
+    assert one(elems, "datavault", "id", "sector_macro") == [("[40]", "s1_macro"), ("[41]", "s1_macro")] and one(elems, "vault_unlock", "id") == [("[40]",)]
     assert one(elems, "player_stat", "id", "value") == [("kills", 2.0)]
     assert one(elems, "workforce", "station_id", "race", "amount") == [("[10]", "split", 40.0)]
     assert one(elems, "ship_order", "object_id", "order", "is_default") == [("[20]", "TradePerform", 1)]
@@ -77,7 +79,7 @@ def test_ledgers_are_typed_by_their_block(elems):
 def test_gzip_peek_landmarks_and_broken_files(spark, tmp_path):
     (tmp_path / "b.xml.gz").write_bytes(gzip.compress(DOC.encode()))
     (tmp_path / "c.xml").write_text(DOC[: DOC.index("<economylog>")])
-    assert {(r.guid, r.game_time, r.save_date) for r in X.peek(spark, str(tmp_path)).collect()} == {("G1", 5000.5, "7")} and X.peek(spark, str(tmp_path)).count() == 2
+    assert {(r.guid, r.game_time, r.save_date) for r in X.peek(spark, str(tmp_path)).collect()} == {("G1", 86.25, "7")} and X.peek(spark, str(tmp_path)).count() == 2
     assert {(r.id, r.sector_macro, r.sx) for r in X.landmarks(spark, str(tmp_path), "ST_M").collect()} == {("[10]", "s1_macro", 1010.0)}
     e = X.elements(spark, str(tmp_path))
     assert e.filter("tag = '#truncated'").count() == 1 and X.records(e, "component").count() == 10
