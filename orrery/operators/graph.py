@@ -2,28 +2,12 @@
 
 from __future__ import annotations
 
-import heapq
-import math
-from collections.abc import Iterable
-
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def descendants(spark: SparkSession, edges: DataFrame, most: int = 64) -> DataFrame:
-    """(root, member, depth) of all chains of edges (leader, follower), at most `most` deep, so a cycle ends."""
-    edges.createOrReplaceTempView("_edges")
-    return spark.sql(
-        f"""WITH RECURSIVE tree(root, member, depth) MAX RECURSION LEVEL {most + 1} AS (
-              SELECT leader, follower, 1 FROM _edges
-              UNION ALL SELECT t.root, e.follower, t.depth + 1 FROM tree t JOIN _edges e ON e.leader = t.member WHERE t.depth < {most})
-            SELECT root, member, depth FROM tree"""
-    )
-
-
 def closure(edges: DataFrame, most: int = 64) -> DataFrame:
-    """descendants() as joins, for trees beyond the recursion's row limit; lineage is cut every fourth level."""
+    """(root, member, depth) of all chains of edges (leader, follower), at most `most` deep, so a cycle ends; lineage is cut every fourth level."""
     now = edges.select(F.col("leader").alias("root"), F.col("follower").alias("member"), F.lit(1).alias("depth"))
     every, step = now, edges.select(F.col("leader").alias("member"), F.col("follower").alias("_next"))
     for depth in range(2, most + 1):
@@ -64,77 +48,63 @@ def nearest(found: DataFrame) -> DataFrame:
 HIGHWAY = 0.1  # time of a highway kilometre against a plain one
 
 
-def fastest(links: Iterable[tuple], points: dict, start: str, highway: set[str]) -> dict[str, tuple[float, float, float]]:
-    """(cost, plain km, highway km) from a sector's first gate to every gate.
+def between(x: str, y: str) -> Column:
+    """Kilometres between two places of one sector, in metres."""
+    return F.hypot(F.col(f"{x}.x") - F.col(f"{y}.x"), F.col(f"{x}.z") - F.col(f"{y}.z")) / 1000
+
+
+def legs(km: Column, quick: Column) -> Column:
+    """(cost, plain, quick) of a straight line: a highway's kilometres cost less time."""
+    plain, fast = F.when(quick, 0.0).otherwise(km), F.when(quick, km).otherwise(0.0)
+    return F.struct((plain + fast * HIGHWAY).alias("cost"), plain.alias("plain"), fast.alias("quick"))
+
+
+def added(*parts: str) -> Column:
+    return F.struct(*[sum(F.col(f"{p}.{c}") for p in parts).alias(c) for c in ("cost", "plain", "quick")])
 
-    links: (gate, gate) transits, which are free and go both ways. points: gate ->
-    (sector, x, z) in metres; gates of one sector are joined by straight lines.
+
+def gate_routes(gates: DataFrame, sectors: DataFrame, starts: DataFrame) -> DataFrame:
+    """(a, b, way): the fastest ways from the gates of some sectors (sector) to all gates that can be reached.
+
+    gates: (sector_a, sector_b, ax, az, bx, bz), passed both ways in no time;
+    sectors: (sector, highway). A gate is a struct of sector, x and z. Each round
+    goes on through one more gate from those that were reached faster than before,
+    until there are none. Needs a checkpoint folder.
     """
-    by_sector: dict[str, list[str]] = {}
-    for gate, (sector, _, _) in points.items():
-        by_sector.setdefault(sector, []).append(gate)
-    across: dict[str, list[str]] = {}
-    for a, b in links:
-        across.setdefault(a, []).append(b)
-        across.setdefault(b, []).append(a)
-    best = {start: (0.0, 0.0, 0.0)}
-    heap = [(0.0, start)]
-    while heap:
-        cost, gate = heapq.heappop(heap)
-        if cost > best[gate][0]:
-            continue
-        sector, x, z = points[gate]
-        steps = [(b, 0.0, 0.0) for b in across.get(gate, ())]
-        for b in by_sector[sector]:
-            if b != gate:
-                km = math.hypot(points[b][1] - x, points[b][2] - z) / 1000
-                steps.append((b, 0.0, km) if sector in highway else (b, km, 0.0))
-        for b, plain, fast in steps:
-            total = cost + plain + fast * HIGHWAY
-            if b not in best or total < best[b][0] - 1e-12:
-                best[b] = (total, best[gate][1] + plain, best[gate][2] + fast)
-                heapq.heappush(heap, (total, b))
-    return best
-
-
-def routes(stations: DataFrame, gates: DataFrame, sectors: DataFrame, highways: bool = True) -> DataFrame:
-    """(source, target, jumps_ok, plain_km, highway_km) between stations (station, sector, x, z), a task for each source.
-
-    gates: (sector_a, sector_b, ax, az, bx, bz); sectors: (sector, highway). The
-    gate graph and the stations' places go to every task: a few hundred rows by
-    the size of a world, which is checked.
+    end = lambda e: F.struct(F.col(f"sector_{e}").alias("sector"), F.col(f"{e}x").cast("double").alias("x"), F.col(f"{e}z").cast("double").alias("z"))
+    through = gates.select(end("a").alias("u"), end("b").alias("v"))
+    through = through.unionByName(through.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
+    points = through.select(F.col("u").alias("p")).distinct()
+    quick = F.coalesce("highway", F.lit(False))
+    hop = through.join(points.alias("q"), F.col("v.sector") == F.col("q.p.sector")).join(sectors.withColumnRenamed("sector", "_s"), F.col("v.sector") == F.col("_s"), "left")
+    hop = hop.select("u", F.col("q.p").alias("to"), legs(F.hypot(F.col("v.x") - F.col("q.p.x"), F.col("v.z") - F.col("q.p.z")) / 1000, quick).alias("leg")).checkpoint()
+    none = F.struct(*[F.lit(0.0).alias(c) for c in ("cost", "plain", "quick")])
+    best = front = points.join(starts, F.col("p.sector") == F.col("sector"), "left_semi").select(F.col("p").alias("a"), F.col("p").alias("b"), none.alias("way"))
+    while True:
+        step = front.join(hop, front["b"] == hop["u"]).select("a", F.col("to").alias("b"), added("way", "leg").alias("_new")).groupBy("a", "b").agg(F.min("_new").alias("_new"))
+        front = step.join(best, ["a", "b"], "left").filter("way IS NULL OR _new.cost < way.cost - 1e-9").select("a", "b", F.col("_new").alias("way")).checkpoint()
+        if front.isEmpty():
+            return best
+        best = best.unionByName(front).groupBy("a", "b").agg(F.min("way").alias("way")).checkpoint()
+
+
+def routes(stations: DataFrame, gates: DataFrame, sectors: DataFrame, wanted: DataFrame, highways: bool = True) -> DataFrame:
+    """(source, target, plain_km, highway_km) of the fastest way of each wanted pair (source, target) of stations (station, sector, x, z).
+
+    Within a sector the way is a straight line; pairs without a way are absent. The
+    gate graph is settled once from the sources' sectors (see gate_routes), and a
+    pair then meets the few gates at its two ends.
     """
-    g, s, st = gates.limit(100_001).collect(), sectors.limit(100_001).collect(), stations.limit(100_001).collect()
-    if max(len(g), len(s), len(st)) > 100_000:
-        raise ValueError("the gate graph is too large to send to every task")
-    fast = {r.sector for r in s if r.highway} if highways else set()
-    points, links = {}, []
-    for k, r in enumerate(g):
-        points[f"{k}a"], points[f"{k}b"] = (r.sector_a, r.ax, r.az), (r.sector_b, r.bx, r.bz)
-        links.append((f"{k}a", f"{k}b"))
-    places = [(r.station, r.sector, r.x, r.z) for r in st]
-
-    def run(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
-        row = own.iloc[0]
-        here = dict(points) | {"*": (row.sector, row.x, row.z)}
-        best = fastest(links, here, "*", fast)
-        out = []
-        for name, sector, x, z in places:
-            if sector == row.sector:
-                km = math.hypot(x - row.x, z - row.z) / 1000
-                out.append((row.station, name, 0.0 if sector in fast else km, km if sector in fast else 0.0))
-                continue
-            options = []
-            for gate, (cost, plain, quick) in best.items():
-                if here[gate][0] == sector:
-                    km = math.hypot(x - here[gate][1], z - here[gate][2]) / 1000
-                    options.append((cost + km * (HIGHWAY if sector in fast else 1), plain + (0 if sector in fast else km), quick + (km if sector in fast else 0)))
-            if options:
-                _, plain, quick = min(options)
-                out.append((row.station, name, plain, quick))
-        return pd.DataFrame(out, columns=["source", "target", "plain_km", "highway_km"])
-
-    return stations.groupBy("station").applyInPandas(run, "source string, target string, plain_km double, highway_km double")
+    sectors = sectors.select("sector", "highway" if highways else F.lit(False).alias("highway"))
+    here = stations.join(sectors, "sector", "left").select("station", F.struct("sector", F.col("x").cast("double").alias("x"), F.col("z").cast("double").alias("z")).alias("at"), F.coalesce("highway", F.lit(False)).alias("fast"))
+    pairs = wanted.join(here.select(F.col("station").alias("source"), F.col("at").alias("s"), F.col("fast").alias("s_fast")), "source").join(here.select(F.col("station").alias("target"), F.col("at").alias("d"), F.col("fast").alias("d_fast")), "target")
+    near = pairs.filter("s.sector = d.sector").select("source", "target", legs(between("s", "d"), F.col("s_fast")).alias("way"))
+    away = pairs.filter("s.sector <> d.sector")
+    ways = gate_routes(gates, sectors, away.select("s.sector").distinct())
+    far = away.join(ways, (F.col("s.sector") == F.col("a.sector")) & (F.col("d.sector") == F.col("b.sector")))
+    far = far.withColumns({"_from": legs(between("s", "a"), F.col("s_fast")), "_to": legs(between("b", "d"), F.col("d_fast"))})
+    far = far.groupBy("source", "target").agg(F.min(added("_from", "way", "_to")).alias("way"))
+    return near.unionByName(far).select("source", "target", F.col("way.plain").alias("plain_km"), F.col("way.quick").alias("highway_km"))
 
 
 def tag_groups(tags: DataFrame) -> DataFrame:
