@@ -128,7 +128,7 @@ def dom36_consumed_pairs(spark, sf_dir):
 
 
 BOOK_SQL = f"""WITH o AS (SELECT l_orderkey AS o, l_linenumber AS k, l_suppkey AS station, l_partkey AS ware, CASE WHEN l_linestatus = 'O' THEN 'buy' ELSE 'sell' END AS side, l_quantity::DOUBLE AS amount, CASE l_orderkey % 11 WHEN 0 THEN 'supplies' WHEN 1 THEN 'a shady' ELSE '' END AS flags, CASE WHEN l_suppkey % 6 = 0 THEN 'buildstorage' ELSE 'station' END AS host, CASE WHEN l_suppkey % 9 = 0 THEN 'player' ELSE 'x' END AS owner,
-  p_retailprice * 0.75::DOUBLE AS low, p_retailprice AS mean, p_retailprice * 1.5::DOUBLE AS high, p_retailprice * (0.75::DOUBLE + ((l_orderkey * 8 + l_linenumber) % 97)::DOUBLE / 128) AS price, (100 + l_partkey % 50 * 20)::DOUBLE AS allocation, (l_quantity * 10)::DOUBLE AS net, (l_quantity * 2)::DOUBLE AS stock, 3.0::DOUBLE AS inbound,
+  p_retailprice * 0.75::DOUBLE AS low, p_retailprice AS mean, p_retailprice * 1.5::DOUBLE AS high, p_retailprice * (0.75::DOUBLE + ((l_orderkey * 8 + l_linenumber) % 97)::DOUBLE / 129) AS price, (100 + l_partkey % 50 * 20)::DOUBLE AS allocation, (l_quantity * 10)::DOUBLE AS net, (l_quantity * 2)::DOUBLE AS stock, 3.0::DOUBLE AS inbound,
   l_partkey % 23 = 0 AS manual, l_suppkey % 8 = 0 AS locked, l_suppkey % 5 = 0 AS yard, l_partkey % 7 = 0 AS ration, l_partkey % 2 = 0 AS consumed FROM lineitem JOIN part ON p_partkey = l_partkey),
  b AS (SELECT *, CASE WHEN owner = 'player' OR manual THEN 'player' WHEN contains(flags, 'supplies') THEN 'supplies' WHEN contains(flags, 'shady') THEN 'shady' WHEN locked THEN 'lockavgprice' WHEN host = 'buildstorage' THEN 'buildstorage' WHEN yard THEN 'yard' ELSE 'main' END AS book, ware IN (SELECT l_partkey FROM lineitem WHERE l_linenumber = 1 AND l_linestatus = 'F') AS has_sell FROM o),
  c AS (SELECT *, CASE WHEN book NOT IN ('main', 'yard') THEN book WHEN has_sell THEN 'supplier' WHEN ration THEN 'ration' ELSE 'input' END AS population, (price - mean) / CASE WHEN price >= mean THEN high - mean ELSE mean - low END AS s FROM b),
@@ -147,7 +147,7 @@ def book(spark, sf_dir):
     o = l.join(p, F.col("p_partkey") == F.col("l_partkey")).select(
         k.alias("o"), F.col("l_linenumber").alias("k"), s.alias("station"), F.col("l_partkey").alias("ware"), F.when(F.col("l_linestatus") == "O", "buy").otherwise("sell").alias("side"), q.alias("amount"),
         F.when(k % 11 == 0, "supplies").when(k % 11 == 1, "a shady").otherwise("").alias("flags"), F.when(s % 6 == 0, "buildstorage").otherwise("station").alias("host"), F.when(s % 9 == 0, "player").otherwise("x").alias("owner"),
-        (m * 0.75).alias("low"), "mean", (m * 1.5).alias("high"), (m * (0.75 + ((k * 8 + F.col("l_linenumber")) % 97).cast("double") / 128)).alias("price"), (100.0 + F.col("l_partkey") % 50 * 20).alias("allocation"),
+        (m * 0.75).alias("low"), "mean", (m * 1.5).alias("high"), (m * (0.75 + ((k * 8 + F.col("l_linenumber")) % 97).cast("double") / 129)).alias("price"), (100.0 + F.col("l_partkey") % 50 * 20).alias("allocation"),
         (q * 10).alias("net"), (q * 2).alias("stock"), F.lit(3.0).alias("inbound"), (F.col("l_partkey") % 23 == 0).alias("manual"), (s % 8 == 0).alias("locked"), (s % 5 == 0).alias("yard"), (F.col("l_partkey") % 7 == 0).alias("ration"), (F.col("l_partkey") % 2 == 0).alias("consumed"),
     )
     sold = l.filter("l_linenumber = 1 AND l_linestatus = 'F'").select(F.col("l_partkey").alias("ware"))
