@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from orrery.operators import aggregates as A
 from orrery.operators import joins as J
+from orrery.sources.archive import resolved
 
-from .relational import query, r
+from .relational import checkpoints, query, r
 from .roles import OFFERS_SQL, TRADES_SQL, offers, table, trades
 
 
@@ -269,3 +270,12 @@ def fn_a03_nested_map(spark, sf_dir):
     ids = F.array_join(F.transform("x", lambda e: e["c_custkey"].cast("string")), ",")
     m = c.groupBy("c_nationkey").agg(F.map_from_entries(F.collect_list(F.struct("c_mktsegment", ids))).alias("m"))
     return m.select("c_nationkey", F.explode("m"))
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 9 = 0 THEN '{7,1} ' || c_mktsegment ELSE n_name || ' of ' || r_name || '  (' || c_mktsegment || ')' END AS label FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey")
+def prj05_references(spark, sf_dir):
+    checkpoints(spark)
+    n, g = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    known = n.select(F.lit(1).alias("page"), F.col("n_nationkey").alias("id"), F.concat("n_name", F.lit(" of {2, "), "n_regionkey", F.lit("}")).alias("text")).unionByName(g.select(F.lit(2).alias("page"), F.col("r_regionkey").alias("id"), F.col("r_name").alias("text")))
+    name = F.when(F.col("c_custkey") % 9 == 0, F.concat(F.lit("{7,1} "), "c_mktsegment")).otherwise(F.concat(F.lit("{1,"), "c_nationkey", F.lit("} (a note (in it)) \\("), "c_mktsegment", F.lit("\\)")))
+    return resolved(table(spark, sf_dir, "customer").select("c_custkey", name.alias("label")), "c_custkey", "label", known)
