@@ -51,8 +51,8 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def looked_up(left: DataFrame, right: DataFrame, key: str, size: str, share: int = 1000) -> DataFrame:
-    """left joined with right on key, of which right has each value once, with how many rows of left have it (size).
+def looked_up(left: DataFrame, right: DataFrame, key: str | list[str], size: str, share: int = 1000) -> DataFrame:
+    """left joined with right on key (a column or several), of which right has each value once, with how many rows of left have it (size).
 
     Values of over one in `share` rows are broadcast, so that no task gets all
     rows of a common one: at most `share` rows, whatever left's size.
@@ -60,7 +60,7 @@ def looked_up(left: DataFrame, right: DataFrame, key: str, size: str, share: int
     least = max((right.agg(F.sum(size)).first()[0] or 0) // share, 1)
     common, rare = right.filter(F.col(size) > least).drop(size), right.filter(F.col(size) <= least).drop(size)
     often = left.join(F.broadcast(common), key)
-    return often.unionByName(left.join(F.broadcast(common.select(key)), key, "left_anti").join(rare, key))
+    return often.unionByName(left.join(F.broadcast(common.select(*([key] if isinstance(key, str) else key))), key, "left_anti").join(rare, key))
 
 
 def partitions(spark: SparkSession) -> int:

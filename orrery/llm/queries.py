@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, media, mixing, quality, simhash, substring, tokens, toxicity, warc
+from . import decontaminate, divergence, filters, language, lines, media, mixing, quality, simhash, substring, tokens, toxicity, warc
 from .common import table
 
 
@@ -51,9 +51,21 @@ def op10_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("filter")
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.digests(table(spark, sf_dir, "documents"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_media, op3_language, op4_simhash, op5_substring, op6_mixing, op7_quality, op8_toxicity, op9_warc, op10_token_blocks)}
+    return {f.__name__: f for f in (op1_decontamination, op2_media, op3_language, op4_simhash, op5_substring, op6_mixing, op7_quality, op8_toxicity, op9_warc, op10_token_blocks, op11_filter_audit, op12_line_dedup, op13_source_divergence)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mixing": mixing.sql()}
+    return {"op6_mixing": mixing.sql(), "op11_filter_audit": filters.sql(), "op12_line_dedup": lines.sql(), "op13_source_divergence": divergence.sql()}
