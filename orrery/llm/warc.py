@@ -21,6 +21,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import groupby
 from urllib.parse import urljoin
 
 import pyarrow as pa
@@ -40,6 +41,7 @@ TARGET = re.compile(r"\b(href|src)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))
 PLAIN_URL, PLAIN_PATH = re.compile(r"https?://[\w.-]+(?:/[\w~%-][\w.~%-]*)*/?"), re.compile(r"(?:/[\w~%-][\w.~%-]*)+/?")
 BLANK = re.compile(r"[^\S\n]+")
 LINES = re.compile(r" ?\n[ \n]*")
+HEAD = re.compile(rb"\r?\n\r?\n")
 
 
 def digest(data: bytes) -> str:
@@ -86,7 +88,7 @@ def parse(data: bytes) -> Iterator[tuple[Headers, bytes, str | None]]:
     """(headers, block, error) of each record of a WARC file's bytes, compressed or not.
 
     What is no record, has no valid length or is cut short comes with an error,
-    and reading goes on at the next line that begins a record.
+    and reading goes on at the next line that begins a record, after its headers.
     """
     if data[:2] == b"\x1f\x8b":
         whole, rest = [], data
@@ -107,7 +109,7 @@ def parse(data: bytes) -> Iterator[tuple[Headers, bytes, str | None]]:
             yield [], data[at:begin], "not a WARC record"
         if begin == len(data):
             return
-        head = re.compile(rb"\r?\n\r?\n").search(data, begin)
+        head = HEAD.search(data, begin)
         if not head:
             yield [], data[begin:], "cut short"
             return
@@ -121,8 +123,9 @@ def parse(data: bytes) -> Iterator[tuple[Headers, bytes, str | None]]:
         size = int(stated)
         block = data[at : at + size]
         if len(block) < size:
-            yield headers, block, "cut short"
-            return
+            at = data.find(b"\nWARC/", at) + 1 or len(data)
+            yield headers, block[: at - head.end()], "cut short"
+            continue
         yield headers, block, None
         at += size
         at += re.compile(rb"[\r\n]*").match(data, at).end() - at
@@ -137,29 +140,47 @@ def response(page_id: int | None, url: str | None, body: str | None, date: str =
 
 
 def unchunked(body: bytes) -> bytes:
+    """The data of chunks. A size that isn't of hexadecimal digits raises ValueError; what is cut short is taken as far as it goes."""
     out, at = [], 0
     while (end := body.find(b"\n", at)) >= 0:
-        size = int(body[at:end].split(b";")[0].strip() or b"0", 16)
-        if not size:
+        stated = body[at:end].split(b";")[0].strip()
+        if not re.fullmatch(rb"[0-9A-Fa-f]+", stated):
+            raise ValueError("no chunk size")
+        if not (size := int(stated, 16)):
             break
         out.append(body[end + 1 : end + 1 + size])
         at = end + 1 + size + (2 if body[end + 1 + size : end + 3 + size] == b"\r\n" else 1)
     return b"".join(out)
 
 
+def decoded(payload: bytes, coding: str) -> bytes:
+    """The payload without one content coding; of zstd and deflate too. Raises LookupError for a coding that isn't known, ValueError or zlib.error if it doesn't hold."""
+    if coding in ("", "identity"):
+        return payload
+    if coding in ("gzip", "x-gzip"):
+        return zlib.decompress(payload, 47)
+    if coding == "deflate":
+        return zlib.decompress(payload) if payload[:1] == b"\x78" else zlib.decompress(payload, -15)
+    if coding == "zstd":
+        import zstandard
+
+        try:
+            return zstandard.ZstdDecompressor().decompressobj().decompress(payload)
+        except zstandard.ZstdError as e:
+            raise ValueError(str(e)) from e
+    raise LookupError(f"content coding {coding} is not known")
+
+
 def http(block: bytes) -> tuple[str, Headers, bytes, bytes]:
-    """(status line, headers, body as sent, payload) of a response's block; encodings that don't hold are left as they are."""
-    end = re.search(rb"\r?\n\r?\n", block)
+    """(status line, headers, body as sent, payload) of a response's block. Codings that don't hold are left as they are, unknown ones raise LookupError."""
+    end = HEAD.search(block)
     head, body = (block[: end.start()], block[end.end() :]) if end else (block, b"")
     status, headers, payload = head.split(b"\n", 1)[0], fields(head, "latin-1"), body
     try:
         if "chunked" in value(headers, "Transfer-Encoding", "").lower():
             payload = unchunked(payload)
         for coding in reversed(value(headers, "Content-Encoding", "").lower().replace(" ", "").split(",")):
-            if coding in ("gzip", "x-gzip"):
-                payload = zlib.decompress(payload, 47)
-            elif coding == "deflate":
-                payload = zlib.decompress(payload) if payload[:1] == b"\x78" else zlib.decompress(payload, -15)
+            payload = decoded(payload, coding)
     except (ValueError, zlib.error):
         payload = body
     return status.decode("latin-1").strip(), headers, body, payload
@@ -252,18 +273,56 @@ def responses(pages: DataFrame, date: str = EPOCH) -> DataFrame:
     return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).mapInArrow(run, "page_id long, record binary")
 
 
+def whole(pieces: Iterator[bytes]) -> Iterator[bytes]:
+    """Records of pieces of a file that was split before each `WARC/1.` after an empty line: pieces are joined again until the length that the record states is reached."""
+    held, size, wants = [], 0, 0
+
+    def out() -> bytes:
+        data = b"".join(held)
+        return data if not wants or data[wants:].strip(b"\r\n") else data[:wants] + b"\r\n\r\n"  # one empty line at a file's end too
+
+    for piece in pieces:
+        if held and size >= wants:
+            yield out()
+            held, size = [], 0
+        if not held:
+            head = HEAD.search(piece)
+            stated = value(fields(piece[: head.start()], "utf-8"), "Content-Length", "") if head else ""
+            wants = head.end() + int(stated) if re.fullmatch(r"[0-9]{1,18}", stated) else 0
+        held.append(piece)
+        size += len(piece)
+    if held:
+        yield out()
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
     """(page_id, record) of the records of all WARC files (.warc or .warc.gz) under path; page_id is null.
 
     Files are split at the lines that begin records, so that a large one is read
-    by many tasks (a compressed one by one, as a stream). A payload that holds such
-    a line after an empty one is cut there, and reported by derivatives().
+    by many tasks (a compressed one by one, as a stream). Where a payload holds
+    such a line after an empty one, what follows it in the same split of the file
+    is joined to it again; where a split of the file ends just there, derivatives()
+    reports a record that is cut short. Files without \\r before their line ends
+    come as one row for each split.
     """
     prepare(spark)
-    rows = spark.read.option("lineSep", "\r\n\r\nWARC/1.").text(path).select(F.col("value").cast("binary").alias("value"))
-    begins = F.substring("value", 1, 5) == F.lit(b"WARC/")
-    own = F.concat(F.when(begins, F.lit(b"")).otherwise(F.lit(b"WARC/1.")), "value", F.lit(b"\r\n\r\n"))
-    return rows.filter(F.length("value") > 0).select(F.lit(None).cast("long").alias("page_id"), own.alias("record"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            for batch in batches:
+                yield from zip(*(c.to_pylist() for c in batch.columns))
+
+        def own(group: Iterator[tuple]) -> Iterator[bytes]:
+            for k, (*_, data) in enumerate(group):
+                if data:
+                    yield (data if not k and data.startswith(b"WARC/") else b"WARC/1." + data) + b"\r\n\r\n"
+
+        for _, group in groupby(rows(), key=lambda row: row[:2]):
+            for data in whole(own(group)):
+                yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([data], pa.binary())], ["page_id", "record"])
+
+    rows = spark.read.option("lineSep", "\r\n\r\nWARC/1.").text(path)
+    return rows.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.col("value").cast("binary").alias("value")).mapInArrow(run, "page_id long, record binary")
 
 
 FIELDS = {"record_type": "WARC-Type", "record_id": "WARC-Record-ID", "refers_to": "WARC-Refers-To", "target_uri": "WARC-Target-URI", "warc_date": "WARC-Date", "content_type": "Content-Type", "block_digest": "WARC-Block-Digest", "payload_digest": "WARC-Payload-Digest", "source_digest": "WARC-Source-Payload-Digest"}
@@ -273,7 +332,8 @@ def derivatives(records: DataFrame, compress: bool = False) -> DataFrame:
     """Two rows for each response among records (page_id, record): the FIELDS of a derivative record, its content_length, source_headers (a JSON list of names and values), title and links of the source, text (of a conversion), digest_ok, error and record, its bytes.
 
     Records of other types give nothing; a null record gives nothing. A malformed
-    record gives one row with its page_id, source_headers and error alone. The
+    record, or a response of an unknown content coding, gives one row with its
+    page_id, source_headers and error alone. The
     fields are those read back from the record's bytes. digest_ok: the source's
     block and payload (as sent or decoded) have the digests that its headers
     state. An empty payload has an empty conversion. Pages of any length are
@@ -291,7 +351,11 @@ def derivatives(records: DataFrame, compress: bool = False) -> DataFrame:
                         out.append({"page_id": page_id, "source_headers": stated, "error": error})
                     if error or value(headers, "WARC-Type", "").lower() != "response":
                         continue
-                    records_, found, ok = derive(headers, block)
+                    try:
+                        records_, found, ok = derive(headers, block)
+                    except LookupError as e:
+                        out.append({"page_id": page_id, "source_headers": stated, "error": str(e.args[0])})
+                        continue
                     for made in records_:
                         [(told, text, _)] = parse(made)
                         told = {k.lower(): v for k, v in reversed(told)}

@@ -442,6 +442,62 @@ def test_warc_made_by_hand(spark, tmp_path):
     assert list(warc.parse(b"".join(map(gzip.compress, cases)))) == list(warc.parse(b"".join(cases)))
 
 
+def within(seconds, run):
+    """What run returns; fails if it takes longer."""
+    import signal
+
+    def late(*_):
+        raise TimeoutError(seconds)
+
+    was = signal.signal(signal.SIGALRM, late)
+    signal.alarm(seconds)
+    try:
+        return run()
+    finally:
+        signal.alarm(0)
+        signal.signal(signal.SIGALRM, was)
+
+
+@pytest.mark.parametrize("size", [b"-5", b"+5", b"0x5", b"5_0", b"", b" ", b"g"])
+def test_warc_chunk_sizes_that_are_none(size):
+    head = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked"
+    body = size + b"\r\nabcdef"
+    assert within(5, lambda: warc.http(head + b"\r\n\r\n" + body))[2:] == (body, body)
+    cut = b"3\r\nabc\r\nffffff\r\nde"
+    assert within(5, lambda: warc.http(head + b"\r\n\r\n" + cut))[3] == b"abcde"
+
+
+def test_warc_reads_on_after_a_record_that_is_too_long():
+    one = made_by_hand(b"HTTP/1.1 200 OK", b"page")
+    long = re.sub(rb"content-length: \d+", b"content-length: 9999", one)
+    for order, want in (([one, long, one, one], [None, "cut short", None, None]), ([long, one], ["cut short", None]), ([one, long], [None, "cut short"]), ([long], ["cut short"])):
+        found = within(5, lambda: list(warc.parse(b"".join(order))))
+        assert [e for *_, e in found] == want and all(b == found[0][1] or e for _, b, e in found if order[0] is one)
+
+
+def test_warc_content_codings(spark):
+    import zstandard
+
+    page = b"<title>T</title>text"
+    rows = [(1, made_by_hand(b"HTTP/1.1 200 OK\r\nContent-Encoding: br", b"\x0b\x02\x80page\x03")), (2, made_by_hand(b"HTTP/1.1 200 OK\r\nContent-Encoding: zstd", zstandard.ZstdCompressor().compress(page))), (3, made_by_hand(b"HTTP/1.1 200 OK\r\nContent-Encoding: zstd", page)), (4, made_by_hand(b"HTTP/1.1 200 OK\r\nContent-Encoding: gzip, identity", gzip.compress(page)))]
+    out = warc.derivatives(spark.createDataFrame(rows, "page_id long, record binary")).collect()
+    assert [(r.page_id, r.error, r.text) for r in out if r.error] == [(1, "content coding br is not known", None)]
+    assert sorted((r.page_id, r.text) for r in out if r.record_type == "conversion") == [(2, "text"), (3, "text"), (4, "text")]
+
+
+def test_warc_payloads_that_hold_record_lines(spark, tmp_path):
+    inner = made_by_hand(b"HTTP/1.1 200 OK", b"inner")
+    rows = [made_by_hand(b"HTTP/1.1 200 OK", b"<p>a\r\n\r\nWARC/1.0\r\n\r\nb"), made_by_hand(b"HTTP/1.1 200 OK", b"<p>c" + inner + inner + b"d"), made_by_hand(b"HTTP/1.1 200 OK", b"<p>e"), made_by_hand(b"HTTP/1.1 200 OK", b"")]
+    for name in ("a.warc", "b.warc"):
+        (tmp_path / name).write_bytes(b"".join(rows))
+    (tmp_path / "c.warc.gz").write_bytes(b"".join(map(gzip.compress, rows)))
+    found = [r.record for r in warc.read(spark, str(tmp_path)).collect()]
+    assert sorted(found) == sorted(rows * 3)
+    out = warc.derivatives(warc.read(spark, str(tmp_path))).collect()
+    assert len(out) == 24 and not any(r.error for r in out)
+    assert list(warc.whole(iter([]))) == []
+
+
 def test_webp_by_hand():
     """A file written bit by bit from the format's description: predictor, cross-colour, subtract-green, colour cache and a back-reference."""
 
