@@ -41,6 +41,18 @@ def clamp(c: Column, low: float, high: float) -> Column:
     return F.least(F.lit(high), F.greatest(F.lit(low), c))
 
 
+def settled(c: Column, digits: int = 6) -> Column:
+    """A sum of floating point numbers as compared with a limit, or before floor and ceil: the order of its parts doesn't decide."""
+    return F.round(c, digits)
+
+
+def micros(c: Column | str) -> Column:
+    """Microseconds since 1970 of a time without a zone, whatever the session's zone."""
+    c = col(c)
+    whole = F.unix_date(c.cast("date")).cast("long") * 86400 + F.hour(c) * 3600 + F.minute(c) * 60
+    return whole * 1_000_000 + (F.extract(F.lit("SECOND"), c) * 1_000_000).cast("long")
+
+
 def half_even(c: Column | str, digits: int = 0) -> Column:
     return F.bround(col(c), digits)
 

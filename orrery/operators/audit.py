@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orrery.functions.columns import settled
+
 # Hours of cover that are too few, per cent that are too full, standing orders of idle ships, poor skill, share of workers that is enough,
 # hours of the window of deliveries and its least, trips an hour by size where none were seen.
 LOW_HOURS, FULL_PERCENT, SKILL_LOW, STAFFED = 3.0, 80.0, 3, 0.9
@@ -16,7 +18,7 @@ TRIPS = {"S": 3.0, "M": 2.0, "L": 1.0, "XL": 0.8}
 def starving(rates: DataFrame, stock: DataFrame) -> DataFrame:
     """(station, ware, used, stock, cover, status) of inputs (station, ware, used an hour) that last less than three hours."""
     rows = rates.filter("used > 0").join(stock.groupBy("station", "ware").agg(F.sum("amount").alias("stock")), ["station", "ware"], "left").withColumn("stock", F.coalesce(F.col("stock").cast("double"), F.lit(0.0)))
-    rows = rows.withColumn("cover", F.col("stock") / F.col("used")).filter(F.col("cover") < LOW_HOURS)
+    rows = rows.withColumn("cover", F.col("stock") / F.col("used")).filter(settled(F.col("cover")) < LOW_HOURS)
     return rows.select("station", "ware", "used", "stock", "cover", F.when(F.col("stock") <= 0, "stalled").otherwise("low").alias("status"))
 
 
@@ -31,8 +33,8 @@ def saturated(stores: DataFrame, cargo: DataFrame, wares: DataFrame, net: DataFr
     kinds = room.select("station", "tags", F.explode(F.array_distinct(F.split(F.trim("tags"), r"\s+"))).alias("transport"))
     held = kinds.join(by_tag(cargo, "amount", "_held"), ["station", "transport"], "left").join(by_tag(net, "rate", "_net"), ["station", "transport"], "left")
     sums = held.groupBy("station", "tags").agg(F.coalesce(F.sum("_held"), F.lit(0.0)).alias("used"), F.coalesce(F.sum("_net"), F.lit(0.0)).alias("_net"))
-    out = room.join(sums, ["station", "tags"]).withColumn("percent", F.col("used") * 100 / F.col("capacity")).filter(F.col("percent") > FULL_PERCENT)
-    hours = F.when(F.col("used") >= F.col("capacity"), 0.0).when(F.col("_net") > 0, (F.col("capacity") - F.col("used")) / F.col("_net"))
+    out = room.join(sums, ["station", "tags"]).withColumn("percent", F.col("used") * 100 / F.col("capacity")).filter(settled(F.col("percent")) > FULL_PERCENT)
+    hours = F.when(settled(F.col("used") - F.col("capacity")) >= 0, 0.0).when(settled(F.col("_net")) > 0, (F.col("capacity") - F.col("used")) / F.col("_net"))
     return out.select("station", "tags", "capacity", "used", "percent", hours.alias("hours"))
 
 
@@ -48,7 +50,7 @@ def idle(ships: DataFrame, orders: DataFrame, followers: DataFrame) -> DataFrame
 def understaffed(modules: DataFrame, parts: DataFrame, workforce: DataFrame) -> DataFrame:
     """(station, have, wanted, housing, percent, crowded) of stations with less than nine tenths of the workers that their modules (station, macro) of parts (macro, housing, workers) want."""
     need = modules.join(parts, "macro", "left").groupBy("station").agg(F.sum("housing").alias("housing"), F.sum("workers").alias("wanted")).filter("wanted > 0")
-    out = need.join(workforce.groupBy("station").agg(F.sum("amount").alias("have")), "station", "left").fillna(0, ["have", "housing"]).filter(F.col("have") < STAFFED * F.col("wanted"))
+    out = need.join(workforce.groupBy("station").agg(F.sum("amount").alias("have")), "station", "left").fillna(0, ["have", "housing"]).filter(settled(F.col("have") - STAFFED * F.col("wanted")) < 0)
     return out.select("station", "have", "wanted", "housing", (F.col("have") * 100 / F.col("wanted")).alias("percent"), (F.col("housing") < F.col("wanted")).alias("crowded"))
 
 
@@ -85,9 +87,9 @@ def inflow(deliveries: DataFrame, own: DataFrame, now: float) -> DataFrame:
 
 
 def pool_rates(pools: DataFrame) -> DataFrame:
-    """pools (station, class, size, measured, hold, gap) with rate, source and more: trips an hour as measured, else the median of measured ones of the size, else assumed; and the miners that close the gap."""
+    """pools (station, class, size, measured, hold, gap) with rate, source and more: trips an hour as measured, else the median of measured ones of the size, else assumed; and the miners that close the gap. Gaps count to a millionth."""
     usual = pools.filter("measured > 0").groupBy("size").agg(F.median("measured").alias("_usual"))
     assumed = F.coalesce(*[F.when(F.col("size") == s, t) for s, t in TRIPS.items()], F.lit(1.0))
     out = pools.join(usual, "size", "left").withColumns({"rate": F.when(F.col("measured") > 0, F.col("measured")).otherwise(F.coalesce("_usual", assumed)), "source": F.when(F.col("measured") > 0, "measured").when(F.col("_usual").isNotNull(), "empire").otherwise("assumed")})
     per = F.col("hold") * F.col("rate")
-    return out.withColumn("more", F.when(F.col("gap") <= 0, 0).when(per > 0, F.ceil(F.col("gap") / per))).drop("_usual")
+    return out.withColumn("more", F.when(settled(F.col("gap")) <= 0, 0).when(per > 0, F.ceil(settled(F.col("gap") / per)))).drop("_usual")

@@ -10,17 +10,17 @@ from orrery.operators import books as B
 from orrery.operators import joins as J
 
 from .relational import query, r
-from .roles import table
+from .roles import seconds, table
 
 LINE_SQL = "line AS (SELECT l_suppkey AS station, l_partkey % 30 AS ware, l_quantity::DOUBLE AS amount, l_linenumber AS k, l_orderkey AS o, l_returnflag AS flag, epoch_us(l_shipdate) / 1e6 AS t FROM lineitem)"
 
 
 def lines(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("station"), (F.col("l_partkey") % 30).alias("ware"), F.col("l_quantity").cast("double").alias("amount"), F.col("l_linenumber").alias("k"), F.col("l_orderkey").alias("o"), F.col("l_returnflag").alias("flag"), (F.unix_micros(F.col("l_shipdate").cast("timestamp")) / 1e6).alias("t"))
+    return table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("station"), (F.col("l_partkey") % 30).alias("ware"), F.col("l_quantity").cast("double").alias("amount"), F.col("l_linenumber").alias("k"), F.col("l_orderkey").alias("o"), F.col("l_returnflag").alias("flag"), seconds("l_shipdate").alias("t"))
 
 
 @query(f"""WITH {LINE_SQL}, used AS (SELECT station, ware, sum(amount) AS used FROM line WHERE k = 1 GROUP BY ALL), held AS (SELECT station, ware, sum(amount) AS stock FROM line WHERE k > 2 AND ware % 7 <> 0 GROUP BY ALL)
- SELECT station, ware, used, coalesce(stock, 0) AS stock, ROUND(coalesce(stock, 0) / used, 4) AS cover, CASE WHEN coalesce(stock, 0) <= 0 THEN 'stalled' ELSE 'low' END AS status FROM used LEFT JOIN held USING (station, ware) WHERE coalesce(stock, 0) / used < 3""")
+ SELECT station, ware, used, coalesce(stock, 0) AS stock, ROUND(coalesce(stock, 0) / used, 4) AS cover, CASE WHEN coalesce(stock, 0) <= 0 THEN 'stalled' ELSE 'low' END AS status FROM used LEFT JOIN held USING (station, ware) WHERE ROUND(coalesce(stock, 0) / used, 6) < 3""")
 def dom40_starving(spark, sf_dir):
     l = lines(spark, sf_dir)
     return A.starving(l.filter("k = 1").groupBy("station", "ware").agg(F.sum("amount").alias("used")), l.filter("k > 2 AND ware % 7 <> 0")).withColumn("cover", r("cover"))
@@ -30,7 +30,7 @@ def dom40_starving(spark, sf_dir):
  stores AS (SELECT s_suppkey AS station, unnest([' k0 k1', 'k2', 'k3']) AS tags, unnest([1, 2, 3]) AS n FROM supplier), room AS (SELECT station, tags, (SELECT avg(c) FROM (SELECT sum(amount * volume) AS c FROM v WHERE k > 2 GROUP BY station)) * n / 6 AS capacity FROM stores),
  held AS (SELECT station, transport, sum(amount * volume) AS held FROM v WHERE k > 2 GROUP BY ALL), net AS (SELECT station, transport, sum(amount / 100 * (CASE WHEN k = 1 THEN 1 ELSE -1 END) * volume) AS net FROM v WHERE k < 3 GROUP BY ALL),
  s AS (SELECT room.station, tags, capacity, coalesce(sum(held), 0) AS used, coalesce(sum(net), 0) AS net FROM room LEFT JOIN held ON held.station = room.station AND contains(tags, held.transport) LEFT JOIN net ON net.station = room.station AND contains(tags, net.transport) AND net.transport = held.transport GROUP BY ALL)
- SELECT station, tags, ROUND(capacity, 2) AS capacity, ROUND(used, 2) AS used, ROUND(used * 100 / capacity, 3) AS percent, ROUND(CASE WHEN used >= capacity THEN 0 WHEN net > 0 THEN (capacity - used) / net END, 3) AS hours FROM s WHERE used * 100 / capacity > 80""")
+ SELECT station, tags, ROUND(capacity, 2) AS capacity, ROUND(used, 2) AS used, ROUND(used * 100 / capacity, 3) AS percent, ROUND(CASE WHEN ROUND(used - capacity, 6) >= 0 THEN 0 WHEN ROUND(net, 6) > 0 THEN (capacity - used) / net END, 3) AS hours FROM s WHERE ROUND(used * 100 / capacity, 6) > 80""")
 def dom42_saturated(spark, sf_dir):
     l = lines(spark, sf_dir)
     wares = l.select("ware").distinct().select("ware", F.concat(F.lit("k"), F.col("ware") % 4).alias("transport"), (1.0 + F.col("ware") % 5).alias("volume"))
@@ -54,7 +54,7 @@ def dom44_idle(spark, sf_dir):
 
 @query("""WITH need AS (SELECT l_suppkey AS station, sum(p_size % 9) AS housing, sum(p_size % 7) AS wanted FROM lineitem LEFT JOIN (SELECT * FROM part WHERE p_partkey % 5 <> 0) ON p_partkey = l_partkey GROUP BY 1),
  have AS (SELECT 1 + c_custkey % 90 AS station, sum(c_nationkey) AS have FROM customer GROUP BY 1)
- SELECT station, coalesce(have, 0) AS have, wanted, coalesce(housing, 0) AS housing, ROUND(coalesce(have, 0) * 100.0::DOUBLE / wanted, 3) AS percent, coalesce(housing, 0) < wanted AS crowded FROM need LEFT JOIN have USING (station) WHERE wanted > 0 AND coalesce(have, 0) < 0.9::DOUBLE * wanted""")
+ SELECT station, coalesce(have, 0) AS have, wanted, coalesce(housing, 0) AS housing, ROUND(coalesce(have, 0) * 100.0::DOUBLE / wanted, 3) AS percent, coalesce(housing, 0) < wanted AS crowded FROM need LEFT JOIN have USING (station) WHERE wanted > 0 AND ROUND(coalesce(have, 0) - 0.9::DOUBLE * wanted, 6) < 0""")
 def dom45_understaffed(spark, sf_dir):
     modules = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("station"), F.col("l_partkey").alias("macro"))
     parts = table(spark, sf_dir, "part").filter("p_partkey % 5 <> 0").select(F.col("p_partkey").alias("macro"), (F.col("p_size") % 9).alias("housing"), (F.col("p_size") % 7).alias("workers"))
@@ -99,7 +99,7 @@ def dom29_inflow(spark, sf_dir):
 
 @query(f"""WITH {INFLOW_SQL}, p AS (SELECT station, CASE ware % 4 WHEN 0 THEN 'S' WHEN 1 THEN 'M' WHEN 2 THEN 'L' ELSE 'XL' END AS size, sum(CASE WHEN ware % 4 = 3 THEN 0 ELSE own END) / 200 AS measured, 100.0::DOUBLE + station % 9 AS hold, 5.0::DOUBLE * (station % 40) - sum(observed) AS gap FROM inflow GROUP BY station, ware % 4),
  u AS (SELECT size, median(measured) AS usual FROM p WHERE measured > 0 GROUP BY size), q AS (SELECT p.*, CASE WHEN measured > 0 THEN measured ELSE coalesce(usual, CASE size WHEN 'S' THEN 3.0::DOUBLE WHEN 'M' THEN 2 WHEN 'L' THEN 1 ELSE 0.8::DOUBLE END) END AS rate, CASE WHEN measured > 0 THEN 'measured' WHEN usual IS NOT NULL THEN 'empire' ELSE 'assumed' END AS source FROM p LEFT JOIN u USING (size))
- SELECT station, size, ROUND(rate, 5) AS rate, source, CASE WHEN gap <= 0 THEN 0 WHEN hold * rate > 0 THEN ceil(gap / (hold * rate))::BIGINT END AS more FROM q""")
+ SELECT station, size, ROUND(rate, 5) AS rate, source, CASE WHEN ROUND(gap, 6) <= 0 THEN 0 WHEN hold * rate > 0 THEN ceil(ROUND(gap / (hold * rate), 6))::BIGINT END AS more FROM q""")
 def dom29_pool_rates(spark, sf_dir):
     w = F.col("ware") % 4
     p = raw_inflow(spark, sf_dir).withColumn("size", F.when(w == 0, "S").when(w == 1, "M").when(w == 2, "L").otherwise("XL"))

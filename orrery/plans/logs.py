@@ -76,7 +76,7 @@ def dom12_destroyed(spark, sf_dir):
     return L.destroyed(entries(spark, sf_dir))[0]
 
 
-@query(f"SELECT time, 'Union' AS faction, 'Dock ' || s AS station, 'Sector ' || s % 10 AS sector, 'ship' AS kind, money / 100.0 AS bounty, CASE WHEN q % 2 = 0 THEN 0.5 ELSE q END::DOUBLE AS reputation, unnest(['Hull ' || p, 'Wing']) AS name, unnest([{sql_code('SHP', 'p')}, {sql_code('WNG', 'o')}]) AS code {base(3)}")
+@query(f"SELECT time, 'Union' AS faction, 'Dock ' || s AS station, 'Sector ' || s % 10 AS sector, 'ship' AS kind, money / 100.0 AS bounty, CASE WHEN q % 2 = 0 THEN 0.5 ELSE q END::DOUBLE AS reputation, unnest([1, 2])::INT AS nth, unnest(['Hull ' || p, 'Wing']) AS name, unnest([{sql_code('SHP', 'p')}, {sql_code('WNG', 'o')}]) AS code {base(3)}")
 def dom13_rewards(spark, sf_dir):
     return L.rewards(entries(spark, sf_dir))[0]
 

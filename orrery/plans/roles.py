@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orrery.functions.columns import micros
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def seconds(c: str):
-    return (F.unix_micros(F.col(c).cast("timestamp")) / 1e6).cast("double")
+    return (micros(c) / 1e6).cast("double")
 
 
 def stock(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 # Names of catalogues, the folder of extensions and the beginning of official ones, references and their greatest depth.
 CATALOGUE, EXTENSIONS, OFFICIAL = r"^(ext_)?[0-9]+\.cat$", "extensions", "ego_dlc_"
 REFERENCE, DEPTH = r"\{\s*(\d+)\s*,\s*(\d+)\s*\}", 9
-COMMENT = r"(?<!\\)\((?:[^()\\]|\\.)*?(?<!\\)\)"
+#: Stand-ins for brackets that are escaped, and for one that closes nothing.
+OPEN, CLOSE, STRAY = "\x01", "\x02", "\x03"
 
 
 def index(spark: SparkSession, folder: str, extensions: Sequence[str] | None = None) -> DataFrame:
@@ -66,10 +67,17 @@ def texts(elems: DataFrame, order: Column | None = None) -> DataFrame:
 
 
 def uncommented(text: Column) -> Column:
-    """A text without (comments), nested ones from the inside out, and with escaped brackets as they are."""
-    n = F.length(text) - F.length(F.replace(text, F.lit("("), F.lit("")))
-    bare = F.aggregate(F.sequence(F.lit(0), n), text, lambda t, _: F.regexp_replace(t, COMMENT, ""))
-    return F.replace(F.replace(bare, F.lit("\\("), F.lit("(")), F.lit("\\)"), F.lit(")"))
+    """A text without (comments), and with escaped brackets as they are: what lies between the first closing bracket and the opening one nearest before it goes, as often as there are closing ones."""
+    held = F.replace(F.replace(text, F.lit("\\("), F.lit(OPEN)), F.lit("\\)"), F.lit(CLOSE))
+
+    def shorter(t: Column, _: Column) -> Column:
+        close = F.instr(t, ")")
+        before, after = F.substr(t, F.lit(1), close - 1), F.substr(t, close + 1)
+        back = F.instr(F.reverse(before), "(")
+        return F.when(close == 0, t).when(back == 0, F.concat(before, F.lit(STRAY), after)).otherwise(F.concat(F.substr(before, F.lit(1), close - 1 - back), after))
+
+    n = F.length(held) - F.length(F.replace(held, F.lit(")"), F.lit("")))
+    return F.translate(F.aggregate(F.sequence(F.lit(0), n), held, shorter), OPEN + CLOSE + STRAY, "())")
 
 
 def resolved(df: DataFrame, key: str, text: str, known: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # The wordings of the log's entries, the token that parts lines, and how an object's code looks.
@@ -63,18 +63,18 @@ def destroyed(log: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def rewards(log: DataFrame, keys: Sequence[str] = ("time",)) -> tuple[DataFrame, DataFrame]:
-    """A row for each credited ship or station; keys tell entries apart. A reputation of `<1` counts as 0.5; the bounty is the entry's money."""
+    """A row for each credited ship or station; keys tell entries apart, nth the rows of one, so that its payout can be counted once (nth = 1). A reputation of `<1` counts as 0.5; the bounty is the entry's money."""
     own = entries(log).filter(F.col("title") == REWARD)
     good, bad = parted(own, labelled("Credited To").isNotNull(), "reward")
     said = labelled("Reputation")
     reputation = F.when(said == "+<1", 0.5).otherwise(F.expr("try_cast(substr(_r, 2) AS double)"))
-    who = F.regexp_replace("_c", "^[A-Za-z]+:", "")
-    pairs = f"([^,]*?)\\s*\\(({CODE})\\)"
     good = good.withColumns({"_r": said, "_c": labelled("Credited To")})
-    each = F.explode(F.arrays_zip(F.regexp_extract_all(who, F.lit(pairs), F.lit(1)).alias("name"), F.regexp_extract_all(who, F.lit(pairs), F.lit(2)).alias("code")))
+    kept = F.filter(F.split(F.element_at(F.split("_c", ":", 2), -1), ","), lambda x: F.rtrim(x).rlike(f"\\({CODE}\\)$"))
+    one = lambda x: F.struct(F.trim(F.substr(x, F.lit(1), F.length(x) - 9)).alias("name"), F.substr(x, F.length(x) - 7, F.lit(7)).alias("code"))  # noqa: E731  what stands before the brackets, and in them
+    each = F.posexplode(F.transform(kept, lambda x: one(F.rtrim(x))))
     kind = F.when(F.col("_c").startswith("Ships:"), "ship").when(F.col("_c").startswith("Stations:"), "station").otherwise("")
-    found = good.select(*keys, labelled("Faction").alias("faction"), labelled("Station").alias("station"), labelled("Sector").alias("sector"), kind.alias("kind"), (F.col("money") / 100).alias("bounty"), reputation.alias("reputation"), each.alias("_e"))
-    return found.withColumns({"name": F.trim("_e.name"), "code": F.col("_e.code")}).drop("_e"), bad
+    found = good.select(*keys, labelled("Faction").alias("faction"), labelled("Station").alias("station"), labelled("Sector").alias("sector"), kind.alias("kind"), (F.col("money") / 100).alias("bounty"), reputation.alias("reputation"), each.alias("nth", "_e"))
+    return found.withColumns({"nth": F.col("nth") + 1, "name": F.col("_e.name"), "code": F.col("_e.code")}).drop("_e"), bad
 
 
 def claims(log: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -151,5 +151,6 @@ def report(unread: Sequence[DataFrame], samples: int = 3) -> DataFrame:
     """(kind, n, samples): how many entries of each kind weren't read, and the first distinct samples in order, cut to 220 characters."""
     every = reduce(DataFrame.unionByName, unread)
     per = every.groupBy("kind", F.substring("sample", 1, 220).alias("sample")).agg(F.count("*").alias("m"))
-    told = F.slice(F.sort_array(F.collect_set("sample")), 1, samples)
-    return per.groupBy("kind").agg(F.sum("m").alias("n"), told.alias("samples"))
+    first = Window.partitionBy("kind").orderBy("sample")  # Spark keeps so many rows of a kind in each task before the shuffle
+    told = per.withColumn("k", F.row_number().over(first)).filter(F.col("k") <= samples).groupBy("kind").agg(F.sort_array(F.collect_list("sample")).alias("samples"))
+    return per.groupBy("kind").agg(F.sum("m").alias("n")).join(told, "kind")

@@ -132,23 +132,10 @@ def place(kind: str) -> Column:
     return last(lambda c: c["class"] == kind)
 
 
-#: The wares that resource areas are named after.
-AREA_WARES = "ore silicon nividium ice hydrogen helium methane rawkhaakscrap rawscrap scrap".split()
-
-
-def area_name(k: int) -> Column:
-    """Ware (0), level (1) and speed (2) of a resource area: its name's words from the first ware among the last three on, if only letters follow."""
-    words = F.split(a("yieldid"), "_")
-    tails = [F.when(F.size(words) > n, F.slice(words, -n, n)) for n in (3, 2, 1)]
-    named = [F.when(t[0].isin(AREA_WARES) & F.forall(t, lambda x: x.rlike("^[a-z]+$")), t) for t in tails]
-    return F.get(F.coalesce(*named), F.lit(k))
-
-
-def is_vault(macro: Column) -> Column:
-    """Whether a macro is a data vault's: landmarks, a kind or none, vault, a number, macro."""
-    words = F.split(F.lower(macro), "_")
-    n = F.size(words)
-    return (words[0] == "landmarks") & ((n == 4) | ((n == 5) & (words[1] == "erlking"))) & (F.get(words, n - 3) == "vault") & F.get(words, n - 2).rlike("^[0-9]+$") & (F.get(words, n - 1) == "macro")
+def is_vault() -> Column:
+    """Whether a component is a data vault: by its class, or a landmark that is called so."""
+    words = F.split(F.lower(F.coalesce(a("macro"), F.lit(""))), "_")
+    return (a("class") == "datavault") | ((words[0] == "landmarks") & F.array_contains(words, "vault"))
 
 
 def number(name: str, default: float | None = None) -> Column:
@@ -182,7 +169,7 @@ def definitions() -> dict[str, tuple[Column, dict[str, Column]]]:
         "info": (under("savegame", "info"), {"tag": F.col("tag"), "guid": a("guid"), "version": a("version"), "game_time": number("time"), "save_date": a("date"), "name": a("name"), "money": number("money"), "modified": a("modified")}),
         "component": (component(tracked), {"id": a("id"), "class": a("class"), "macro": F.lower(a("macro")), "name": a("name"), "code": a("code"), "owner": a("owner"), "knownto": a("knownto"), "contested": a("contested"), "connection": a("connection"), "spawntime": number("spawntime"), "basename": a("basename"), "cluster_id": place("cluster")["id"], "cluster_macro": place("cluster")["macro"], "sector_id": place("sector")["id"], "sector_macro": place("sector")["macro"], "parent_id": outer["id"]}),
         "built_ref": (component(a("construction").isNotNull() & (F.coalesce(a("state"), F.lit("")) != "construction")), {"host": last(is_yard)["id"], "entry": a("construction")}),
-        "datavault": (component(is_vault(a("macro"))), {"id": a("id"), "macro": F.lower(a("macro")), "code": a("code"), "knownto": a("knownto"), "sector_macro": place("sector")["macro"]}),
+        "datavault": (component(is_vault()), {"id": a("id"), "macro": F.lower(a("macro")), "code": a("code"), "knownto": a("knownto"), "sector_macro": place("sector")["macro"]}),
         "vault_unlock": (F.col("path").endswith("component/unlock") & (a("state") == "unlocked"), {"id": own["id"]}),
         "wormhole": (component(a("class") == "anomaly"), {"id": a("id"), "macro": F.lower(a("macro")), "code": a("code"), "knownto": a("knownto"), "cluster_macro": place("cluster")["macro"], "sector_macro": place("sector")["macro"]}),
         "wormhole_link": ((own["class"] == "anomaly") & F.col("path").rlike("component/connections/connection/connected$") & F.col("tag").isin("connected"), {"id": own["id"], "target_conn": a("connection"), "conn": F.lit(None).cast("string")}),
@@ -218,7 +205,7 @@ def definitions() -> dict[str, tuple[Column, dict[str, Column]]]:
         "trade_pending_order": (F.col("path").rlike("orders/order/(.*/)?trade$") & a("id").isNotNull() & a("ware").isNotNull(), pending),
         "trade_pending_reservation": (at("trade", "reservations", "reservation") & a("ware").isNotNull() & a("id").isNotNull(), pending),
         "trade_setting": (at("trade", "settings", "setting") & a("wares").isNotNull(), {"object_id": host, "setting": a("name"), "ware": F.explode(F.split(a("wares"), r"\s+"))}),
-        "resource": ((F.col("tag") == "area") & a("yieldid").isNotNull() & area_name(0).isNotNull(), {"sector_macro": place("sector")["macro"], "ware": area_name(0), "yield": number("yield", 0), "level": area_name(1), "speed": area_name(2), "starttime": number("starttime", 0)}),
+        "area": ((F.col("tag") == "area") & a("yieldid").isNotNull(), {"sector_macro": place("sector")["macro"], "yieldid": a("yieldid"), "yield": number("yield", 0), "starttime": number("starttime", 0)}),
         "stock_log": (F.col("path").rlike("^savegame/economylog/entries/log$") & (a("type") == "trade"), {"t": number("time"), "owner_id": a("owner"), "ware": a("ware"), "level": F.coalesce(number("v"), F.lit(0.0)), "elem": F.col("parent"), "raw": F.to_json("attrs")}),
         "trade_log": (F.col("path").rlike("^savegame/economylog/entries/log$"), {"t": number("time"), "kind": a("type"), "ware": a("ware"), "buyer_id": a("buyer"), "seller_id": a("seller"), "price_cr": cents(a("price")), "amount": number("v"), "elem": F.col("parent"), "raw": F.to_json("attrs")}),
         "money_log": (F.col("path").rlike("^savegame/economylog/entries/log$"), {"t": number("time"), "kind": a("type"), "owner_id": a("owner"), "partner_id": a("partner"), "amount_cr": cents(F.coalesce(a("v2"), a("v"))), "elem": F.col("parent"), "raw": F.to_json("attrs")}),
@@ -283,5 +270,18 @@ def pending_trades(elems: DataFrame) -> DataFrame:
     return both.groupBy("file", "trade_id").agg(*first.values()).join(active, ["file", "trade_id"], "left").fillna(0, ["is_active"])
 
 
+def resources(elems: DataFrame, wares: DataFrame) -> DataFrame:
+    """(file, ord, sector_macro, ware, yield, level, speed, starttime) of resource areas: their names end in one of the wares (ware), its level and its speed, which may both be left out.
+
+    Of several wares in a name the last counts. Areas that name none, or have more than two words behind it, are left out.
+    """
+    areas = records(elems, "area").withColumn("_words", F.split("yieldid", "_"))
+    said = areas.select("file", "ord", F.posexplode("_words").alias("_at", "ware")).filter("_at > 0").join(wares.select("ware").distinct(), "ware")
+    said = said.groupBy("file", "ord").agg(F.max("_at").alias("_at"))
+    found = areas.join(said, ["file", "ord"]).filter(F.size("_words") - F.col("_at") <= 3)
+    word = lambda k: F.get("_words", F.col("_at") + k)
+    return found.select("file", "ord", "sector_macro", word(0).alias("ware"), "yield", word(1).alias("level"), word(2).alias("speed"), "starttime")
+
+
 def crew(elems: DataFrame) -> DataFrame:
     return records(elems, "people").filter("object_id IS NOT NULL").groupBy("file", "object_id", "role").agg(F.count(F.lit(1)).alias("n"))

@@ -20,7 +20,7 @@ DOC = """<savegame>
       <people><person role="marine"/><person role="marine"/><person/></people><ammunition><available><item macro="Drone_M" amount="9"/></available></ammunition>
       <orders><order id="1" order="TradePerform" default="1"><trade id="[p1]" buyer="[10]" seller="[30]" ware="ore" amount="5" price="200"/></order></orders></component>
     </component></connection></connections></component>
-   <component class="datavault" id="[40]" macro="Landmarks_Vault_07_macro"><unlock state="unlocked"/></component><component class="object" id="[41]" macro="landmarks_erlking_vault_2_macro"/><component class="object" id="[42]" macro="landmarks_vault_x_macro"/><component class="object" id="[43]" macro="old_datavault"/>
+   <component class="datavault" id="[40]" macro="Landmarks_Vault_07_macro"><unlock state="unlocked"/></component><component class="object" id="[41]" macro="landmarks_erlking_vault_2_macro"/><component class="object" id="[42]" macro="landmarks_wreck_3_macro"/><component class="object" id="[43]" macro="old_datavault"/>
    <component class="ship_l" id="[30]" owner="player" connection="e"><connections><connection connection="subordinates" id="[sub]"/></connections><stats><stat id="kills" value="99"/></stats></component>
    </connection></connections><resourceareas><area yieldid="belt_b_ice_thin_quick" yield="4"/><area yieldid="ring_methane_rich" yield="2"/><area yieldid="ring_scrap"/><area yieldid="scrap"/><area yieldid="ring_ore_2"/><area yieldid="belt_of_dust"/></resourceareas></component>
  </connection></connections></component>
@@ -51,7 +51,6 @@ def test_records(elems):
     assert one(elems, "cargo", "object_id", "ware", "amount") == [("[10]", "ore", 7.0), ("[10]", "ice", 1.0)]
     assert one(elems, "ammunition", "station_id", "macro", "amount") == [("[10]", "drone_m", 3.0)]
     assert one(elems, "station_build_method", "object_id", "method") == [("[10]", "closedloop")] and one(elems, "build_task", "host_id") == []
-    assert one(elems, "resource", "sector_macro", "ware", "level", "speed", "yield") == [("s1_macro", "ice", "thin", "quick", 4.0), ("s1_macro", "methane", "rich", None, 2.0), ("s1_macro", "scrap", None, None, 0.0)]
     assert one(elems, "datavault", "id", "sector_macro") == [("[40]", "s1_macro"), ("[41]", "s1_macro")] and one(elems, "vault_unlock", "id") == [("[40]",)]
     assert one(elems, "player_stat", "id", "value") == [("kills", 2.0)]
     assert one(elems, "workforce", "station_id", "race", "amount") == [("[10]", "split", 40.0)]
@@ -60,6 +59,8 @@ def test_records(elems):
 
 
 def test_joined_records(elems):
+    wares = elems.sparkSession.createDataFrame([(w,) for w in ("ore", "ice", "methane", "scrap", "quick")], "ware string").filter("ware <> 'quick'")
+    assert [tuple(r)[2:7] for r in X.resources(elems, wares).orderBy("ord").collect()] == [("s1_macro", "ice", 4.0, "thin", "quick"), ("s1_macro", "methane", 2.0, "rich", None), ("s1_macro", "scrap", 0.0, None, None), ("s1_macro", "ore", 0.0, "2", None)]
     assert [(r.follower, r.leader, r.conflict) for r in X.fleet_edges(elems).collect()] == [("[20]", "[30]", False)]
     at = {r.ord: (r.sx, r.sz) for r in X.positions(elems).collect()}
     ids = {r.id: r.ord for r in X.records(elems, "component").collect()}
