@@ -4,18 +4,19 @@ A small streaming reader turns each document into rows of one shape, whatever is
 in it: an element's place, its attributes and the components around it. What a
 record is (an offer, a build task, a fleet link) is then a predicate on those
 columns, so new records are new expressions, and Spark prunes and plans them.
-Files are read by Spark, so any store it can read will do. A gzip file is one
-task. A document that breaks off gives the elements before that point, and a last
-row of tag `#truncated`.
+A file is one task, which reads it as a stream, so files may have any length. A
+document that breaks off gives the elements before that point, and a last row of
+tag `#truncated`.
 """
 
 from __future__ import annotations
 
-import gzip
 import io
 import xml.parsers.expat
+import zlib
 from collections.abc import Iterator
 from functools import cache
+from typing import BinaryIO
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,7 +28,31 @@ COMPONENT = "struct<ord:long,class:string,id:string,macro:string,owner:string,co
 ELEMENT = f"file string, ord long, parent long, depth int, tag string, path string, attrs map<string,string>, comps array<{COMPONENT}>, text string"
 
 
-def parse(data: bytes, tags: frozenset[str] | None = None, until: str | None = None) -> Iterator[tuple]:
+#: Bytes that are read at once, and that a packed chunk is unpacked to at once.
+CHUNK, UNPACKED = 1 << 18, 1 << 22
+
+
+def chunks(stream: BinaryIO, size: int = CHUNK) -> Iterator[bytes]:
+    """A file's bytes piece by piece, unpacked if it is a gzip file. One that is cut short raises EOFError, one that is damaged zlib.error."""
+    data = stream.read(size)
+    if data[:2] != b"\x1f\x8b":
+        while data:
+            yield data
+            data = stream.read(size)
+        return
+    unpack = zlib.decompressobj(31)
+    while data:
+        yield unpack.decompress(data, UNPACKED)
+        if unpack.eof:  # of a member; others may follow
+            data, unpack = unpack.unused_data or stream.read(size), zlib.decompressobj(31)
+            if not data:
+                return
+        else:
+            data = unpack.unconsumed_tail or stream.read(size)
+    raise EOFError("the file is cut short")
+
+
+def parse(stream: BinaryIO, tags: frozenset[str] | None = None, until: str | None = None) -> Iterator[tuple]:
     """(ord, parent, depth, tag, path, attrs, comps, text) of a document's elements, in order of their starts; those of `tags` alone, up to the end of `until`."""
     stack: list[list] = []
     comps: list[dict] = []
@@ -59,21 +84,33 @@ def parse(data: bytes, tags: frozenset[str] | None = None, until: str | None = N
     parser = xml.parsers.expat.ParserCreate()
     parser.buffer_text = True
     parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler = start, end, characters
-    stream = gzip.GzipFile(fileobj=io.BytesIO(data)) if data[:2] == b"\x1f\x8b" else io.BytesIO(data)
     try:
-        while not state["stop"] and (chunk := stream.read(1 << 20)):
+        for chunk in chunks(stream, 1 << 14 if until else CHUNK):
             parser.Parse(chunk, False)
             yield from out[:-64] if stack else out  # the last may still get text
             del out[: max(0, len(out) - 64) if stack else len(out)]
+            if state["stop"]:
+                break
         if not state["stop"]:
             parser.Parse(b"", True)
-    except (xml.parsers.expat.ExpatError, EOFError, OSError):
-        out.append([state["n"] + 1, None, 0, "#truncated", "#truncated", {}, [], None])
+    except (xml.parsers.expat.ExpatError, EOFError, zlib.error):
+        if not state["stop"]:
+            out.append([state["n"] + 1, None, 0, "#truncated", "#truncated", {}, [], None])
     yield from out
 
 
 def elements(spark: SparkSession, path: str, tags: frozenset[str] | None = None, until: str | None = None) -> DataFrame:
-    """ELEMENT rows of all .xml and .xml.gz files under path. tags keeps those elements alone; until stops each file behind the first such element."""
+    """ELEMENT rows of all .xml and .xml.gz files under path. tags keeps those elements alone; until stops each file behind the first such element.
+
+    Tasks open the files themselves, by the data source `world_snapshot`. In a
+    store that only Spark reads a file comes as one value, and so has 2 GB at most.
+    """
+    from .snapshot_source import SnapshotSource, readable
+
+    if readable(path):
+        spark.dataSource.register(SnapshotSource)
+        options = {"path": path} | ({"tags": ",".join(sorted(tags))} if tags else {}) | ({"until": until} if until else {})
+        return spark.read.format(SnapshotSource.name()).options(**options).load()
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{xml,xml.gz}").load(path).select("path", "content")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -81,7 +118,7 @@ def elements(spark: SparkSession, path: str, tags: frozenset[str] | None = None,
         for batch in batches:
             for file, data in zip(batch["path"], batch["content"]):
                 held: list[tuple] = []
-                for row in parse(data, tags, until):
+                for row in parse(io.BytesIO(data), tags, until):
                     held.append(row)
                     if len(held) == 10_000:
                         yield pd.DataFrame(held, columns=names).astype({"parent": "Int64"}).assign(file=file)
@@ -93,14 +130,8 @@ def elements(spark: SparkSession, path: str, tags: frozenset[str] | None = None,
     return files.mapInPandas(lambda b: (p[order] for p in run(b)), ELEMENT)
 
 
-def newest(spark: SparkSession, path: str) -> DataFrame:
-    """(path) of the file changed last."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{xml,xml.gz}").load(path)
-    return files.agg(F.max_by("path", "modificationTime").alias("path"))
-
-
 def peek(spark: SparkSession, path: str) -> DataFrame:
-    """(file, guid, game_time, save_date): a file's header, read no further than that."""
+    """(file, guid, game_time, save_date): a file's header. No more of a file is read than some 16 KB beyond it."""
     e = elements(spark, path, frozenset({"game", "save", "info"}), "info")
     return e.groupBy("file").agg(F.max(F.when(at("game"), a("guid"))).alias("guid"), F.max(F.when(at("game"), to_double(a("time")))).alias("game_time"), F.max(F.when(at("save"), a("date"))).alias("save_date"))
 

@@ -1,7 +1,10 @@
 import gzip
+import io
+import os
 
 import pytest
 
+from orrery.sources import snapshot_source as S
 from orrery.sources import snapshot_xml as X
 
 DOC = """<savegame>
@@ -84,3 +87,60 @@ def test_gzip_peek_landmarks_and_broken_files(spark, tmp_path):
     assert {(r.id, r.sector_macro, r.sx) for r in X.landmarks(spark, str(tmp_path), "ST_M").collect()} == {("[10]", "s1_macro", 1010.0)}
     e = X.elements(spark, str(tmp_path))
     assert e.filter("tag = '#truncated'").count() == 1 and X.records(e, "component").count() == 10
+
+
+class Counted(io.BytesIO):
+    taken = 0
+
+    def read(self, n=-1):
+        out = super().read(n)
+        self.taken += len(out)
+        return out
+
+
+def test_a_header_is_read_and_no_more():
+    long = DOC.replace("</universe>", "<x a='%s'/>" % ("y" * 5_000_000) + "</universe>")
+    for data in (long.encode(), gzip.compress(long.encode(), 0)):
+        stream = Counted(data)
+        rows = list(X.parse(stream, frozenset({"game", "save", "info"}), "info"))
+        assert [r[3] for r in rows] == ["info", "save", "game"] and stream.taken <= 1 << 15
+
+
+def test_files_beyond_two_gigabytes(spark, tmp_path):
+    head = DOC[: DOC.index("<universe>")]
+    with open(tmp_path / "big.xml", "wb") as f:  # a hole of 3 GB behind the header
+        f.write(head.encode())
+        f.truncate(3 << 30)
+    assert [(r.guid, r.game_time) for r in X.peek(spark, str(tmp_path)).collect()] == [("G1", 86.25)]
+
+
+def test_packed_files_of_several_members_and_cut_ones():
+    one, two = DOC[:700].encode(), DOC[700:].encode()
+    packed = gzip.compress(one) + gzip.compress(two)
+    assert list(X.parse(io.BytesIO(packed))) == list(X.parse(io.BytesIO(DOC.encode())))
+    bomb = gzip.compress(b"<a>" + b"<b/>" * 3_000_000 + b"</a>")
+    assert max(map(len, X.chunks(io.BytesIO(bomb)))) <= X.UNPACKED
+    for bad in (packed[:-20], packed[:60] + b"\x00\xff\x00" + packed[63:]):
+        assert list(X.parse(io.BytesIO(bad)))[-1][3] == "#truncated"
+
+
+def test_saves_are_found_by_their_folders(tmp_path):
+    old, new = tmp_path / "x" / "123" / "save", tmp_path / "y" / "Game" / "456" / "save"
+    for k, (folder, names) in enumerate(((old, ["a.xml.gz"]), (new, ["q.xml", "r.xml.gz", "note.txt"]))):
+        folder.mkdir(parents=True)
+        for n, name in enumerate(names):
+            (folder / name).write_text("<savegame/>")
+            os.utime(folder / name, (1000 + 10 * k + n, 1000 + 10 * k + n))
+    (tmp_path / "y" / "other").mkdir()
+    (tmp_path / "y" / "other" / "z.xml").write_text("<a/>")
+    roots = [str(tmp_path / p) for p in ("none", "y", "x")]
+    assert [p.rsplit("/", 1)[1] for p in S.saves(roots)] == ["r.xml.gz", "q.xml"] and S.saves(roots[2:]) == [str(old / "a.xml.gz")] and S.saves(roots[:1]) == []
+    (new / "temp.xml.gz").write_text("")
+    with pytest.raises(RuntimeError):
+        S.saves(roots)
+
+
+def test_other_stores_are_left_to_spark(spark, tmp_path):
+    assert S.readable("/a/b") and S.readable("file:///a") and not S.readable("viewfs://x/a")
+    (tmp_path / "a.xml").write_text(DOC)
+    assert X.elements(spark, f"file://{tmp_path}").count() == X.elements(spark, str(tmp_path)).count()
