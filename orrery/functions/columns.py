@@ -67,21 +67,6 @@ def safe_divide(a: Column, b: Column) -> Column:
     return F.try_divide(a.cast("double"), b.cast("double"))
 
 
-def unit_code(c: Column | str) -> Column:
-    """The first code like ABC-123 in a text, or null."""
-    return F.regexp_substr(col(c), F.lit("[A-Z]{3}-[0-9]{3}"))
-
-
-def after_label(c: Column | str, label: str) -> Column:
-    """What follows a label up to the next bracket, trimmed, or null."""
-    return F.nullif(F.trim(F.regexp_extract(col(c), label + r":\s*([^\[\n]+)", 1)), F.lit(""))
-
-
-def side(c: Column | str, pattern: str, k: int) -> Column:
-    """Part k of a text split once at a pattern, or null."""
-    return F.try_element_at(F.split(col(c), pattern, 2), F.lit(k + 1))
-
-
 def slug(c: Column | str) -> Column:
     return F.trim(F.regexp_replace(F.lower(col(c)), "[^a-z0-9]+", "-"), F.lit("-"))
 
@@ -94,15 +79,6 @@ def first_fragment(c: Column | str, table: list[tuple[str, str]], default: str |
     return F.lit(default) if out is None else out.otherwise(F.lit(default))
 
 
-def tokens(c: Column | str, separator: str = " ") -> Column:
-    """The distinct parts of a delimited text; an empty one has none."""
-    return F.array_remove(F.array_distinct(F.split(F.coalesce(col(c), F.lit("")), F.lit(separator))), F.lit(""))
-
-
-def display_name(name: Column, model: Column, short: Column, base: Column) -> Column:
-    return F.coalesce(F.nullif(name, F.lit("")), F.nullif(model, F.lit("")), F.concat(short, F.lit(" "), F.coalesce(base, F.lit("Station"))))
-
-
 #: The limits and names of standings.
 LINEAR = 0.0032
 BANDS = {"War": -0.999, "Hostile": -0.32, "Enemy": -0.01, "Neutral": 0.01, "Friendly": 0.1, "Friend": 0.5}

@@ -77,7 +77,3 @@ def positions(sides: dict[str, DataFrame], on: Sequence[str]) -> DataFrame:
 def member(df: DataFrame, keys: DataFrame, on: Sequence[str], name: str) -> DataFrame:
     """df with a flag of whether its key is in keys."""
     return df.join(keys.select(*on).distinct().withColumn(name, F.lit(1)), list(on), "left").fillna(0, [name])
-
-
-def any_of(*conditions: Column) -> Column:
-    return reduce(lambda a, b: a | b, conditions)

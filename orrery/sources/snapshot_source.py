@@ -4,7 +4,8 @@
     spark.read.format("world_snapshot").option("path", folder).load()
 
 Options: path (a file or a folder, searched through), tags (comma-separated: only
-these elements), until (stop behind the first such element, as for a header).
+these elements), until (stop behind the first such element, as for a header),
+suffixes (comma-separated, of the files to read).
 Each file is a partition; the driver lists names and sizes alone. A folder of
 saves is recognised by saves().
 """
@@ -19,8 +20,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from .snapshot_xml import ELEMENT, parse
 
-SCHEMES = ("file", "hdfs", "s3", "gs")
 SUFFIXES = (".xml", ".xml.gz")
+SCHEMES = ("file", "hdfs", "s3", "gs")
 
 
 def readable(path: str) -> bool:
@@ -38,7 +39,7 @@ def system(path: str):
     return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
 
 
-def listed(path: str) -> list[tuple[str, float | None]]:
+def listed(path: str, suffixes: Sequence[str] = SUFFIXES) -> list[tuple[str, float | None]]:
     """(path, time of change) of the snapshot files at or under a path, in order."""
     from pyarrow import fs
 
@@ -48,7 +49,7 @@ def listed(path: str) -> list[tuple[str, float | None]]:
         raise FileNotFoundError(path)
     rest = store.get_file_info(fs.FileSelector(own, recursive=True)) if found.type == fs.FileType.Directory else [found]
     scheme = path.split("://")[0] + "://" if "://" in path and not path.startswith("file:") else ""
-    return sorted((scheme + x.path, x.mtime.timestamp() if x.mtime else None) for x in rest if x.type == fs.FileType.File and x.path.endswith(SUFFIXES))
+    return sorted((scheme + x.path, x.mtime.timestamp() if x.mtime else None) for x in rest if x.type == fs.FileType.File and x.path.endswith(tuple(suffixes)))
 
 
 def saves(roots: Sequence[str]) -> list[str]:
@@ -79,10 +80,11 @@ class File(InputPartition):
 class SnapshotReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path, self.until = options["path"], options.get("until")
+        self.suffixes = options["suffixes"].split(",") if options.get("suffixes") else SUFFIXES
         self.tags = frozenset(x.strip() for x in options["tags"].split(",")) if options.get("tags") else None
 
     def partitions(self) -> Sequence[InputPartition]:
-        return [File(p) for p, _ in listed(self.path)]
+        return [File(p) for p, _ in listed(self.path, self.suffixes)]
 
     def read(self, partition: File) -> Iterator[tuple]:
         store, own = system(partition.path)

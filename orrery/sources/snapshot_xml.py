@@ -99,8 +99,8 @@ def parse(stream: BinaryIO, tags: frozenset[str] | None = None, until: str | Non
     yield from out
 
 
-def elements(spark: SparkSession, path: str, tags: frozenset[str] | None = None, until: str | None = None) -> DataFrame:
-    """ELEMENT rows of all .xml and .xml.gz files under path. tags keeps those elements alone; until stops each file behind the first such element.
+def elements(spark: SparkSession, path: str, tags: frozenset[str] | None = None, until: str | None = None, suffixes: tuple[str, ...] = (".xml", ".xml.gz")) -> DataFrame:
+    """ELEMENT rows of all files of these suffixes under path. tags keeps those elements alone; until stops each file behind the first such element.
 
     Tasks open the files themselves, by the data source `world_snapshot`. In a
     store that only Spark reads a file comes as one value, and so has 2 GB at most.
@@ -109,9 +109,9 @@ def elements(spark: SparkSession, path: str, tags: frozenset[str] | None = None,
 
     if readable(path):
         spark.dataSource.register(SnapshotSource)
-        options = {"path": path} | ({"tags": ",".join(sorted(tags))} if tags else {}) | ({"until": until} if until else {})
+        options = {"path": path, "suffixes": ",".join(suffixes)} | ({"tags": ",".join(sorted(tags))} if tags else {}) | ({"until": until} if until else {})
         return spark.read.format(SnapshotSource.name()).options(**options).load()
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{xml,xml.gz}").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*{" + ",".join(suffixes) + "}").load(path).select("path", "content")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = ["ord", "parent", "depth", "tag", "path", "attrs", "comps", "text"]
@@ -130,9 +130,9 @@ def elements(spark: SparkSession, path: str, tags: frozenset[str] | None = None,
     return files.mapInPandas(lambda b: (p[order] for p in run(b)), ELEMENT)
 
 
-def peek(spark: SparkSession, path: str) -> DataFrame:
+def peek(spark: SparkSession, path: str, **options) -> DataFrame:
     """(file, guid, game_time, save_date): a file's header. No more of a file is read than some 16 KB beyond it."""
-    e = elements(spark, path, frozenset({"game", "save", "info"}), "info")
+    e = elements(spark, path, frozenset({"game", "save", "info"}), "info", **options)
     return e.groupBy("file").agg(F.max(F.when(at("game"), a("guid"))).alias("guid"), F.max(F.when(at("game"), to_double(a("time")))).alias("game_time"), F.max(F.when(at("save"), a("date"))).alias("save_date"))
 
 

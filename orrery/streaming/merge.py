@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import json
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -70,9 +70,9 @@ def is_late(snapshot_time: float | None, high: float | None) -> bool:
     return snapshot_time is not None and high is not None and snapshot_time < high
 
 
-def append_once(old: DataFrame, new: DataFrame, by: str) -> DataFrame:
-    """old and the rows of new whose snapshot old doesn't have."""
-    return old.unionByName(new.join(old.select(by).distinct(), by, "left_anti"))
+def new_only(old: DataFrame, new: DataFrame, by: str) -> DataFrame:
+    """The rows of new whose snapshot old doesn't have."""
+    return new.join(old.select(by).distinct(), by, "left_anti")
 
 
 EVENTS = "t double, ord long, series string, item string, level double"
@@ -168,7 +168,3 @@ def stream(spark: SparkSession, folder: str, store: Store, checkpoint: str, sche
 
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
     return reader.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def chain(df: DataFrame, *steps: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    return reduce(lambda d, f: f(d), steps, df)
