@@ -120,7 +120,9 @@ def patched(elems: DataFrame) -> tuple[DataFrame, DataFrame]:
     alive = nodes.filter("died IS NULL").join(void, (nodes["doc"] == void["doc"]) & (nodes["id"] == void["_void"]), "left_anti")
     changes = acts.filter("attribute IS NOT NULL").groupBy("doc", "id", "attribute").agg(F.max_by(F.struct(F.when(F.col("kind") != "remove", F.coalesce(F.trim("op_text"), F.lit(""))).alias("v")), "seq").alias("c"))
     changes = changes.groupBy("doc", "id").agg(F.map_from_entries(F.collect_list(F.struct("attribute", "c.v"))).alias("_new"))  # those of one element
-    out = alive.join(changes, ["doc", "id"], "left")
-    kept = F.map_filter("attrs", lambda k, v: ~F.map_contains_key("_new", k))
-    attrs = F.when(F.col("_new").isNull(), F.col("attrs")).otherwise(F.map_concat(kept, F.map_filter("_new", lambda k, v: v.isNotNull())))
-    return out.select("doc", "place", "line", "steps", "tag", attrs.alias("attrs"), "text"), unread
+    fresh = alive.join(changes, ["doc", "id"]).withColumn("_attrs", F.map_concat(F.map_filter("attrs", lambda k, v: ~F.map_contains_key("_new", k)), F.map_filter("_new", lambda k, v: v.isNotNull())))
+    below = alive.select("doc", "id", F.posexplode("line").alias("_k", "_at")).join(fresh.select("doc", F.col("id").alias("_at"), "_attrs"), ["doc", "_at"])
+    below = below.groupBy("doc", "id").agg(F.map_from_entries(F.collect_list(F.struct("_k", "_attrs"))).alias("_fix"))  # the steps of one element
+    steps = F.when(F.col("_fix").isNull(), F.col("steps")).otherwise(F.transform("steps", lambda s, k: F.struct(s["tag"].alias("tag"), F.coalesce(F.try_element_at("_fix", k), s["attrs"]).alias("attrs"))))
+    out = alive.join(below, ["doc", "id"], "left").withColumn("steps", steps)
+    return out.select("doc", "place", "line", "steps", "tag", F.element_at("steps", -1)["attrs"].alias("attrs"), "text"), unread
