@@ -93,3 +93,44 @@ def pool_rates(pools: DataFrame) -> DataFrame:
     out = pools.join(usual, "size", "left").withColumns({"rate": F.when(F.col("measured") > 0, F.col("measured")).otherwise(F.coalesce("_usual", assumed)), "source": F.when(F.col("measured") > 0, "measured").when(F.col("_usual").isNotNull(), "empire").otherwise("assumed")})
     per = F.col("hold") * F.col("rate")
     return out.withColumn("more", F.when(settled(F.col("gap")) <= 0, 0).when(per > 0, F.ceil(settled(F.col("gap") / per)))).drop("_usual")
+
+
+#: Fixed value: what is left of a ware that counts as missing.
+MISSING = 0.5
+
+
+def remaining(entries: DataFrame, upgrades: DataFrame, parts: DataFrame, recipes: DataFrame) -> DataFrame:
+    """(site, ware, amount): what the plans of sites still take.
+
+    entries: (site, entry, macro, method, built), of which a site may list one
+    several times; each counts once, those without an id every time. An unbuilt one
+    takes what its macro and its upgrades (site, entry, macro) are made of: parts
+    (macro, ware) and recipes (ware, method, input_ware, input_amount), of its
+    method or else of `default`.
+    """
+    named = entries.filter("entry IS NOT NULL").groupBy("site", "entry").agg(F.min(F.struct("macro", "method")).alias("e"), F.max("built").alias("built")).select("site", "entry", "e.macro", "e.method", "built")
+    open_ = named.unionByName(entries.filter("entry IS NULL").select("site", "entry", "macro", "method", "built")).filter("built = 0")
+    every = open_.select("site", "macro", "method").unionByName(open_.join(upgrades.select("site", "entry", F.col("macro").alias("_up")), ["site", "entry"]).select("site", F.col("_up").alias("macro"), "method"))
+    wares = every.groupBy("site", "macro", "method").agg(F.count("*").alias("n")).join(parts.select(F.lower("macro").alias("macro"), "ware"), "macro")
+    taken = recipes.filter("input_ware IS NOT NULL AND input_ware <> ''")
+    has = taken.select("ware", "method").distinct().withColumn("_has", F.lit(True))
+    wares = wares.join(has, ["ware", "method"], "left").withColumn("method", F.when(F.col("_has"), F.col("method")).otherwise("default"))
+    return wares.join(taken, ["ware", "method"]).groupBy("site", F.col("input_ware").alias("ware")).agg(F.sum(F.col("n") * F.col("input_amount")).alias("amount"))
+
+
+def waiting(sites: DataFrame, offers: DataFrame, left: DataFrame, cargo: DataFrame) -> DataFrame:
+    """(site, ware, needed, kind) of building sites (site) that wait for materials.
+
+    kind `ordered`: what they buy, by their offers (site, ware, amount). Sites that
+    buy nothing but have something left to build (remaining()) beyond what lies there
+    (cargo: site, ware, amount) are `inactive`, in a row without a ware, and what
+    they lack is `estimated`.
+    """
+    own = offers.join(sites.select("site").distinct(), "site", "left_semi").filter("amount > 0")
+    ordered = own.select("site", "ware", F.round("amount").alias("needed"), F.lit("ordered").alias("kind"))
+    held = cargo.groupBy("site", "ware").agg(F.sum("amount").alias("_held"))
+    quiet = sites.select("site").distinct().join(own, "site", "left_anti")
+    lacks = left.join(quiet, "site", "left_semi").join(held, ["site", "ware"], "left").withColumn("needed", F.col("amount") - F.coalesce("_held", F.lit(0.0))).filter(settled(F.col("needed")) > MISSING)
+    estimated = lacks.select("site", "ware", "needed", F.lit("estimated").alias("kind"))
+    inactive = lacks.select("site").distinct().select("site", F.lit(None).cast("string").alias("ware"), F.lit(None).cast("double").alias("needed"), F.lit("inactive").alias("kind"))
+    return ordered.withColumn("ware", F.col("ware").cast("string")).unionByName(estimated.withColumn("ware", F.col("ware").cast("string"))).unionByName(inactive)

@@ -36,7 +36,11 @@ def hops(edges: DataFrame, sources: DataFrame, most: int = 6) -> DataFrame:
         front = step.join(seen, ["source", "node"], "left_anti").withColumn("hops", F.lit(k))
         if k % 2 == 0:
             front = front.checkpoint()
+            if front.isEmpty():
+                break
         seen = seen.unionByName(front)
+        if k % 4 == 0:
+            seen = seen.checkpoint()
     return seen
 
 
