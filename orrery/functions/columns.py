@@ -46,6 +46,11 @@ def settled(c: Column, digits: int = 6) -> Column:
     return F.round(c, digits)
 
 
+def half_up(c: Column, digits: int) -> Column:
+    """A positive number to so many digits, what is half a step counting as a whole one; float noise doesn't decide."""
+    return F.floor(c * 10**digits + 0.5 + 1e-7) / F.lit(float(10**digits))
+
+
 def micros(c: Column | str) -> Column:
     """Microseconds since 1970 of a time without a zone, whatever the session's zone."""
     c = col(c)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.functions.columns import settled
+from orrery.functions.columns import half_up, settled
 
 from .graph import hops, routes
 from .windows import top
@@ -46,7 +46,7 @@ def lanes(sells: DataFrame, buys: DataFrame, edges: DataFrame, wares: DataFrame,
     pairs = sold.join(asked, "ware").withColumn("spread", settled(F.col("bid") - F.col("ask"))).filter("spread > 0").join(wares.filter("volume > 0").select("ware", "volume"), "ware").checkpoint()
     reached = hops(edges, pairs.select(F.col("_from").alias("source")).distinct(), most).select(F.col("source").alias("_from"), F.col("node").alias("_to"), F.col("hops").alias("jumps"))
     rows = pairs.join(reached, ["_from", "_to"]).withColumns({"units": F.least("_sold", "_asked"), "reserve_units": F.least("_all", "_asked")}).filter("units > 0 OR reserve_units > 0")
-    rows = rows.withColumns({"per_m3": F.col("spread") / F.col("volume"), "rate": F.round(settled(F.col("spread") / F.col("volume") / F.greatest("jumps", F.lit(1))), 2), "total": F.col("units") * F.col("spread"), "reserve_only": F.col("units") <= 0})
+    rows = rows.withColumns({"per_m3": F.col("spread") / F.col("volume"), "rate": half_up(F.col("spread") / F.col("volume") / F.greatest("jumps", F.lit(1)), 2), "total": F.col("units") * F.col("spread"), "reserve_only": F.col("units") <= 0})
     best = top(rows, ["ware"], [F.col("rate").desc(), F.col("seller"), F.col("buyer")], LANES, "place")
     return best.select("ware", "seller", "buyer", "ask", "bid", "spread", "jumps", "per_m3", "rate", "units", "reserve_units", "total", "reserve_only", "place")
 

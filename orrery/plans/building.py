@@ -77,7 +77,7 @@ def lane_offers(spark, sf_dir):
     return one.filter("side = 1"), one.filter("side = 0"), o.filter("n = 5")
 
 
-@query(f"WITH {LANES_SQL}, x AS (SELECT *, ROUND(ROUND(spread / volume / greatest(jumps, 1), 6), 2) AS rate FROM p WHERE units > 0 OR reserve_units > 0), y AS (SELECT *, row_number() OVER (PARTITION BY ware ORDER BY rate DESC, seller, buyer) AS place FROM x) SELECT ware, seller, buyer, ask::DOUBLE AS ask, bid::DOUBLE AS bid, spread, jumps, rate, units, reserve_units, units * spread AS total, units <= 0 AS reserve_only, place FROM y WHERE place <= 25")
+@query(f"WITH {LANES_SQL}, x AS (SELECT *, floor(spread / volume / greatest(jumps, 1) * 100 + 0.5::DOUBLE + 1e-7) / 100.0::DOUBLE AS rate FROM p WHERE units > 0 OR reserve_units > 0), y AS (SELECT *, row_number() OVER (PARTITION BY ware ORDER BY rate DESC, seller, buyer) AS place FROM x) SELECT ware, seller, buyer, ask::DOUBLE AS ask, bid::DOUBLE AS bid, spread, jumps, rate, units, reserve_units, units * spread AS total, units <= 0 AS reserve_only, place FROM y WHERE place <= 25")
 def dom26_lanes(spark, sf_dir):
     checkpoints(spark)
     sells, buys, held = lane_offers(spark, sf_dir)
