@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from orrery.functions.columns import clamp
 
+from .quantiles import exact
 from .windows import keep_first
 
 
@@ -56,22 +57,23 @@ def hierarchy(df: DataFrame, levels: Sequence[str], value: str) -> DataFrame:
 
 def quantiles(df: DataFrame, keys: Sequence[str], value: str, at: dict[str, float]) -> DataFrame:
     """Exact, interpolated quantiles of positive values."""
-    return df.filter(F.col(value) > 0).groupBy(*keys).agg(*[F.percentile(value, p).alias(n) for n, p in at.items()])
+    return exact(df.filter(F.col(value) > 0), keys, value, at)
 
 
 def binned_rms(df: DataFrame, x: str, y: str, low: float, high: float, n: int) -> DataFrame:
     """Root mean square of the medians of y in n equal, right-closed bins of x; values outside count to the end bins."""
     k = F.least(F.lit(n), F.greatest(F.lit(1), F.ceil((F.col(x) - low) / ((high - low) / n)))).cast("int")
-    bins = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(k.alias("bin")).agg(F.median(y).alias("m"), F.count(F.lit(1)).alias("n"))
+    some = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumn("bin", k)
+    bins = exact(some, ["bin"], y, {"m": 0.5}).join(some.groupBy("bin").agg(F.count(F.lit(1)).alias("n")), "bin")
     return bins.agg(F.sqrt(F.avg(F.col("m") * F.col("m"))).alias("rms"), F.count(F.lit(1)).alias("bins"), F.sum("n").alias("n"))
 
 
 def equal_count_rms(df: DataFrame, x: str, y: str, n: int) -> DataFrame:
     """Root mean square of the medians of y in n right-closed bins of equal counts of x; bins of equal edges are one."""
     some = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-    edges = some.agg(F.array_distinct(F.percentile(x, [k / n for k in range(n + 1)])).alias("_edges"))  # one row
+    edges = exact(some, [], x, {f"_e{k}": k / n for k in range(n + 1)}).select(F.array_distinct(F.array(*[f"_e{k}" for k in range(n + 1)])).alias("_edges"))  # one row
     bins = some.join(F.broadcast(edges), F.lit(True)).withColumn("bin", F.greatest(F.lit(1), F.size(F.filter("_edges", lambda e: e < F.col(x)))))
-    bins = bins.groupBy("bin").agg(F.median(y).alias("m"), F.count(F.lit(1)).alias("n"))
+    bins = exact(bins, ["bin"], y, {"m": 0.5}).join(bins.groupBy("bin").agg(F.count(F.lit(1)).alias("n")), "bin")
     return bins.agg(F.sqrt(F.avg(F.col("m") * F.col("m"))).alias("rms"), F.count(F.lit(1)).alias("bins"), F.sum("n").alias("n"))
 
 

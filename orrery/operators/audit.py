@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from orrery.functions.columns import settled
 
+from .quantiles import exact
+
 # Hours of cover that are too few, per cent that are too full, standing orders of idle ships, poor skill, share of workers that is enough,
 # hours of the window of deliveries and its least, trips an hour by size where none were seen.
 LOW_HOURS, FULL_PERCENT, SKILL_LOW, STAFFED = 3.0, 80.0, 3, 0.9
@@ -70,7 +72,8 @@ def crew_gaps(ships: DataFrame) -> DataFrame:
 def typical_hold(models: DataFrame, own: DataFrame) -> DataFrame:
     """(class, size, hold): the median hold of the models (macro, class, size, hold) that are owned (macro), or of all where none is."""
     rows = models.filter("hold > 0").join(own.select("macro").distinct().withColumn("_own", F.lit(True)), "macro", "left")
-    return rows.groupBy("class", "size").agg(F.coalesce(F.median(F.when(F.col("_own"), F.col("hold"))), F.median("hold")).alias("hold"))
+    every, mine = (exact(x, ["class", "size"], "hold", {n: 0.5}) for x, n in ((rows, "_hold"), (rows.filter("_own"), "_mine")))
+    return every.join(mine, ["class", "size"], "left").select("class", "size", F.coalesce("_mine", "_hold").alias("hold"))
 
 
 def inflow(deliveries: DataFrame, own: DataFrame, now: float) -> DataFrame:
@@ -88,7 +91,7 @@ def inflow(deliveries: DataFrame, own: DataFrame, now: float) -> DataFrame:
 
 def pool_rates(pools: DataFrame) -> DataFrame:
     """pools (station, class, size, measured, hold, gap) with rate, source and more: trips an hour as measured, else the median of measured ones of the size, else assumed; and the miners that close the gap. Gaps count to a millionth."""
-    usual = pools.filter("measured > 0").groupBy("size").agg(F.median("measured").alias("_usual"))
+    usual = exact(pools.filter("measured > 0"), ["size"], "measured", {"_usual": 0.5})
     assumed = F.coalesce(*[F.when(F.col("size") == s, t) for s, t in TRIPS.items()], F.lit(1.0))
     out = pools.join(usual, "size", "left").withColumns({"rate": F.when(F.col("measured") > 0, F.col("measured")).otherwise(F.coalesce("_usual", assumed)), "source": F.when(F.col("measured") > 0, "measured").when(F.col("_usual").isNotNull(), "empire").otherwise("assumed")})
     per = F.col("hold") * F.col("rate")

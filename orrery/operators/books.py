@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from orrery.functions import pricing as P
 
+from .quantiles import exact
+
 c = F.col
 BAND = ("low", "mean", "high")
 
@@ -88,4 +90,5 @@ def predicted(book: DataFrame, fitted: bool = False, power: bool = False) -> Dat
 
 def scores(book: DataFrame) -> DataFrame:
     """(population, n, median_res, rmse) of the offers of each population that have a residual."""
-    return book.filter("res IS NOT NULL").groupBy("population").agg(F.count("*").alias("n"), F.median(F.abs("res")).alias("median_res"), F.sqrt(F.avg(c("res") * c("res"))).alias("rmse"))
+    own = book.filter("res IS NOT NULL").withColumn("_abs", F.abs("res"))
+    return own.groupBy("population").agg(F.count("*").alias("n"), F.sqrt(F.avg(c("res") * c("res"))).alias("rmse")).join(exact(own, ["population"], "_abs", {"median_res": 0.5}), "population")

@@ -13,6 +13,7 @@ from orrery.operators import aggregates as A
 from orrery.operators import graph as G
 from orrery.operators import joins as J
 from orrery.operators import windows as W
+from orrery.operators.quantiles import exact
 
 from .roles import OFFERS_SQL, STOCK_SQL, TRADES_SQL, offers, stock, table, trades
 
@@ -136,7 +137,7 @@ def win10_slots(spark, sf_dir):
 @query("WITH q AS (SELECT quantile_cont(c_acctbal, 0.25) AS a, quantile_cont(c_acctbal, 0.5) AS b, quantile_cont(c_acctbal, 0.75) AS c FROM customer WHERE c_acctbal > 0) SELECT c_custkey, (c_acctbal > a)::INT + (c_acctbal > b)::INT + (c_acctbal > c)::INT AS bin FROM customer, q WHERE c_acctbal > 0")
 def win11_quartile_bin(spark, sf_dir):
     c = table(spark, sf_dir, "customer").filter("c_acctbal > 0")
-    q = c.agg(*[F.percentile("c_acctbal", p).alias(f"q{k}") for k, p in enumerate((0.25, 0.5, 0.75))])
+    q = exact(c, [], "c_acctbal", {f"q{k}": p for k, p in enumerate((0.25, 0.5, 0.75))})
     return c.join(F.broadcast(q), F.lit(True)).select("c_custkey", sum((F.col("c_acctbal") > F.col(f"q{k}")).cast("int") for k in range(3)).alias("bin"))  # one row
 
 

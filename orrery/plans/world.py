@@ -243,3 +243,16 @@ def vw08_stock_delta(spark, sf_dir):
 
     flow = V.stock_delta(W.flows(stock(spark, sf_dir), ["owner", "ware"], ["t", "ord"], "level"))
     return flow.agg(F.count("*").alias("n"), F.count(F.when(F.col("dv").isNull(), 1)).alias("firsts"), r(F.sum("dv"), 2).alias("dv"), r(F.sum("dv_neg"), 2).alias("dv_neg"))
+
+
+@query("SELECT 1 AS turn, true AS written, count(*) AS n, sum(p_size)::BIGINT AS total FROM part UNION ALL SELECT 2, false, count(*), sum(p_size)::BIGINT FROM part UNION ALL SELECT 3, true, count(*), (sum(p_size) + 1)::BIGINT FROM part")
+def snk04_reference(spark, sf_dir):
+    """Parts as a reference table: written, then in another order, then with one value changed."""
+    p, root = table(spark, sf_dir, "part"), folder(spark)
+    first = p.agg(F.min("p_partkey")).first()[0]
+    out = None
+    for turn, df in enumerate((p, p.repartition(7, "p_name"), p.withColumn("p_size", F.col("p_size") + (F.col("p_partkey") == first).cast("int"))), 1):
+        written = S.put_reference(df, root, "part")
+        row = S.reference(spark, root, "part").agg(F.lit(turn).alias("turn"), F.lit(written).alias("written"), F.count("*").alias("n"), F.sum("p_size").alias("total"))
+        out = row if out is None else out.unionByName(row)
+    return out

@@ -16,6 +16,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from orrery.operators.aggregates import digest
+
 from .merge import new_only
 
 LEDGER = "seq long, save_id long, snapshot long, file string, guid string, game_version string, game_time double, save_date string, modified int, player_name string, player_money_cr double"
@@ -106,6 +108,39 @@ class Snapshots:
         return [f.getPath() for f in files.listStatus(folder) if f.isDirectory() and "=" in f.getPath().getName()]
 
 
+def put_reference(df: DataFrame, root: str, name: str) -> bool:
+    """Write a reference table in place of the one of that name, if their rows differ in any way but their order; whether it was written.
+
+    The table that is read is the one that the digests' ledger names last, so a
+    write that breaks off leaves the old one.
+    """
+    spark, path = df.sparkSession, f"{root.rstrip('/')}/{name}"
+    own = digest(df, sorted(df.columns)).first()
+    told = f"{own.n}:{own.digest}:{','.join(f'{f.name} {f.dataType.simpleString()}' for f in sorted(df.schema, key=lambda f: f.name))}"
+    had = _references(spark, path)
+    if had and had[-1].digest == told:
+        return False
+    seq = had[-1].seq + 1 if had else 1
+    df.write.mode("overwrite").parquet(f"{path}/v={seq}")
+    spark.createDataFrame([(seq, told)], "seq int, digest string").coalesce(1).write.mode("append").json(f"{path}/_digests")
+    return True
+
+
+def reference(spark: SparkSession, root: str, name: str) -> DataFrame:
+    path = f"{root.rstrip('/')}/{name}"
+    return spark.read.parquet(f"{path}/v={_references(spark, path)[-1].seq}")
+
+
+def _references(spark: SparkSession, path: str) -> list:
+    """The versions of a reference table, in order: a few rows."""
+    try:
+        return spark.read.schema("seq int, digest string").json(f"{path}/_digests").orderBy("seq").collect()
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return []
+
+
 def presence(component: DataFrame) -> DataFrame:
     """(save_id, sector_macro, owner, class, n) of stations and ships; what is absent counts as the empty text."""
     named = [F.coalesce(c, F.lit("")).alias(c) for c in ("sector_macro", "owner", "class")]
