@@ -34,6 +34,10 @@ MASKS = tuple("111" + "000" * k + "111" for k in range(4))
 SHORT, WHOLE, SPAN = ("001111", "110011", "111100"), 12, len(MASKS[-1])
 #: Bits of the bitmap, and tokens kept on either side of a hit.
 SLOTS, REACH = 1 << 26, 32
+#: Tokens of a benchmark that is sent to all tasks (some 80 bytes each with its seeds); a larger one is met by shuffles.
+BROADCAST_TOKENS = 1_000_000
+#: Places that are compared at once.
+COMPARED = 1 << 20
 
 APART = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
@@ -152,6 +156,100 @@ def overlap(a: np.ndarray, b: np.ndarray, shift: int, least: int, same: float) -
     return (lo + start, n, int(equal[start + n] - equal[start])) if n >= max(least, 1) else (0, 0, 0)
 
 
+class Known:
+    """A benchmark as arrays: the tokens of all items in a row, and their seeds in order of hashes."""
+
+    def __init__(self, rows: list):
+        self.ids = [r.item_id for r in rows]
+        toks = [np.frombuffer(r.toks, "<u8") for r in rows]
+        self.start = np.concatenate([[0], np.cumsum([len(t) for t in toks])]).astype(np.int64)
+        self.toks = np.concatenate([*toks, np.zeros(0, np.uint64)])
+        found = [(np.array([s.hash for s in r.seeds], np.int64).view(np.uint64), np.array([s.pos for s in r.seeds], np.int64), i) for i, r in enumerate(rows)]
+        item = np.repeat([i for *_, i in found], [len(h) for h, *_ in found]).astype(np.int64)
+        hashes, pos = (np.concatenate([*[f[k] for f in found], np.zeros(0, kind)]) for k, kind in ((0, np.uint64), (1, np.int64)))
+        order = np.argsort(hashes, kind="stable")
+        self.item, self.pos, hashes = item[order], pos[order], hashes[order]
+        self.hash, self.first, self.many = np.unique(hashes, return_index=True, return_counts=True)
+        self.bits = np.zeros(1 << 16, bool)  # by the first bits of a hash, so that few are looked up
+        self.bits[(self.hash >> np.uint64(48)).astype(np.int64)] = True
+
+    def seeds(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row of hashes, seed) for each seed of each of the hashes."""
+        maybe = np.flatnonzero(self.bits[(hashes >> np.uint64(48)).astype(np.int64)]) if len(self.hash) else np.zeros(0, np.int64)
+        at = np.minimum(np.searchsorted(self.hash, hashes[maybe]), len(self.hash) - 1)
+        ok = self.hash[at] == hashes[maybe]
+        maybe, at = maybe[ok], at[ok]
+        n = self.many[at]
+        return np.repeat(maybe, n), np.repeat(self.first[at], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+
+
+def lines(token: np.ndarray, to: np.ndarray, known: Known, masks: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, item, shift), each once, of texts (where their tokens start: to) and items that share a seed at that shift."""
+    left = np.repeat(to[1:], np.diff(to)) - np.arange(len(token))
+    keys = []
+    for mask in masks:
+        h = seeds(token, mask)
+        at, seed = known.seeds(h)
+        whole = left[at] >= len(mask)
+        at, seed = at[whole], seed[whole]
+        doc = np.searchsorted(to, at, "right") - 1
+        keys.append(np.stack([doc, known.item[seed], at - to[doc] - known.pos[seed]]))
+    found = np.unique(np.concatenate(keys, axis=1), axis=1) if keys else np.zeros((3, 0), np.int64)
+    return found[0], found[1], found[2]
+
+
+def likely(token: np.ndarray, to: np.ndarray, known: Known, doc: np.ndarray, item: np.ndarray, shift: np.ndarray, least: int, same: float) -> np.ndarray:
+    """Which (text, item, shift) have as many equal places, wherever they are, as the shortest overlap needs."""
+    size, length = np.diff(known.start)[item], np.diff(to)[doc]
+    lo, hi = np.maximum(0, -shift), np.minimum(size, length - shift)
+    n = np.maximum(hi - lo, 0)
+    equal, ends, a = np.zeros(len(doc), np.int64), np.cumsum(n), 0
+    while a < len(doc):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + COMPARED, "right")))
+        m = n[a:b]
+        k = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m) + np.repeat(lo[a:b], m)
+        alike = token[np.repeat(to[doc[a:b]] + shift[a:b], m) + k] == known.toks[np.repeat(known.start[item[a:b]], m) + k]
+        total = np.concatenate([[0], np.cumsum(alike)])
+        to_, from_ = np.cumsum(m), np.cumsum(m) - m
+        equal[a:b] = total[to_] - total[from_]
+        a = b
+    short = size < len(SHORT[0])
+    wanted = np.where(short, size, np.ceil(np.minimum(least, size) * same - 1e-9))
+    return np.flatnonzero(equal >= wanted)
+
+
+def better(best: tuple | None, a: np.ndarray, b: np.ndarray, shift: int, first: int, least: int, same: float) -> tuple | None:
+    """The longer of best and of the overlap of a and b at this shift, as (equal, -places, -(first of a), -(first of b)); a begins at place `first`."""
+    start, n, equal = overlap(a, b, shift, min(least, len(b)), same if len(b) >= len(SHORT[0]) else 1)
+    row = (equal, -n, -(first + start + shift), -start)
+    return row if n and (best is None or row > best) else best
+
+
+def verified(docs: DataFrame, known: Known, masks: tuple[str, ...], least: int, same: float) -> DataFrame:
+    """The longest overlap of each row of docs (doc_id, text) with each item, found and verified in one task: only overlaps leave it."""
+    sent = prepare(docs.sparkSession).sparkContext.broadcast(known)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = sent.value
+        for batch in batches:
+            ids, out = batch.column(0).to_pylist(), []
+            for a, _, token, to in tokens(batch.column(1)):
+                doc, item, shift = lines(token, to, own, masks)
+                keep = likely(token, to, own, doc, item, shift, least, same)
+                best: dict[tuple, tuple] = {}
+                for d, i, s in zip(doc[keep].tolist(), item[keep].tolist(), shift[keep].tolist()):
+                    if row := better(best.get((d, i)), token[to[d] : to[d + 1]], own.toks[own.start[i] : own.start[i + 1]], s, 0, least, same):
+                        best[d, i] = row
+                out += [(ids[a + d], own.ids[i], -r[2], -r[3], -r[1], r[0]) for (d, i), r in best.items()]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], list(FOUND))
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, ", ".join(f"{c} long" for c in FOUND))
+
+
+FOUND = ("doc_id", "item_id", "doc_first", "item_first", "n_tokens", "n_same")
+
+
 def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = 12, same: float = 0.8) -> DataFrame:
     """(doc_id, item_id, doc_first, item_first, n_tokens, n_same): the longest overlap of each pair that has one.
 
@@ -166,11 +264,17 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = 12, same: float
     with the least places counts. Texts of any length are searched whole. Null and empty texts have no overlaps. Null ids are ids like
     others. Rows that share a doc_id (or item_id) are reported once, by their
     longest overlap. Empty tables give an empty result.
+
+    A benchmark of up to BROADCAST_TOKENS tokens is sent to all tasks, which verify
+    hits on the spot, so that a phrase of many documents and many items makes no
+    rows. A larger one is met by a join of seeds.
     """
     held = cut(items(benchmark))
     known = held.select("item_id", F.explode("seeds").alias("s")).select("item_id", "s.hash", F.col("s.pos").alias("item_pos"))
     short = [r["n"] for r in held.filter(f"n < {WHOLE}").select("n").distinct().collect()]
     masks = MASKS + tuple(sorted({mask for n in short for mask in masks_of(n)}))
+    if (held.agg(F.sum("n")).first()[0] or 0) <= BROADCAST_TOKENS:
+        return longest(verified(docs, Known(held.filter("n > 0").select("item_id", "toks", "seeds").collect()), masks, least, same))
     segs = cut(hit_segments(docs, bitmap(known), masks))
     hits = segs.select("seg", F.explode("hits").alias("h")).select("seg", "h.hash", "h.pos")
     pairs = hits.join(known, "hash").select("seg", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift")).distinct()
@@ -183,15 +287,17 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = 12, same: float
             for doc, item, shifts, first, a, b in zip(batch.doc_id, batch.item_id, batch["shifts"], batch["first"], batch.toks, batch.item_toks):
                 a, b, best = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8"), None
                 for shift in map(int, shifts):
-                    start, n, equal = overlap(a, b, shift, min(least, len(b)), same if len(b) >= len(SHORT[0]) else 1)
-                    row = (equal, -n, -(first + start + shift), -start)
-                    if n and (best is None or row > best):
-                        best = row
+                    best = better(best, a, b, shift, first, least, same)
                 if best:
                     out.append((doc, item, -best[2], -best[3], -best[1], best[0]))
             yield pd.DataFrame(out, columns=["doc_id", "item_id", "doc_first", "item_first", "n_tokens", "n_same"]).astype({"doc_id": "Int64", "item_id": "Int64"})
 
     found = rows.select("doc_id", "item_id", "shifts", "first", "toks", "item_toks").mapInPandas(verify, "doc_id long, item_id long, doc_first long, item_first long, n_tokens long, n_same long")
+    return longest(found)
+
+
+def longest(found: DataFrame) -> DataFrame:
+    """Of each doc_id and item_id the longest overlap."""
     best = F.max(F.struct("n_same", -F.col("n_tokens"), -F.col("doc_first"), -F.col("item_first"))).alias("b")
     return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", (-F.col("b.col3")).alias("doc_first"), (-F.col("b.col4")).alias("item_first"), (-F.col("b.col2")).alias("n_tokens"), "b.n_same")
 

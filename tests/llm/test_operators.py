@@ -360,6 +360,47 @@ def test_decontamination_finds_substituted_passages(spark, benchmark):
     assert {r.doc_id for r in decontaminate.clean(df, benchmark).collect()} == {i for i, _ in table} - {i for i, _ in got}
 
 
+def test_decontamination_agrees_with_all_alignments(spark, monkeypatch):
+    """Every document against every item at every shift, by counting; both ways of meeting a benchmark, and hits that no seed finds are none."""
+    rng = np.random.default_rng(9)
+    words = [f"w{i}" for i in range(60)]
+    items = [" ".join(rng.choice(words, n)) for n in (3, 5, 6, 9, 12, 15, 19, 30)]
+    docs = [" ".join(rng.choice(words, 40)) for _ in range(6)] + [None, "", "w1"]
+    for item in items:
+        for change in (0, 1, 2, 3):
+            own = item.split()
+            for k in rng.choice(len(own), min(change, len(own)), False):
+                own[k] = f"x{k}"
+            docs.append(" ".join([*rng.choice(words, 7), *own, *rng.choice(words, 5)]))
+    want = {}
+    for d, text in enumerate(docs):
+        a = (text or "").split()
+        for i, item in enumerate(items):
+            b = item.split()
+            for shift in range(-len(b), len(a)):
+                equal = [0 <= k + shift < len(a) and a[k + shift] == b[k] for k in range(len(b))]
+                for x in range(len(b)):
+                    for y in range(x + min(12, len(b)), len(b) + 1):
+                        inside = x + shift >= 0 and y + shift <= len(a)
+                        if inside and sum(equal[x:y]) >= (0.8 if len(b) >= 6 else 1) * (y - x) - 1e-9:
+                            want[d, i] = max(want.get((d, i), 0), sum(equal[x:y]))
+    df, bench = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    for most in (decontaminate.BROADCAST_TOKENS, 0):
+        monkeypatch.setattr(decontaminate, "BROADCAST_TOKENS", most)
+        got = {(r.doc_id, r.item_id): r.n_same for r in decontaminate.overlaps(df, bench).collect()}
+        assert got == want
+
+
+def test_a_phrase_of_all_documents_and_items_makes_no_rows(spark):
+    phrase = "terms of use apply here now"
+    docs = spark.createDataFrame([(i, f"{phrase} d{i} e{i} f{i}") for i in range(2000)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, f"a{i} b{i} {phrase} " + " ".join(f"c{i}x{k}" for k in range(9))) for i in range(300)], "item_id long, text string")
+    held = decontaminate.items(bench).collect()
+    known = decontaminate.Known(held)
+    assert decontaminate.verified(docs, known, decontaminate.MASKS, 12, 0.8).count() == 0
+    assert decontaminate.overlaps(docs.limit(50), bench).count() == 0
+
+
 def test_decontamination_on_odd_rows(spark, odd, benchmark):
     assert decontaminate.clean(odd, benchmark).count() == odd.count()
     assert decontaminate.overlaps(odd, benchmark.limit(0)).count() == 0
