@@ -103,3 +103,65 @@ def ext04_sunlight(spark, sf_dir):
     s, n = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "nation")
     light = n.filter("n_nationkey % 3 = 0").select(F.col("n_nationkey").cast("long").alias("macro"), (F.col("n_regionkey") * 0.3).alias("sunlight")).unionByName(s.filter("s_suppkey % 4 = 0").select((F.col("s_suppkey") + 1000).alias("macro"), (F.col("s_suppkey") * 0.1).alias("sunlight")))
     return G.sunlit(s.select((F.col("s_suppkey") + 1000).alias("sector"), F.col("s_nationkey").cast("long").alias("cluster")), light)
+
+
+def library(spark, sf_dir, kind):
+    """The nodes of game files that parts stand in, one file of each kind for a block of parts, written as XML and read."""
+    k, size, form = F.col("p_partkey"), F.col("p_size"), F.format_string
+    macro = lambda name, cls, *inner: F.concat(form(f'<macro name="{name}" class="{cls}"><properties>', k), *inner, F.lit("</properties></macro>"))
+    maker = F.when(k % 3 == 0, form('<production><queue ware="w%d"/><queue><item ware="v%d" method="new"/><item ware="w%d"/></queue></production>', k % 50, k % 40, k % 50)).when(k % 3 == 1, form('<production wares="a%d b%d"/>', k % 20, k % 30)).otherwise(form('<products><ware ware="p%d" amount="%d"/></products>', k % 20, size))
+    xml = {
+        "factions": F.concat(form('<faction id="f%d" name="Name %d" shortname="S%d"%s><color ref="r%d"/></faction>', k, k, k % 100, F.when(k % 2 == 0, ' primaryrace="x"').otherwise(""), k % 60), F.when(k % 60 == k, form('<mapping id="r%d" ref="c%d"/>', k, k % 45)).otherwise(""), F.when(k % 40 == k, form('<color id="c%d" r="%d" g="%d" b="255"/>', k, k, k * 5 % 256)).otherwise("")),
+        "names": form('<dataset macro="M_%d"><properties><identification name="N%d" description="D"/></properties></dataset>', k % 500, k),
+        "modules": macro("Mod_%d", "production", maker, F.when(k % 4 == 0, form('<workforce max="%d"/>', size)).otherwise("")),
+        "ships": F.concat(form('<macro name="Ship_%d" class="%s"><properties><identification name="%s" makerrace="arg"/><hull max="%d"/><physics mass="%d"><drag forward="%d"/></physics>%s</properties><connections><connection ref="a"><macro ref="Store_%d"/></connection><connection ref="b"><macro ref="store_%d"/></connection></connections></macro>', k, F.when(k % 5 == 4, "ship_xxl").when(k % 2 == 0, "ship_m").otherwise("ship_l"), form("Ship %d", k), size * 100, size * 3, size, F.when(k % 3 == 0, form('<cargo max="%d" tags="own"/>', size)).otherwise(""), k, k + 1)),
+        "storage": macro("Store_%d", "storage", F.when(k % 4 != 0, form('<cargo max="%d" tags="%s"/>', size * 10, F.when(k % 2 == 0, "solid liquid").otherwise("container solid"))).otherwise("")),
+        "yields": form('<yields><yield id="l%d"><ware id="w%d" yield="%d"/></yield></yields>', k % 4, k, size),
+        "weapons": macro("Weapon_%d_s_x", "weapon", form('<bullet class="Bullet_%d"/><heat overheat="%d"/>', k % 300, size)),
+        "bullets": macro("bullet_%d", "bullet", form('<bullet speed="%d" lifetime="2"/><damage value="%d"/>', size, k % 90), F.when(k % 2 == 0, form('<heat value="%d"/><reload rate="4"/>', size)).otherwise("")),
+        "mods": form('<stat%d ware="mod_%d" quality="%d" min="1.5"><bonus chance="%s" max="%d"><heat min="2" max="3"/>%s</bonus></stat%d>', k % 3, k, k % 3 + 1, F.when(k % 2 == 0, "1").otherwise("0.5"), k % 3, F.when(k % 4 < 2, '<speed weight="0.5"/>').otherwise(""), k % 3),
+        "wares": form('<ware id="mod_%d" name="Long %d (of it)"%s/>', k, k, F.when(k % 2 == 0, form(' shortname=" S%d "', k)).otherwise("")),
+    }
+    docs = table(spark, sf_dir, "part").select(F.floor(k / BLOCK).cast("long").alias("doc"), F.struct("p_partkey", xml[kind].alias("xml")).alias("x")).groupBy("doc").agg(F.array_sort(F.collect_list("x")).alias("all"))  # the parts of a document
+    docs.select("doc", F.concat(F.lit("<lib>"), F.array_join(F.transform("all", lambda x: x["xml"]), ""), F.lit("</lib>")).alias("value")).write.partitionBy("doc").text(path := folder(spark))
+    elems = X.elements(spark, path, suffixes=(".txt",)).withColumns({"doc": F.lpad(F.regexp_extract("file", "/doc=([0-9]+)/", 1), 9, "0"), "turn": F.lit(0)})
+    return P.stepped(T.kept(elems, f"{path}-elements")).withColumn("place", F.col("line"))
+
+
+@query("SELECT 'f' || p_partkey AS faction, 'S' || p_partkey % 100 AS shortname, 'Name ' || p_partkey AS name, CASE WHEN p_partkey % 2 = 0 THEN 'x' END AS race, CASE WHEN p_partkey % 60 % 45 < 40 THEN '#' || printf('%02x', p_partkey % 60 % 45) || printf('%02x', p_partkey % 60 % 45 * 5 % 256) || 'ff' END AS colour FROM part")
+def ext01_factions(spark, sf_dir):
+    return K.factions(library(spark, sf_dir, "factions"))
+
+
+@query("SELECT 'm_' || p_partkey % 500 AS macro, 'N' || max(p_partkey) AS name, 'D' AS description FROM part GROUP BY p_partkey % 500")
+def ext03_map_names(spark, sf_dir):
+    return K.map_names(library(spark, sf_dir, "names"))
+
+
+@query("""WITH x AS (SELECT p_partkey AS k, p_size, unnest(CASE p_partkey % 3 WHEN 0 THEN ['w' || p_partkey % 50, 'v' || p_partkey % 40] WHEN 1 THEN ['a' || p_partkey % 20, 'b' || p_partkey % 30] ELSE ['p' || p_partkey % 20] END) AS ware FROM part)
+ SELECT 'mod_' || k AS macro, ware, CASE WHEN k % 3 = 2 THEN 'processing' WHEN ware[1] = 'v' THEN 'new' ELSE 'default' END AS method, CASE WHEN k % 3 = 2 THEN p_size ELSE 1 END::DOUBLE AS scale, CASE WHEN k % 4 = 0 THEN p_size END::DOUBLE AS workers FROM x""")
+def ext07_products(spark, sf_dir):
+    return K.products(library(spark, sf_dir, "modules"))
+
+
+@query("""WITH st AS (SELECT p_partkey AS k, p_size * 10 AS most, CASE WHEN p_partkey % 2 = 0 THEN ['liquid', 'solid'] ELSE ['container', 'solid'] END AS tags FROM part WHERE p_partkey % 4 <> 0), h AS (SELECT p_partkey AS k, sum(most) AS held, array_to_string(list_sort(list_distinct(flatten(list(tags)))), ' ') AS tags FROM part JOIN st ON st.k = p_partkey OR st.k = p_partkey + 1 GROUP BY p_partkey)
+ SELECT 'ship_' || p_partkey AS macro, 'Ship ' || p_partkey AS name, CASE WHEN p_partkey % 2 = 0 THEN 'M' ELSE 'L' END AS size, (p_size * 100)::DOUBLE AS hull, (p_size * 3)::DOUBLE AS mass, CASE WHEN p_partkey % 3 = 0 THEN p_size ELSE held END::DOUBLE AS cargo, CASE WHEN p_partkey % 3 = 0 THEN 'own' ELSE tags END AS cargo_tags, p_size::DOUBLE AS drag FROM part LEFT JOIN h ON h.k = p_partkey WHERE p_partkey % 5 <> 4""")
+def ext12_ships(spark, sf_dir):
+    return K.ships(library(spark, sf_dir, "ships"), library(spark, sf_dir, "storage")).select("macro", "name", "size", "hull", "mass", "cargo", "cargo_tags", "drag")
+
+
+@query("SELECT 'l' || p_partkey % 4 AS level, 'w' || p_partkey AS ware, p_size::DOUBLE AS capacity, 0.0::DOUBLE AS respawn_min FROM part")
+def ext13_region_yields(spark, sf_dir):
+    return K.region_yields(library(spark, sf_dir, "yields"))
+
+
+@query("SELECT 'weapon_' || a.p_partkey || '_s_x' AS macro, 'S' AS size, 'bullet_' || a.p_partkey % 300 AS bullet, a.p_size::DOUBLE AS overheat, b.p_size::DOUBLE AS speed, 1.0::DOUBLE AS amount, (b.p_partkey % 90)::DOUBLE AS dmg, CASE WHEN b.p_partkey % 2 = 0 THEN b.p_size ELSE 0 END::DOUBLE AS heat, CASE WHEN b.p_partkey % 2 = 0 THEN 4 END::DOUBLE AS reload_rate FROM part a JOIN part b ON b.p_partkey = a.p_partkey % 300")
+def ext15_weapons(spark, sf_dir):
+    return K.weapons(library(spark, sf_dir, "weapons"), library(spark, sf_dir, "bullets")).select("macro", "size", "bullet", "overheat", "speed", "amount", "dmg", "heat", "reload_rate")
+
+
+@query("SELECT 'mod_' || p_partkey AS ware, 'stat' || p_partkey % 3 AS stat, (p_partkey % 3 + 1)::INT AS quality, 1.5::DOUBLE AS min, CASE WHEN p_partkey % 2 = 0 THEN 1 ELSE 0.5 END::DOUBLE AS chance, p_partkey % 2 = 0 AND CASE WHEN p_partkey % 4 < 2 THEN 2 ELSE 1 END <= p_partkey % 3 AS forced, CASE WHEN p_partkey % 4 < 2 THEN 'heat,speed' ELSE 'heat' END AS bonuses, CASE WHEN p_partkey % 2 = 0 THEN 'S' || p_partkey ELSE 'Long ' || p_partkey END AS name FROM part")
+def ext16_mods(spark, sf_dir):
+    names = K.mod_names(library(spark, sf_dir, "wares"))
+    out = K.equipment_mods(library(spark, sf_dir, "mods")).join(names, "ware", "left")
+    return out.select("ware", "stat", "quality", "min", "chance", "forced", F.array_join(F.transform("bonuses", lambda b: b["stat"]), ",").alias("bonuses"), "name")

@@ -66,3 +66,116 @@ def connections(nodes: DataFrame) -> DataFrame:
     to = nodes.filter(ends("connection", "macro")).select("doc", holder().alias("_n"), "place", F.struct(F.lower(attr("ref")).alias("target_ref"), attr("path").alias("target_path"), attr("connection").alias("target_connection")).alias("to")).groupBy("doc", "_n").agg(F.min_by("to", "place").alias("to"))
     at = nodes.filter(ends("connection", "offset", "position")).select("doc", holder(2).alias("_n"), F.coalesce(number("x"), F.lit(0.0)).alias("x"), F.coalesce(number("z"), F.lit(0.0)).alias("z"))
     return own.join(to, ["doc", "_n"], "left").join(at, ["doc", "_n"], "left").select("doc", "place", F.col("_n").alias("number"), "outer", "macro", "kind", "ref", "name", "path", "to.*", "x", "z")
+
+
+# Classes of ships with their sizes, what modification wares begin with, and the tokens of a weapon's size.
+SIZES = {"ship_xs": "XS", "ship_s": "S", "ship_m": "M", "ship_l": "L", "ship_xl": "XL"}
+MOD, WEAPON_SIZES = "mod_", ("s", "m", "l", "xl")
+
+
+def macros(nodes: DataFrame) -> DataFrame:
+    """(doc, place, number, macro, class) of the macros that documents define."""
+    return nodes.filter((F.col("tag") == "macro") & attr("name").isNotNull()).select("doc", "place", F.element_at("line", -1).alias("number"), F.lower(attr("name")).alias("macro"), attr("class").alias("class"))
+
+
+def properties(nodes: DataFrame, fields: dict[str, tuple[str, Column]]) -> DataFrame:
+    """(doc, number, fields): attributes of the properties of each macro, by tag."""
+    said = nodes.filter((F.try_element_at("steps", F.lit(-2))["tag"] == "properties") & F.col("tag").isin(*{t for t, _ in fields.values()}))
+    return said.groupBy("doc", holder(2).alias("number")).agg(*[F.max(F.when(F.col("tag") == tag, c)).alias(name) for name, (tag, c) in fields.items()])
+
+
+def factions(nodes: DataFrame) -> DataFrame:
+    """(faction, shortname, name, race, colour) of factions with a name; the colour by its reference, a mapping of that and what the mapping leads to."""
+    byte = lambda c: F.bround(F.coalesce(number(c), F.lit(0.0))).cast("int")
+    hue = F.concat(F.lit("#"), *[F.lower(F.lpad(F.hex(byte(c).cast("long")), 2, "0")) for c in "rgb"])
+    colours = last_of(nodes.filter((F.col("tag") == "color") & attr("id").isNotNull() & attr("r").isNotNull()).select("doc", "place", attr("id").alias("_to"), hue.alias("colour")), "_to").drop("doc", "place")
+    mapped = last_of(nodes.filter((F.col("tag") == "mapping") & attr("id").isNotNull() & attr("ref").isNotNull()).select("doc", "place", attr("id").alias("_ref"), attr("ref").alias("_to")), "_ref").drop("doc", "place")
+    own = last_of(nodes.filter((F.col("tag") == "faction") & attr("id").isNotNull() & attr("name").isNotNull()).select("doc", "place", F.element_at("line", -1).alias("number"), attr("id").alias("faction"), attr("shortname").alias("shortname"), attr("name").alias("name"), attr("primaryrace").alias("race")), "faction")
+    ref = nodes.filter(ends("faction", "color")).groupBy("doc", holder().alias("number")).agg(F.min_by(attr("ref"), "place").alias("_ref"))
+    return own.join(ref, ["doc", "number"], "left").join(mapped, "_ref", "left").join(colours, "_to", "left").select("faction", "shortname", "name", "race", "colour")
+
+
+def map_names(nodes: DataFrame) -> DataFrame:
+    """(macro, name, description) of the map's parts, the last of each."""
+    own = nodes.filter(ends("dataset", "properties", "identification") & attr("macro", -3).isNotNull())
+    return last_of(own.select("doc", "place", F.lower(attr("macro", -3)).alias("macro"), attr("name").alias("name"), attr("description").alias("description")), "macro").drop("doc", "place")
+
+
+def products(nodes: DataFrame) -> DataFrame:
+    """(macro, ware, method, scale, workers): what modules make, each ware and method once, as the first file has it.
+
+    A production has queues that name a ware or items that do, or else a list of
+    wares; a module without a production may have products, which scale a ware's
+    processing.
+    """
+    method = F.coalesce(attr("method"), F.lit("default"))
+    at = lambda n, rank: {"number": holder(n), "rank": F.lit(rank)}
+    rows = lambda where, n, rank, ware, how, scale: nodes.filter(where).select("doc", "place", *[c.alias(k) for k, c in (at(n, rank) | {"ware": ware, "method": how, "scale": scale}).items()])
+    one, wares_ = F.lit(1.0), attr("ware")
+    queued = rows(ends("macro", "properties", "production", "queue") & wares_.isNotNull(), 3, 0, wares_, method, one).unionByName(rows(ends("macro", "properties", "production", "queue", "item") & wares_.isNotNull(), 4, 0, wares_, method, one))
+    made = nodes.filter(ends("macro", "properties", "production")).select("doc", "place", holder(2).alias("number"), attr("wares").alias("_w"))
+    listed = made.join(queued.select("doc", "number").distinct(), ["doc", "number"], "left_anti").select("doc", "place", "number", F.lit(1).alias("rank"), F.explode(F.filter(F.split("_w", r"\s+"), lambda x: x != "")).alias("ware"), F.lit("default").alias("method"), one.alias("scale"))
+    processed = rows(ends("macro", "properties", "products", "ware") & wares_.isNotNull(), 3, 2, wares_, F.lit("processing"), F.coalesce(F.nullif(number("amount"), F.lit(0.0)), one)).join(made.select("doc", "number").distinct(), ["doc", "number"], "left_anti")
+    every = queued.unionByName(listed).unionByName(processed).join(macros(nodes).select("doc", "number", "macro"), ["doc", "number"]).join(properties(nodes, {"workers": ("workforce", number("max"))}), ["doc", "number"], "left")
+    return every.groupBy("macro", "ware", "method").agg(F.min_by(F.struct("scale", "workers"), F.struct("doc", "place")).alias("v")).select("macro", "ware", "method", "v.*")
+
+
+def ships(nodes: DataFrame, storages: DataFrame) -> DataFrame:
+    """(macro, name, size, race, purpose, hull, mass, cargo, cargo_tags, crew, drag): ships, the last of each macro.
+
+    A ship has a cargo of its own or else that of the storage macros that its
+    connections name: their sum, and all their tags in order.
+    """
+    own = last_of(macros(nodes).filter(F.col("class").isin(*SIZES)), "macro")
+    said = properties(nodes, {"name": ("identification", attr("name")), "race": ("identification", attr("makerrace")), "purpose": ("purpose", attr("primary")), "hull": ("hull", number("max")), "mass": ("physics", number("mass")), "_own": ("cargo", F.coalesce(number("max"), F.lit(0.0))), "_own_tags": ("cargo", attr("tags")), "crew": ("people", number("capacity"))})
+    drag = nodes.filter(ends("macro", "properties", "physics", "drag")).groupBy("doc", holder(3).alias("number")).agg(F.max(number("forward")).alias("drag"))
+    stores = last_of(macros(storages).join(properties(storages, {"_max": ("cargo", F.coalesce(number("max"), F.lit(0.0))), "_tags": ("cargo", attr("tags"))}), ["doc", "number"]).filter("_max IS NOT NULL"), "macro").select(F.col("macro").alias("_store"), "_max", "_tags")
+    linked = nodes.filter(ends("macro", "connections", "connection", "macro")).select("doc", holder(3).alias("number"), F.lower(attr("ref")).alias("_store")).join(stores, "_store")
+    held = linked.groupBy("doc", "number").agg(F.sum("_max").alias("_held"), F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.filter(F.split(F.coalesce("_tags", F.lit("")), r"\s+"), lambda x: x != ""))))), " ").alias("_held_tags"))  # the holds of a ship
+    size = F.coalesce(*[F.when(F.col("class") == c, s) for c, s in SIZES.items()])
+    rows = own.join(said, ["doc", "number"], "left").join(drag, ["doc", "number"], "left").join(held, ["doc", "number"], "left")
+    return rows.select("macro", F.coalesce("name", "macro").alias("name"), size.alias("size"), "race", "purpose", "hull", "mass", F.coalesce("_own", "_held").alias("cargo"), F.when(F.col("_own").isNotNull(), F.col("_own_tags")).otherwise(F.nullif("_held_tags", F.lit(""))).alias("cargo_tags"), "crew", "drag")
+
+
+def region_yields(nodes: DataFrame) -> DataFrame:
+    """(level, ware, capacity, respawn_min) of regions."""
+    own = nodes.filter(ends("yields", "yield", "ware"))
+    return own.select(attr("id", -2).alias("level"), attr("id").alias("ware"), F.coalesce(number("yield"), F.lit(0.0)).alias("capacity"), F.coalesce(number("respawndelay"), F.lit(0.0)).alias("respawn_min"))
+
+
+def gather_speeds(nodes: DataFrame) -> DataFrame:
+    """(speed, factor, rating)."""
+    return nodes.filter(ends("gatherspeeds", "gatherspeed")).select(attr("id").alias("speed"), F.coalesce(number("factor"), F.lit(1.0)).alias("factor"), F.coalesce(number("rating"), F.lit(0.0)).alias("rating"))
+
+
+#: Properties of bullets: field (tag, attribute, what it is without). The format's names.
+BULLET = {"speed": ("bullet", "speed", None), "lifetime": ("bullet", "lifetime", None), "range": ("bullet", "range", None), "chargetime": ("bullet", "chargetime", None), "amount": ("bullet", "amount", 1.0), "barrelamount": ("bullet", "barrelamount", 1.0), "heat": ("heat", "value", 0.0), "heat_initial": ("heat", "initial", 0.0), "reload_rate": ("reload", "rate", None), "reload_time": ("reload", "time", None), "ammo_clip": ("ammunition", "value", None), "ammo_reload": ("ammunition", "reload", None), "dmg": ("damage", "value", 0.0), "dmg_shield": ("damage", "shield", 0.0), "dmg_hull": ("damage", "hull", 0.0), "area_dmg": ("areadamage", "value", 0.0)}
+
+
+def weapons(nodes: DataFrame, bullets: DataFrame) -> DataFrame:
+    """(macro, class, size, bullet, overheat, coolrate, and the fields of BULLET): weapons with the bullets that they name; those without a known one are left out."""
+    shots = last_of(macros(bullets).select("doc", "place", "number", F.col("macro").alias("bullet")), "bullet").join(properties(bullets, {k: (t, number(a)) for k, (t, a, _) in BULLET.items()}), ["doc", "number"], "left").drop("doc", "number", "place")
+    shots = shots.fillna({k: v for k, (*_, v) in BULLET.items() if v is not None})
+    own = last_of(macros(nodes), "macro").join(properties(nodes, {"bullet": ("bullet", F.lower(attr("class"))), "overheat": ("heat", number("overheat")), "coolrate": ("heat", number("coolrate"))}), ["doc", "number"])
+    tokens = F.filter(F.split("macro", "_"), lambda x: x.isin(*WEAPON_SIZES))
+    return own.join(shots, "bullet").select("macro", "class", F.coalesce(F.upper(F.get(tokens, F.lit(0))), F.lit("?")).alias("size"), "bullet", "overheat", "coolrate", *BULLET)
+
+
+def equipment_mods(nodes: DataFrame) -> DataFrame:
+    """(ware, stat, quality, min, max, chance, bonus_max, forced, bonuses): modifications of equipment, the last of each ware; bonuses: array of (stat, min, max, weight) in order. forced: all of them come, as the chance is sure and they are no more than may be."""
+    one = F.lit(1.0)
+    own = nodes.filter(F.coalesce(attr("ware").startswith(MOD), F.lit(False)) & attr("quality").isNotNull())
+    own = last_of(own.select("doc", "place", F.element_at("line", -1).alias("number"), attr("ware").alias("ware"), F.col("tag").alias("stat"), number("quality").cast("int").alias("quality"), F.coalesce(number("min"), one).alias("min"), F.coalesce(number("max"), one).alias("max")), "ware")
+    bonus = nodes.filter((F.col("tag") == "bonus")).groupBy("doc", holder().alias("number")).agg(F.max(F.coalesce(number("chance"), F.lit(0.0))).alias("chance"), F.max(F.coalesce(number("max"), F.lit(0.0)).cast("int")).alias("bonus_max"))
+    parts = nodes.filter(F.try_element_at("steps", F.lit(-2))["tag"] == "bonus").groupBy("doc", holder(2).alias("number")).agg(F.array_sort(F.collect_list(F.struct("place", F.struct(F.col("tag").alias("stat"), F.coalesce(number("min"), one).alias("min"), F.coalesce(number("max"), one).alias("max"), F.coalesce(number("weight"), one).alias("weight")).alias("b")))).alias("_parts"))  # those of one modification
+    rows = own.join(bonus, ["doc", "number"], "left").join(parts, ["doc", "number"], "left").fillna(0.0, ["chance"]).fillna(0, ["bonus_max"])
+    bonuses = F.coalesce(F.transform("_parts", lambda x: x["b"]), F.array().cast("array<struct<stat:string,min:double,max:double,weight:double>>"))
+    rows = rows.withColumn("bonuses", bonuses)
+    return rows.select("ware", "stat", "quality", "min", "max", "chance", "bonus_max", ((F.size("bonuses") > 0) & (F.col("chance") >= 1) & (F.size("bonuses") <= F.col("bonus_max"))).alias("forced"), "bonuses")
+
+
+def mod_names(nodes: DataFrame) -> DataFrame:
+    """(ware, name) of modifications' wares: the short name, or else what stands before a bracket in the long one, or the ware itself."""
+    own = nodes.filter((F.col("tag") == "ware") & F.coalesce(attr("id").startswith(MOD), F.lit(False)))
+    name = F.coalesce(F.nullif(F.trim(attr("shortname")), F.lit("")), F.nullif(F.trim(F.substring_index(attr("name"), " (", 1)), F.lit("")), attr("id"))
+    return last_of(own.select("doc", "place", attr("id").alias("ware"), name.alias("name")), "ware").drop("doc", "place")
