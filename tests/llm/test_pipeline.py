@@ -59,5 +59,5 @@ def test_mixing_sql(spark, data):
 
 
 def test_every_operator_has_its_query():
-    assert sorted(int(q[2:].split("_")[0]) for q in queries.queries()) == list(range(1, 11))
+    assert sorted(int(q[2:].split("_")[0]) for q in queries.queries()) == list(range(1, 14))
     assert tokens.BLOCK == 128
