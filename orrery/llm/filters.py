@@ -19,7 +19,7 @@ from math import factorial
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import looked_up, stored
 
 FILTERS = "ABCDE"
 #: Code points of the blocks that classes are split by, one after another; the last block is what is left of a text.
@@ -76,8 +76,8 @@ def refined(rows: DataFrame) -> DataFrame:
     for b in (None, *(c for c in rows.columns if c[0] == "b")):
         if b:
             own = own.withColumn("class", F.xxhash64("class", b))
-        shared = own.groupBy("class").agg(F.count("*").alias("rows")).filter("rows > 1").select("class")
-        own = own.join(shared, "class", "left_semi")
+        shared = stored(own.groupBy("class").agg(F.count("*").alias("rows")).filter("rows > 1"))
+        own = stored(looked_up(own, shared, "class", "rows"))  # so that a class of very many copies isn't one task's
     return own.select("class", "doc", "part", "mask")
 
 
@@ -99,7 +99,8 @@ def repeats(docs: DataFrame, labels: DataFrame, rows: DataFrame) -> DataFrame:
     each = texts.groupBy("class", "text").agg(F.min("doc").alias("least"))  # compares whole texts, before the shuffle too
     least = stored(each.groupBy("class").agg(F.count("*").alias("texts"), F.min("least").alias("least")))
     later = F.col("least").isNotNull() & (F.col("doc").isNull() | (F.col("doc") > F.col("least")))
-    marks = left.join(least.filter("texts = 1"), "class").filter(later).select("part", "mask")
+    one = least.filter("texts = 1").join(left.groupBy("class").agg(F.count("*").alias("rows")), "class")
+    marks = looked_up(left, one, "class", "rows").filter(later).select("part", "mask")
     unlike = least.filter("texts > 1").select("class")
     if unlike.isEmpty():
         return marks
