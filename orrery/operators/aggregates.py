@@ -60,21 +60,24 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, at: dict[str, floa
     return exact(df.filter(F.col(value) > 0), keys, value, at)
 
 
-def binned_rms(df: DataFrame, x: str, y: str, low: float, high: float, n: int) -> DataFrame:
-    """Root mean square of the medians of y in n equal, right-closed bins of x; values outside count to the end bins."""
+def binned_rms(df: DataFrame, x: str, y: str, low: float, high: float, n: int, keys: Sequence[str] = ()) -> DataFrame:
+    """Root mean square of the medians of y in n equal, right-closed bins of x, by keys; values outside count to the end bins."""
     k = F.least(F.lit(n), F.greatest(F.lit(1), F.ceil((F.col(x) - low) / ((high - low) / n)))).cast("int")
-    some = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumn("bin", k)
-    bins = exact(some, ["bin"], y, {"m": 0.5}).join(some.groupBy("bin").agg(F.count(F.lit(1)).alias("n")), "bin")
-    return bins.agg(F.sqrt(F.avg(F.col("m") * F.col("m"))).alias("rms"), F.count(F.lit(1)).alias("bins"), F.sum("n").alias("n"))
+    return _rms(df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumn("bin", k), y, keys)
 
 
-def equal_count_rms(df: DataFrame, x: str, y: str, n: int) -> DataFrame:
-    """Root mean square of the medians of y in n right-closed bins of equal counts of x; bins of equal edges are one."""
+def _rms(binned: DataFrame, y: str, keys: Sequence[str]) -> DataFrame:
+    by = [*keys, "bin"]
+    bins = exact(binned, by, y, {"m": 0.5}).join(binned.groupBy(*by).agg(F.count(F.lit(1)).alias("n")), by)
+    return bins.groupBy(*keys).agg(F.sqrt(F.avg(F.col("m") * F.col("m"))).alias("rms"), F.count(F.lit(1)).alias("bins"), F.sum("n").alias("n"))
+
+
+def equal_count_rms(df: DataFrame, x: str, y: str, n: int, keys: Sequence[str] = ()) -> DataFrame:
+    """Root mean square of the medians of y in n right-closed bins of equal counts of x, by keys (not null); bins of equal edges are one."""
     some = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-    edges = exact(some, [], x, {f"_e{k}": k / n for k in range(n + 1)}).select(F.array_distinct(F.array(*[f"_e{k}" for k in range(n + 1)])).alias("_edges"))  # one row
-    bins = some.join(F.broadcast(edges), F.lit(True)).withColumn("bin", F.greatest(F.lit(1), F.size(F.filter("_edges", lambda e: e < F.col(x)))))
-    bins = exact(bins, ["bin"], y, {"m": 0.5}).join(bins.groupBy("bin").agg(F.count(F.lit(1)).alias("n")), "bin")
-    return bins.agg(F.sqrt(F.avg(F.col("m") * F.col("m"))).alias("rms"), F.count(F.lit(1)).alias("bins"), F.sum("n").alias("n"))
+    edges = exact(some, keys, x, {f"_e{k}": k / n for k in range(n + 1)}).select(*keys, F.array_distinct(F.array(*[f"_e{k}" for k in range(n + 1)])).alias("_edges"))
+    bins = some.join(edges, list(keys)) if keys else some.join(F.broadcast(edges), F.lit(True))  # without keys one row
+    return _rms(bins.withColumn("bin", F.greatest(F.lit(1), F.size(F.filter("_edges", lambda e: e < F.col(x))))), y, keys)
 
 
 def earnings(df: DataFrame, keys: Sequence[str], money: str, amount: str, hours: float) -> DataFrame:

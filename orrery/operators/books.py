@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from orrery.functions import pricing as P
 
+from .aggregates import binned_rms, equal_count_rms
 from .quantiles import exact
 
 c = F.col
@@ -92,3 +93,46 @@ def scores(book: DataFrame) -> DataFrame:
     """(population, n, median_res, rmse) of the offers of each population that have a residual."""
     own = book.filter("res IS NOT NULL").withColumn("_abs", F.abs("res"))
     return own.groupBy("population").agg(F.count("*").alias("n"), F.sqrt(F.avg(c("res") * c("res"))).alias("rmse")).join(exact(own, ["population"], "_abs", {"median_res": 0.5}), "population")
+
+
+#: Bins of the fill and its greatest, and the residual from which an offer is far off.
+YARD_BINS, FILL_MOST, FAR = 16, 1.2, 0.25
+
+
+def yard_forms(book: DataFrame) -> DataFrame:
+    """(form, n, bin_rmse, bin_rmse_equal, mad, tail) of bids of yards under the three rules that might price them.
+
+    `power`: the power form of the fill of what the yard has, awaits and asks for;
+    `flat` and `fitted`: the curve on the allocation, with the yards' offset or the
+    station's own where one is known; rations and supplies have their own offsets.
+    Each is held against the whole population in bins of the same fill, all bins
+    alike, by medians of the distance in half bands; mad is the median over all,
+    tail the part that is far off. Offers without a band or a prediction don't count.
+    """
+    low, mean, high = map(c, BAND)
+    rows = book.filter("book = 'yard' AND side = 'buy'").join(input_offsets(book), "station", "left")
+    zero = lambda name: F.coalesce(name, F.lit(0.0))
+    net, room = zero("net"), zero("stock") + zero("inbound") + zero("amount")
+    fill = F.when(room > 0, net / room)
+    half = F.when(c("price") >= mean, high - mean).otherwise(mean - low)
+
+    def curve(shift):
+        own = F.when(c("population") == "supplier", P.SHIFT["supplier"]).when(c("population") == "ration", P.SHIFT["ration"]).otherwise(shift)
+        return P.main_price(net, c("allocation"), low, mean, high, own)
+
+    yard = F.lit(P.SHIFT["yard"])
+    laws = {"power": F.when(fill.isNotNull(), P.band_price(P.yard_band(fill), low, high)), "flat": curve(yard), "fitted": curve(F.coalesce("offset", yard))}
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("form"), law.alias("pred")) for k, law in laws.items()]))
+    rows = rows.filter(half > 0).select("price", fill.alias("fill"), half.alias("half"), each.alias("f")).select("fill", "f.form", F.abs((c("price") - c("f.pred")) / c("half")).alias("res")).filter("res IS NOT NULL")
+    sums = rows.groupBy("form").agg(F.count("*").alias("n"), F.avg((c("res") > FAR).cast("double")).alias("tail")).join(exact(rows, ["form"], "res", {"mad": 0.5}), "form")
+    for name, found in (("bin_rmse", binned_rms(rows, "fill", "res", 0.0, FILL_MOST, YARD_BINS, ["form"])), ("bin_rmse_equal", equal_count_rms(rows, "fill", "res", YARD_BINS, ["form"]))):
+        sums = sums.join(found.select("form", c("rms").alias(name)), "form", "left")
+    return sums.select("form", "n", "bin_rmse", "bin_rmse_equal", "mad", "tail")
+
+
+def shady_census(book: DataFrame, workforce: DataFrame) -> DataFrame:
+    """(tier, stations, offers, idle) of shady offers of predicted(): idle is the part of a tier's stations without workers (station, amount)."""
+    per = book.filter("book = 'shady'").groupBy("station", "tier").agg(F.count("*").alias("offers"))
+    hands = workforce.groupBy("station").agg(F.sum("amount").alias("_hands"))
+    rows = per.join(hands, "station", "left")
+    return rows.groupBy("tier").agg(F.count("*").alias("stations"), F.sum("offers").alias("offers"), F.avg((F.coalesce("_hands", F.lit(0)) == 0).cast("double")).alias("idle"))
