@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from orrery.operators import equipment as E
 from orrery.operators import galaxy as G
 from orrery.sources import game_files as K
 from orrery.sources import patches as P
@@ -120,6 +121,10 @@ def library(spark, sf_dir, kind):
         "weapons": macro("Weapon_%d_s_x", "weapon", form('<bullet class="Bullet_%d"/><heat overheat="%d"/>', k % 300, size)),
         "bullets": macro("bullet_%d", "bullet", form('<bullet speed="%d" lifetime="2"/><damage value="%d"/>', size, k % 90), F.when(k % 2 == 0, form('<heat value="%d"/><reload rate="4"/>', size)).otherwise("")),
         "mods": form('<stat%d ware="mod_%d" quality="%d" min="1.5"><bonus chance="%s" max="%d"><heat min="2" max="3"/>%s</bonus></stat%d>', k % 3, k, k % 3 + 1, F.when(k % 2 == 0, "1").otherwise("0.5"), k % 3, F.when(k % 4 < 2, '<speed weight="0.5"/>').otherwise(""), k % 3),
+        "engines": F.concat(form('<macro name="Engine_%d_%s_%s_mk%d_macro" class="%s"><properties>', k, F.element_at(F.array(*map(F.lit, ("s", "m", "l", "xl", "y"))), (k % 5 + 1).cast("int")), F.element_at(F.array(*map(F.lit, ("allround", "travel", "z"))), (k % 3 + 1).cast("int")), k % 2 + 1, F.when(k % 11 == 0, "fx").otherwise("engine")), F.when(k % 7 != 0, form('<thrust forward="%d"/><boost duration="3" thrust="%d"/>', size, k % 9)).otherwise(""), F.when(k % 4 == 0, form('<travel charge="2" thrust="%d"/>', size)).otherwise(""), F.lit("</properties></macro>")),
+        "thrusters": form('<macro name="Thruster_gen_%s_%d_macro" class="engine"><properties><thrust strafe="%d" pitch="%d" yaw="3"/></properties></macro>', F.element_at(F.array(*map(F.lit, ("s", "m", "l"))), (k % 3 + 1).cast("int")), k, k, size),
+        "bodies": F.concat(form('<macro name="Ship_%d" class="ship_m"><properties><physics mass="%d">', k, size), F.when(k % 3 != 0, '<inertia pitch="2" yaw="4"/>').otherwise(""), F.when(k % 5 != 0, form('<drag forward="%d" pitch="2"/>', size)).otherwise(""), F.lit("</physics></properties></macro>")),
+        "shields": form('<macro name="Shield_x_%s_%d" class="shieldgenerator"><properties><recharge max="%d" rate="%d"/></properties></macro>', F.when(k % 2 == 0, "m").otherwise("l"), k, size * 10, k % 4),
         "wares": form('<ware id="mod_%d" name="Long %d (of it)"%s/>', k, k, F.when(k % 2 == 0, form(' shortname=" S%d "', k)).otherwise("")),
     }
     docs = table(spark, sf_dir, "part").select(F.floor(k / BLOCK).cast("long").alias("doc"), F.struct("p_partkey", xml[kind].alias("xml")).alias("x")).groupBy("doc").agg(F.array_sort(F.collect_list("x")).alias("all"))  # the parts of a document
@@ -165,3 +170,81 @@ def ext16_mods(spark, sf_dir):
     names = K.mod_names(library(spark, sf_dir, "wares"))
     out = K.equipment_mods(library(spark, sf_dir, "mods")).join(names, "ware", "left")
     return out.select("ware", "stat", "quality", "min", "chance", "forced", F.array_join(F.transform("bonuses", lambda b: b["stat"]), ",").alias("bonuses"), "name")
+
+
+@query("""SELECT 'engine_' || p_partkey || '_' || ['s', 'm', 'l', 'xl', 'y'][p_partkey % 5 + 1] || '_' || ['allround', 'travel', 'z'][p_partkey % 3 + 1] || '_mk' || (p_partkey % 2 + 1) || '_macro' AS macro, ['s', 'm', 'l', 'xl', NULL][p_partkey % 5 + 1] AS size, ['allround', 'travel', NULL][p_partkey % 3 + 1] AS type, (p_partkey % 2 + 1)::INT AS mk, p_size::DOUBLE AS forward, 0.0::DOUBLE AS reverse, (p_partkey % 9)::DOUBLE AS boost_thrust,
+ CASE WHEN p_partkey % 4 = 0 THEN p_size ELSE 0 END::DOUBLE AS travel_thrust FROM part WHERE p_partkey % 11 <> 0 AND p_partkey % 7 <> 0""")
+def ext18_engines(spark, sf_dir):
+    return K.engines(library(spark, sf_dir, "engines")).select("macro", "size", "type", "mk", "forward", "reverse", "boost_thrust", "travel_thrust")
+
+
+@query("SELECT ['s', 'm', 'l'][p_partkey % 3 + 1] AS size, p_partkey::DOUBLE AS strafe, p_size::DOUBLE AS pitch, 3.0::DOUBLE AS yaw, 0.0::DOUBLE AS roll FROM part QUALIFY row_number() OVER (PARTITION BY p_partkey % 3 ORDER BY p_partkey) = 1")
+def ext18_thrusters(spark, sf_dir):
+    return K.thrusters(library(spark, sf_dir, "thrusters"))
+
+
+@query("SELECT 'ship_' || p_partkey AS macro, 'ship_' || p_partkey AS name, 'm' AS size, p_size::DOUBLE AS mass, CASE WHEN p_partkey % 3 <> 0 THEN 2 ELSE 1 END::DOUBLE AS inertia_pitch, CASE WHEN p_partkey % 3 <> 0 THEN 4 ELSE 1 END::DOUBLE AS inertia_yaw, 1.0::DOUBLE AS inertia_roll, p_size::DOUBLE AS drag_forward, 1.0::DOUBLE AS drag_reverse, 2.0::DOUBLE AS drag_pitch FROM part WHERE p_partkey % 5 <> 0")
+def ext18_bodies(spark, sf_dir):
+    return K.bodies(library(spark, sf_dir, "bodies")).select("macro", "name", "size", "mass", "inertia_pitch", "inertia_yaw", "inertia_roll", "drag_forward", "drag_reverse", "drag_pitch")
+
+
+@query("SELECT 'shield_x_' || CASE WHEN p_partkey % 2 = 0 THEN 'm' ELSE 'l' END || '_' || p_partkey AS macro, CASE WHEN p_partkey % 2 = 0 THEN 'm' ELSE 'l' END AS size, (p_size * 10)::DOUBLE AS capacity, (p_partkey % 4)::DOUBLE AS rate, 0.0::DOUBLE AS delay FROM part")
+def ext18_shields(spark, sf_dir):
+    return K.shields(library(spark, sf_dir, "shields"))
+
+
+MODS = {"weapon": ("damage", "reload", "chargetime", "cooling"), "engine": ("forwardthrust", "travelchargetime", "strafeacc", "rotationthrust"), "shield": ("capacity", "rechargerate", "rechargedelay", "capacity"), "ship": ("mass", "radarcloak", "missilecapacity", "regiondamage")}
+
+
+def fitted_mods(spark, sf_dir, kind):
+    """A modification for each part, with bonuses of two stats that are forced on every other one."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    stat = lambda c: F.element_at(F.array(*map(F.lit, MODS[kind])), (c % 4 + 1).cast("int"))
+    part = lambda c, low, high: F.struct(stat(c).alias("stat"), low.cast("double").alias("min"), high.cast("double").alias("max"), F.lit(1.0).alias("weight"))
+    return table(spark, sf_dir, "part").select(F.concat(F.lit("mod_"), k).alias("ware"), stat(k).alias("stat"), (size / 50.0).alias("min"), (size / 25.0).alias("max"), (k % 2 == 0).alias("forced"), F.array(part(k + size, F.lit(0.5), F.lit(0.75)), part(k + 1, F.lit(1.25), 1 + size / 100)).alias("bonuses"))
+
+
+def mods_sql(kind):
+    names, less = list(MODS[kind]), [*E.LESS_IS_BETTER[kind]]
+    low, high = ("least(lo, hi)", "greatest(lo, hi)") if kind == "weapon" else ("lo", "hi")
+    total = "arg_max(v, ord)" if kind == "weapon" else f"CASE WHEN stat IN {E.ADDED} THEN sum(v) ELSE product(v) END"
+    return f"""m AS (SELECT 'mod_' || p_partkey AS ware, {names}[p_partkey % 4 + 1] AS stat, p_size / 50.0::DOUBLE AS lo, p_size / 25.0::DOUBLE AS hi, 0 AS ord FROM part UNION ALL SELECT 'mod_' || p_partkey, {names}[(p_partkey + p_size) % 4 + 1], 0.5, 0.75, 1 FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT 'mod_' || p_partkey, {names}[(p_partkey + 1) % 4 + 1], 1.25, 1 + p_size / 100.0::DOUBLE, 2 FROM part WHERE p_partkey % 2 = 0),
+ e AS (SELECT ware, stat, {total} AS value FROM (SELECT *, CASE WHEN stat IN (SELECT unnest({less})) THEN {low} ELSE {high} END AS v FROM m) GROUP BY ware, stat)"""
+
+
+@query(f"WITH {mods_sql('weapon')} SELECT ware, stat, ROUND(value, 6) AS value FROM e")
+def dom66_multipliers(spark, sf_dir):
+    return E.realised(fitted_mods(spark, sf_dir, "weapon"), "weapon").withColumn("value", r("value", 6))
+
+
+HANDLING_SQL = f"""WITH {mods_sql('engine')}, g AS (SELECT ['s', 'm', 'l'][p_partkey % 3 + 1] AS size, [NULL, 'allround', 'combat', 'travel'][p_partkey % 4 + 1] AS type, p_partkey % 5 % 3 + 1 AS mk, p_partkey AS macro, p_size * 10.0::DOUBLE AS forward, p_size % 6 * 1.0::DOUBLE AS acc, p_size % 9 * 1.0::DOUBLE AS boost, p_size % 8 * 1.0::DOUBLE AS travel FROM part WHERE p_partkey % 30 <> 1),
+ b AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY size ORDER BY CASE WHEN type = 'allround' THEN CASE WHEN mk = 1 THEN 0 ELSE 1 END ELSE 2 END, coalesce(type, ''), mk, macro) = 1), s AS (SELECT p_partkey AS ship, ['s', 'm', 'l'][p_partkey % 3 + 1] AS size, p_size % 10 * 1.0::DOUBLE AS mass, p_size % 4 * 1.0::DOUBLE AS drag, CASE WHEN p_partkey % 6 <> 0 THEN 'mod_' || p_partkey END AS ware FROM part),
+ f AS (SELECT ware, max(value) FILTER (stat = 'forwardthrust') AS ft, max(value) FILTER (stat = 'travelchargetime') AS tc, max(value) FILTER (stat = 'strafeacc') AS sa, max(value) FILTER (stat = 'rotationthrust') AS ro FROM e GROUP BY ware),
+ x AS (SELECT ship, forward * coalesce(ft, 1) AS fw, CASE WHEN mass = 0 THEN 1 ELSE mass END AS mass, nullif(drag, 0) AS drag, acc, boost, travel, coalesce(tc, 1) AS tc, coalesce(sa, 1) AS sa, coalesce(ro, 1) AS ro FROM s JOIN b USING (size) LEFT JOIN f USING (ware))"""
+
+
+@query(f"""{HANDLING_SQL} SELECT ship, ROUND(fw / drag, 5) AS forward_speed, ROUND(fw / mass, 5) AS forward_accel, ROUND(7.0 / mass * sa, 5) AS strafe_accel, ROUND(fw * boost / drag, 5) AS boost_speed, ROUND(fw * CASE WHEN acc = 0 THEN 1 ELSE acc END / mass, 5) AS boost_accel, ROUND(fw * travel / drag, 5) AS travel_speed, ROUND(4 * tc, 5) AS travel_charge, ROUND(5 * ro / ((coalesce(drag, 0) + 2) / 2), 5) AS turn_rate, ROUND(5 * ro / 1.5, 5) AS turn_accel FROM x""")
+def dom68_handling(spark, sf_dir):
+    k, size = F.col("p_partkey"), F.col("p_size")
+    p, one = table(spark, sf_dir, "part"), F.lit(1.0)
+    of = lambda *names: F.element_at(F.array(*map(F.lit, names)), (k % len(names) + 1).cast("int"))
+    engines = p.filter("p_partkey % 30 <> 1").select(k.alias("macro"), of("s", "m", "l").alias("size"), of(None, "allround", "combat", "travel").alias("type"), (k % 5 % 3 + 1).alias("mk"), (size * 10.0).alias("forward"), one.alias("reverse"), (size % 6 * 1.0).alias("boost_acceleration"), (size % 9 * 1.0).alias("boost_thrust"), one.alias("boost_duration"), (size % 8 * 1.0).alias("travel_thrust"), F.lit(4.0).alias("travel_charge"), one.alias("travel_attack"))
+    ships = p.select(k.alias("ship"), of("s", "m", "l").alias("size"), (size % 10 * 1.0).alias("mass"), *[(size % 4 * 1.0).alias(f"drag_{a}") for a in ("forward", "pitch")], *[one.alias(f"drag_{a}") for a in ("reverse", "horizontal", "roll")], F.lit(2.0).alias("drag_yaw"), one.alias("inertia_pitch"), F.lit(2.0).alias("inertia_yaw"), F.when(k % 6 != 0, F.concat(F.lit("mod_"), k)).alias("ware"))
+    thrusters = engines.select("size").distinct().withColumns({"strafe": F.lit(7.0), "pitch": F.lit(4.0), "yaw": F.lit(6.0), "roll": one})
+    rows = ships.join(E.usual_engine(engines).drop("macro", "type", "mk"), "size").join(thrusters, "size").join(E.effects(E.realised(fitted_mods(spark, sf_dir, "engine"), "engine")), "ware", "left")
+    names = ("forward_speed", "forward_accel", "strafe_accel", "boost_speed", "boost_accel", "travel_speed", "travel_charge", "turn_rate", "turn_accel")
+    return E.handling(rows, ["ship"]).select("ship", *[r(c, 5).alias(c) for c in names])
+
+
+@query(f"WITH {mods_sql('shield')}, f AS (SELECT ware, max(value) FILTER (stat = 'capacity') AS ca, max(value) FILTER (stat = 'rechargerate') AS ra, max(value) FILTER (stat = 'rechargedelay') AS de FROM e GROUP BY ware), x AS (SELECT 'mod_' || p_partkey AS ware, p_size * 100.0::DOUBLE * coalesce(ca, 1) AS capacity, p_size % 5 * coalesce(ra, 1) AS rate, p_size % 3 * coalesce(de, 1) AS delay FROM part LEFT JOIN f ON f.ware = 'mod_' || p_partkey) SELECT ware, ROUND(capacity, 5) AS capacity, ROUND(rate, 5) AS rate, ROUND(delay, 5) AS delay, ROUND(delay + CASE WHEN rate <> 0 THEN capacity / rate ELSE 0 END, 4) AS refill FROM x")
+def dom69_recovery(spark, sf_dir):
+    size = F.col("p_size")
+    shields = table(spark, sf_dir, "part").select(F.concat(F.lit("mod_"), "p_partkey").alias("ware"), (size * 100.0).alias("capacity"), (size % 5 * 1.0).alias("rate"), (size % 3 * 1.0).alias("delay"))
+    out = E.recovery(shields.join(E.effects(E.realised(fitted_mods(spark, sf_dir, "shield"), "shield")), "ware", "left"), ["ware"])
+    return out.select("ware", *[r(c, 5).alias(c) for c in ("capacity", "rate", "delay")], r("refill").alias("refill"))
+
+
+@query(f"WITH {mods_sql('ship')} SELECT ware, ROUND(1 / coalesce(max(value) FILTER (stat = 'mass'), 1), 6) AS mass, ROUND(-coalesce(max(value) FILTER (stat = 'radarcloak'), 0), 6) AS radarcloak, ROUND(coalesce(max(value) FILTER (stat = 'missilecapacity'), 0), 6) AS missilecapacity, ROUND(coalesce(max(value) FILTER (stat = 'regiondamage'), 0), 6) AS regiondamage FROM e GROUP BY ware")
+def dom70_hulls(spark, sf_dir):
+    names = list(MODS["ship"])
+    return E.compared(E.realised(fitted_mods(spark, sf_dir, "ship"), "ship"), names).select("ware", *[r(c, 6).alias(c) for c in names])

@@ -179,3 +179,50 @@ def mod_names(nodes: DataFrame) -> DataFrame:
     own = nodes.filter((F.col("tag") == "ware") & F.coalesce(attr("id").startswith(MOD), F.lit(False)))
     name = F.coalesce(F.nullif(F.trim(attr("shortname")), F.lit("")), F.nullif(F.trim(F.substring_index(attr("name"), " (", 1)), F.lit("")), attr("id"))
     return last_of(own.select("doc", "place", attr("id").alias("ware"), name.alias("name")), "ware").drop("doc", "place")
+
+
+# Types of engines.
+ENGINE_TYPES = ("allround", "travel", "combat")
+BODY_SIZES = ("xs", *WEAPON_SIZES)
+
+
+def inner_token(fits) -> Column:
+    """The first word of a macro's name, by underscores, that fits; its first and last word don't count."""
+    words = F.split("macro", "_")
+    return F.get(F.filter(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))), fits), F.lit(0))
+
+
+def engines(nodes: DataFrame) -> DataFrame:
+    """(macro, size, type, mk, forward, reverse, boost_*, travel_*): engines with a thrust, the last of each macro; what isn't stated is zero, the mark one. Films of engines (documents with `video` in their name) are none."""
+    zero = lambda tag, name: (tag, F.coalesce(number(name), F.lit(0.0)))
+    fields = {"forward": zero("thrust", "forward"), "reverse": zero("thrust", "reverse")}
+    fields |= {f"boost_{a}": zero("boost", a) for a in ("duration", "recharge", "thrust", "acceleration", "attack", "release")} | {f"travel_{a}": zero("travel", a) for a in ("charge", "thrust", "attack", "release")}
+    own = macros(nodes.filter(~F.col("doc").cast("string").contains("video"))).filter("class = 'engine'").join(properties(nodes, fields), ["doc", "number"]).filter("forward IS NOT NULL")
+    mark = F.substring(inner_token(lambda x: x.rlike("^mk[0-9]$")), 3, 1).cast("int")
+    rest = [F.coalesce(f, F.lit(0.0)).alias(f) for f in fields]
+    return last_of(own, "macro").select("macro", inner_token(lambda x: x.isin(*BODY_SIZES)).alias("size"), inner_token(lambda x: x.isin(*ENGINE_TYPES)).alias("type"), F.coalesce(mark, F.lit(1)).alias("mk"), *rest)
+
+
+def thrusters(nodes: DataFrame) -> DataFrame:
+    """(size, strafe, pitch, yaw, roll): of each size the first that documents have, in order."""
+    axes = ("strafe", "pitch", "yaw", "roll")
+    own = macros(nodes).join(properties(nodes, {a: ("thrust", F.coalesce(number(a), F.lit(0.0))) for a in axes}), ["doc", "number"]).filter("strafe IS NOT NULL").withColumn("size", inner_token(lambda x: x.isin(*BODY_SIZES)))
+    return own.filter("size IS NOT NULL").groupBy("size").agg(F.min_by(F.struct(*axes), F.struct("doc", "place")).alias("v")).select("size", "v.*")
+
+
+def bodies(nodes: DataFrame) -> DataFrame:
+    """(macro, name, size, purpose, mass, inertia_*, drag_*): ships with a drag, the last of each macro; what isn't stated is one."""
+    one = lambda name: F.coalesce(number(name), F.lit(1.0))
+    said = properties(nodes, {"name": ("identification", attr("name")), "purpose": ("purpose", attr("primary")), "mass": ("physics", one("mass"))})
+    axes = {"drag": ("forward", "reverse", "horizontal", "vertical", "pitch", "yaw", "roll"), "inertia": ("pitch", "yaw", "roll")}
+    parts = nodes.filter(ends("macro", "properties", "physics", "drag") | ends("macro", "properties", "physics", "inertia"))
+    values = parts.groupBy("doc", holder(3).alias("number")).agg(F.max(F.col("tag") == "drag").alias("_drags"), *[F.coalesce(F.max(F.when(F.col("tag") == tag, one(a))), F.lit(1.0)).alias(f"{tag}_{a}") for tag, of in axes.items() for a in of])
+    own = macros(nodes).filter(F.col("class").startswith("ship_")).join(said, ["doc", "number"]).join(values.filter("_drags"), ["doc", "number"])
+    return last_of(own, "macro").select("macro", F.coalesce("name", "macro").alias("name"), F.expr("substr(class, 6)").alias("size"), "purpose", "mass", *[f"{tag}_{a}" for tag in ("inertia", "drag") for a in axes[tag]])
+
+
+def shields(nodes: DataFrame) -> DataFrame:
+    """(macro, size, capacity, rate, delay): shields with a recharge, the last of each macro; what isn't stated is zero."""
+    fields = {k: ("recharge", F.coalesce(number(a), F.lit(0.0))) for k, a in (("capacity", "max"), ("rate", "rate"), ("delay", "delay"))}
+    own = macros(nodes).filter(F.col("class").startswith("shield")).join(properties(nodes, fields), ["doc", "number"]).filter("capacity IS NOT NULL")
+    return last_of(own, "macro").select("macro", inner_token(lambda x: x.isin(*BODY_SIZES)).alias("size"), *fields)
