@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from orrery.operators import accounts as A
 from orrery.operators import audit
 from orrery.operators import books as B
+from orrery.operators import charts as Q
 from orrery.operators import chronicle as H
 from orrery.operators import lanes as L
 from orrery.operators import mining as M
@@ -250,3 +251,51 @@ def js07_scores(spark, sf_dir):
     way = F.when(F.col("sector") % 6 != 0, 100.0 + F.col("k") % 50 * 10)
     trip = 2 * T.seconds(way, F.lit(0.0), F.lit(None).cast("double"), F.lit(None).cast("double"), F.lit(700.0), F.lit("L"), F.lit(0.0))
     return s.select("sector", "ware", r(T.score({"nd": 3, "ni": 2, "ns": 1}, {"nc": 2.5}), 5).alias("score"), T.traders((F.col("wants") - F.col("made")) * 30, F.lit(500.0), trip).alias("traders"))
+
+
+MONEY_SQL = f"""{TRADES_SQL}, m AS (SELECT t, CASE ware % 9 WHEN 0 THEN 'Ship construction' WHEN 1 THEN 'Ship repair' ELSE 'w' || ware % 9 END AS ware, CASE WHEN orderkey % 8 <> 0 THEN total ELSE 0 END AS money, amount, 'N' || seller % 30 AS sn, 'C' || seller % 30 AS sc, CASE WHEN buyer % 6 <> 0 THEN 'F' || buyer % 6 END AS bf, 'B' || buyer % 20 AS bn, 'C' || buyer % 20 AS bc, flag FROM trades),
+ st AS (SELECT 'C' || s_suppkey AS code FROM supplier WHERE s_suppkey % 2 = 0),
+ sold AS (SELECT m.*, CASE WHEN code IS NULL THEN sn || ' (' || sc || ')' ELSE sn END AS party FROM m LEFT JOIN st ON code = sc WHERE flag <> 'R' AND money > 0),
+ g AS (SELECT 'construction' AS chart, coalesce(bf, 'NIL') AS grp, t, money FROM sold WHERE ware = 'Ship construction' UNION ALL SELECT 'faction', bf, t, money FROM sold WHERE ware NOT IN ('Ship construction', 'Ship repair') AND bf IS NOT NULL UNION ALL SELECT 'seller', party, t, money FROM sold WHERE ware NOT IN ('Ship construction', 'Ship repair')
+  UNION ALL SELECT 'buyer', CASE WHEN code IS NULL THEN bn || ' (' || bc || ')' ELSE bn END, t, money FROM m LEFT JOIN st ON code = bc WHERE flag = 'R' AND money > 0),
+ h AS (SELECT chart, grp, trunc((t - {END98}) / 2592000)::BIGINT AS hour, sum(money) AS money FROM g GROUP BY ALL)"""
+
+
+def money(spark, sf_dir):
+    """Sales, buys and stations; thirty days of the table stand for an hour."""
+    w, s, b = F.col("ware"), F.col("seller"), F.col("buyer")
+    text = lambda name, c: F.concat(F.lit(name), c.cast("string"))
+    m = trades(spark, sf_dir).select((END98 + (F.col("t") - END98) / 720).alias("t"), F.when(w % 9 == 0, "Ship construction").when(w % 9 == 1, "Ship repair").otherwise(text("w", w % 9)).alias("ware"), F.when(F.col("orderkey") % 8 != 0, F.col("total")).otherwise(0.0).alias("money"), "amount", "flag", text("N", s % 30).alias("seller_name"), text("C", s % 30).alias("seller_code"), F.when(b % 6 != 0, text("F", b % 6)).alias("buyer_faction"), text("B", b % 20).alias("buyer_name"), text("C", b % 20).alias("buyer_code"))
+    stations = table(spark, sf_dir, "supplier").filter("s_suppkey % 2 = 0").select(text("C", F.col("s_suppkey")).alias("code"))
+    return m.filter("flag <> 'R'"), m.filter("flag = 'R'").withColumn("money", -F.col("money")), stations
+
+
+@query(f"WITH {MONEY_SQL}, z AS (SELECT chart, grp, hour, coalesce(h.money, 0) AS money FROM (SELECT DISTINCT chart, grp FROM h) JOIN (SELECT DISTINCT chart, hour FROM h) USING (chart) LEFT JOIN h USING (chart, grp, hour)) SELECT chart, grp AS \"group\", hour, ROUND(money, 2) AS money, ROUND(sum(money) OVER (PARTITION BY chart, grp ORDER BY hour ROWS UNBOUNDED PRECEDING), 2) AS running FROM z")
+def dom49_charts(spark, sf_dir):
+    return Q.series(Q.grouped(*money(spark, sf_dir), ["Ship repair"]), float(END98)).withColumns({"money": r("money", 2), "running": r("running", 2)})
+
+
+@query(f"WITH {MONEY_SQL}, a AS (SELECT chart, hour, sum(money) AS money FROM h GROUP BY ALL) SELECT chart, hour, ROUND(mean, 4) AS mean FROM (SELECT chart, hour, CASE WHEN count(*) OVER w = 12 THEN avg(money) OVER w END AS mean FROM a WINDOW w AS (PARTITION BY chart ORDER BY hour ROWS BETWEEN 6 PRECEDING AND 5 FOLLOWING)) WHERE mean IS NOT NULL")
+def dom49_means(spark, sf_dir):
+    return Q.means(Q.grouped(*money(spark, sf_dir), ["Ship repair"]), float(END98)).withColumn("mean", r("mean"))
+
+
+@query(f"""WITH {MONEY_SQL}, v AS (SELECT unnest(CASE WHEN flag = 'R' THEN ['all'] ELSE ['external', 'all'] END) AS variant, sn, money, amount FROM m WHERE money > 0), s AS (SELECT variant, sn, sum(money) AS e, count(*) AS trades, sum(amount) AS items FROM v GROUP BY ALL)
+ SELECT variant, sn AS seller_name, ROUND(e, 2) AS earnings, trades, items::DOUBLE AS items, ROUND(e / trades, 0)::DOUBLE AS per_trade, ROUND(items / trades, 0)::DOUBLE AS items_per_trade, ROUND(e / 1000, 0)::DOUBLE AS per_hour FROM s""")
+def dom48_earnings(spark, sf_dir):
+    sold, own, _ = money(spark, sf_dir)
+    out = Q.earnings_variants(sold.filter("money > 0"), own.filter("money < 0").withColumn("money", -F.col("money")), ["seller_name"], 1000.0)
+    return out.select("variant", "seller_name", r("earnings", 2).alias("earnings"), "trades", F.col("items").cast("double").alias("items"), "per_trade", "items_per_trade", "per_hour")
+
+
+@query("""WITH sh AS (SELECT c_custkey AS ship, CASE WHEN c_custkey % 4 = 0 THEN '' ELSE c_name END AS name, CASE WHEN c_custkey % 5 <> 0 THEN 'C' || c_custkey END AS code, 'm' || c_custkey % 60 AS macro FROM customer), mo AS (SELECT 'm' || p_partkey AS macro, 'Model ' || p_partkey % 50 AS model, p_size % 3 AS size, p_size * 100.0::DOUBLE AS hold, p_size % 7 * 1.0::DOUBLE AS drag FROM part WHERE p_partkey % 3 <> 0 AND p_partkey < 60),
+ th AS (SELECT o_custkey AS ship, sum(CASE WHEN o_orderkey % 10 < 8 THEN (o_orderkey % 10) * 40.0::DOUBLE ELSE 0 END * (1 + o_orderkey % 3)) AS thrust FROM orders WHERE o_orderkey % 4 = 0 AND o_orderkey % 10 <> 9 GROUP BY 1),
+ x AS (SELECT model, size, hold, CASE WHEN thrust > 0 AND drag > 0 THEN round_even(thrust / drag, 0)::BIGINT END AS speed, CASE WHEN name = '' THEN model ELSE name END || CASE WHEN code IS NULL THEN '' ELSE ' (' || code || ')' END || ' — ' || model AS label FROM sh JOIN mo USING (macro) LEFT JOIN th USING (ship))
+ SELECT CASE WHEN count(*) > 1 THEN model || ' ×' || count(*) ELSE min(label) END AS label, model, size, hold, speed, count(*) AS n FROM x GROUP BY model, size, hold, speed""")
+def dom27_presets(spark, sf_dir):
+    k, p, size, o = F.col("c_custkey"), F.col("p_partkey"), F.col("p_size"), F.col("o_orderkey")
+    ships = table(spark, sf_dir, "customer").select(k.alias("ship"), F.when(k % 4 == 0, "").otherwise(F.col("c_name")).alias("name"), F.when(k % 5 != 0, F.concat(F.lit("C"), k)).alias("code"), F.concat(F.lit("M"), k % 60).alias("macro"))
+    models = table(spark, sf_dir, "part").filter("p_partkey < 60").select(F.concat(F.lit("m"), p).alias("macro"), F.concat(F.lit("Model "), p % 50).alias("model"), (size % 3).alias("size"), (size * 100.0).alias("hold"), F.when(p % 3 != 0, "solid container").alias("tags"), (size % 7 * 1.0).alias("drag"))
+    orders = table(spark, sf_dir, "orders")
+    engines = orders.select(F.concat(F.lit("e"), o % 10).alias("macro"), (o % 10 * 10.0).alias("forward"), F.when(o % 10 < 8, 4.0).alias("travel_thrust")).filter("macro <> 'e9'").distinct()
+    return Q.presets(ships, orders.filter("o_orderkey % 4 = 0").select(F.col("o_custkey").alias("ship"), F.concat(F.lit("e"), o % 10).alias("macro"), (1 + o % 3).alias("n")), models, engines)
