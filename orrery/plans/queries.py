@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audits, building, files, history, idioms, logs, market, pages, relational, stations, stores, views, world  # noqa: F401 - those that use relational's registry
+from . import audits, building, empire, files, history, idioms, logs, market, pages, relational, stations, stores, views, world  # noqa: F401 - those that use relational's registry
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
