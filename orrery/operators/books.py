@@ -108,6 +108,7 @@ def yard_forms(book: DataFrame) -> DataFrame:
     Each is held against the whole population in bins of the same fill, all bins
     alike, by medians of the distance in half bands; mad is the median over all,
     tail the part that is far off. Offers without a band or a prediction don't count.
+    Needs a checkpoint folder.
     """
     low, mean, high = map(c, BAND)
     rows = book.filter("book = 'yard' AND side = 'buy'").join(input_offsets(book), "station", "left")
@@ -123,7 +124,7 @@ def yard_forms(book: DataFrame) -> DataFrame:
     yard = F.lit(P.SHIFT["yard"])
     laws = {"power": F.when(fill.isNotNull(), P.band_price(P.yard_band(fill), low, high)), "flat": curve(yard), "fitted": curve(F.coalesce("offset", yard))}
     each = F.explode(F.array(*[F.struct(F.lit(k).alias("form"), law.alias("pred")) for k, law in laws.items()]))
-    rows = rows.filter(half > 0).select("price", fill.alias("fill"), half.alias("half"), each.alias("f")).select("fill", "f.form", F.abs((c("price") - c("f.pred")) / c("half")).alias("res")).filter("res IS NOT NULL")
+    rows = rows.filter(half > 0).select("price", fill.alias("fill"), half.alias("half"), each.alias("f")).select("fill", "f.form", F.abs((c("price") - c("f.pred")) / c("half")).alias("res")).filter("res IS NOT NULL").checkpoint()  # read by each of the quantiles
     sums = rows.groupBy("form").agg(F.count("*").alias("n"), F.avg((c("res") > FAR).cast("double")).alias("tail")).join(exact(rows, ["form"], "res", {"mad": 0.5}), "form")
     for name, found in (("bin_rmse", binned_rms(rows, "fill", "res", 0.0, FILL_MOST, YARD_BINS, ["form"])), ("bin_rmse_equal", equal_count_rms(rows, "fill", "res", YARD_BINS, ["form"]))):
         sums = sums.join(found.select("form", c("rms").alias(name)), "form", "left")

@@ -207,6 +207,7 @@ def dom53_standings(spark, sf_dir):
  s AS (SELECT form, count(*) AS n, median(res) AS mad, avg((res > 0.25)::INT) AS tail FROM re GROUP BY form)
  SELECT form, n, ROUND((SELECT sqrt(avg(m * m)) FROM bi WHERE bi.form = s.form), 6) AS bin_rmse, ROUND((SELECT sqrt(avg(m * m)) FROM eq WHERE eq.form = s.form), 6) AS bin_rmse_equal, ROUND(mad, 6) AS mad, ROUND(tail, 6) AS tail FROM s""")
 def dom39_yard_forms(spark, sf_dir):
+    checkpoints(spark)
     return B.yard_forms(book(spark, sf_dir)).select("form", "n", *[r(c, 6).alias(c) for c in ("bin_rmse", "bin_rmse_equal", "mad", "tail")])
 
 
