@@ -151,6 +151,21 @@ def test_substring_spans_are_the_removed_words(docs):
         assert sum(s.words for s in r.spans) == r.n_removed and len(WORDS.findall(r.kept_text)) == r.n_words - r.n_removed
 
 
+def test_substring_holds_slices_of_a_pack(monkeypatch):
+    import zstandard
+
+    table = pa.table({"doc_id": [1, None, 3, 4, 5], "text": [LONG * 4, None, LONG, "", "a " + LONG]})
+    sink, seen, real = pa.BufferOutputStream(), [], substring.hashed
+    with pa.ipc.new_stream(sink, table.schema) as writer:
+        writer.write_table(table)
+    monkeypatch.setattr(substring, "hashed", lambda data, start, end: seen.append(len(data)) or real(data, start, end))
+    p = substring.Pack(zstandard.ZstdCompressor().compress(sink.getvalue()), 13)
+    assert max(seen) <= 1 << 18 and (p.words == real(p.data, p.start, p.end)).all()
+    sent = list(substring._rows(p, np.zeros(len(p.words), bool)))
+    assert all(b.num_rows == 1 or b.nbytes < 5 << 18 for b in sent)
+    assert [x for b in sent for x in b.column("kept_text").to_pylist()] == [" ".join(WORDS.findall(t or "")) for t in table["text"].to_pylist()]
+
+
 def test_tokens_match_the_tokenizer(docs, odd, tmp_path):
     from tokenizers import Tokenizer
 
