@@ -24,8 +24,9 @@ from __future__ import annotations
 import os
 import struct
 import zlib
-from collections.abc import Iterator
-from itertools import islice
+from collections.abc import Callable, Iterator
+from functools import lru_cache
+from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +42,6 @@ SEGMENT = "shard long, segment long, shard_start long, n_docs long, n_tokens lon
 _HEAD = struct.Struct("<4sIQI")
 #: Letters whose case and composition are beyond doubt, then marks that aren't letters or digits.
 PLAIN = r"^(?P<a>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<b>[!-/:-@\[-`{-~]*)$"
-_known: dict[str, tuple[dict[str, bytes], dict[str, bytes]]] = {}
 
 
 def pack(values: np.ndarray, share: float = 0.9) -> tuple[np.ndarray, np.ndarray]:
@@ -129,8 +129,48 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def laid(pool: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of the words that `which` names, one after the other, and where each starts, with the end)."""
+    n = sizes[which]
+    to = np.concatenate([[0], np.cumsum(n)])
+    return pool[np.repeat((np.cumsum(sizes) - sizes)[which] - to[:-1], n) + np.arange(to[-1])], to
+
+
+class Pieces:
+    """Pieces of text that were met, in one pool of ids; of more than `most`, those met least often are forgotten."""
+
+    def __init__(self, ask: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int):
+        self.ask, self.most = ask, most
+        self.at: dict[str, int] = {}  # in the order of the pool
+        self.ids, self.sizes, self.met = np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def trim(self) -> None:
+        if len(self.at) > self.most:
+            keep = np.zeros(len(self.at), bool)
+            keep[np.argsort(-self.met, kind="stable")[: self.most * 3 // 4]] = True
+            self.at = {w: k for k, w in enumerate(compress(self.at, keep.tolist()))}
+            self.ids, self.sizes, self.met = self.ids[np.repeat(keep, self.sizes)], self.sizes[keep], self.met[keep] // 2
+
+    def of(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, which differ, and their numbers)."""
+        self.trim()
+        listed = words.to_numpy(zero_copy_only=False).tolist()
+        at = np.fromiter(map(self.at.get, listed, repeat(-1)), np.int64, len(listed))
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            parts = [listed[k] for k in new.tolist()]
+            ids, sizes = self.ask(parts)
+            first = len(self.at)
+            self.at.update(zip(parts, range(first, first + len(parts))))
+            at[new] = np.arange(first, first + len(parts))
+            self.ids, self.sizes, self.met = np.concatenate([self.ids, ids]), np.concatenate([self.sizes, sizes]), np.concatenate([self.met, np.zeros(len(parts), np.int64)])
+        self.met[at] += 1
+        return laid(self.ids, self.sizes, at)[0], self.sizes[at]
+
+
+@lru_cache(2)
 def encoder(path: str, most: int = 300_000):
-    """A function from texts to all their ids and how many each text has.
+    """A function from texts to all their ids and how many each text has; a worker loads it once.
 
     This kind of tokenizer never joins what a space or line break parts, so it
     is asked once for each distinct piece; nor does it join letters and marks,
@@ -142,44 +182,23 @@ def encoder(path: str, most: int = 300_000):
     from tokenizers import Tokenizer
 
     model = Tokenizer.from_file(path)
-    known, letters = _known.setdefault(path, ({}, {}))
     ends = np.zeros(model.get_vocab_size(), bool)
     ends[[i for t, i in model.get_vocab().items() if t.endswith("</w>")]] = True
 
-    def alone(parts: list[str], into: dict[str, bytes]) -> None:
-        for p, e in zip(parts, model.encode_batch(parts, add_special_tokens=False)):
-            into[p] = np.array(e.ids, "<u4").tobytes()
-
-    def together(words: list[str], into: dict[str, bytes]) -> None:
-        for k in range(0, len(words), 2000):
-            part = words[k : k + 2000]
-            ids = np.array(model.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
-            to = (np.flatnonzero(ends[ids]) + 1) * 4
-            if len(to) != len(part) or to[-1] != 4 * len(ids):
-                alone(part, into)
-                continue
-            data, at = ids.tobytes(), to.tolist()
-            into.update(zip(part, map(data.__getitem__, map(slice, [0, *at[:-1]], at))))
-
-    def trim(cache: dict[str, bytes]) -> None:
-        if len(cache) > most:  # frequent pieces are met early, and of the others the long ones are the rarest
-            kept = sorted(islice(cache.items(), most * 3 // 4), key=lambda x: len(x[0]))[: most // 2]
-            cache.clear()
-            cache.update(kept)
-
-    def ids_of(words: pa.Array, cache: dict[str, bytes], ask) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all words, their numbers)."""
-        listed = words.to_numpy(zero_copy_only=False).tolist()
-        trim(cache)
-        ask([w for w in listed if w not in cache], cache)
-        found = list(map(cache.__getitem__, listed))
-        return np.frombuffer(b"".join(found), "<u4"), np.fromiter(map(len, found), np.int64, len(found)) // 4
+    def alone(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [e.ids for e in model.encode_batch_fast(parts, add_special_tokens=False)]
+        return np.array([i for x in found for i in x], "<u4"), np.array([len(x) for x in found], np.int64)
+
+    def together(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        out = []
+        for k in range(0, len(words), 500):
+            part = words[k : k + 500]
+            ids = np.array(model.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            to = np.flatnonzero(ends[ids]) + 1
+            out.append((ids, np.diff(to, prepend=0)) if len(to) == len(part) and to[-1] == len(ids) else alone(part))
+        return np.concatenate([x for x, _ in out]), np.concatenate([n for _, n in out])
 
-    def laid(pool: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of the words that `which` names, one after the other, and where each starts, with the end)."""
-        n = sizes[which]
-        to = np.concatenate([[0], np.cumsum(n)])
-        return pool[np.repeat((np.cumsum(sizes) - sizes)[which] - to[:-1], n) + np.arange(to[-1])], to
+    known, letters = Pieces(alone, most), Pieces(together, most)
 
     def encode(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         parts = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
@@ -189,7 +208,7 @@ def encoder(path: str, most: int = 300_000):
         plain = match.is_valid()
         shape = match.filter(plain)
         letter, mark = (x.dictionary_encode() for x in (pc.utf8_lower(shape.field("a")), shape.field("b")))
-        told = [ids_of(letter.dictionary, letters, together), ids_of(mark.dictionary, known, alone), ids_of(words.filter(pc.invert(plain)), known, alone)]
+        told = [letters.of(letter.dictionary), known.of(mark.dictionary), known.of(words.filter(pc.invert(plain)))]
         pool, sizes = np.concatenate([x for x, _ in told]), np.concatenate([n for _, n in told])
         first, second = len(letter.dictionary), len(letter.dictionary) + len(mark.dictionary)
         two = np.full((len(words), 2), len(sizes))  # each word's letters and marks, or itself and nothing

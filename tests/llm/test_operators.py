@@ -180,6 +180,22 @@ def test_tokens_match_the_tokenizer(docs, odd, tmp_path):
         assert sorted((tuple(r) for r in tokens.round_trip(df, most=2000).collect()), key=lambda r: r[1]) == want
 
 
+def test_tokenizer_is_loaded_once_and_forgets_pieces(docs):
+    from tokenizers import Tokenizer
+
+    path = tokens.default_tokenizer()
+    encode, model = tokens.encoder(path, 40), Tokenizer.from_file(path)
+    assert tokens.encoder(path, 40) is encode
+    for text in [r.text or "" for r in docs.orderBy("doc_id").limit(20).collect()] * 2:
+        assert encode(pa.array([text]))[0].tolist() == model.encode(text, add_special_tokens=False).ids
+    asked = []
+    pieces = tokens.Pieces(lambda parts: asked.append(parts) or (np.array([len(p) for p in parts], "<u4"), np.ones(len(parts), np.int64)), 4)
+    for words in (["a", "bb"], ["a", "ccc"], ["a", "bb", "dddd", "eeeee"], ["bb", "a"], ["f"]):
+        ids, sizes = pieces.of(pa.array(words))
+        assert ids.tolist() == [len(w) for w in words] and sizes.tolist() == [1] * len(words)
+    assert asked == [["a", "bb"], ["ccc"], ["dddd", "eeeee"], ["f"]] and list(pieces.at)[:2] == ["a", "bb"] and len(pieces.at) <= 5
+
+
 def test_blocks_round_trip_and_random_access():
     rng = np.random.default_rng(2)
     for n in (0, 1, 127, 128, 129, 1000):
