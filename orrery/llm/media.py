@@ -15,8 +15,8 @@ from . import webp
 from .common import prepare
 
 ROW = 64
-#: Bytes of payload in one image: the widest and highest that the format has stay far off.
-IMAGE = ROW * 16 * 16_384
+#: Bytes of payload in one image: the highest that the format has.
+IMAGE = ROW * 16_384
 
 
 def padded(data: bytes) -> bytes:
@@ -24,14 +24,11 @@ def padded(data: bytes) -> bytes:
 
 
 def store(payload: bytes) -> bytes:
-    """The payload as grey 8-bit samples, 64 to a row (a multiple of that where rows would be too many), in one WebP file for each IMAGE bytes, one behind the other."""
+    """The payload as grey 8-bit samples, 64 to a row, in one WebP file for each IMAGE bytes, one behind the other, each with the transforms, references and cache that webp.chosen() finds for it."""
     out = []
     for k in range(0, len(payload), IMAGE):
-        part = np.frombuffer(payload[k : k + IMAGE], np.uint8)
-        width = ROW * -(-len(part) // (ROW * 16_384))
-        part = np.pad(part, (0, -len(part) % width)).reshape(-1, width)
-        few = len(np.unique(part[:64])) <= 16 and len(np.unique(part)) <= 16
-        out.append(webp.encode(webp.grey(part), (webp.PALETTE,) if few else (webp.SUBTRACT_GREEN,)))
+        part = np.frombuffer(payload[k : k + IMAGE], np.uint8).reshape(-1, ROW)
+        out.append(webp.encode(webp.grey(part), **webp.chosen(part)))
     return b"".join(out)
 
 

@@ -228,7 +228,7 @@ def _read_all(r: Reader, width: int, height: int, codes: list[Code]) -> np.ndarr
     words = b[:-3] | b[1:-2] << np.uint32(8) | b[2:-1] << np.uint32(16)
     window = (words[:, None] >> np.arange(8, dtype=np.uint32)).ravel()
     n = len(window)
-    found = [c.table[window & np.uint32((1 << c.bits) - 1)] if c.only is None else None for c in codes]
+    found = [c.table[window & np.uint32((1 << c.bits) - 1)] if c.only is None else None for c in codes[:4]]
     place = np.arange(n, dtype=np.int32)
 
     def after(at: np.ndarray, k: int) -> np.ndarray:
@@ -240,7 +240,7 @@ def _read_all(r: Reader, width: int, height: int, codes: list[Code]) -> np.ndarr
     green = found[0] >> 4 if found[0] is not None else np.full(n, codes[0].only, np.int32)
     copies: dict[int, tuple[int, int]] = {}
     far = green >= 256
-    nxt = np.where(far, -1, following).tolist() if far.any() else following.tolist()
+    nxt = memoryview(np.where(far, -1, following) if far.any() else following)
     p, limit, chain, out_at, out = r.at - 8 * base, n, [], [], 0
     add = chain.append
     while out < total:
@@ -353,18 +353,20 @@ def predicted(mode: int, left, top, corner, right):
 def predict(c: np.ndarray, modes: np.ndarray, bits: int, sign: int) -> np.ndarray:
     """c with each pixel's prediction added (sign 1: c has residuals) or taken off (-1: c has pixels)."""
     h, w, _ = c.shape
-    out = c.astype(np.int64).reshape(-1, 4).tolist()
-    seen = [row[:] for row in out] if sign < 0 else out
-    for i in range(h * w):
-        y, x = divmod(i, w)
-        if y == 0:
-            p = seen[i - 1] if x else [0, 0, 0, 255]
-        elif x == 0:
-            p = seen[i - w]
-        else:
-            p = predicted(int(modes[y >> bits, x >> bits]), seen[i - 1], seen[i - w], seen[i - w - 1], seen[i - w + 1])
-        out[i] = [(v + sign * q) & 255 for v, q in zip(out[i], p)]
-    return np.array(out, np.uint8).reshape(h, w, 4)
+    out, top = np.empty_like(c), []
+    for y in range(h):
+        row, done = c[y].tolist(), []
+        seen, own = row if sign < 0 else done, modes[y >> bits].tolist()
+        for x in range(w):
+            if y == 0:
+                p = seen[x - 1] if x else [0, 0, 0, 255]
+            elif x == 0:
+                p = top[0]
+            else:
+                p = predicted(own[x >> bits], seen[x - 1], top[x], top[x - 1], top[x + 1] if x + 1 < w else seen[0])
+            done.append([(v + sign * q) & 255 for v, q in zip(row[x], p)])
+        out[y], top = done, seen
+    return out
 
 
 def cross(c: np.ndarray, table: np.ndarray, bits: int, sign: int) -> np.ndarray:
@@ -569,13 +571,126 @@ def runs(pixels: np.ndarray, width: int, least: int = 128) -> list[tuple[int, in
     return out
 
 
-def write_image(w: Writer, argb: np.ndarray, main: bool, cache_bits: int = 0, group_bits: int = 0) -> bytes | None:
-    """Write the pixels (height, width). The main image comes last, so its bytes are returned, with all before them."""
+def reference_bits(n: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """About what references of these lengths and distances take: two symbols and their extra bits."""
+    return 10 + np.maximum(np.frexp(n - 0.5)[1] - 2, 0) + np.frexp(d + 119.5)[1] - 2
+
+
+def matches(pixels: np.ndarray, bits: float, least: int = 6, worth: int = 12) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, length, distance) of stretches that came before, apart from each other, each shorter by `worth` bits as a reference than pixel by pixel.
+
+    bits: what a pixel takes. The latest place with the same `least` pixels counts;
+    places in a row with one distance are one stretch. pixels are below 256.
+    """
+    n = max(len(pixels) - least + 1, 0)
+    wide = pixels.astype(np.uint64)
+    two = wide[:-1] | wide[1:] << np.uint64(8)
+    key = two[:n] | two[2 : n + 2] << np.uint64(16) | two[4 : n + 4] << np.uint64(32)
+    low = n.bit_length()
+    sort = np.sort((key * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(low) << np.uint64(low)) | np.arange(n, dtype=np.uint64))
+    place = (sort & np.uint64((1 << low) - 1)).astype(np.int64)
+    at, before = place[1:], place[:-1]
+    same = (key[at] == key[before]) & (at - before <= (1 << 20) - 120)
+    past = np.zeros(n, np.int64)
+    past[at[same]] = at[same] - before[same]
+    edge = np.flatnonzero(np.diff(past, prepend=0, append=0))
+    start, end = edge[:-1], edge[1:]
+    found = past[start] > 0
+    start, end = start[found], end[found] + least - 1
+    past = past[start]
+    start = np.maximum(start, np.concatenate([[0], end[:-1]])[: len(start)])
+    again = np.maximum(-(-(end - start) // 4096), 0)  # a reference has that length at most
+    k = np.arange(again.sum()) - np.repeat(np.cumsum(again) - again, again)
+    start, end, past = np.repeat(start, again) + 4096 * k, np.repeat(end, again), np.repeat(past, again)
+    size = np.minimum(end - start, 4096)
+    own = size * bits - reference_bits(size, past) >= worth
+    return start[own], size[own], past[own]
+
+
+def entropy(counts: np.ndarray) -> float:
+    """Bits that all symbols of these counts take together."""
+    counts = counts[counts > 0]
+    return float((counts * np.log2(counts.sum() / counts)).sum())
+
+
+def neighbours(samples: np.ndarray) -> list[np.ndarray]:
+    """The 14 predictions of grey samples (height, width), those of the first row and column aside."""
+    s = samples.astype(np.int16)
+    left, top, corner = s[1:, :-1], s[:-1, 1:], s[:-1, :-1]
+    right = np.concatenate([s[:-1, 2:], s[1:, :1]], 1)
+    half = top - corner  # red, green and blue are alike, so that the sums over channels compare as these do
+    mean = (left + top) >> 1
+    d = mean - corner
+    return [np.zeros_like(left), left, top, right, corner, (((left + right) >> 1) + top) >> 1, (left + corner) >> 1, mean, (corner + top) >> 1, (top + right) >> 1, (((left + corner) >> 1) + ((top + right) >> 1)) >> 1, np.where(np.abs(half) < np.abs(left - corner), left, top), np.clip(left + half, 0, 255), np.clip(mean + np.where(d < 0, -(-d >> 1), d >> 1), 0, 255)]
+
+
+def best_modes(samples: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(mode of the least residuals of each block, residuals) of grey samples, with two rows and columns or more."""
+    h, w = samples.shape
+    rest = np.stack([(samples[1:, 1:] - p).astype(np.uint8) for p in neighbours(samples)])
+    size = np.minimum(rest, -rest).astype(np.int64)
+    rows, columns = (np.maximum(np.arange(0, n, 1 << bits) - 1, 0) for n in (h, w))
+    rows, columns = rows[rows < h - 1], columns[columns < w - 1]
+    modes = np.zeros(((h + (1 << bits) - 1) >> bits, (w + (1 << bits) - 1) >> bits), np.int64)
+    modes[: len(rows), : len(columns)] = np.add.reduceat(np.add.reduceat(size, rows, 1), columns, 2).argmin(0)
+    own = np.repeat(np.repeat(modes, 1 << bits, 0), 1 << bits, 1)[1:h, 1:w]
+    return modes, np.take_along_axis(rest, own[None], 0)[0]
+
+
+def cached(samples: np.ndarray, bits: int) -> np.ndarray:
+    """Which samples a colour cache of that size holds when they come, and the places that all have in it."""
+    place = ((np.arange(256, dtype=np.uint32) * np.uint32(0x000100) | np.uint32(0xFF000000)) * np.uint32(CACHE_FACTOR) >> np.uint32(32 - bits))[samples].astype(np.int64)
+    sort = np.sort(place << 32 | np.arange(len(samples)))
+    at = sort & 0xFFFFFFFF
+    hit = np.zeros(len(samples), bool)
+    hit[at[1:]] = (sort[1:] >> 32 == sort[:-1] >> 32) & (samples[at[1:]] == samples[at[:-1]])
+    return np.where(hit, 280 + place, samples)
+
+
+def chosen(samples: np.ndarray, gain: float = 0.1) -> dict:
+    """How encode() should write grey samples (height, width): by the entropy of what each way leaves.
+
+    Subtract-green is the rule, as it leaves nothing of red and blue, and so
+    nothing that the cross-colour transform could take off. A palette is taken
+    where up to 16 samples share pixels; with more colours it would only rename
+    them. The predictor is tried where differences to the left or above have a
+    lower entropy, then with the best of its 14 modes for each block; the colour
+    cache where a sixth of the samples equal one of the two before. These ways and
+    references take effort to read, so they have to save the share `gain` of the size.
+    """
+    flat = samples.ravel()
+    counts = np.bincount(flat, minlength=256)
+    if np.count_nonzero(counts) <= 16:
+        return {"transforms": (PALETTE,)}
+    size = plain = entropy(counts)
+    out: dict = {"transforms": (SUBTRACT_GREEN,)}
+    h, w = samples.shape
+    if h > 1 and min(entropy(np.bincount(flat[d:] - flat[:-d], minlength=256)) for d in (1, w)) < plain * (1 - gain):
+        modes, rest = best_modes(samples, 3)
+        guess = entropy(np.bincount(rest.ravel(), minlength=256)) + 8 * (h + w) + entropy(np.bincount(modes.ravel()))
+        if guess < plain * (1 - gain):
+            size, out = guess, {"transforms": (SUBTRACT_GREEN, PREDICTOR), "modes": modes}
+    start, n, d = matches(flat, plain / len(flat))
+    cover = np.zeros(len(flat) + 1, np.int8)
+    cover[start] += 1
+    cover[start + n] -= 1
+    guess = float(reference_bits(n, d).sum()) + 150 + entropy(np.bincount(flat[np.cumsum(cover, dtype=np.int8)[:-1] == 0], minlength=256)) if len(start) else plain
+    if guess < min(size, plain * (1 - gain)):
+        size, out = guess, {"transforms": (SUBTRACT_GREEN,), "copies": list(zip(start.tolist(), n.tolist(), d.tolist()))}
+    for bits in (1, 5) if 6 * ((flat[2:] == flat[1:-1]) | (flat[2:] == flat[:-2])).sum() > len(flat) else ():
+        guess = entropy(np.bincount(cached(flat, bits)))
+        if guess < min(size, plain * (1 - gain)):
+            size, out = guess, {"transforms": (SUBTRACT_GREEN,), "cache_bits": bits}
+    return out
+
+
+def write_image(w: Writer, argb: np.ndarray, main: bool, cache_bits: int = 0, group_bits: int = 0, copies: list[tuple[int, int, int]] | None = None) -> bytes | None:
+    """Write the pixels (height, width), with these stretches as references (none given: long runs). The main image comes last, so its bytes are returned, with all before them."""
     height, width = argb.shape
     px = argb.ravel()
     px = px if px.dtype == np.uint32 else px.astype(np.uint32)
     w.put(int(cache_bits > 0), 1)
-    copies = runs(px, width)
+    copies = runs(px, width) if copies is None else copies
     rest = int(px[0]) & 0xFFFF00FF
     if main and not cache_bits and not group_bits and not copies and not ((px ^ np.uint32(rest)) & np.uint32(0xFFFF00FF)).any():
         w.put(0, 1)  # one group, and green alone tells the pixels apart
@@ -617,7 +732,7 @@ def write_image(w: Writer, argb: np.ndarray, main: bool, cache_bits: int = 0, gr
     plain = kind < 256
     parts = [(px[at] >> np.uint32(s)).astype(np.int64) & 255 for s in (16, 0, 24)]
     values, widths = np.zeros((len(at), 4), np.int64), np.zeros((len(at), 4), np.int64)
-    spot = {a: k for k, a in enumerate(at.tolist())} if refs else {}
+    spot = dict(zip(refs, np.searchsorted(at, list(refs)).tolist()))
     for g in range(int(group.max()) + 1):
         mine = own == g
         told = write_code(w, code_lengths(np.bincount(kind[mine], minlength=green), 12))
@@ -626,7 +741,7 @@ def write_image(w: Writer, argb: np.ndarray, main: bool, cache_bits: int = 0, gr
             lit = mine & plain
             told = write_code(w, code_lengths(np.bincount(part[lit], minlength=size), 12))
             values[lit, k], widths[lit, k] = reverse_codes(told)[part[lit]], np.frombuffer(told, np.uint8)[part[lit]]
-        used = [(k, *refs[a]) for a, k in spot.items() if a in refs and mine[k]]
+        used = [(k, *refs[a]) for a, k in spot.items() if mine[k]]
         told = write_code(w, code_lengths(np.bincount([f[0] for _, _, f in used], minlength=40) if used else np.zeros(40, np.int64), 12))
         for k, (_, extra, n), (s, more, m) in used:
             values[k, 1], widths[k, 1] = extra, n
@@ -642,12 +757,13 @@ def write_image(w: Writer, argb: np.ndarray, main: bool, cache_bits: int = 0, gr
     return None
 
 
-def encode(argb: np.ndarray, transforms: tuple[int, ...] = (SUBTRACT_GREEN,), cache_bits: int = 0, group_bits: int = 0, block_bits: int = 3) -> bytes:
+def encode(argb: np.ndarray, transforms: tuple[int, ...] = (SUBTRACT_GREEN,), cache_bits: int = 0, group_bits: int = 0, block_bits: int = 3, modes: np.ndarray | None = None, copies: list[tuple[int, int, int]] | None = None) -> bytes:
     """A lossless WebP file of the pixels (height, width), each at most 16,384.
 
-    transforms are applied in order. The predictor's modes and the cross-colour
-    factors of blocks follow a fixed pattern, they aren't searched for; a palette
-    has to suffice (256 colours) and comes last.
+    transforms are applied in order. modes: the predictor's mode of each block, and
+    copies: the stretches that become references, both as chosen() finds them for
+    grey samples; without modes, these follow a fixed pattern, as the cross-colour
+    factors of blocks do. A palette has to suffice (256 colours) and comes last.
     """
     height, width = argb.shape
     pixels, w = argb.astype(np.uint32), Writer()
@@ -661,8 +777,9 @@ def encode(argb: np.ndarray, transforms: tuple[int, ...] = (SUBTRACT_GREEN,), ca
         turn = np.arange(blocks[0] * blocks[1], dtype=np.uint32).reshape(blocks)
         if kind == PREDICTOR:
             w.put(block_bits - 2, 3)
-            write_image(w, np.uint32(0xFF000000) | (turn % np.uint32(14)) << np.uint32(8), False)
-            pixels = whole(predict(channels(pixels), turn % 14, block_bits, -1))
+            own = turn % np.uint32(14) if modes is None else modes.astype(np.uint32)
+            write_image(w, np.uint32(0xFF000000) | own << np.uint32(8), False)
+            pixels = whole(predict(channels(pixels), own, block_bits, -1))
         elif kind == CROSS_COLOUR:
             w.put(block_bits - 2, 3)
             table = np.uint32(0xFF000000) | (turn * np.uint32(37) % np.uint32(256)) << np.uint32(16) | (turn * np.uint32(11) % np.uint32(256)) << np.uint32(8) | turn * np.uint32(91) % np.uint32(256)
@@ -685,7 +802,7 @@ def encode(argb: np.ndarray, transforms: tuple[int, ...] = (SUBTRACT_GREEN,), ca
                 index = (index.reshape(height, -1, 1 << bits) << (np.arange(1 << bits, dtype=np.uint32) * np.uint32(8 >> bits))).sum(2, dtype=np.uint32)
             pixels = np.uint32(0xFF000000) | index << np.uint32(8)
     w.put(0, 1)
-    data = write_image(w, pixels, True, cache_bits, group_bits)
+    data = write_image(w, pixels, True, cache_bits, group_bits, copies)
     chunk = b"VP8L" + struct.pack("<I", len(data)) + data + bytes(len(data) % 2)
     return b"RIFF" + struct.pack("<I", 4 + len(chunk)) + b"WEBP" + chunk
 

@@ -243,6 +243,24 @@ def test_media_payloads(docs, odd):
             assert r.media_sha256 == hashlib.sha256(r.media).hexdigest() and b"".join(r.pixels).startswith(want)
 
 
+def test_media_are_stored_by_what_their_samples_are_like():
+    rng, (y, x) = np.random.default_rng(4), np.mgrid[0:40, 0:64]
+    found = {}
+    for name, samples in {"ramp": 3 * x + 5 * y, "copy": np.resize(rng.integers(0, 256, 700), (60, 64)), "pairs": np.concatenate([rng.choice(rng.permutation(256)[:2], 12) for _ in range(320)]).reshape(-1, 64), "few": rng.integers(0, 9, (30, 64)), "noise": rng.integers(0, 256, (30, 64)), "row": x[:1], "zero": 0 * x}.items():
+        samples = samples.astype(np.uint8)
+        media_ = media.store(samples.tobytes())
+        assert (media.pixels(media_)[0] == samples).all()
+        found[name] = len(media_) / len(webp.encode(webp.grey(samples), (webp.SUBTRACT_GREEN,))), webp.chosen(samples)
+    assert max(found[k][0] for k in ("ramp", "copy", "pairs")) < 0.75 and found["noise"][0] == 1
+    assert webp.PREDICTOR in found["ramp"][1]["transforms"] and found["copy"][1]["copies"] and found["pairs"][1]["cache_bits"] and found["few"][1] == found["zero"][1] == {"transforms": (webp.PALETTE,)}
+    for n in range(300):
+        h = int(rng.integers(1, 20))
+        samples = (np.resize(rng.integers(0, 40, int(rng.integers(1, 300))), (h, 64)), np.cumsum(rng.integers(-3, 4, h * 64)).reshape(h, 64), np.repeat(rng.integers(0, 256, h * 8), 8).reshape(h, 64))[n % 3].astype(np.uint8)
+        assert (media.pixels(media.store(samples.tobytes()))[0] == samples).all()
+    long = bytes(range(256)) * 4097
+    assert [len(p) for p in media.pixels(media.store(media.padded(long)))] == [16_384, 4] and b"".join(p.tobytes() for p in media.pixels(media.store(media.padded(long)))) == long
+
+
 def test_language_on_held_out_rows(docs, odd, spark):
     truth = {r.doc_id: r.lang for r in docs.collect()}
     got = language.identify(docs).filter("held_out").collect()
