@@ -500,7 +500,8 @@ def code_lengths(counts: np.ndarray, most: int) -> bytes:
 
 def write_code(w: Writer, lengths: bytes) -> bytes:
     """Write a code; the lengths that data is to be written with (none for a single symbol)."""
-    used = [k for k, n in enumerate(lengths) if n] if len(lengths) - lengths.count(0) < 3 else [256]
+    few = len(lengths) - lengths.count(0)
+    used = [256] if few > 2 else [len(lengths) - len(lengths.lstrip(b"\0")), len(lengths.rstrip(b"\0")) - 1][:few]
     if len(used) <= 2 and max(used, default=0) < 256:
         a, b = used[0] if used else 0, used[1] if len(used) > 1 else None
         wide = int(a > 1)
@@ -511,7 +512,7 @@ def write_code(w: Writer, lengths: bytes) -> bytes:
     w.put(0, 1)
     tokens: list[tuple[int, int, int]] = []
     for size, own in groupby(lengths):
-        left = sum(1 for _ in own)
+        left = len(list(own))
         if size == 0:
             while left >= 3:
                 run = min(left, 138)
@@ -589,7 +590,8 @@ def matches(pixels: np.ndarray, bits: float, least: int = 6, worth: int = 12) ->
     low = n.bit_length()
     sort = np.sort((key * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(low) << np.uint64(low)) | np.arange(n, dtype=np.uint64))
     place = (sort & np.uint64((1 << low) - 1)).astype(np.int64)
-    at, before = place[1:], place[:-1]
+    near = np.flatnonzero(sort[1:] ^ sort[:-1] < np.uint64(1 << low))
+    at, before = place[1:][near], place[:-1][near]
     same = (key[at] == key[before]) & (at - before <= (1 << 20) - 120)
     past = np.zeros(n, np.int64)
     past[at[same]] = at[same] - before[same]
@@ -663,7 +665,7 @@ def chosen(samples: np.ndarray, gain: float = 0.1) -> dict:
     if np.count_nonzero(counts) <= 16:
         return {"transforms": (PALETTE,)}
     size = plain = entropy(counts)
-    out: dict = {"transforms": (SUBTRACT_GREEN,)}
+    out: dict = {"transforms": (SUBTRACT_GREEN,), "copies": []}
     h, w = samples.shape
     if h > 1 and min(entropy(np.bincount(flat[d:] - flat[:-d], minlength=256)) for d in (1, w)) < plain * (1 - gain):
         modes, rest = best_modes(samples, 3)
