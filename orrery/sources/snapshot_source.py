@@ -6,8 +6,8 @@
 Options: path (a file or a folder, searched through), tags (comma-separated: only
 these elements), until (stop behind the first such element, as for a header),
 suffixes (comma-separated, of the files to read).
-Each file is a partition; the driver lists names and sizes alone. A folder of
-saves is recognised by saves().
+A file is in one partition, which small ones share; the driver lists names and
+sizes alone. A folder of saves is recognised by saves().
 """
 
 from __future__ import annotations
@@ -16,12 +16,15 @@ import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from .snapshot_xml import ELEMENT, parse
+from .snapshot_xml import ELEMENT, batches
 
 SUFFIXES = (".xml", ".xml.gz")
 SCHEMES = ("file", "hdfs", "s3", "gs")
+#: Bytes of files that share a partition; a packed byte counts as ten.
+SHARE, PACKED = 1 << 22, 10
 
 
 def readable(path: str) -> bool:
@@ -39,8 +42,8 @@ def system(path: str):
     return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
 
 
-def listed(path: str, suffixes: Sequence[str] = SUFFIXES) -> list[tuple[str, float | None]]:
-    """(path, time of change) of the snapshot files at or under a path, in order."""
+def listed(path: str, suffixes: Sequence[str] = SUFFIXES) -> list[tuple[str, float | None, int]]:
+    """(path, time of change, bytes) of the snapshot files at or under a path, in order."""
     from pyarrow import fs
 
     store, own = system(path)
@@ -49,7 +52,7 @@ def listed(path: str, suffixes: Sequence[str] = SUFFIXES) -> list[tuple[str, flo
         raise FileNotFoundError(path)
     rest = store.get_file_info(fs.FileSelector(own, recursive=True)) if found.type == fs.FileType.Directory else [found]
     scheme = path.split("://")[0] + "://" if "://" in path and not path.startswith("file:") else ""
-    return sorted((scheme + x.path, x.mtime.timestamp() if x.mtime else None) for x in rest if x.type == fs.FileType.File and x.path.endswith(tuple(suffixes)))
+    return sorted((scheme + x.path, x.mtime.timestamp() if x.mtime else None, x.size or 0) for x in rest if x.type == fs.FileType.File and x.path.endswith(tuple(suffixes)))
 
 
 def saves(roots: Sequence[str]) -> list[str]:
@@ -63,7 +66,7 @@ def saves(roots: Sequence[str]) -> list[str]:
             files = listed(root)
         except FileNotFoundError:
             continue
-        own = [(t or 0.0, p) for p, t in files if re.search(r"/[0-9]+/save/[^/]+$", p)]
+        own = [(t or 0.0, p) for p, t, _ in files if re.search(r"/[0-9]+/save/[^/]+$", p)]
         if own:
             busy = [p for _, p in own if p.rsplit("/", 1)[1].split(".")[0].lower() == "temp"]
             if busy:
@@ -73,8 +76,8 @@ def saves(roots: Sequence[str]) -> list[str]:
 
 
 @dataclass
-class File(InputPartition):
-    path: str
+class Files(InputPartition):
+    paths: list[str]
 
 
 class SnapshotReader(DataSourceReader):
@@ -84,13 +87,21 @@ class SnapshotReader(DataSourceReader):
         self.tags = frozenset(x.strip() for x in options["tags"].split(",")) if options.get("tags") else None
 
     def partitions(self) -> Sequence[InputPartition]:
-        return [File(p) for p, _ in listed(self.path, self.suffixes)]
-
-    def read(self, partition: File) -> Iterator[tuple]:
-        store, own = system(partition.path)
-        with store.open_input_stream(own, compression=None) as stream:
-            for row in parse(stream, self.tags, self.until):
-                yield (partition.path, *row)
+        out, room = [], 0
+        for path, _, size in listed(self.path, self.suffixes):
+            size *= PACKED if path.endswith(".gz") else 1
+            if not out or size > room:
+                out.append(Files([]))
+                room = SHARE
+            out[-1].paths.append(path)
+            room -= size
+        return out
+
+    def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
+        for path in partition.paths:
+            store, own = system(path)
+            with store.open_input_stream(own, compression=None) as stream:
+                yield from batches(path, stream, self.tags, self.until)
 
 
 class SnapshotSource(DataSource):

@@ -4,9 +4,9 @@ A small streaming reader turns each document into rows of one shape, whatever is
 in it: an element's place, its attributes and the components around it. What a
 record is (an offer, a build task, a fleet link) is then a predicate on those
 columns, so new records are new expressions, and Spark prunes and plans them.
-A file is one task, which reads it as a stream, so files may have any length. A
-document that breaks off gives the elements before that point, and a last row of
-tag `#truncated`.
+A file is read by one task, as a stream, so files may have any length; small ones
+share a task. A document that breaks off gives the elements before that point,
+and a last row of tag `#truncated`.
 """
 
 from __future__ import annotations
@@ -16,9 +16,10 @@ import xml.parsers.expat
 import zlib
 from collections.abc import Iterator
 from functools import cache
+from itertools import accumulate, chain, islice
 from typing import BinaryIO
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,8 +29,8 @@ COMPONENT = "struct<ord:long,class:string,id:string,macro:string,owner:string,co
 ELEMENT = f"file string, ord long, parent long, depth int, tag string, path string, attrs map<string,string>, comps array<{COMPONENT}>, text string"
 
 
-#: Bytes that are read at once, and that a packed chunk is unpacked to at once.
-CHUNK, UNPACKED = 1 << 18, 1 << 22
+#: Bytes that are read at once, and that a packed chunk is unpacked to at once; elements that are sent to Spark at once.
+CHUNK, UNPACKED, BATCH = 1 << 18, 1 << 22, 10_000
 
 
 def chunks(stream: BinaryIO, size: int = CHUNK) -> Iterator[bytes]:
@@ -55,16 +56,17 @@ def chunks(stream: BinaryIO, size: int = CHUNK) -> Iterator[bytes]:
 def parse(stream: BinaryIO, tags: frozenset[str] | None = None, until: str | None = None) -> Iterator[tuple]:
     """(ord, parent, depth, tag, path, attrs, comps, text) of a document's elements, in order of their starts; those of `tags` alone, up to the end of `until`."""
     stack: list[list] = []
-    comps: list[dict] = []
+    comps: list[dict] = []  # replaced, not changed, as rows hold it
     out: list[list] = []
     state = {"n": 0, "stop": False}
 
     def start(tag: str, attrs: dict) -> None:
+        nonlocal comps
         n = state["n"] = state["n"] + 1
         if tag == "component":
-            comps.append({"ord": n, "class": attrs.get("class"), "id": attrs.get("id"), "macro": (attrs.get("macro") or "").lower(), "owner": attrs.get("owner"), "connection": attrs.get("connection")})
+            comps = [*comps, {"ord": n, "class": attrs.get("class"), "id": attrs.get("id"), "macro": (attrs.get("macro") or "").lower(), "owner": attrs.get("owner"), "connection": attrs.get("connection")}]
         path = f"{stack[-1][1]}/{tag}" if stack else tag
-        row = [n, stack[-1][0] if stack else None, len(stack) + 1, tag, path, attrs, list(comps), None] if tags is None or tag in tags else None
+        row = [n, stack[-1][0] if stack else None, len(stack) + 1, tag, path, attrs, comps, None] if tags is None or tag in tags else None
         stack.append([n, path, tag, row])
         if row:
             out.append(row)
@@ -75,9 +77,10 @@ def parse(stream: BinaryIO, tags: frozenset[str] | None = None, until: str | Non
             row[7] = (row[7] or "") + text
 
     def end(tag: str) -> None:
+        nonlocal comps
         stack.pop()
         if tag == "component":
-            comps.pop()
+            comps = comps[:-1]
         if tag == until:
             state["stop"] = True
 
@@ -99,6 +102,23 @@ def parse(stream: BinaryIO, tags: frozenset[str] | None = None, until: str | Non
     yield from out
 
 
+def batches(file: str, stream: BinaryIO, tags: frozenset[str] | None = None, until: str | None = None) -> Iterator[pa.RecordBatch]:
+    """parse() as ELEMENT rows, column by column."""
+    text = pa.string()
+    around = pa.list_(pa.struct([("ord", pa.int64()), *[(c, text) for c in ("class", "id", "macro", "owner", "connection")]]))
+    rows = parse(stream, tags, until)
+    while held := list(islice(rows, BATCH)):
+        ord_, parent, depth, tag, path, attrs, comps, said = zip(*held)
+        keys, values = pa.array(list(chain.from_iterable(attrs)), text), pa.array(list(chain.from_iterable(x.values() for x in attrs)), text)
+        own = {id(c): c for c in comps}  # elements in the same component hold the same list
+        place = {k: i for i, k in enumerate(own)}
+        columns = {
+            "file": pa.repeat(pa.scalar(file, text), len(held)), "ord": pa.array(ord_, pa.int64()), "parent": pa.array(parent, pa.int64()), "depth": pa.array(depth, pa.int32()), "tag": pa.array(tag, text), "path": pa.array(path, text),
+            "attrs": pa.MapArray.from_arrays(pa.array(accumulate(map(len, attrs), initial=0), pa.int32()), keys, values), "comps": pa.array(list(own.values()), around).take(pa.array([place[id(c)] for c in comps], pa.int64())), "text": pa.array(said, text),
+        }
+        yield pa.RecordBatch.from_pydict(columns)
+
+
 def elements(spark: SparkSession, path: str, tags: frozenset[str] | None = None, until: str | None = None, suffixes: tuple[str, ...] = (".xml", ".xml.gz")) -> DataFrame:
     """ELEMENT rows of all files of these suffixes under path. tags keeps those elements alone; until stops each file behind the first such element.
 
@@ -113,21 +133,12 @@ def elements(spark: SparkSession, path: str, tags: frozenset[str] | None = None,
         return spark.read.format(SnapshotSource.name()).options(**options).load()
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*{" + ",".join(suffixes) + "}").load(path).select("path", "content")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["ord", "parent", "depth", "tag", "path", "attrs", "comps", "text"]
-        for batch in batches:
-            for file, data in zip(batch["path"], batch["content"]):
-                held: list[tuple] = []
-                for row in parse(io.BytesIO(data), tags, until):
-                    held.append(row)
-                    if len(held) == 10_000:
-                        yield pd.DataFrame(held, columns=names).astype({"parent": "Int64"}).assign(file=file)
-                        held = []
-                if held:
-                    yield pd.DataFrame(held, columns=names).astype({"parent": "Int64"}).assign(file=file)
-
-    order = ["file", "ord", "parent", "depth", "tag", "path", "attrs", "comps", "text"]
-    return files.mapInPandas(lambda b: (p[order] for p in run(b)), ELEMENT)
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for file, data in zip(part.column("path").to_pylist(), part.column("content").to_pylist()):
+                yield from batches(file, io.BytesIO(data), tags, until)
+
+    return files.mapInArrow(run, ELEMENT)
 
 
 def peek(spark: SparkSession, path: str, **options) -> DataFrame:

@@ -1,16 +1,17 @@
 """World snapshots as tables in a folder: imports of many tables that count together or not at all.
 
-An import writes the rows of each table to a folder of its own, by snapshot, and
-then one ledger row for each snapshot that it holds. Only what the ledger names
-is read, so an import that breaks off leaves nothing behind, and one that brings
-a snapshot again replaces all tables of it at once. A snapshot is known by its
-guid, game time and date; its id is that of its first import, whatever the
-number of later ones. One writer at a time.
+An import writes the rows of each table to a folder of its own, by snapshot (many
+snapshots share their folders), and then one ledger row for each snapshot that it
+holds. Only what the ledger names is read, so an import that breaks off leaves
+nothing behind, and one that brings a snapshot again replaces all tables of it at
+once. A snapshot is known by its guid, game time and date; its id is that of its
+first import, whatever the number of later ones. One writer at a time.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -22,6 +23,8 @@ from .merge import new_only
 
 LEDGER = "seq long, save_id long, snapshot long, file string, guid string, game_version string, game_time double, save_date string, modified int, player_name string, player_money_cr double"
 IDENTITY = ("guid", "game_time", "save_date")
+#: Folders that the snapshots of an import are dealt to: one each, as far as they go.
+FOLDERS = 64
 
 
 class Snapshots:
@@ -66,9 +69,12 @@ class Snapshots:
         rows = own.join(first, same[0] & same[1] & same[2]).select("snapshot", *own.columns)
         rows.write.mode("overwrite").parquet(f"{self.root}/_import/v={seq}")  # numbered once: all tables take their ids from here
         rows = self.spark.read.parquet(f"{self.root}/_import/v={seq}")
-        ids = rows.groupBy("snapshot").agg(F.max_by("file", "save_id").alias("file")).select("file", F.col("snapshot").alias("save_id"))
+        share = -(-rows.select("snapshot").distinct().count() // FOLDERS)
+        part = F.floor((F.row_number().over(Window.orderBy("snapshot")) - 1) / share).cast("int")  # a row for each snapshot
+        ids = rows.groupBy("snapshot").agg(F.max_by("file", "save_id").alias("file")).select("file", F.col("snapshot").cast("int").alias("save_id"), part.alias("part"))
         for name, df in tables.items():
-            df.join(ids, "file").drop("file").write.mode("overwrite").partitionBy("save_id").parquet(f"{self.root}/{name}/v={seq}")
+            own = df.join(ids, "file").drop("file").hint("rebalance", "part").sortWithinPartitions("part", "save_id")
+            own.write.mode("overwrite").partitionBy("part").parquet(f"{self.root}/_tables/{name}/v={seq}")
         whole = self.spark.createDataFrame([], LEDGER).unionByName(rows, allowMissingColumns=True).coalesce(1)
         whole.write.mode("append").parquet(f"{self.root}/_ledger")  # the import counts from here on
         return whole
@@ -78,13 +84,17 @@ class Snapshots:
 
     def read(self, name: str, current: bool = False) -> DataFrame:
         """A table's rows with save_id, of all snapshots or of the current one. Folders that aren't asked for are not opened."""
-        found = self._found(f"{self.root}/{name}")
-        if found is None:
+        found = [df for path in self._paths(name) if (df := self._found(path)) is not None]
+        if not found:
             raise ValueError(f"no table {name}")
         wanted = self._valid()
         if current:
             wanted = wanted.join(self.current().select("save_id"), "save_id", "left_semi")
-        return found.join(wanted, ["v", "save_id"], "left_semi").drop("v")
+        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [df.join(wanted, ["v", "save_id"], "left_semi").drop("v", "part") for df in found])
+
+    def _paths(self, name: str) -> tuple[str, str]:
+        """Where a table lies, and where its imports do that have a folder for each snapshot, as all once had."""
+        return f"{self.root}/_tables/{name}", f"{self.root}/{name}"
 
     def aggregate(self, name: str, rows: DataFrame) -> DataFrame:
         """Add a table's rows (save_id, ...) of the snapshots that it doesn't have yet, and return all: a snapshot that is imported again adds nothing."""
@@ -94,18 +104,19 @@ class Snapshots:
         return self.spark.read.parquet(path)
 
     def clean(self, names: Sequence[str]) -> None:
-        """Delete the folders of imports that the ledger doesn't name, or that later ones replaced; nobody may be reading."""
-        valid = {(r.v, r.save_id) for r in self._valid().collect()}  # two numbers a snapshot
-        for name in names:
-            for v in self._folders(f"{self.root}/{name}"):
+        """Delete the folders of imports that the ledger doesn't name, or whose snapshots later ones replaced; nobody may be reading."""
+        for path, by in ((p, by) for name in names for p, by in zip(self._paths(name), ("part", "save_id"))):
+            found = self._found(path)
+            kept = set() if found is None else {(r.v, r[by]) for r in found.join(self._valid(), ["v", "save_id"], "left_semi").select("v", by).distinct().collect()}  # some folders of each import
+            for v in self._folders(path):
                 for s in self._folders(v.toString()):
-                    if (int(v.getName().split("=")[1]), int(s.getName().split("=")[1])) not in valid:
+                    if (int(v.getName().split("=")[1]), int(s.getName().split("=")[1])) not in kept:
                         s.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(s, True)
 
     def _folders(self, path: str) -> list:
         folder = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         files = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        return [f.getPath() for f in files.listStatus(folder) if f.isDirectory() and "=" in f.getPath().getName()]
+        return [f.getPath() for f in files.listStatus(folder) if f.isDirectory() and "=" in f.getPath().getName()] if files.exists(folder) else []
 
 
 def put_reference(df: DataFrame, root: str, name: str) -> bool:

@@ -144,3 +144,14 @@ def test_other_stores_are_left_to_spark(spark, tmp_path):
     assert S.readable("/a/b") and S.readable("file:///a") and not S.readable("viewfs://x/a")
     (tmp_path / "a.xml").write_text(DOC)
     assert X.elements(spark, f"file://{tmp_path}").count() == X.elements(spark, str(tmp_path)).count()
+
+
+def test_small_files_share_a_task(spark, tmp_path):
+    for k in range(20):
+        (tmp_path / f"{k:02}.xml").write_text(DOC)
+    (tmp_path / "20.xml").write_text(DOC + " " * S.SHARE)
+    e = X.elements(spark, str(tmp_path))
+    assert e.rdd.getNumPartitions() == 2 and e.select("file").distinct().count() == 21
+    want = list(X.parse(io.BytesIO(DOC.encode())))
+    for file in ("/03.xml", "/20.xml"):
+        assert [(*r[:5], dict(r.attrs), [c.asDict() for c in r.comps], r.text) for r in e.filter(e.file.endswith(file)).drop("file").orderBy("ord").collect()] == [tuple(x) for x in want]

@@ -1,6 +1,7 @@
 """World tables of documents written by hand, and imports that replace each other."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from orrery.sources import snapshot_tables as T
 from orrery.sources import snapshot_xml as X
@@ -92,3 +93,22 @@ def test_aggregates_are_added_once(spark, elems, tmp_path):
         books = store.aggregate("market", S.market(store.read("component"), store.read("trade_offer")))
     assert sorted((r.save_id, r["class"], r.owner, r.n) for r in presence.collect()) == [(1, "ship_l", "player", 1), (1, "ship_s", "player", 1), (1, "station", "red", 1), (2, "ship_m", "red", 1), (2, "ship_s", "player", 1), (2, "station", "red", 1)]
     assert [(r.sector_macro, r.ware, r.side, r.n, r.price_avg) for r in books.collect()] == [("s1_macro", "ore", "buy", 1, 12.34)]
+
+
+def test_many_snapshots_share_folders(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(S, "FOLDERS", 2)
+    store = S.Snapshots(spark, str(tmp_path / "store"))
+    rows = lambda *n: spark.createDataFrame([(f"f{k}", f"c{k}") for k in n for _ in range(2)], "file string, code string")
+    heads = lambda *n: spark.createDataFrame([(f"f{k}", f"G{k}", float(k), "1") for k in n], "file string, guid string, game_time double, save_date string")
+    folders = lambda: sorted(p.parent.name + "/" + p.name for p in (tmp_path / "store").rglob("part=*"))
+    rows(7).withColumn("save_id", F.lit(1)).drop("file").write.partitionBy("save_id").parquet(str(tmp_path / "store" / "component" / "v=1"))  # as imports once were
+    heads(7).withColumns({"seq": F.lit(1), "save_id": F.lit(1), "snapshot": F.lit(1)}).selectExpr(*[f"cast({c} AS {t}) AS {c}" for c, t in (x.split() for x in S.LEDGER.split(", ")) if c in ("seq", "save_id", "snapshot", "file", "guid", "game_time", "save_date")]).write.parquet(str(tmp_path / "store" / "_ledger"))
+    store.write({"component": rows(1, 2, 3, 4, 5)}, heads(1, 2, 3, 4, 5))
+    assert folders() == ["v=2/part=0", "v=2/part=1"]
+    store.write({"component": rows(4, 5)}, heads(4, 5))
+    found = {(r.save_id, r.code): r["count"] for r in store.read("component").groupBy("save_id", "code").count().collect()}
+    assert found == {(1, "c7"): 2} | {(k + 1, f"c{k}"): 2 for k in range(1, 6)}
+    assert {r.code for r in store.read("component", current=True).collect()} == {"c5"}
+    store.clean(["component"])
+    assert folders() == ["v=2/part=0", "v=3/part=0", "v=3/part=1"]  # those of 4 and 5 were replaced
+    assert {(r.save_id, r.code): r["count"] for r in store.read("component").groupBy("save_id", "code").count().collect()} == found
