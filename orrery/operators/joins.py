@@ -16,10 +16,18 @@ from .windows import keep_first, top
 
 
 def first_leader(followers: DataFrame, leaders: DataFrame, on: str, follower: str, leader: str, order: Sequence[str]) -> DataFrame:
-    """Each follower with its first leader, and whether there were several."""
-    both = followers.join(leaders, on)
-    several = F.size(F.collect_set(leader).over(Window.partitionBy(follower))) > 1
-    return keep_first(both.withColumn("conflict", several), [follower], order)
+    """Each follower with its first leader, and whether there were several.
+
+    Leaders are cut down to the first of each `on` before the join, so that it makes
+    a row for each row of followers and not for each pair.
+    """
+    own = [c for c in leaders.columns if c != on]
+    first = F.min_by(F.struct(*own), F.struct(*[c for c in order if c in leaders.columns])).alias("_first")
+    by = leaders.groupBy(on).agg(first, F.min(leader).alias("_least"), F.max(leader).alias("_most"))
+    both = followers.join(by, on).select(*followers.columns, "_first.*", "_least", "_most")
+    same = Window.partitionBy(follower)
+    several = F.coalesce(F.min("_least").over(same) < F.max("_most").over(same), F.lit(False))
+    return keep_first(both.withColumn("conflict", several).drop("_least", "_most"), [follower], order)
 
 
 def fallback(left: DataFrame, right: DataFrame, on: str, by: str, default: str, value: Sequence[str]) -> DataFrame:
