@@ -67,7 +67,7 @@ def stations(spark, sf_dir) -> dict:
     d["run"] = S.running(d["modules"], d["makes"], d["recipes"], at, of_all, s.select(F.col("s_suppkey").alias("station"), F.lit(1.0).alias("light")))
     number = s.agg(F.count("*").alias("stations"))  # a row
     force = table(spark, sf_dir, "customer").crossJoin(F.broadcast(number)).groupBy((1 + F.col("c_custkey") % F.col("stations")).alias("station"), F.col("c_mktsegment").alias("race")).agg(F.sum("c_nationkey").alias("amount"))
-    places = s.filter("s_suppkey % 3 = 0").select(F.col("s_suppkey").alias("station"), F.lit(500.0).alias("places"))
+    places = force.select("station").distinct().filter("station % 3 = 0").withColumn("places", F.lit(500.0))
     meals = spark.createDataFrame([("work", "default", 600.0, 20.0), ("work", "BUILDING", 600.0, 20.0)], "need string, method string, seconds double, amount double")
     dishes = spark.createDataFrame([("default", 1, 9.0), ("default", 2, 5.0), ("BUILDING", 8, 7.0)], "used string, ware long, needed double")
     d["food"] = S.rations(force, places, meals, dishes)
