@@ -152,7 +152,7 @@ TABLES: dict[str, Table] = {
 
 def header(elems: DataFrame) -> DataFrame:
     """(file, guid, game_version, game_time, save_date, modified, player_name, player_money_cr) of each document."""
-    info = X.records(elems, "info")
+    info = X.records(elems.filter(F.col("tag").isin("game", "save", "player")), "info")
     of = lambda tag, c: F.max(F.when(F.col("tag") == tag, F.col(c)))
     return info.groupBy("file").agg(
         of("game", "guid").alias("guid"), of("game", "version").alias("game_version"), of("game", "game_time").alias("game_time"), of("save", "save_date").alias("save_date"),

@@ -239,10 +239,10 @@ def definitions() -> dict[str, tuple[Column, dict[str, Column]]]:
         "cargo": (at("cargo", "ware") | at("cargo", "summary", "ware"), {"object_id": host, "ware": a("ware"), "amount": number("amount", 1)}),
         "station_supply": ((at("supplies", "orders", "ware") | at("supplies", "wares", "ware")) & is_yard(own), {"object_id": own["id"], "kind": F.when(at("supplies", "orders", "ware"), "order").otherwise("ware"), "ware": a("ware"), "amount": number("amount", 1)}),
         "price_setting": (at("prices", "reference", "ware") | at("prices", "override", "ware"), {"object_id": host, "kind": F.try_element_at(F.split("path", "/"), F.lit(-2)), "ware": a("ware"), "buy": F.nullif(number("buy"), F.lit(0.0)), "sell": F.nullif(number("sell"), F.lit(0.0))}),
-        "ware_limit": (F.col("path").rlike("overrides/(max|buy|sell)/ware$"), {"object_id": host, "kind": F.try_element_at(F.split("path", "/"), F.lit(-2)), "ware": a("ware"), "amount": number("amount", 1)}),
+        "ware_limit": ((F.col("tag") == "ware") & F.col("path").rlike("overrides/(max|buy|sell)/ware$"), {"object_id": host, "kind": F.try_element_at(F.split("path", "/"), F.lit(-2)), "ware": a("ware"), "amount": number("amount", 1)}),
         "build_resource": (F.col("path").rlike("resources/(insufficient|shortage)/ware$"), {"host": host, "kind": F.try_element_at(F.split("path", "/"), F.lit(-2)), "ware": a("ware"), "amount": number("amount", 1)}),
         "ship_order": ((F.col("tag") == "order") & a("order").isNotNull(), {"object_id": host, "order": a("order"), "is_default": F.coalesce(a("default") == "1", F.lit(False)).cast("int"), "state": a("state")}),
-        "trade_offer": (F.col("path").rlike("trade/offers/.*trade$") & (a("buyer").isNotNull() | a("seller").isNotNull()), {"object_id": host, "side": F.when(a("buyer").isNotNull(), "buy").otherwise("sell"), "ware": a("ware"), "amount": number("amount", 0), "price_cr": cents(a("price")), "flags": F.coalesce(a("flags"), F.lit("")), "desired": number("desired")}),
+        "trade_offer": (F.endswith("tag", F.lit("trade")) & F.col("path").rlike("trade/offers/.*trade$") & (a("buyer").isNotNull() | a("seller").isNotNull()), {"object_id": host, "side": F.when(a("buyer").isNotNull(), "buy").otherwise("sell"), "ware": a("ware"), "amount": number("amount", 0), "price_cr": cents(a("price")), "flags": F.coalesce(a("flags"), F.lit("")), "desired": number("desired")}),
         "trade_active": (at("trade", "active", "trade"), {"trade_id": a("id")}),
         "trade_pending_order": (F.col("path").rlike("orders/order/(.*/)?trade$") & a("id").isNotNull() & a("ware").isNotNull(), pending),
         "trade_pending_reservation": (at("trade", "reservations", "reservation") & a("ware").isNotNull() & a("id").isNotNull(), pending),

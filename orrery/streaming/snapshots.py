@@ -63,10 +63,8 @@ class Snapshots:
         seq, last = known.agg(F.coalesce(F.max("seq"), F.lit(0)) + 1, F.coalesce(F.max("save_id"), F.lit(0))).first()
         own = headers.select("file", *[f.name for f in known.schema if f.name in headers.columns and f.name != "file"])
         own = own.withColumns({"seq": F.lit(seq).cast("long"), "save_id": (F.row_number().over(Window.orderBy("game_time", "file")) + last).cast("long")})  # a row for each file
-        every = known.select("save_id", *IDENTITY).unionByName(own.select("save_id", *IDENTITY))
-        first = every.groupBy(*[F.col(c).alias(f"_{c}") for c in IDENTITY]).agg(F.min("save_id").alias("snapshot"))
-        same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in IDENTITY]
-        rows = own.join(first, same[0] & same[1] & same[2]).select("snapshot", *own.columns)
+        every = known.select("save_id", *IDENTITY).unionByName(own.withColumn("_own", F.lit(True)), allowMissingColumns=True)
+        rows = every.withColumn("snapshot", F.min("save_id").over(Window.partitionBy(*IDENTITY))).filter("_own").select("snapshot", *own.columns)
         rows.write.mode("overwrite").parquet(f"{self.root}/_import/v={seq}")  # numbered once: all tables take their ids from here
         rows = self.spark.read.parquet(f"{self.root}/_import/v={seq}")
         share = -(-rows.select("snapshot").distinct().count() // FOLDERS)
